@@ -21,8 +21,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import link
+
+    return link(read(spark, sf_dir, "documents"), size=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_packing": op9_packing}
+    return {"op7_minhash": op7_minhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
