@@ -21,6 +21,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import digest, scan
+
+    return digest(scan(read(spark, sf_dir, "documents")))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judge(read(spark, sf_dir, "documents")).select(*columns)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import link
 
@@ -28,7 +41,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_minhash": op7_minhash, "op9_packing": op9_packing}
+    return {"op2_licenses": op2_licenses, "op5_quality": op5_quality, "op7_minhash": op7_minhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
