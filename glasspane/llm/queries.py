@@ -21,6 +21,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import cross_checked
+
+    return cross_checked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import digest, scan
 
@@ -34,6 +40,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import cross_checked
+
+    return cross_checked(read(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import link
 
@@ -41,7 +53,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_licenses": op2_licenses, "op5_quality": op5_quality, "op7_minhash": op7_minhash, "op9_packing": op9_packing}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
