@@ -32,6 +32,8 @@ from .shared import Shelf
 from .words import UNSPACED, Words, chunks, one
 
 RETAINED, FULL, POSTED, LONG_LIST = 128, 256, 64, 24
+#: A family of classes that share long lists is joined in blocks of about so many of them.
+BLOCK = 200
 
 
 def shingle_sets(texts: list, size: int):
@@ -160,6 +162,7 @@ class Linker:
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).alias("band")
         long_ = self.posts.where(F.col("spread") > LONG_LIST).select("node", "n", "value", band)
         hubs = long_.groupBy("value", "band").agg(F.min(F.struct(F.xxhash64("node", "value"), "node", "n")).alias("hub")).select("value", "band", "hub.node", "hub.n")
+        hubs = self.shelf.put(hubs, "hubs")  # else the join stays dealt by the hubs' groups, and a long list cannot be split
         star = hubs.alias("l").join(long_.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.node") != F.col("r.node")) & fit)
         named = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
         return pairs.select(*named).unionByName(star.select(*named)).distinct()
@@ -199,12 +202,14 @@ class Linker:
         family = components(tied, self.shelf).withColumnsRenamed({"node": "value", "root": "family"})
         placed = long_.withColumn("value", F.element_at("shared", 1)).join(family, "value", "left").withColumn("family", F.coalesce("family", "value")).drop("value")
         placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_ = placed.groupBy("family").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("family")
+        blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+        mixed_ = placed.groupBy("family").agg((F.min("root") < F.max("root")).alias("mixed"), blocks).where("mixed").select("family", "blocks")
         side = self.shelf.put(placed.join(mixed_, "family").join(self.nodes.select("node", "values"), "node"), "sides")
-        l, r = side.alias("l"), side.alias("r")
+        l = side.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("l")
+        r = side.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("r")
         na, nb = F.col("l.n"), F.col("r.n")
         value = estimate(F.col("l.values"), F.col("r.values"), na, nb)
-        on = (F.col("l.family") == F.col("r.family")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & sizes_fit(na, nb, self.percent)
+        on = (F.col("l.family") == F.col("r.family")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & sizes_fit(na, nb, self.percent)
         on = on & F.arrays_overlap("l.shared", "r.shared") & may_link(value, na, nb, self.percent)
         return l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), na.alias("na"), nb.alias("nb"))
 

@@ -33,6 +33,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(read(spark, sf_dir, "documents")))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup
+
+    return dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -53,7 +59,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
