@@ -58,8 +58,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "documents"), size=4)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
