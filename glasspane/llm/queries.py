@@ -39,6 +39,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import verdicts
+
+    return verdicts(read(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -65,8 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .urls import verdicts_sql
+
+    return {"op4_urls": verdicts_sql()}
