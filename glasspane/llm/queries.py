@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, search
+
+    return digest(search(read(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -71,7 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
