@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .language import letters
 from .shared import crc_fold
@@ -181,6 +182,20 @@ def score(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame:
 REJECT_FROM = 0.3
 
 
+def accepted(docs: DataFrame, classifier: Classifier, reject_from: float = REJECT_FROM) -> DataFrame:
+    """The documents whose score is under the limit, all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        chosen, weight = shared.value.table()
+        for batch in batches:
+            s = shared.value.scores(batch.column(0).to_pylist(), chosen, weight)
+            yield batch.select([1]).filter(pa.array(s < reject_from))
+
+    rows = docs.select(F.col("text").cast("string").alias("__text"), F.struct(*docs.columns).alias("__row"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("__row", docs.schema)])).select("__row.*")
+
+
 def cross_checked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from the rows that are not held out."""
     held = crc_fold(F.col("doc_id")) == 2
