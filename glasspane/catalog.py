@@ -1,4 +1,4 @@
-"""Registry of the slide queries and their SQL counterparts."""
+"""All slide queries and their SQL counterparts."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from .queries import pixel_masks, pixel_metrics, review_queries  # noqa: F401  (they register their queries)
+from .queries.registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
