@@ -32,8 +32,8 @@ from .shared import Shelf
 from .words import UNSPACED, Words, chunks, one
 
 RETAINED, FULL, POSTED, LONG_LIST = 128, 256, 64, 24
-#: A family of classes that share long lists is joined in blocks of about so many of them.
-BLOCK = 200
+#: A family of classes that share long lists is joined in pairs of blocks of about so many of them.
+BLOCK = 300
 
 
 def shingle_sets(texts: list, size: int):
@@ -112,20 +112,21 @@ def may_link(value: Column, na: Column, nb: Column, percent: int) -> Column:
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """node, root (smallest of its component) of all nodes with edges a, b: alternating large and small stars."""
-    now = shelf.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    sign = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    last = sign(now)
-    while last[0]:
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    stored = None
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
-        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = shelf.put(small, "edges")
-        shelf.drop(now)
-        now, before, last = new, last, sign(new)
-        if last == before:
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = shelf.put(small, "edges")
+        if stored is not None:
+            shelf.drop(stored)
+        stored = now
+        # done when every node points to one root, and no root points on
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("out")))
+        if ends.groupBy("node").agg(F.sum("out").alias("outs"), F.min("out").alias("low")).where("outs > 1 or outs = 1 and low = 0").isEmpty():
             break
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
@@ -196,37 +197,53 @@ class Linker:
         return pairs.join(l, "a", "left").join(r, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
 
     def late_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of long lists across components, each once, estimated in the join itself."""
+        """Pairs of long lists across components, each once, estimated in the join itself.
+
+        Classes that share long lists form families; a family is joined block by block, so that the work of a
+        large one is dealt to many tasks of equal size.
+        """
         long_ = self.prefixes.select("node", "n", F.transform(F.filter("shared", lambda x: x["spread"] > LONG_LIST), lambda x: x["value"]).alias("shared")).where("size(shared) > 0")
         tied = long_.select(F.explode("shared").alias("a"), F.element_at("shared", 1).alias("b")).where("a <> b").distinct()
         family = components(tied, self.shelf).withColumnsRenamed({"node": "value", "root": "family"})
         placed = long_.withColumn("value", F.element_at("shared", 1)).join(family, "value", "left").withColumn("family", F.coalesce("family", "value")).drop("value")
         placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
-        mixed_ = placed.groupBy("family").agg((F.min("root") < F.max("root")).alias("mixed"), blocks).where("mixed").select("family", "blocks")
-        side = self.shelf.put(placed.join(mixed_, "family").join(self.nodes.select("node", "values"), "node"), "sides")
-        l = side.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("l")
-        r = side.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("r")
+        apart = placed.groupBy("family").agg((F.min("root") < F.max("root")).alias("apart"), blocks).where("apart").select("family", "blocks")
+        side = placed.join(apart, "family").join(self.nodes.select("node", "values"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        side = self.shelf.put(side, "sides")
+        parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        l = side.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).repartition(parts, "family", "i", "j").alias("l")
+        r = side.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).repartition(parts, "family", "i", "j").alias("r")
         na, nb = F.col("l.n"), F.col("r.n")
         value = estimate(F.col("l.values"), F.col("r.values"), na, nb)
-        on = (F.col("l.family") == F.col("r.family")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & sizes_fit(na, nb, self.percent)
+        on = (F.col("l.family") == F.col("r.family")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & ((F.col("l.i") < F.col("l.j")) | (F.col("l.node") < F.col("r.node"))) & (F.col("l.root") != F.col("r.root")) & sizes_fit(na, nb, self.percent)
         on = on & F.arrays_overlap("l.shared", "r.shared") & may_link(value, na, nb, self.percent)
         return l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), na.alias("na"), nb.alias("nb"))
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """For each class its most similar partner, and of those that seem similar enough the one that others choose too."""
+        chosen = []
+        for own, other in (("a", "b"), ("b", "a")):
+            row = F.struct("a", "b", "na", "nb")
+            order = F.when(F.col("value") * 100 >= self.percent, F.xxhash64(other))
+            chosen.append(pairs.groupBy(own).agg(F.max_by(row, "value").alias("x"), F.min_by(row, order).alias("y")).select(F.explode(F.array("x", "y")).alias("z")).where("z is not null").select("z.*"))
+        return chosen[0].unionByName(chosen[1]).distinct()
+
     def run(self) -> DataFrame:
         self.classes()
         self.postings()
         shelf = self.shelf
         pairs = shelf.put(self.estimated(self.first_pairs()), "pairs")
-        best = [pairs.groupBy(k).agg(F.max_by(F.struct("a", "b", "na", "nb"), "value").alias("x")).select("x.*") for k in "ab"]
-        links = shelf.put(self.verified(shelf.put(best[0].unionByName(best[1]).distinct(), "best")), "links")
+        exact = (F.col("na") <= FULL) & (F.col("nb") <= FULL)
+        open_ = pairs.where(~exact)
+        links = pairs.where(exact).select("a", "b").unionByName(self.verified(shelf.put(self.likely(open_), "likely")))
         roots = shelf.put(components(links, shelf), "roots")
-        more = shelf.put(self.apart(pairs, roots), "more")
-        links = links.unionByName(shelf.put(self.verified(more), "links"))
-        roots = shelf.put(components(links, shelf), "roots")
-        late = shelf.put(self.verified(shelf.put(self.late_pairs(roots), "late")), "links")
-        roots = components(links.unionByName(late), shelf)
-        own = self.nodes.select("node", "same", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        late = self.verified(shelf.put(self.apart(open_, roots).select("a", "b", "na", "nb").unionByName(self.late_pairs(roots)), "late"))
+        # the late links join components; only their roots matter
+        l, r = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        between = late.join(l, "a", "left").join(r, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+        merged = components(between, shelf).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        own = self.nodes.select("node", "same", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(merged, "root", "left").withColumn("root", F.coalesce("top", "root"))
         least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         by_class = own.join(least, "root").select("same", "component_id")
         found = self.rows.join(by_class, "same", "left")
