@@ -124,6 +124,28 @@ FEATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+def ridge_share(df: DataFrame, window: int = 2048, least: int = 100, name: str = "roi") -> DataFrame:
+    """slide_id, roi: the mean over a slide's windows of the share of dark ridges of at least so many pixels.
+
+    A window is a task's unit, so the slide itself never has to fit in memory.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        a = np.ones((r.max() - r.min() + 1, c.max() - c.min() + 1))
+        a[r - r.min(), c - c.min()] = pdf["__g"]
+        found = kernels.ridges(a * 255)
+        top = found.max() or 1.0
+        marked = kernels.without_small((found / top > 0.5) & (a < 0.3), least, 8)
+        return pd.DataFrame({"slide_id": [pdf["slide_id"].iloc[0]], "share": [float(marked.mean())]})
+
+    from ..functions.colour import gray
+
+    blocks = df.select("slide_id", "r", "c", gray().alias("__g"), F.expr(f"r div {window}").alias("__i"), F.expr(f"c div {window}").alias("__j"))
+    shares = blocks.groupBy("slide_id", "__i", "__j").applyInPandas(run, T.StructType([df.schema["slide_id"], T.StructField("share", T.DoubleType())]))
+    return shares.groupBy("slide_id").agg(F.avg("share").alias(name))
+
+
 def contours(df: DataFrame, mask: str, scale: float = 1.0) -> DataFrame:
     """slide_id, geojson: the mask's outlines as a FeatureCollection (null if it is empty); ids are hashes of the rings."""
     import hashlib

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colour import gray, gray8
-from ..operators import masks, neighbourhood, raster, stats
+from ..operators import annotations, learning, masks, neighbourhood, raster, stats, tiles
 from ..session import stored
 
 Params = dict[str, str]
@@ -34,6 +34,7 @@ class State:
     done: tuple[str, ...] = ()
     slides: DataFrame | None = None
     templates: DataFrame | None = None
+    given: dict[str, DataFrame] = field(default_factory=dict)
 
     def narrowed(self, use: Column, metric: str | None, mode: str | None = None, warn: str | None = None, df: DataFrame | None = None) -> State:
         name = f"use_{int(self.use.split('_')[1]) + 1}"
@@ -116,7 +117,7 @@ def intensity(s: State, p: Params) -> State:
     return s.narrowed(F.col(s.use) & m, name, p.get("mask_statistics"), "intensity")
 
 
-@operator("otsu", "LightDarkModule.getTissuePercent", params="name invert mask_statistics")
+@operator("otsu", "LightDarkModule.getIntensityThresholdOtsu", params="name invert mask_statistics")
 def otsu(s: State, p: Params) -> State:
     df = masks.otsu(s.df, truth(p, "invert", False), "__otsu")
     return s.narrowed(F.col(s.use) & F.col("__otsu"), p.get("name", "otsu"), p.get("mask_statistics"), "otsu", df=df.drop("threshold"))
@@ -268,6 +269,72 @@ def equalise(s: State, p: Params) -> State:
     return replace(s, df=masks.equalised(s.df))
 
 
+@operator("classify_bayes", "ClassificationModule.pixelWise", params="name threshold tsv_file mask_statistics")
+def classify_bayes(s: State, p: Params) -> State:
+    """Takes off pixels that a Gaussian naive Bayes, fitted to the given training colours, puts in the second class."""
+    name, training = p.get("name", "classTask"), given(s, "training", p.get("name"))
+    m = learning.gaussian_bayes(training, ["red", "green", "blue"]) > number(p, "threshold", 0.5)
+    return s.narrowed(F.col(s.use) & ~m, name, p.get("mask_statistics"), "classify_bayes")
+
+
+def given(s: State, kind: str, name: str | None) -> DataFrame:
+    """A table that the caller hands over, for this step by name or for all steps of its kind."""
+    found = s.given.get(f"{kind}:{name}", s.given.get(kind))
+    if found is None:
+        raise ValueError(f"the step {name or ''} needs a table: {kind}")
+    return found
+
+
+def with_features(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Pixels with the named features, and the columns that they make."""
+    columns = [c for n in names for c in (["red", "green", "blue"] if n == "rgb" else [k for k in raster.FEATURES if k == n or k.startswith(f"{n}_")])]
+    unknown = [n for n in names if n != "rgb" and not any(k == n or k.startswith(f"{n}_") for k in raster.FEATURES)]
+    if unknown:
+        raise NameError(f"no such feature: {', '.join(unknown)}")
+    wanted = {c: raster.FEATURES[c] for c in columns if c in raster.FEATURES}
+    return (raster.features(df.withColumn("__g", gray()), "__g", wanted) if wanted else df), columns
+
+
+@operator("classify_examples", "ClassificationModule.byExampleWithFeatures", params="name threshold examples features nsamples_per_example area_threshold dilate_kernel_size laplace_ksize frangi_scale_range frangi_scale_step frangi_beta1 frangi_beta2 frangi_black_ridges gabor_theta gabor_sigma gabor_frequency lbp_radius lbp_points lbp_method median_disk_size gaussian_sigma gaussian_multichan mask_statistics")
+def classify_examples(s: State, p: Params) -> State:
+    """Takes off what a forest, fitted to given example pixels with labels, marks; the mark is forced off at the end too."""
+    name = p.get("name", "classTask")
+    names = [x.split("#")[0].strip() for x in p.get("features", "rgb").split("\n")]
+    examples, columns = with_features(given(s, "examples", name), [x for x in names if x])
+    model = learning.forest(learning.sampled(examples, number(p, "nsamples_per_example", -1)), columns)
+    marked, mark = with_features(s.df, [x for x in names if x])[0], s.own("mark")
+    marked = learning.probability(model, marked, columns, "__p").withColumn(mark, F.col("__p") > number(p, "threshold", 0.5))
+    marked = raster.remove_small(marked.drop("__p", "__g", *[c for c in columns if c not in s.df.columns]), mark, int(number(p, "area_threshold", 5)))
+    if side := int(number(p, "dilate_kernel_size", 0)):
+        marked = neighbourhood.dilate_square(marked, mark, side, mark)
+    marked = marked.withColumn(mark, F.col(mark) & F.col(s.use))
+    made = s.narrowed(F.col(s.use) & ~F.col(mark), name, p.get("mask_statistics"), "classify_examples", df=marked)
+    return replace(made, forced=(*made.forced, mark))
+
+
+@operator("annotation", "AnnotationModule.saveAnnotationMask", params="format file_path suffix mask_statistics")
+def annotation(s: State, p: Params) -> State:
+    """Keeps what lies in the given regions of each slide; slides without regions are left whole, with a warning's metric of 0."""
+    regions = annotations.valid(given(s, "regions", None))
+    mask, there = s.own("annotated"), s.own("there")
+    known = regions.select("slide_id", F.lit(True).alias(there)).distinct()
+    df = annotations.annotation_mask(s.df, regions, mask).join(known, "slide_id", "left")
+    return s.narrowed(F.col(s.use) & (F.col(mask) | F.col(there).isNull()), "getAnnotationMask", p.get("mask_statistics"), "annotation", df=df)
+
+
+@operator("roi_scan", "BubbleRegionByRegion.roiWise", params="level win_size area_threshold")
+def roi_scan(s: State, p: Params) -> State:
+    """The share of dark ridges, found window by window; it touches no mask."""
+    return s.with_frame(lambda df: raster.ridge_share(df, int(number(p, "win_size", 2048)), int(number(p, "area_threshold", 100))))
+
+
+@operator("tiles", "TileExtractionModule.extract", params="tile_size tile_stride tissue_ratio scale save")
+def extract(s: State, p: Params) -> State:
+    """The windows of accepted tiles as JSON; scale: slide pixels to a mask pixel."""
+    scale = number(p, "scale", 1.0)
+    return s.with_frame(lambda df: tiles.as_json(tiles.extract_tiles(df, s.use, int(scale * 1_000_000), 1_000_000, int(number(p, "tile_size", 256)), int(number(p, "tile_stride", 256)), number(p, "tissue_ratio", 0.5))))
+
+
 #: Steps that only write pictures; masks and thumbnails are tables here.
 for _name in ("SaveModule.saveMacro", "SaveModule.saveThumbnails", "SaveModule.saveMask2Geojson"):
     OPERATORS[_name] = Operator("picture", lambda s, p: s, frozenset("dim small_dim image_work_size suffix mask_name".split()))
@@ -309,9 +376,12 @@ def needed(steps: list[Step], metrics: set[str] | None) -> list[Step]:
     return [s for s in steps if OPERATORS[s.name].name not in only or asked(s)]
 
 
-def folded(pixels: DataFrame, steps: list[Step], mode: str = "relative2mask", slides: DataFrame | None = None, templates: DataFrame | None = None) -> State:
-    """The state after all steps; nothing has run yet but what templates or classifiers need."""
-    state = State(neighbourhood.by_slide(pixels).withColumn("use_0", F.lit(True)), mode=mode, slides=slides, templates=templates)
+def folded(pixels: DataFrame, steps: list[Step], mode: str = "relative2mask", slides: DataFrame | None = None, templates: DataFrame | None = None, given: dict[str, DataFrame] | None = None) -> State:
+    """The state after all steps; nothing has run yet but what templates or classifiers need.
+
+    given: tables of steps that need them, "training", "examples" or "regions", or these with a colon and a step's name.
+    """
+    state = State(neighbourhood.by_slide(pixels).withColumn("use_0", F.lit(True)), mode=mode, slides=slides, templates=templates, given=given or {})
     for op, step in bound(steps)[0]:
         state = op.run(state, step.params)
         state = replace(state, done=(*state.done, step.name))

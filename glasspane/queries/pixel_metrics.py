@@ -361,3 +361,30 @@ def preset_pipeline(spark, d):
 
     changes = {"minimum_neighbourhood": {"disk_size": "1", "upper_threshold": "160"}, "smoothness": {"kernel_size": "3", "min_object_size": "8"}, "fat_like": {"kernel_size": "3", "max_keep_size": "30", "fat_cell_size": "14"}, "fill_holes": {"min_size": "6"}, "remove_small": {"min_size": "4"}, "texture__background": {"prefix": "background", "invert": "True", "npatches": "10", "patch_size": "16"}, "texture__final": {"prefix": "final", "npatches": "10", "patch_size": "16"}, "spur": {"disk_radius": "1"}, "area": {"area_threshold": "16"}, "blur": {"blur_radius": "1", "blur_threshold": ".05"}}
     return metrics(folded(pixels(spark, d), preset("v2.1", **changes)))
+
+
+@query("classified_pipeline")
+def classified_pipeline(spark, d):
+    """Annotation, both classifiers, tiles and ridges as steps of one pipeline."""
+    px = pixels(spark, d)
+    regions = _drawn(spark).where("position = 0").withColumn("slide_id", F.when(F.col("uri") == "a.json", 0).otherwise(1).cast("long"))
+    steps = [
+        Step("annotation"),
+        Step("classify_bayes", None, {"name": "ink", "threshold": ".9"}),
+        Step("classify_examples", None, {"name": "edge", "features": "rgb\nlaplace", "area_threshold": "3", "dilate_kernel_size": "3"}),
+        Step("tiles", None, {"tile_size": "200", "tile_stride": "150", "tissue_ratio": ".3", "scale": "16"}),
+        Step("roi_scan", None, {"win_size": "32", "area_threshold": "4"}),
+        Step("keep"),
+        Step("final"),
+    ]
+    return metrics(folded(px, steps, given={"training": _training(px), "examples": _training(px), "regions": regions}))
+
+
+@query(
+    "annotated_pipeline",
+    f"""WITH {PX}, {_EDGES}, h AS (SELECT px.slide_id, px.r, px.c, any_value(red) AS red, count(e.x1) AS n FROM px LEFT JOIN e ON e.slide_id = px.slide_id AND (y1 > r) <> (y2 > r) AND c < (x2 - x1)::DOUBLE * (r - y1)::DOUBLE / (y2 - y1)::DOUBLE + x1 GROUP BY ALL),
+u AS (SELECT slide_id, n % 2 = 1 OR slide_id > 1 AS k FROM h) SELECT slide_id, {r6("1 - count(*) FILTER (k) / count(*)")} AS "getAnnotationMask", (count(*) FILTER (k))::DOUBLE AS pixels_to_use FROM u GROUP BY slide_id""",
+)
+def annotated_pipeline(spark, d):
+    regions = _drawn(spark).where("position = 0").withColumn("slide_id", F.when(F.col("uri") == "a.json", 0).otherwise(1).cast("long"))
+    return rounded(metrics(folded(pixels(spark, d), [Step("annotation"), Step("final")], given={"regions": regions})).select("slide_id", "getAnnotationMask", "pixels_to_use"))

@@ -75,3 +75,37 @@ def export(df: DataFrame, path: str, head: list[str], names: list[str], append:
     if lines:
         df.sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
     rows.write.mode("append").text(path)
+
+
+def training_colours(spark: SparkSession, path: str) -> DataFrame:
+    """label, red, green, blue from a tab-separated table with a header, class first."""
+    return spark.read.option("sep", "\t").option("header", True).schema("label int, red double, green double, blue double").csv(path)
+
+
+def exemplars(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pixels of example pictures with the label of their mask picture: any brightness is 1."""
+    from .pixels import from_images
+
+    found = []
+    for k, (picture, mask) in enumerate(pairs):
+        marks = from_images(spark, mask).select("r", "c", (F.greatest("red", "green", "blue") > 0).cast("int").alias("label"))
+        found.append(from_images(spark, picture).drop("slide_id").join(marks, ["r", "c"]).withColumn("slide_id", F.lit(k).cast("long")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def split_pairs(text: str) -> list[tuple[str, str]]:
+    """Lines of picture:mask; the colon of a drive letter does not part them."""
+    import re
+
+    return [tuple(re.split(r":(?![\\/])", line.strip(), maxsplit=1)) for line in text.split("\n") if line.strip()]
+
+
+def template_histograms(spark: SparkSession, folder: str, bins: int = 20) -> DataFrame:
+    """template (the file's stem), channel, bin, density of pictures in a folder."""
+    from ..operators.stats import histogram
+    from .pixels import from_images
+
+    return histogram(from_images(spark, folder), bins).select(F.regexp_replace("slide_id", r"\.[^.]*$", "").alias("template"), "channel", "bin", "density")

@@ -148,3 +148,30 @@ def test_arrivals_run_once(spark, tmp_path):
     for _ in range(2):
         arrivals.processed(arrivals.arrivals(spark, str(tmp_path / "in"), "id long"), lambda b: b, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_steps_that_need_tables(spark, sf):
+    with pytest.raises(ValueError, match="needs a table"):
+        pipeline.folded(pixels(spark, sf), [pipeline.Step("classify_bayes", None, {"name": "ink"})])
+    with pytest.raises(NameError, match="no such feature"):
+        pipeline.with_features(pixels(spark, sf), ["rgb", "magic"])
+    assert tables.split_pairs("C:\\a.png:C:\\b.png\n./x.png:./y.png") == [("C:\\a.png", "C:\\b.png"), ("./x.png", "./y.png")]
+
+
+def test_example_pictures(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(path, rows):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        raw = b"".join(b"\0" + bytes(r) for r in rows)
+        path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]) // 3, len(rows), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+    png(tmp_path / "e.png", [[10, 20, 30, 1, 2, 3]])
+    png(tmp_path / "m.png", [[0, 0, 0, 255, 255, 255]])
+    rows = tables.exemplars(spark, [(str(tmp_path / "e.png"), str(tmp_path / "m.png"))]).orderBy("c").collect()
+    assert [(r["red"], r["label"]) for r in rows] == [(10, 0), (1, 1)]
+    h = tables.template_histograms(spark, str(tmp_path / "e.png"), 5)
+    assert {r["template"] for r in h.collect()} == {"e"} and h.count() == 15
+    (tmp_path / "t.tsv").write_text("Class\tR\tG\tB\n0\t1\t2\t3\n1\t9\t8\t7\n")
+    assert [tuple(r) for r in tables.training_colours(spark, str(tmp_path / "t.tsv")).orderBy("label").collect()] == [(0, 1.0, 2.0, 3.0), (1, 9.0, 8.0, 7.0)]
