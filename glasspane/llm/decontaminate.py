@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shelf
+from .shared import Shelf, in_batches
 from .words import _ODD, ALPHANUMERIC, LOWER, Words, chunks, mixed
 
 WINDOW, SHORTEST, ENOUGH, FILTER_BITS = 8, 5, 10, 22
@@ -104,7 +104,7 @@ def window_rows(table: DataFrame, key: str, sizes: dict[int, tuple[int, int]], o
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for at, own in chunks(batch.column(1).to_pylist(), 1 << 19):
+            for at, own in chunks(batch.column(1).to_pylist(), 1 << 18):
                 c = Canonical(own)
                 n = np.diff(c.first)
                 for size, (low, high) in sizes.items():
@@ -118,7 +118,7 @@ def window_rows(table: DataFrame, key: str, sizes: dict[int, tuple[int, int]], o
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at + of]), pa.array(n[of].astype(np.int32)), pa.array((place - c.first[of]).astype(np.int32)), pa.array(np.full(len(of), size, np.int32)), pa.array(hashes), pa.array(slots, pa.list_(pa.string()))], names=[key, "n_words", "place", "size", "hash", "slots"])
 
     rows = table.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
-    return rows.mapInArrow(run, f"{key} long, n_words int, place int, size int, hash long, slots array<string>")
+    return in_batches(rows, run, f"{key} long, n_words int, place int, size int, hash long, slots array<string>")
 
 
 ANY = 1 << 30

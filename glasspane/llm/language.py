@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold
+from .shared import crc_fold, in_batches
 
 PLACES, BOUND = 300, 3000
 _LETTER: list[np.ndarray] = []
@@ -102,7 +102,7 @@ def learn(docs: DataFrame, places: int = PLACES, bound: int = BOUND) -> Profiles
                 found, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(found)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = rows.where(drawn).select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = in_batches(rows.where(drawn).select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # ties in unsigned order of the numbers, as for documents
     ranked = counted.selectExpr("lang", "gram", "row_number() over (partition by lang order by n desc, gram < 0, gram) - 1 as place")
     return Profiles([(r["lang"], r["gram"], r["place"]) for r in ranked.where(F.col("place") < places).collect()], places)  # `places` rows a language
@@ -117,7 +117,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             found = [shared.value.closest(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def cross_checked(docs: DataFrame, places: int = PLACES, bound: int = BOUND) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .words import ALPHANUMERIC, Words, chunks
 
 GRAM = 3
@@ -77,7 +78,7 @@ def grams(docs: DataFrame, sizes: list[int]) -> DataFrame:
         number = 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, own in chunks(texts, 1 << 19):
+            for at, own in chunks(texts, 1 << 18):
                 w = Words(own, ALPHANUMERIC)
                 counts = np.diff(w.first)
                 columns = []
@@ -113,7 +114,7 @@ def grams(docs: DataFrame, sizes: list[int]) -> DataFrame:
                 number += n_text
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "number long, doc_id long, text binary, place int, gram long")
+    return in_batches(rows, run, "number long, doc_id long, text binary, place int, gram long")
 
 
 #: The gram of the rows that carry texts; template -1 in the joined table.
@@ -206,7 +207,7 @@ def scan(docs: DataFrame, extra: dict[str, str] | None = None, enough: float = 0
         if open_:
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(done(), kind)], schema=kind)
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, base array<struct<first:long,label:string>>, spans array<struct<label:string,first:long,last:long,similarity:double>>")
+    return in_batches(joined, run, "doc_id long, n_words long, base array<struct<first:long,label:string>>, spans array<struct<label:string,first:long,last:long,similarity:double>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

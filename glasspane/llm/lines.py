@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shelf
+from .shared import Shelf, in_batches
 from .words import _ODD, UNSPACED, Words, _powers, chunks, mixed
 
 LONG, SHORT, LOOSE, LOOSE_FROM, LEADING, SECTIONS = 8, 10, 3, 16, 2, 4
@@ -79,7 +79,7 @@ def found(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[0]]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["doc_id", "key", "least"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, key long, least int")
+    return in_batches(rows, run, "doc_id long, key long, least int")
 
 
 def _distinct(of: list[int], key: list[int], least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shelf
+from .shared import Shelf, in_batches
 from .words import UNSPACED, Words, chunks, one
 
 RETAINED, FULL, POSTED, LONG_LIST = 128, 256, 64, 24
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, size: int, whole: bool = False) -> DataFrame:
                 kept = [s if whole or len(s) <= FULL else s[:RETAINED] for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), _lists(kept)], names=["doc_id", "n", "same", "values"])
 
-    return _text_rows(docs).mapInArrow(run, "doc_id long, n long, same binary, values array<long>")
+    return in_batches(_text_rows(docs), run, "doc_id long, n long, same binary, values array<long>")
 
 
 def slack(n: Column, drawn: int, percent: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shelf
+from .shared import Shelf, in_batches
 
 SEQUENCE = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -49,7 +49,7 @@ class Encoder:
     ``keep`` words of at most 40 signs each.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
@@ -130,7 +130,7 @@ def tokenized(docs: DataFrame, tokenizer: str, limit: int, keep_ids: bool = Fals
             n = 8 if keep_ids else 7
             yield pa.RecordBatch.from_arrays(columns[:n], names=names[:n])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 # --- the plan, on the histogram of lengths ---------------------------------------------------
@@ -324,4 +324,4 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = SEQUENCE, groups: int = 2
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *spots, *batch.columns[6:]], names=[*names, *(["ids"] if keep_ids else [])])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else ""))
+    return in_batches(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else ""))

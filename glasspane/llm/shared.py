@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,37 @@ class Shelf:
 def crc_fold(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 4; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
+
+
+#: Rows of texts that go to Python at once.
+BATCH_ROWS = 400
+
+
+def in_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in small batches: texts may be long, and a worker holds a batch several times over.
+
+    The batch size is a setting of the session; one that the user chose stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Frees what a task held: workers live on, and their free memory counts against the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

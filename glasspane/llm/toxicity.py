@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .language import letters
-from .shared import crc_fold
+from .shared import crc_fold, in_batches
 
 BITS, ORDERS, FEATURES, BOUND = 20, (3, 4, 5), 3000, 20_000
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 62, 8, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
 
 
-def hashed(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def hashed(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of the text, place of the n-gram) of all n-grams, for a few texts at a time."""
     at, own, size = 0, [], 0
     for k, text in enumerate([*texts, None]):
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, bound: i
         columns = [np.append(there, -1), np.append(seen[0][there], rows[0]), np.append(seen[1][there], rows[1])]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["place", "other", "toxic"])
 
-    counts = sample.mapInArrow(count, "place long, other long, toxic long").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).persist()
+    counts = in_batches(sample, count, "place long, other long, toxic long").groupBy("place").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).persist()
     head = counts.where("place = -1").first()
     if head is None or not head["toxic"] or not head["other"]:
         counts.unpersist()
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, bound: i
 
     # `bound` rows of numbers, for the fit
     rows, columns, y = [], [], []
-    for k, r in enumerate(sample.mapInArrow(vectors, "columns array<short>, toxic int").toLocalIterator()):
+    for k, r in enumerate(in_batches(sample, vectors, "columns array<short>, toxic int").toLocalIterator()):
         columns.append(np.array(r["columns"], np.int64))
         rows.append(np.full(len(columns[-1]), k))
         y.append(r["toxic"])
@@ -176,7 +176,7 @@ def score(docs: DataFrame, classifier: Classifier, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[2:]], names=["doc_id", "score", *keep])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
+    return in_batches(rows, run, ", ".join(["doc_id long", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
 
 
 REJECT_FROM = 0.3
@@ -193,7 +193,7 @@ def accepted(docs: DataFrame, classifier: Classifier, reject_from: float = REJEC
             yield batch.select([1]).filter(pa.array(s < reject_from))
 
     rows = docs.select(F.col("text").cast("string").alias("__text"), F.struct(*docs.columns).alias("__row"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("__row", docs.schema)])).select("__row.*")
+    return in_batches(rows, run, T.StructType([T.StructField("__row", docs.schema)])).select("__row.*")
 
 
 def cross_checked(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def one(hashes: np.ndarray) -> np.uint64:
     return mixed((hashes * _powers(n)[0]).sum(dtype=np.uint64, keepdims=True) * _ODD[63] + np.uint64(n))[0]
 
 
-def chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list, most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first text, texts) of up to ``most`` bytes together, or a single longer text; null is empty."""
     own, size, at = [], 0, 0
     for k, text in enumerate(texts):
