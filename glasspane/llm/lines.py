@@ -122,6 +122,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     def cleaned(text: pd.Series, drop: pd.Series) -> pd.Series:
         return pd.Series([None if d is None else without(t, set(d.tolist())) for t, d in zip(text, drop)], dtype=object)
 
+    cleaned = cleaned.asNondeterministic()  # else Spark runs it once for the filter and once for the column
     joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
     changed = joined.withColumn("__text", cleaned(F.when(F.col("__drop").isNotNull(), F.col("text").cast("string")), "__drop"))
     left = changed.where("__drop is null or __text is not null").withColumn("text", F.when(F.col("__drop").isNotNull(), F.col("__text")).otherwise(F.col("text")))
