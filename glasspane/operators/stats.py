@@ -80,7 +80,8 @@ def sampled_corners(df: DataFrame, mask: str | None, patches: int, seed: int = 0
     """
     own = df.where(F.col(mask)) if mask else df
     order = F.xxhash64(F.lit(seed), "slide_id", "r", "c")
-    ranked = own.groupBy("slide_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("h"), "r", "c"))), 1, patches).alias("p"))
+    first = own.select("slide_id", "r", "c", order.alias("h")).selectExpr("*", "row_number() over (partition by slide_id order by h, r, c) as k").where(F.col("k") <= patches)
+    ranked = first.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("h", "r", "c"))).alias("p"))  # at most `patches` places
     chosen = ranked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(patches - 1)))).withColumn("x", F.get("p", F.col("i") % F.size("p")))
     return chosen.select("slide_id", F.col("i").alias("patch"), F.col("x.r").alias("r0"), F.col("x.c").alias("c0"))
 

@@ -59,12 +59,11 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def operator(*names: str, params: str = ""):
-    """Registers a step under its names, with the parameters it reads."""
+def operator(name: str, params: str = ""):
+    """Registers a step under its name, with the parameters it reads."""
 
     def register(run):
-        for n in names:
-            OPERATORS[n] = Operator(names[0], run, frozenset(params.split()))
+        OPERATORS[name] = Operator(name, run, frozenset(params.split()))
         return run
 
     return register
@@ -103,27 +102,27 @@ def prefixed(p: Params) -> str:
     return f"{p['prefix']}_" if p.get("prefix") else ""
 
 
-@operator("basic_stats", "BasicModule.getBasicStats", params="image_work_size")
+@operator("basic_stats", params="image_work_size")
 def basic_stats(s: State, p: Params) -> State:
     from ..sources.slides import basic
 
     return s if s.slides is None else s.with_frame(lambda df: basic(s.slides))
 
 
-@operator("intensity", "LightDarkModule.getIntensityThresholdPercent", params="name lower_threshold upper_threshold lower_var upper_var lower_std upper_std invert mask_statistics")
+@operator("intensity", params="name lower_threshold upper_threshold lower_var upper_var lower_std upper_std invert mask_statistics")
 def intensity(s: State, p: Params) -> State:
     name = p.get("name", "classTask")
     m = masks.intensity(number(p, "lower_threshold", None), number(p, "upper_threshold", None), number(p, "lower_std", number(p, "lower_var", None)), number(p, "upper_std", number(p, "upper_var", None)), truth(p, "invert", False))
     return s.narrowed(F.col(s.use) & m, name, p.get("mask_statistics"), "intensity")
 
 
-@operator("otsu", "LightDarkModule.getIntensityThresholdOtsu", params="name invert mask_statistics")
+@operator("otsu", params="name invert mask_statistics")
 def otsu(s: State, p: Params) -> State:
     df = masks.otsu(s.df, truth(p, "invert", False), "__otsu")
     return s.narrowed(F.col(s.use) & F.col("__otsu"), p.get("name", "otsu"), p.get("mask_statistics"), "otsu", df=df.drop("threshold"))
 
 
-@operator("minimum_neighbourhood", "LightDarkModule.minimumPixelIntensityNeighborhoodFiltering", params="disk_size upper_threshold invert mask_statistics")
+@operator("minimum_neighbourhood", params="disk_size upper_threshold invert mask_statistics")
 def minimum_neighbourhood(s: State, p: Params) -> State:
     from ..functions import kernels
 
@@ -133,14 +132,14 @@ def minimum_neighbourhood(s: State, p: Params) -> State:
     return s.narrowed(F.col(s.use) & (~m if invert else m), "brightestPixels", p.get("mask_statistics"), "minimum_neighbourhood", df=df)
 
 
-@operator("brightest", "LightDarkModule.removeBrightestPixels", params="invert mask_statistics")
+@operator("brightest", params="invert mask_statistics")
 def brightest(s: State, p: Params) -> State:
     df = s.df.join(masks.bright_cluster_level(s.df), "slide_id")
     m = gray() > F.coalesce("level", F.lit(2.0))
     return s.narrowed(F.col(s.use) & (~m if truth(p, "invert", False) else m), "brightestPixels", p.get("mask_statistics"), "brightest", df=df)
 
 
-@operator("smoothness", "BubbleRegionByRegion.detectSmoothness", params="threshold kernel_size min_object_size mask_statistics")
+@operator("smoothness", params="threshold kernel_size min_object_size mask_statistics")
 def smoothness(s: State, p: Params) -> State:
     least = int(number(p, "min_object_size", 100))
     df = neighbourhood.flat(s.df.withColumn("__g", gray()), "__g", int(number(p, "kernel_size", 10)), number(p, "threshold", 0.01), "__flat")
@@ -152,33 +151,33 @@ def _regions(mask: str, prefix: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: raster.region_statistics(df.select("slide_id", "r", "c", mask), mask, 8, prefix).drop(f"{prefix}min_area")
 
 
-@operator("remove_small", "MorphologyModule.removeSmallObjects", params="min_size mask_statistics")
+@operator("remove_small", params="min_size mask_statistics")
 def remove_small(s: State, p: Params) -> State:
     kept, gone = s.own("kept"), s.own("gone")
     df = raster.remove_small(s.df, s.use, int(number(p, "min_size", 64)), kept).withColumn(gone, F.col(s.use) & ~F.col(kept))
     return s.narrowed(F.col(kept), "small_tissue_removed_percent", p.get("mask_statistics"), "remove_small", df=df).with_frame(_regions(gone, "small_tissue_removed_"))
 
 
-@operator("remove_large", "MorphologyModule.removeLargeObjects", params="max_size mask_statistics")
+@operator("remove_large", params="max_size mask_statistics")
 def remove_large(s: State, p: Params) -> State:
     return s.narrowed(F.col("__kept"), "large_tissue_removed_percent", p.get("mask_statistics"), "remove_large", df=raster.remove_large(s.df, s.use, int(number(p, "max_size", 1 << 30)), "__kept"))
 
 
-@operator("fill_holes", "MorphologyModule.fillSmallHoles", params="min_size mask_statistics")
+@operator("fill_holes", params="min_size mask_statistics")
 def fill_holes(s: State, p: Params) -> State:
     filled, new = s.own("filled"), s.own("new")
     df = raster.fill_holes(s.df, s.use, int(number(p, "min_size", 64)), filled).withColumn(new, F.col(filled) & ~F.col(s.use))
     return s.narrowed(F.col(filled), "small_tissue_filled_percent", p.get("mask_statistics"), "fill_holes", df=df).with_frame(_regions(new, "small_tissue_filled_"))
 
 
-@operator("fat_like", "MorphologyModule.removeFatlikeTissue", params="fat_cell_size kernel_size max_keep_size mask_statistics")
+@operator("fat_like", params="fat_cell_size kernel_size max_keep_size mask_statistics")
 def fat_like(s: State, p: Params) -> State:
     fat = s.own("fat")
     df = raster.fat_like(s.df, s.use, int(number(p, "fat_cell_size", 64)), int(number(p, "kernel_size", 3)), int(number(p, "max_keep_size", 1000)), fat)
     return s.narrowed(F.col(s.use) & ~F.col(fat), "fatlike_tissue_removed_percent", p.get("mask_statistics"), "fat_like", df=df).with_frame(_regions(fat, "fatlike_tissue_removed_"))
 
 
-@operator("blur", "BlurDetectionModule.identifyBlurryRegions", params="image_work_size blur_radius blur_threshold mask_statistics")
+@operator("blur", params="image_work_size blur_radius blur_threshold mask_statistics")
 def blur(s: State, p: Params) -> State:
     df = neighbourhood.laplacian(s.df.withColumn("__g", gray()), "__g", "__lap").withColumn("__lap", F.abs("__lap"))
     blurry = s.own("blurry")
@@ -186,22 +185,22 @@ def blur(s: State, p: Params) -> State:
     return s.narrowed(F.col(s.use) & ~F.col(blurry), "blurry_removed_percent", p.get("mask_statistics"), "blur", df=df).with_frame(_regions(blurry, "blurry_removed_"))
 
 
-@operator("spur", "BasicModule.finalProcessingSpur", params="disk_radius mask_statistics")
+@operator("spur", params="disk_radius mask_statistics")
 def spur(s: State, p: Params) -> State:
     return s.narrowed(F.col("__open"), "spur_pixels", p.get("mask_statistics"), "spur", df=raster.open_disk(s.df, s.use, int(number(p, "disk_radius", 25)), "__open"))
 
 
-@operator("area", "BasicModule.finalProcessingArea", params="area_threshold mask_statistics")
+@operator("area", params="area_threshold mask_statistics")
 def area(s: State, p: Params) -> State:
     return s.narrowed(F.col("__big"), "areaThresh", p.get("mask_statistics"), "area", df=raster.remove_small(s.df, s.use, int(number(p, "area_threshold", 1000)), "__big"))
 
 
-@operator("pieces", "BasicModule.countTissuePieces")
+@operator("pieces")
 def pieces(s: State, p: Params) -> State:
     return s.with_frame(lambda df: raster.region_statistics(df.select("slide_id", "r", "c", s.use), s.use).select("slide_id", F.col("num_regions").alias("#pieces_of_tissue")))
 
 
-@operator("texture", "LocalTextureEstimationModule.estimateGreyComatrixFeatures", params="prefix patch_size npatches nlevels feats invert mask_name")
+@operator("texture", params="prefix patch_size npatches nlevels feats invert mask_name")
 def texture(s: State, p: Params) -> State:
     mask, invert = mask_of(s, p)
 
@@ -213,28 +212,28 @@ def texture(s: State, p: Params) -> State:
     return s.with_frame(found)
 
 
-@operator("contrast", "BrightContrastModule.getContrast", params="prefix limit_to_mask invert mask_name")
+@operator("contrast", params="prefix limit_to_mask invert mask_name")
 def contrast(s: State, p: Params) -> State:
     return s.with_frame(lambda df: stats.contrast(df, *mask_of(s, p), prefixed(p)))
 
 
-@operator("brightness", "BrightContrastModule.getBrightnessGray", params="prefix limit_to_mask invert mask_name")
+@operator("brightness", params="prefix limit_to_mask invert mask_name")
 def brightness(s: State, p: Params) -> State:
     return s.with_frame(lambda df: stats.brightness(df, None, *mask_of(s, p), prefixed(p)))
 
 
-@operator("channel_brightness", "BrightContrastModule.getBrightnessByChannelinColorSpace", params="prefix to_color_space limit_to_mask invert mask_name")
+@operator("channel_brightness", params="prefix to_color_space limit_to_mask invert mask_name")
 def channel_brightness(s: State, p: Params) -> State:
     return s.with_frame(lambda df: stats.brightness(df, p.get("to_color_space", "RGB"), *mask_of(s, p), prefixed(p)))
 
 
-@operator("histogram", "HistogramModule.getHistogram", params="bins limit_to_mask")
+@operator("histogram", params="bins limit_to_mask")
 def histogram(s: State, p: Params) -> State:
     text = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("channel", "bin", F.round("density", 9).alias("density")))), lambda x: x["density"]))
     return s.with_frame(lambda df: stats.histogram(df, int(number(p, "bins", 20)), mask_of(s, p)[0]).groupBy("slide_id").agg(text.alias("histogram")))
 
 
-@operator("template_distance", "HistogramModule.compareToTemplates", params="templates bins limit_to_mask")
+@operator("template_distance", params="templates bins limit_to_mask")
 def template_distance(s: State, p: Params) -> State:
     if s.templates is None:
         return s
@@ -243,33 +242,33 @@ def template_distance(s: State, p: Params) -> State:
     return s.with_frame(lambda df: found(df).groupBy("slide_id").pivot("template", names).agg(F.first("distance")).select("slide_id", *[F.col(n).alias(f"{n}_MSE_hist") for n in names]))
 
 
-@operator("stains", "DeconvolutionModule.separateStains", params="stain use_mask")
+@operator("stains", params="stain use_mask")
 def stains(s: State, p: Params) -> State:
     return s.with_frame(lambda df: stats.stains(df, p.get("stain", "hed_from_rgb").removesuffix("_from_rgb"), s.use if truth(p, "use_mask", True) else None))
 
 
-@operator("final", "BasicModule.finalComputations", params="mask_statistics")
+@operator("final", params="mask_statistics")
 def final(s: State, p: Params) -> State:
     mode = p.get("mask_statistics", "absolute")
     return replace(s, counted=(*s.counted, ("pixels_to_use", s.use, s.use, "absolute" if mode == "relative2mask" else mode)))
 
 
-@operator("keep", "SaveModule.saveFinalMask", params="use_mask overlay")
+@operator("keep", params="use_mask overlay")
 def keep(s: State, p: Params) -> State:
     return replace(s, df=s.df.withColumn("final", masks.forced_out(F.col(s.use), *[F.col(m) for m in s.forced])))
 
 
-@operator("keep_named", "SaveModule.saveMask", params="suffix")
+@operator("keep_named", params="suffix")
 def keep_named(s: State, p: Params) -> State:
     return replace(s, df=s.df.withColumn(p["suffix"], F.col(s.use))) if "suffix" in p else s
 
 
-@operator("equalise", "LightDarkModule.saveEqualisedImage")
+@operator("equalise")
 def equalise(s: State, p: Params) -> State:
     return replace(s, df=masks.equalised(s.df))
 
 
-@operator("classify_bayes", "ClassificationModule.pixelWise", params="name threshold tsv_file mask_statistics")
+@operator("classify_bayes", params="name threshold tsv_file mask_statistics")
 def classify_bayes(s: State, p: Params) -> State:
     """Takes off pixels that a Gaussian naive Bayes, fitted to the given training colours, puts in the second class."""
     name, training = p.get("name", "classTask"), given(s, "training", p.get("name"))
@@ -295,7 +294,7 @@ def with_features(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]
     return (raster.features(df.withColumn("__g", gray()), "__g", wanted) if wanted else df), columns
 
 
-@operator("classify_examples", "ClassificationModule.byExampleWithFeatures", params="name threshold examples features nsamples_per_example area_threshold dilate_kernel_size laplace_ksize frangi_scale_range frangi_scale_step frangi_beta1 frangi_beta2 frangi_black_ridges gabor_theta gabor_sigma gabor_frequency lbp_radius lbp_points lbp_method median_disk_size gaussian_sigma gaussian_multichan mask_statistics")
+@operator("classify_examples", params="name threshold examples features nsamples_per_example area_threshold dilate_kernel_size laplace_ksize frangi_scale_range frangi_scale_step frangi_beta1 frangi_beta2 frangi_black_ridges gabor_theta gabor_sigma gabor_frequency lbp_radius lbp_points lbp_method median_disk_size gaussian_sigma gaussian_multichan mask_statistics")
 def classify_examples(s: State, p: Params) -> State:
     """Takes off what a forest, fitted to given example pixels with labels, marks; the mark is forced off at the end too."""
     name = p.get("name", "classTask")
@@ -312,7 +311,7 @@ def classify_examples(s: State, p: Params) -> State:
     return replace(made, forced=(*made.forced, mark))
 
 
-@operator("annotation", "AnnotationModule.saveAnnotationMask", params="format file_path suffix mask_statistics")
+@operator("annotation", params="format file_path suffix mask_statistics")
 def annotation(s: State, p: Params) -> State:
     """Keeps what lies in the given regions of each slide; slides without regions are left whole, with a warning's metric of 0."""
     regions = annotations.valid(given(s, "regions", None))
@@ -322,22 +321,62 @@ def annotation(s: State, p: Params) -> State:
     return s.narrowed(F.col(s.use) & (F.col(mask) | F.col(there).isNull()), "getAnnotationMask", p.get("mask_statistics"), "annotation", df=df)
 
 
-@operator("roi_scan", "BubbleRegionByRegion.roiWise", params="level win_size area_threshold")
+@operator("roi_scan", params="level win_size area_threshold")
 def roi_scan(s: State, p: Params) -> State:
     """The share of dark ridges, found window by window; it touches no mask."""
     return s.with_frame(lambda df: raster.ridge_share(df, int(number(p, "win_size", 2048)), int(number(p, "area_threshold", 100))))
 
 
-@operator("tiles", "TileExtractionModule.extract", params="tile_size tile_stride tissue_ratio scale save")
+@operator("tiles", params="tile_size tile_stride tissue_ratio scale save")
 def extract(s: State, p: Params) -> State:
     """The windows of accepted tiles as JSON; scale: slide pixels to a mask pixel."""
     scale = number(p, "scale", 1.0)
     return s.with_frame(lambda df: tiles.as_json(tiles.extract_tiles(df, s.use, int(scale * 1_000_000), 1_000_000, int(number(p, "tile_size", 256)), int(number(p, "tile_stride", 256)), number(p, "tissue_ratio", 0.5))))
 
 
-#: Steps that only write pictures; masks and thumbnails are tables here.
-for _name in ("SaveModule.saveMacro", "SaveModule.saveThumbnails", "SaveModule.saveMask2Geojson"):
-    OPERATORS[_name] = Operator("picture", lambda s, p: s, frozenset("dim small_dim image_work_size suffix mask_name".split()))
+@operator("picture", params="dim small_dim image_work_size suffix mask_name")
+def picture(s: State, p: Params) -> State:
+    """Steps that only write pictures; masks and thumbnails are tables here."""
+    return s
+
+
+#: Step names of configuration files and the operators that they mean (fixed values).
+STEP_NAMES = {
+    "BasicModule.getBasicStats": "basic_stats",
+    "LightDarkModule.getIntensityThresholdPercent": "intensity",
+    "LightDarkModule.getIntensityThresholdOtsu": "otsu",
+    "LightDarkModule.minimumPixelIntensityNeighborhoodFiltering": "minimum_neighbourhood",
+    "LightDarkModule.removeBrightestPixels": "brightest",
+    "BubbleRegionByRegion.detectSmoothness": "smoothness",
+    "MorphologyModule.removeSmallObjects": "remove_small",
+    "MorphologyModule.removeLargeObjects": "remove_large",
+    "MorphologyModule.fillSmallHoles": "fill_holes",
+    "MorphologyModule.removeFatlikeTissue": "fat_like",
+    "BlurDetectionModule.identifyBlurryRegions": "blur",
+    "BasicModule.finalProcessingSpur": "spur",
+    "BasicModule.finalProcessingArea": "area",
+    "BasicModule.countTissuePieces": "pieces",
+    "LocalTextureEstimationModule.estimateGreyComatrixFeatures": "texture",
+    "BrightContrastModule.getContrast": "contrast",
+    "BrightContrastModule.getBrightnessGray": "brightness",
+    "BrightContrastModule.getBrightnessByChannelinColorSpace": "channel_brightness",
+    "HistogramModule.getHistogram": "histogram",
+    "HistogramModule.compareToTemplates": "template_distance",
+    "DeconvolutionModule.separateStains": "stains",
+    "BasicModule.finalComputations": "final",
+    "SaveModule.saveFinalMask": "keep",
+    "SaveModule.saveMask": "keep_named",
+    "LightDarkModule.saveEqualisedImage": "equalise",
+    "ClassificationModule.pixelWise": "classify_bayes",
+    "ClassificationModule.byExampleWithFeatures": "classify_examples",
+    "AnnotationModule.saveAnnotationMask": "annotation",
+    "BubbleRegionByRegion.roiWise": "roi_scan",
+    "TileExtractionModule.extract": "tiles",
+    "SaveModule.saveMacro": "picture",
+    "SaveModule.saveThumbnails": "picture",
+    "SaveModule.saveMask2Geojson": "picture",
+}
+OPERATORS |= {name: OPERATORS[own] for name, own in STEP_NAMES.items()}
 
 
 # --- binding and running -------------------------------------------------------------------------------
