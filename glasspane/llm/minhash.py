@@ -84,10 +84,14 @@ def slack(n: Column, drawn: int, percent: int) -> Column:
 
 
 def prefix_length(n: Column, percent: int) -> Column:
-    """So many of a class's posted values, rare first, meet those of any class that is similar enough."""
-    few = n - F.ceil(n * percent / 100) + 1
-    many = POSTED - F.floor(POSTED * (percent / 100 - slack(n, POSTED, percent))) + 1
-    return F.when(n <= POSTED, few).otherwise(F.least(many, F.lit(POSTED))).cast("int")
+    """So many of a class's posted values, rare first, meet those of any class that is similar enough.
+
+    Of its posted values a class has at least ``least`` in common with those of such a partner: exactly, while both
+    post all they have, else by five standard errors. All but that many, and one more, must hold a common one.
+    """
+    drawn = F.floor(POSTED * (percent / 100 - slack(n, POSTED, percent)))
+    least = F.least(F.ceil(n * percent / 100), drawn)
+    return (F.least(n, F.lit(POSTED)) - least + 1).cast("int")
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:

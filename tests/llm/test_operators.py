@@ -134,6 +134,19 @@ def test_near_duplicates_of_one_large_family(spark):
     assert got == want
 
 
+def test_sizes_around_what_is_posted(spark):
+    """Pairs at or just under the limit, one of which is a part of the other, at sizes where posting changes."""
+    rng, rows, doc = np.random.default_rng(8), [], 0
+    for n in (40, 48, 50, 51, 52, 56, 60, 63, 64, 65, 80, 100, 128, 205, 256, 300):
+        for extra in (n // 4 - 1, n // 4, n // 4 + 1):
+            words = ["v" + str(x) for x in rng.integers(0, 10**9, n + extra + 4)]
+            rows += [(doc, " ".join(words[: n + 4])), (doc + 1, " ".join(words[: n + extra + 4]))]
+            doc += 2
+    sets = {k: shingles(t, 5) for k, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - 1 if k % 2 and 100 * len(sets[k - 1]) >= 80 * len(sets[k]) else k for k in sets}
+
+
 def test_components_of_paths_and_stars(spark):
     from glasspane.llm.shared import Shelf
 
