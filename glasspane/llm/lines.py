@@ -6,12 +6,19 @@ it has ``loose_from`` words or more, general templates: the words after the lead
 sections, and each general template turns one section into wildcards. Two lines that differ within one
 section, as by other names or values, so share a template; nothing is compared in pairs.
 
+With ``passages``, they are found wherever they stand in their lines: a run of PASSAGE words of one document (over line
+ends, too) that another has word by word, with DISTINCT different words or more, goes from all documents but
+the one of the smallest doc_id, and what else stands on its lines stays. Runs are joined exactly, in two
+steps: of the shorter runs of PICKED words in each run of PASSAGE words the one of the least hash is posted;
+around those that recur, every run of PASSAGE words is. Between the steps stands a filter of bits, which may
+let through more but never less.
+
 A template recurs if enough documents have it: two for exact templates of ``long_from`` words, SHORT for
 shorter ones, LOOSE for general ones. A line with a recurring template is dropped, except in the document
 of the smallest doc_id that has the template, so that no content is lost altogether.
 
-Words are split at white space; A-Z are lower-cased. Lines without words stay as they are. A document all
-of whose worded lines go is dropped as a whole; null and empty texts and rows with a null doc_id pass as
+Words are split at white space; A-Z are lower-cased. Lines without words stay as they are; a line that loses
+all its words goes. A document all of whose worded lines go is dropped as a whole; null and empty texts and rows with a null doc_id pass as
 they are. Rows that repeat a doc_id are one document. An empty table gives no rows; all columns are kept.
 """
 
@@ -29,12 +36,12 @@ from .shared import Shelf, in_batches
 from .words import _ODD, UNSPACED, Words, _powers, chunks, mixed
 
 LONG, SHORT, LOOSE, LOOSE_FROM, LEADING, SECTIONS = 8, 10, 3, 16, 2, 4
+PASSAGE, PICKED, DISTINCT, MOST_BITS = 50, 25, 20, 27
 _FIELD = np.uint64(0x5DEECE66D1234567)
 
 
-def templates(texts: list[bytes]) -> Iterator[tuple[int, int, int, list[int]]]:
+def templates(w: Words) -> Iterator[tuple[int, int, int, list[int]]]:
     """(text, line of the text, word count, template keys of the line, the exact one first)."""
-    w = Words(texts, UNSPACED)
     if not len(w.starts):
         return
     digit = np.concatenate(([0], np.cumsum((w.bytes >= 48) & (w.bytes <= 57))))
@@ -56,33 +63,112 @@ def templates(texts: list[bytes]) -> Iterator[tuple[int, int, int, list[int]]]:
     base = counts.astype(np.uint64) * _ODD[2]
     keys = [mixed(whole + base)] + [mixed(whole - sums[:, s] + base + _ODD[3 + s]) for s in range(1, SECTIONS + 1)]
     keys = np.stack(keys, axis=1).view(np.int64)
-    first_line = newline[w.offsets[:-1]] + np.arange(len(texts))
+    first_line = newline[w.offsets[:-1]] + np.arange(len(w.offsets) - 1)
     for t, l, c, k in zip(of[heads].tolist(), (line[heads] - first_line[of[heads]]).tolist(), counts.tolist(), keys.tolist()):
         yield t, l, c, k if c >= LOOSE_FROM else k[:1]
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, key, least (documents that make it recur): each template once for each row."""
+def runs(w: Words, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` words, by its first word; runs may reach over into the next text."""
+    n = len(w.hashes)
+    if n < size:
+        return np.empty(0, np.uint64)
+    up, back = _powers(n)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(w.hashes * up, dtype=np.uint64)))
+    return mixed((sums[size:] - sums[:-size]) * back[: n - size + 1] + np.uint64(int(_ODD[20]) * size % (1 << 64)))
+
+
+def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
+    """The best of each ``size`` neighbours."""
+    width = 1
+    while 2 * width <= size:
+        x, width = best(x[:-width], x[width:]), 2 * width
+    return best(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
+
+
+def picked(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, key) of the posted runs of PICKED words: each run of PASSAGE words in one text holds one, the same wherever it stands."""
+    h = runs(w, PICKED)
+    size = PASSAGE - PICKED + 1
+    if len(h) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = _sliding(h, size, np.minimum)
+    at = np.arange(len(least))
+    least[at + PASSAGE > w.first[np.searchsorted(w.first, at, side="right")]] = 0  # over the end of its text
+    edge = np.zeros(size - 1, np.uint64)
+    most = _sliding(np.concatenate((edge, least, edge)), size, np.maximum)
+    places = np.flatnonzero((most == h) & (h > 0))
+    return places, h[places].view(np.int64)
+
+
+def _textual(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+
+
+def found(docs: DataFrame, passages: bool) -> DataFrame:
+    """doc_id, key, least (documents that make it recur), passage: each template and each posted run once for each row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, own in chunks(batch.column(1).to_pylist()):
+                w = Words(own, UNSPACED)
                 of, key, least = [], [], []
-                for t, _, c, keys in templates(own):
+                for t, _, c, keys in templates(w):
                     of += [t] * len(keys)
                     key += keys
                     least.append(2 if c >= LONG else SHORT)
                     least += [LOOSE] * (len(keys) - 1)
-                if of:
-                    rows = _distinct(of, key, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[0]]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["doc_id", "key", "least"])
+                places, posted = picked(w) if passages else (np.empty(0, np.int64),) * 2
+                texts = np.searchsorted(w.first, places, side="right") - 1
+                for part, rows in ((False, (of, key, least)), (True, (texts, posted, np.full(len(texts), 2)))):
+                    if len(rows[0]):
+                        rows = _distinct(*rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[0]]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(np.full(len(rows[0]), part))], names=["doc_id", "key", "least", "passage"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return in_batches(rows, run, "doc_id long, key long, least int")
+    return in_batches(_textual(docs), run, "doc_id long, key long, least int, passage boolean")
 
 
-def _distinct(of: list[int], key: list[int], least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bits_of(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """(number of leading bits, a bit for each value of them): 16 places or more for each key up to 2 ** MOST_BITS places."""
+    bits = min(MOST_BITS, max(15, (16 * keys.count()).bit_length()))
+    lead = F.shiftrightunsigned("key", 64 - bits)
+    rows = keys.groupBy(F.shiftright(lead, 15).alias("block")).agg(F.bitmap_construct_agg(lead % 32768).alias("set")).toArrow()
+    every = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for block, own in zip(rows["block"].to_pylist(), rows["set"].to_pylist()):
+        every[block] = np.frombuffer(own, np.uint8)
+    return bits, every.ravel()
+
+
+def around(docs: DataFrame, bits: int, known: np.ndarray) -> DataFrame:
+    """doc_id, key: the runs of PASSAGE words that hold a posted run whose bit is set, each once for each row."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at, own in chunks(batch.column(1).to_pylist()):
+                w = Words(own, UNSPACED)
+                places, keys = picked(w)
+                lead = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                places = places[(known[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 == 1]
+                steps = np.zeros(len(w.starts) + 1, np.int64)
+                np.add.at(steps, np.maximum(places - (PASSAGE - PICKED), 0), 1)
+                np.add.at(steps, places + 1, -1)
+                starts = np.flatnonzero(np.cumsum(steps) > 0)
+                starts = starts[starts + PASSAGE <= w.first[np.searchsorted(w.first, starts, side="right")]]
+                keys = runs(w, PASSAGE)[starts].view(np.int64)
+                for k in range(0, len(starts), 4096):
+                    some = np.sort(w.hashes[starts[k : k + 4096, None] + np.arange(PASSAGE)], axis=1)
+                    rich = (some[:, 1:] != some[:, :-1]).sum(axis=1) >= DISTINCT - 1
+                    texts = np.searchsorted(w.first, starts[k : k + 4096][rich], side="right") - 1
+                    if len(texts):
+                        rows = _distinct(texts, keys[k : k + 4096][rich], np.zeros(len(texts)))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[0]]), pa.array(rows[1])], names=["doc_id", "key"])
+
+    return in_batches(_textual(docs), run, "doc_id long, key long")
+
+
+def _distinct(of, key, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b, c = np.array(of, np.int64), np.array(key, np.int64), np.array(least, np.int64)
     order = np.lexsort((b, a))
     a, b, c = a[order], b[order], c[order]
@@ -90,37 +176,73 @@ def _distinct(of: list[int], key: list[int], least: list[int]) -> tuple[np.ndarr
     return a[new], b[new], c[new]
 
 
-def recurring(docs: DataFrame, shelf: Shelf) -> DataFrame:
-    """doc_id, drop (array of template keys): what goes from which document."""
-    table = shelf.put(found(docs), "templates")
-    counted = table.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("least"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    often = shelf.put(counted.where("rows >= least and first < last").select("key", "first"), "often")
-    out = shelf.put(table.join(often, "key").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("key").alias("drop")), "drops")
+def recurring(docs: DataFrame, shelf: Shelf, passages: bool) -> DataFrame:
+    """doc_id, drop (array of keys of templates and of runs of PASSAGE words): what goes from which document."""
+    table = shelf.put(found(docs, passages), "templates")
+    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+    counted = table.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("least"), F.bool_or("passage").alias("passage"), *ends)
+    often = shelf.put(counted.where("rows >= least and first < last").select("key", "first", "passage"), "often")
+    gone = table.where("not passage").join(often.where("not passage"), "key").where("doc_id <> first").select("doc_id", "key")
+    if passages:
+        again = shelf.put(around(docs, *bits_of(often.where("passage"))), "passages")
+        shared = again.groupBy("key").agg(*ends).where("first < last")
+        gone = gone.unionByName(again.join(shared, "key").where("doc_id <> first").select("doc_id", "key"))
+    out = shelf.put(gone.groupBy("doc_id").agg(F.collect_set("key").alias("drop")), "drops")
     shelf.drop(table)
+    if passages:
+        shelf.drop(again)
     return out
 
 
-def without(text: str, drop: set[int]) -> str | None:
-    """The text without the lines of these templates; None if no line with a word is left."""
-    lines = text.split("\n")
+def without(text: str, drop: np.ndarray) -> str | None:
+    """The text without the lines of these templates and without these runs of words; None if no line with a word is left."""
+    raw = text.encode()
+    w, keys_of = Words([raw], UNSPACED), set(drop.tolist())
+    lines = raw.split(b"\n")
     gone, worded = set(), 0
-    for _, line, _, keys in templates([text.encode()]):
+    for _, line, _, keys in templates(w):
         worded += 1
-        if not drop.isdisjoint(keys):
+        if not keys_of.isdisjoint(keys):
             gone.add(line)
+    steps = np.zeros(len(w.starts) + 1, np.int64)
+    starts = np.flatnonzero(np.isin(runs(w, PASSAGE).view(np.int64), drop))
+    if len(starts):
+        steps[starts] += 1
+        steps[starts + PASSAGE] -= 1
+        _cut(w, np.cumsum(steps[:-1]) > 0, lines, gone)
     if gone and len(gone) == worded:
         return None
-    return "\n".join(x for k, x in enumerate(lines) if k not in gone)
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents with recurring lines dropped, all columns as they were; n_chars follows the text."""
+    return b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
+
+
+def _cut(w: Words, out: np.ndarray, lines: list[bytes], gone: set[int]) -> None:
+    """Takes these words out of their lines; lines all of whose words go are added to ``gone``."""
+    newlines = np.flatnonzero(w.bytes == 10)
+    line = np.searchsorted(newlines, w.starts)
+    begins = np.concatenate(([0], newlines + 1))
+    for k in np.unique(line[out]).tolist():
+        low, high = np.searchsorted(line, [k, k + 1])
+        if out[low:high].all():
+            gone.add(k)
+            continue
+        left, at = [], int(begins[k])
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], out[low:high], [False])).astype(np.int8))) + low
+        for i, j in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+            # with the space after them, at the end of a line with the space before them
+            a, b = (w.starts[i], w.starts[j]) if j < high else (w.ends[i - 1], w.ends[j - 1])
+            left.append(lines[k][at - begins[k] : a - begins[k]])
+            at = int(b)
+        lines[k] = b"".join(left) + lines[k][at - begins[k] :]
+
+
+def dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """The documents with recurring lines (and passages) dropped, all columns as they were; n_chars follows the text."""
     shelf = Shelf(docs.sparkSession, "lines")
-    drops = recurring(docs, shelf).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
+    drops = recurring(docs, shelf, passages).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, drop: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else without(t, set(d.tolist())) for t, d in zip(text, drop)], dtype=object)
+        return pd.Series([None if d is None else without(t, np.asarray(d, np.int64)) for t, d in zip(text, drop)], dtype=object)
 
     cleaned = cleaned.asNondeterministic()  # else Spark runs it once for the filter and once for the column
     joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")

@@ -267,6 +267,36 @@ def test_line_templates_by_brute_force(spark, sf, texts):
         assert all(x in rest for x in kept)
 
 
+def test_passages_within_lines(spark):
+    """A passage goes where other text stands around it, over other line ends too; 49 words of it, or few different words, stay."""
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55)]
+    said, few = " ".join(words), " ".join(["ab", "cd"] * 30)
+    rows = [(1, f"first of all {said} and so on\nlast line here"), (2, f"quite another start\nhere {said.upper()} with a tail\nend of it"), (3, "wrapped " + "\n".join(" ".join(words[k : k + 6]) for k in range(0, 55, 6)) + "\nmore to say")]
+    rows += [(4, "too short " + " ".join(words[:49]) + " for a passage"), (5, f"x {few} y"), (6, f"z {few} q r"), (7, said)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    assert got == dict(rows[:1] + rows[3:6]) | {2: "quite another start\nhere with a tail\nend of it", 3: "wrapped\nmore to say"}
+
+
+def test_passages_by_brute_force(spark, sf, texts):
+    """After lines, exactly the words of 50-word runs that an earlier document has go."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    only_lines, got = ({r["doc_id"]: r["text"].translate(UP).split() for r in lines.dedup(df, passages=p).collect()} for p in (False, True))
+    runs = lambda w: [(k, tuple(w[k : k + 50])) for k in range(len(w) - 49) if len(set(w[k : k + 50])) >= 20]
+    owners = collections.defaultdict(list)
+    for doc, t in texts.items():
+        for x in {x for _, x in runs(t.translate(UP).split())}:
+            owners[x].append(doc)
+    cut = {doc: {k + i for k, x in runs(t.translate(UP).split()) if min(owners[x]) < doc for i in range(50)} for doc, t in texts.items()}
+    assert any(cut.values())
+    for doc, t in texts.items():
+        w = t.translate(UP).split()
+        kept = [x for k, x in enumerate(w) if k not in cut[doc]]
+        if only_lines.get(doc) == w:
+            assert got.get(doc, []) == kept
+        assert not collections.Counter(got.get(doc, [])) - collections.Counter(kept)
+    assert max(collections.Counter(x for w in got.values() for x in {x for _, x in runs(w)}).values()) == 1
+
+
 def test_leaks(spark, sf, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     grams = collections.defaultdict(set)
