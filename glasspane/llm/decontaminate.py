@@ -8,7 +8,10 @@ each value of the item always has the same value in the text, so a question aske
 and names is found, while a text that only looks alike is not.
 
 A text contaminates if windows of one item cover at least ``enough`` of its words (or all of a shorter item)
-and the slots are consistent. Windows that are mostly placeholders do not count; items of fewer words than
+and the slots are consistent. All matched places count; they are judged in groups: those of one offset (place in
+the text less place in the item), those of offsets that follow each other within SHIFT, and the first place of
+each window. One group that passes makes the leak, so nothing that stands elsewhere in the text can hide a copy;
+of several the one that covers most is given. Windows that are mostly placeholders do not count; items of fewer words than
 SHORTEST cannot be told from chance and are left out.
 
 A filter of fixed size, made from the benchmark's windows, keeps windows that surely match nothing out of
@@ -24,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Shelf, in_batches
 from .words import _ODD, ALPHANUMERIC, LOWER, Words, chunks, mixed
 
-WINDOW, SHORTEST, ENOUGH, FILTER_BITS = 8, 5, 10, 22
+WINDOW, SHORTEST, ENOUGH, FILTER_BITS, SHIFT = 8, 5, 10, 22, 8
 _NUMBER, _UNIT, _NAME = (np.uint64(0x1000000000000001 + k) for k in range(3))
 
 #: Words that are units when a number stands before them (fixed values).
@@ -133,16 +136,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     only[[r["bit"] for r in bits.toLocalIterator()]] = True  # at most 2 ** FILTER_BITS
     own = window_rows(docs, "doc_id", {WINDOW: (WINDOW, ANY), SHORTEST: (SHORTEST, ANY)}, only)
     joined = own.alias("d").join(items.alias("i"), ["hash", "size"]).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
-    # of the places of a text that match one place of an item, the first: repeats say nothing new
-    once = joined.groupBy("doc_id", "item_id", "n", "size", "q").agg(F.min(F.struct("p", "pairs")).alias("x"))
-    values = F.array_distinct(F.flatten(F.collect_list(F.transform("x.pairs", lambda z: F.struct(F.regexp_replace(z["a"], "^[0-9]+:", "").alias("a"), F.regexp_replace(z["b"], "^[0-9]+:", "").alias("b"))))))
-    grouped = once.groupBy("doc_id", "item_id", "n", "size").agg(F.array_sort(F.collect_list("q")).alias("q"), values.alias("values"), F.min("x.p").cast("long").alias("first_word"))
+    pair = ["doc_id", "item_id", "n", "size"]
+    offset = F.col("p") - F.col("q")
+    ordered = Window.partitionBy(*pair).orderBy("offset")
+    step = F.coalesce((F.col("offset") - F.lag("offset").over(ordered) > SHIFT).cast("int"), F.lit(0))
+    placed = joined.withColumn("offset", offset).withColumn("step", step).withColumn("chain", F.sum("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("first", F.col("p") == F.min("p").over(Window.partitionBy(*pair, "q")))
+    group = lambda kind, no: F.struct(F.lit(kind).alias("kind"), no.cast("long").alias("no"))
+    groups = F.array(group(0, F.col("offset")), group(1, F.col("chain")), F.when(F.col("first"), group(2, F.lit(0))))
+    grouped = placed.withColumn("of", F.explode(groups)).where("of is not null").groupBy(*pair, "of")
+    values = F.array_distinct(F.flatten(F.collect_list(F.transform("pairs", lambda z: F.struct(F.regexp_replace(z["a"], "^[0-9]+:", "").alias("a"), F.regexp_replace(z["b"], "^[0-9]+:", "").alias("b"))))))
+    grouped = grouped.agg(F.array_sort(F.collect_set("q")).alias("q"), values.alias("values"), F.min("p").cast("long").alias("first_word"))
     gap = F.transform("q", lambda x, k: F.least(F.col("size"), F.coalesce(F.get("q", k + 1) - x, F.col("size"))))
     covered = F.aggregate(gap, F.lit(0), lambda a, x: a + x)
     consistent = F.size(F.array_distinct(F.transform("values", lambda z: z["a"]))) == F.size("values")
     same = F.forall("values", lambda z: z["a"] == z["b"])
-    out = grouped.withColumn("covered", covered).where((F.col("covered") >= F.least(F.col("n"), F.lit(enough))) & consistent)
-    return out.select("doc_id", "item_id", F.size("q").cast("long").alias("n_windows"), F.col("covered").cast("long").alias("n_words"), (F.col("covered") / F.col("n")).alias("coverage"), "first_word", same.alias("same_slots"))
+    out = grouped.withColumn("covered", covered).where((F.col("covered") >= F.least(F.col("n"), F.lit(enough))) & consistent).withColumn("same_slots", same)
+    best = F.max_by(F.struct(F.size("q").alias("n_windows"), "covered", "n", "first_word", "same_slots"), F.struct("covered", "same_slots", -F.col("first_word"), -F.col("of.kind"))).alias("x")
+    out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
+    return out.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("covered").cast("long").alias("n_words"), (F.col("covered") / F.col("n")).alias("coverage"), "first_word", "same_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFrame:

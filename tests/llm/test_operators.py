@@ -315,6 +315,14 @@ def test_leaks_with_other_values(spark):
     assert [(r["doc_id"], r["item_id"], r["same_slots"]) for r in got] == [(1, 7, False)]
 
 
+def test_leaks_after_a_look_alike(spark):
+    item = "If Mary buys 5 apples at the market for 2 dollars each and Mary sells 5 of them to Tom tomorrow, how much?"
+    alike = "If Anna buys 12 apples at the market for 3 dollars each. She goes home. "
+    rows = [(1, alike + item), (3, item.replace("each and Mary", "each and every Mary") + " " + alike)]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["first_word"], r["same_slots"]) for r in got) == [(1, 15, True), (3, 0, True)]
+
+
 def test_held_out_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     right = queries.op6_language(spark, sf).join(docs, "doc_id").where("held_out").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
