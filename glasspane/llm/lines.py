@@ -1,7 +1,7 @@
 """Line deduplication by a tree of log templates.
 
 A line's way through the tree: its number of words, then its leading words, then its template. Words with
-a digit are variable fields. A line gives its exact template (all its words, fields as wildcards) and, if
+a digit are variable fields (see below). A line gives its exact template (all its words, fields as wildcards) and, if
 it has ``loose_from`` words or more, general templates: the words after the leading ones lie in four
 sections, and each general template turns one section into wildcards. Two lines that differ within one
 section, as by other names or values, so share a template; nothing is compared in pairs.
@@ -13,8 +13,10 @@ steps: of the shorter runs of PICKED words in each run of PASSAGE words the one
 around those that recur, every run of PASSAGE words is. Between the steps stands a filter of bits, which may
 let through more but never less.
 
-A template recurs if enough documents have it: two for exact templates of ``long_from`` words, SHORT for
-shorter ones, LOOSE for general ones. A line with a recurring template is dropped, except in the document
+Words are fields only in a line of which half or more of the words are literal (without a digit); in others,
+as rows of a table of numbers, the values are compared. A template recurs if enough documents have it: two for
+exact templates of ``long_from`` words, LOOSE for general ones, SHORT for shorter ones and for those with fields
+and under LONG literal words; such a line of ``long_from`` words also gives a template with its values. A line with a recurring template is dropped, except in the document
 of the smallest doc_id that has the template, so that no content is lost altogether.
 
 Words are split at white space; A-Z are lower-cased. Lines without words stay as they are; a line that loses
@@ -40,32 +42,47 @@ PASSAGE, PICKED, DISTINCT, MOST_BITS = 50, 25, 20, 27
 _FIELD = np.uint64(0x5DEECE66D1234567)
 
 
-def templates(w: Words) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(text, line of the text, word count, template keys of the line, the exact one first)."""
+def templates(w: Words) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """(text, line of the text, template keys of the line, the documents that make each recur)."""
     if not len(w.starts):
         return
     digit = np.concatenate(([0], np.cumsum((w.bytes >= 48) & (w.bytes <= 57))))
-    hashes = np.where(digit[w.ends] > digit[w.starts], _FIELD, w.hashes)
+    field = digit[w.ends] > digit[w.starts]
     newline = np.cumsum(w.bytes == 10)
     of = np.searchsorted(w.offsets, w.starts, side="right") - 1
     line = newline[w.starts] + of  # texts are joined by a space, so the text counts too
     heads = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     counts = np.diff(np.append(heads, len(line)))
+    literal = np.add.reduceat(~field, heads, dtype=np.int64)
     place = np.arange(len(line)) - np.repeat(heads, counts)
     n = np.repeat(counts, counts)
     section = np.where(place < LEADING, 0, 1 + (place - LEADING) * SECTIONS // np.maximum(1, n - LEADING))
-    part = mixed(hashes * _ODD[0] + _powers(int(counts.max()))[0][place] * _ODD[1])
+    up = _powers(int(counts.max()))[0][place] * _ODD[1]
     cut = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (section[1:] != section[:-1]))))
-    sums = np.zeros((len(heads), SECTIONS + 1), np.uint64)
     number = np.repeat(np.arange(len(heads)), counts)
-    sums[number[cut], section[cut]] = np.add.reduceat(part, cut)
-    whole = sums.sum(axis=1, dtype=np.uint64)
     base = counts.astype(np.uint64) * _ODD[2]
+
+    def summed(part: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(heads), SECTIONS + 1), part.dtype)
+        sums[number[cut], section[cut]] = np.add.reduceat(part, cut)
+        return sums
+
+    wild = (2 * literal >= counts) & (literal < counts)
+    sums = summed(mixed(np.where(field & np.repeat(wild, counts), _FIELD, w.hashes) * _ODD[0] + up))
+    values = mixed(np.add.reduceat(mixed(w.hashes * _ODD[0] + up), heads) + base).view(np.int64)
+    words = summed((~field).astype(np.int64))
+    whole = sums.sum(axis=1, dtype=np.uint64)
     keys = [mixed(whole + base)] + [mixed(whole - sums[:, s] + base + _ODD[3 + s]) for s in range(1, SECTIONS + 1)]
     keys = np.stack(keys, axis=1).view(np.int64)
+    # literal words that each template keeps: few do not tell lines with fields apart
+    few = wild[:, None] & (literal[:, None] - np.concatenate((np.zeros_like(words[:, :1]), words[:, 1:]), axis=1) < LONG)
+    least = np.where(few, SHORT, LOOSE)
+    least[:, 0] = np.where(few[:, 0] | (counts < LONG), SHORT, 2)
+    both = few[:, 0] & (counts >= LONG)
     first_line = newline[w.offsets[:-1]] + np.arange(len(w.offsets) - 1)
-    for t, l, c, k in zip(of[heads].tolist(), (line[heads] - first_line[of[heads]]).tolist(), counts.tolist(), keys.tolist()):
-        yield t, l, c, k if c >= LOOSE_FROM else k[:1]
+    for t, l, c, k, m, v, b in zip(of[heads].tolist(), (line[heads] - first_line[of[heads]]).tolist(), counts.tolist(), keys.tolist(), least.tolist(), values.tolist(), both.tolist()):
+        size = len(k) if c >= LOOSE_FROM else 1
+        yield t, l, k[:size] + [v] * b, m[:size] + [2] * b
 
 
 def runs(w: Words, size: int) -> np.ndarray:
@@ -114,11 +131,10 @@ def found(docs: DataFrame, passages: bool) -> DataFrame:
             for at, own in chunks(batch.column(1).to_pylist()):
                 w = Words(own, UNSPACED)
                 of, key, least = [], [], []
-                for t, _, c, keys in templates(w):
+                for t, _, keys, enough in templates(w):
                     of += [t] * len(keys)
                     key += keys
-                    least.append(2 if c >= LONG else SHORT)
-                    least += [LOOSE] * (len(keys) - 1)
+                    least += enough
                 places, posted = picked(w) if passages else (np.empty(0, np.int64),) * 2
                 texts = np.searchsorted(w.first, places, side="right") - 1
                 for part, rows in ((False, (of, key, least)), (True, (texts, posted, np.full(len(texts), 2)))):
@@ -200,7 +216,7 @@ def without(text: str, drop: np.ndarray) -> str | None:
     w, keys_of = Words([raw], UNSPACED), set(drop.tolist())
     lines = raw.split(b"\n")
     gone, worded = set(), 0
-    for _, line, _, keys in templates(w):
+    for _, line, keys, _ in templates(w):
         worded += 1
         if not keys_of.isdisjoint(keys):
             gone.add(line)

@@ -267,6 +267,16 @@ def test_line_templates_by_brute_force(spark, sf, texts):
         assert all(x in rest for x in kept)
 
 
+def test_tables_of_numbers_are_no_repeats(spark):
+    """Rows of numbers recur only with their values; so do lines of few literal words, until many documents have them."""
+    table = lambda k, n: "\n".join(" ".join(str(k * 1000 + 37 * i + j) for j in range(n)) for i in range(6))
+    rows = [(k, f"{table(k, 9)}\n{table(k, 5)}\n{table(k, 20)}") for k in range(12)]
+    rows += [(20 + k, f"text {chr(97 + k)} of it\ntotal of {k} items was {k + 7} and {k * 3} {k * 5} sold\nsame row " + " ".join(map(str, range(8)))) for k in range(3)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    same = "\nsame row " + " ".join(map(str, range(8)))
+    assert got == dict(rows[:13]) | {k: t.removesuffix(same) for k, t in rows[13:]}
+
+
 def test_passages_within_lines(spark):
     """A passage goes where other text stands around it, over other line ends too; 49 words of it, or few different words, stay."""
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55)]
