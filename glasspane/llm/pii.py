@@ -35,7 +35,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Generators of the method.
 AT = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{{2,64}}+"
 DIGITS = r"(?<![0-9A-Za-z])[(]?[0-9][0-9 ().-]{6,28}[0-9](?![0-9A-Za-z])"
-TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}+[0-9])(?=[0-9_+/=-]{0,200}+[A-Za-z])[A-Za-z0-9_+/=-]{16,256}+"
+TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+"
 
 
 def pattern_spans(text: Column, pattern: str, contexts: bool = False) -> Column:
@@ -276,7 +276,7 @@ def search(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFram
         return let(everything, lambda s: F.transform(F.filter(s, lambda x, i: free(s, x, i)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    worth = F.col("__t").rlike("[0-9@]")
+    worth = F.col("__t").rlike(r"[0-9@]|at[)\]]")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__t"))
     both = let(base_spans(F.col("__t")), lambda b: F.struct(b.alias("base"), let(accepted(F.col("__t")), lambda c: F.when(F.size(c) == 0, b).otherwise(joined(b, c))).alias("spans")))

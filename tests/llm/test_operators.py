@@ -242,6 +242,17 @@ def test_personal_data_beyond_the_base(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redacted(docs, found).collect()}[1] == "call [number] now"
 
 
+def test_personal_data_without_digits_and_long_secrets(spark):
+    secret = "aB3" * 400
+    late = "x" * 300 + "4" + "Yz" * 20
+    rows = [(1, "write to john(at)example.com soon"), (2, f'token = "{secret}" end'), (3, f'token = "{late}" end'), (4, "nothing at) all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = ([1.0 / 0.4], 0.0)  # every candidate counts
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.search(docs, model)).collect()}
+    assert got == {1: "email:9:28", 2: f"secret:9:{9 + len(secret)}", 3: f"secret:9:{9 + len(late)}", 4: ""}
+    assert {r["doc_id"]: r["spans"] for r in pii.digest(pii.search(docs)).collect()}[1] == "email:9:28"
+
+
 def test_line_templates(spark):
     boiler = "Copyright notice of page {} shown to all of our readers on this day {} by the desk of news and more"
     passage = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
