@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.colour import LINEAR, gray, unmixing
-from ..operators import annotations, learning, stats, tiles
+from ..operators import annotations, learning, masks, stats, tiles
 from ..plans.pipeline import Step, folded, metrics
 from ..session import table
 from ..sources import tables
@@ -294,8 +294,9 @@ def forest_by_example(spark, d):
 
 @query("bright_kmeans")
 def bright_kmeans(spark, d):
-    df = pixels(spark, d).where("slide_id = 0").withColumn("v", gray())
-    return df.agg(F.count_if(F.col("v") > learning.brightest(df, "v")).alias("bright"))
+    """For each slide the pixels above the least luminance of its brightest cluster."""
+    df = pixels(spark, d).withColumn("v", gray())
+    return df.join(masks.bright_cluster_level(df), "slide_id").groupBy("slide_id").agg(F.count_if(F.col("v") > F.col("level")).alias("bright"))
 
 
 @query("cohort_clusters")

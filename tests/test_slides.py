@@ -175,3 +175,22 @@ def test_example_pictures(spark, tmp_path):
     assert {r["template"] for r in h.collect()} == {"e"} and h.count() == 15
     (tmp_path / "t.tsv").write_text("Class\tR\tG\tB\n0\t1\t2\t3\n1\t9\t8\t7\n")
     assert [tuple(r) for r in tables.training_colours(spark, str(tmp_path / "t.tsv")).orderBy("label").collect()] == [(0, 1.0, 2.0, 3.0), (1, 9.0, 8.0, 7.0)]
+
+
+def test_bright_clusters_of_every_slide(spark, sf):
+    """A level a slide, by Lloyd's rounds over its own pixels."""
+    from glasspane.functions.colour import gray
+    from glasspane.queries.pixel_metrics import bright_kmeans
+    from glasspane.sources.pixels import pixels
+
+    want = {}
+    for r in pixels(spark, sf).withColumn("v", gray()).groupBy("slide_id").agg(F.collect_list("v").alias("v")).collect():
+        centres = [0.25, 0.5, 0.75]
+        near = lambda v: min(range(3), key=lambda j: abs(v - centres[j]))
+        for _ in range(5):
+            parts = [[v for v in r["v"] if near(v) == j] for j in range(3)]
+            centres = [round(sum(x) / len(x), 9) if x else c for x, c in zip(parts, centres)]
+        bright = [v for v in r["v"] if near(v) == 2]
+        want[r["slide_id"]] = sum(v > min(bright) for v in r["v"]) if bright else 0
+    assert len(want) > 1
+    assert {r["slide_id"]: r["bright"] for r in bright_kmeans(spark, sf).collect()} == want
