@@ -194,3 +194,13 @@ def test_bright_clusters_of_every_slide(spark, sf):
         want[r["slide_id"]] = sum(v > min(bright) for v in r["v"]) if bright else 0
     assert len(want) > 1
     assert {r["slide_id"]: r["bright"] for r in bright_kmeans(spark, sf).collect()} == want
+
+
+def test_tsv_of_the_whole_table(spark, sf, monkeypatch):
+    """All rows are written and read back."""
+    from glasspane.queries import review_queries
+
+    seen, read = [], review_queries.tables.metrics
+    monkeypatch.setattr(review_queries.tables, "metrics", lambda s, path: seen.append(read(s, path)) or seen[0])
+    review_queries.tsv_roundtrip(spark, sf)
+    assert seen[0].count() == spark.read.parquet(f"{sf}/orders.parquet").count()
