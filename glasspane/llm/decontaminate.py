@@ -14,6 +14,10 @@ each window. One group that passes makes the leak, so nothing that stands elsewh
 of several the one that covers most is given. Windows that are mostly placeholders do not count; items of fewer words than
 SHORTEST cannot be told from chance and are left out.
 
+Verbatim copies are found by plain windows, too, whose words and numbers are as they stand (but for A-Z), so it
+makes no difference what precedes them or how many placeholders they would be: as many words must be covered,
+at one offset.
+
 A filter of fixed size, made from the benchmark's windows, keeps windows that surely match nothing out of
 the join; the join itself is Spark's, with a broadcast only if Spark finds the benchmark small enough.
 
@@ -23,6 +27,8 @@ repeat a doc_id are one document. Empty tables give no rows; other columns are i
 
 from __future__ import annotations
 
+import copy
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,8 +84,9 @@ class Canonical(Words):
         self.plain = self.hashes
         self.hashes = np.choose(self.kinds, [self.hashes, _NUMBER, _UNIT, _NAME])
 
-    def slots(self, at: int, size: int) -> list[str]:
-        return [f"{k}:{LOWER[self.raw[self.starts[at + k] : self.ends[at + k]]].tobytes().decode(errors='replace')}" for k in range(size) if self.kinds[at + k]]
+    def slots(self, at: int, size: int, plain: bool = False) -> list[str]:
+        """The placeholders of a window, of a plain one its numbers."""
+        return [f"{k}:{LOWER[self.raw[self.starts[at + k] : self.ends[at + k]]].tobytes().decode(errors='replace')}" for k in range(size) if (self.kinds[at + k] == 1 if plain else self.kinds[at + k])]
 
 
 _UNITS: list[np.ndarray] = []
@@ -91,18 +98,23 @@ def _unit_hashes() -> np.ndarray:
     return _UNITS[0]
 
 
-def windows(c: Canonical, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word within the text, hash) of windows that lie in one text and are mostly words."""
+def windows(c: Canonical, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word within the text, hash) of windows that lie in one text and are mostly words; plain ones may be anything."""
+    if plain:
+        c = copy.copy(c)
+        c.hashes = getattr(c, "plain", c.hashes)
     h = c.windows(size)
     at = np.arange(len(h))
     of = np.searchsorted(c.first, at, side="right") - 1
-    words = np.concatenate(([0], np.cumsum(c.kinds == 0)))
-    good = (at + size <= c.first[of + 1]) & (2 * (words[at + size] - words[at]) > size)
-    return of[good], at[good], mixed(h[good] + np.uint64(int(_ODD[40]) * size % (1 << 64))).view(np.int64)
+    good = at + size <= c.first[of + 1]
+    if not plain:
+        words = np.concatenate(([0], np.cumsum(c.kinds == 0)))
+        good &= 2 * (words[at + size] - words[at]) > size
+    return of[good], at[good], mixed(h[good] + np.uint64(int(_ODD[41 if plain else 40]) * size % (1 << 64))).view(np.int64)
 
 
 def window_rows(table: DataFrame, key: str, sizes: dict[int, tuple[int, int]], only: np.ndarray | None) -> DataFrame:
-    """key, n_words, place, hash, slots: the windows of each size for texts of so many words (from, to)."""
+    """key, n_words, place, size, plain, hash, slots: the windows of each size for texts of so many words (from, to)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,18 +122,18 @@ def window_rows(table: DataFrame, key: str, sizes: dict[int, tuple[int, int]], o
             for at, own in chunks(batch.column(1).to_pylist(), 1 << 18):
                 c = Canonical(own)
                 n = np.diff(c.first)
-                for size, (low, high) in sizes.items():
-                    of, place, hashes = windows(c, size)
+                for (size, (low, high)), plain in itertools.product(sizes.items(), (False, True)):
+                    of, place, hashes = windows(c, size, plain)
                     keep = (n[of] >= low) & (n[of] <= high)
                     if only is not None:
                         keep &= only[hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)]
                     of, place, hashes = of[keep], place[keep], hashes[keep]
                     if len(of):
-                        slots = [c.slots(p, size) for p in place]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + of]), pa.array(n[of].astype(np.int32)), pa.array((place - c.first[of]).astype(np.int32)), pa.array(np.full(len(of), size, np.int32)), pa.array(hashes), pa.array(slots, pa.list_(pa.string()))], names=[key, "n_words", "place", "size", "hash", "slots"])
+                        slots = [c.slots(p, size, plain) for p in place]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + of]), pa.array(n[of].astype(np.int32)), pa.array((place - c.first[of]).astype(np.int32)), pa.array(np.full(len(of), size, np.int32)), pa.array(np.full(len(of), plain)), pa.array(hashes), pa.array(slots, pa.list_(pa.string()))], names=[key, "n_words", "place", "size", "plain", "hash", "slots"])
 
     rows = table.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
-    return in_batches(rows, run, f"{key} long, n_words int, place int, size int, hash long, slots array<string>")
+    return in_batches(rows, run, f"{key} long, n_words int, place int, size int, plain boolean, hash long, slots array<string>")
 
 
 ANY = 1 << 30
@@ -135,22 +147,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     bits = items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("bit")).distinct()
     only[[r["bit"] for r in bits.toLocalIterator()]] = True  # at most 2 ** FILTER_BITS
     own = window_rows(docs, "doc_id", {WINDOW: (WINDOW, ANY), SHORTEST: (SHORTEST, ANY)}, only)
-    joined = own.alias("d").join(items.alias("i"), ["hash", "size"]).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
-    pair = ["doc_id", "item_id", "n", "size"]
+    joined = own.alias("d").join(items.alias("i"), ["hash", "size", "plain"]).where(~F.col("plain") | (F.col("d.slots") == F.col("i.slots"))).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", "plain", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
+    pair = ["doc_id", "item_id", "n", "size", "plain"]
     offset = F.col("p") - F.col("q")
     ordered = Window.partitionBy(*pair).orderBy("offset")
     step = F.coalesce((F.col("offset") - F.lag("offset").over(ordered) > SHIFT).cast("int"), F.lit(0))
     placed = joined.withColumn("offset", offset).withColumn("step", step).withColumn("chain", F.sum("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("first", F.col("p") == F.min("p").over(Window.partitionBy(*pair, "q")))
     group = lambda kind, no: F.struct(F.lit(kind).alias("kind"), no.cast("long").alias("no"))
-    groups = F.array(group(0, F.col("offset")), group(1, F.col("chain")), F.when(F.col("first"), group(2, F.lit(0))))
+    groups = F.array(group(0, F.col("offset")), F.when(~F.col("plain"), group(1, F.col("chain"))), F.when(~F.col("plain") & F.col("first"), group(2, F.lit(0))))
     grouped = placed.withColumn("of", F.explode(groups)).where("of is not null").groupBy(*pair, "of")
     values = F.array_distinct(F.flatten(F.collect_list(F.transform("pairs", lambda z: F.struct(F.regexp_replace(z["a"], "^[0-9]+:", "").alias("a"), F.regexp_replace(z["b"], "^[0-9]+:", "").alias("b"))))))
     grouped = grouped.agg(F.array_sort(F.collect_set("q")).alias("q"), values.alias("values"), F.min("p").cast("long").alias("first_word"))
     gap = F.transform("q", lambda x, k: F.least(F.col("size"), F.coalesce(F.get("q", k + 1) - x, F.col("size"))))
     covered = F.aggregate(gap, F.lit(0), lambda a, x: a + x)
-    consistent = F.size(F.array_distinct(F.transform("values", lambda z: z["a"]))) == F.size("values")
-    same = F.forall("values", lambda z: z["a"] == z["b"])
+    consistent = F.col("plain") | (F.size(F.array_distinct(F.transform("values", lambda z: z["a"]))) == F.size("values"))
+    same = F.col("plain") | F.forall("values", lambda z: z["a"] == z["b"])
     out = grouped.withColumn("covered", covered).where((F.col("covered") >= F.least(F.col("n"), F.lit(enough))) & consistent).withColumn("same_slots", same)
     best = F.max_by(F.struct(F.size("q").alias("n_windows"), "covered", "n", "first_word", "same_slots"), F.struct("covered", "same_slots", -F.col("first_word"), -F.col("of.kind"))).alias("x")
     out = out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")

@@ -344,6 +344,13 @@ def test_leaks_after_a_look_alike(spark):
     assert sorted((r["doc_id"], r["first_word"], r["same_slots"]) for r in got) == [(1, 15, True), (3, 0, True)]
 
 
+def test_leaks_of_short_and_placeholder_items(spark):
+    items = [(1, "Where did the king hide all of his gold"), (2, "Add 12 , 15 , 18 , 1.5 , 24 , 27 and 30 now"), (3, "Sum 3 4 5 6 7")]
+    rows = [(1, "She asks Where did the king hide all of his gold today"), (2, "so add 12 , 15 , 18 , 1.5 , 24 , 27 and 30 now"), (3, "so add 12 , 15 , 18 , 105 , 24 , 27 and 30 now"), (4, "the sum 3 4 5 6 7 is"), (5, "the sum 3 4 5 6 8 is")]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["same_slots"]) for r in got) == [(1, 1, 1.0, True), (2, 2, 1.0, True), (4, 3, 1.0, True)]
+
+
 def test_held_out_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     right = queries.op6_language(spark, sf).join(docs, "doc_id").where("held_out").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
