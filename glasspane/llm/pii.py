@@ -4,6 +4,7 @@ Base kinds are found by fixed patterns and checks. Generators of high recall pro
 addresses with an at sign, groups of digits, and long tokens of letters and digits. Boosted trees weigh
 features of a candidate's format and of the words before it; candidates that reach the calibrated
 threshold are added, unless a base span or a better candidate overlaps them. Base spans always stay.
+Nothing bounds the length of a span or the number of spans of a text.
 
 The trees are fitted to candidates in short texts generated here (``examples``, a fixed number of them);
 three in four are for the trees, the rest calibrate the threshold: the smallest with so many of the
@@ -28,13 +29,14 @@ KINDS = ("email", "ip", "card", "phone", "secret", "number")
 _LOCAL = "A-Za-z0-9._%+-"
 #: Each matches what the plain pattern of its kind matches at the leftmost places, in time linear in the
 #: text: a run of signs is entered at its first sign only, or where the match before it ended.
-EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,1000}}+"
+#: A domain goes on, sign by sign, to the first point that no label follows (a loop over groups would need a stack as deep as the labels).
+EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9-][A-Za-z0-9.-]*?(?=\.(?![A-Za-z0-9-])|[^A-Za-z0-9.-]|\z)"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Generators of the method.
-AT = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{{2,64}}+"
-DIGITS = r"(?<![0-9A-Za-z])[(]?[0-9][0-9 ().-]{6,28}[0-9](?![0-9A-Za-z])"
+AT = rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{{2,}}+"
+DIGITS = r"(?<![0-9A-Za-z])[(]?[0-9][0-9 ().-]{6,}[0-9](?![0-9A-Za-z])"
 TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+"
 
 
@@ -243,6 +245,42 @@ def trained(spark: SparkSession, right: float = 0.97) -> tuple[list, float]:
     return trees, max(limit - 1e-6, 0.0)
 
 
+def undisputed(spans: Column) -> Column:
+    """Of spans (start, kind, end, z) in order those that no other one of a higher z overlaps (of equal z, no earlier one); infinite z stays.
+
+    One sweep: spans of one pattern do not overlap each other, so never more are open than there are patterns.
+    """
+    span = "start:int,kind:int,end:int,z:double,beaten:boolean"
+    none = F.array().cast(f"array<struct<{span}>>")
+    marked = lambda x, beaten: F.struct(*[x[k].alias(k) for k in ("start", "kind", "end", "z")], beaten.alias("beaten"))
+
+    def step(state: Column, y: Column) -> Column:
+        over = F.filter(state["open"], lambda o: o["end"] <= y["start"])
+        there = F.filter(state["open"], lambda o: o["end"] > y["start"])
+        now = F.transform(there, lambda o: marked(o, o["beaten"] | (o["z"] < y["z"])))
+        own = marked(y, F.exists(there, lambda o: o["z"] >= y["z"]))
+        return F.struct(F.concat(now, F.array(own)).alias("open"), F.concat(state["done"], over).alias("done"))
+
+    swept = F.aggregate(spans, F.struct(none.alias("open"), none.alias("done")), step, lambda a: F.concat(a["done"], a["open"]))
+    kept = F.filter(swept, lambda x: ~x["beaten"] | (x["z"] == float("inf")))
+    return F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+
+
+def dotted(spans: Column, text: Column) -> Column:
+    """Secrets with nothing but a point between them, as signed tokens are written, are one span."""
+    secret = KINDS.index("secret")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        tied = (F.size(a) > 0) & (x["kind"] == secret) & F.coalesce((last["kind"] == secret) & (last["end"] + 1 == x["start"]) & (F.substring(text, x["start"], F.lit(1)) == "."), F.lit(False))
+        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), x["end"].alias("end"))
+        return F.when(tied, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(x)))
+
+    twice = F.size(F.filter(spans, lambda x: x["kind"] == secret)) > 1
+    return F.when(twice, F.aggregate(spans, none, step)).otherwise(spans)
+
+
 def search(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFrame:
     """doc_id, base and spans: arrays of struct(start, kind, end), kind as a place in KINDS, both in order."""
     trees, limit = model or trained(docs.sparkSession)
@@ -260,26 +298,15 @@ def search(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFram
 
         return F.filter(F.transform(candidates(text), weighed), lambda x: x["z"] >= limit)
 
-    def joined(base: Column, found: Column) -> Column:
-        """Base spans, and of the found ones those that neither a base span nor a better one near them overlaps."""
+    def joined(base: Column, found: Column, text: Column) -> Column:
         everything = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(float("inf")).alias("z"))), found))
-
-        def free(s: Column, x: Column, i: Column) -> Column:
-            ok = x["z"] == float("inf")
-            beaten = F.lit(False)
-            for d in (-4, -3, -2, -1, 1, 2, 3, 4):
-                o = F.get(s, i + d)
-                first = (o["z"] > x["z"]) | (o["z"] == x["z"]) & F.lit(d < 0)
-                beaten = beaten | F.coalesce(first & (o["start"] < x["end"]) & (o["end"] > x["start"]), F.lit(False))
-            return ok | ~beaten
-
-        return let(everything, lambda s: F.transform(F.filter(s, lambda x, i: free(s, x, i)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+        return let(undisputed(everything), lambda s: dotted(s, text))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worth = F.col("__t").rlike(r"[0-9@]|at[)\]]")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__t"))
-    both = let(base_spans(F.col("__t")), lambda b: F.struct(b.alias("base"), let(accepted(F.col("__t")), lambda c: F.when(F.size(c) == 0, b).otherwise(joined(b, c))).alias("spans")))
+    both = let(base_spans(F.col("__t")), lambda b: F.struct(b.alias("base"), let(accepted(F.col("__t")), lambda c: F.when(F.size(c) == 0, b).otherwise(joined(b, c, F.col("__t")))).alias("spans")))
     found = F.coalesce(F.when(worth, both), F.struct(none.alias("base"), none.alias("spans")))
     return rows.select("doc_id", found.alias("x")).select("doc_id", "x.base", "x.spans")
 

@@ -1,0 +1,68 @@
+"""Personal data: no caps on spans, overlaps by brute force, recall and precision by kind on texts not used for training."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from glasspane.llm import pii
+
+TOKEN = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+
+
+def test_nothing_is_too_long(spark):
+    mail, secret = "a@" + ".".join(["bc"] * 5000), "aB3" * 3500
+    rows = [(1, mail + " x"), (2, f"secret: {secret} end"), (3, f'token = "{TOKEN}" more'), (4, "a@b.c..d@e.f x@y-.z. u@v w@w.w@w.w"), (5, f"{'x' * 300}@{'y' * 100}")]
+    got = {r["doc_id"]: r for r in pii.digest(pii.search(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for doc, text in rows:
+        want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        assert got[doc]["n_email"] == len(want) and got[doc]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert got[1]["spans"] == f"email:0:{len(mail)}" and got[2]["spans"] == f"secret:8:{8 + len(secret)}"
+    assert got[3]["spans"] == f"secret:9:{9 + len(TOKEN)}" and got[5]["spans"] == "email:0:401"
+
+
+def test_overlaps_by_brute_force(spark):
+    """Spans of one kind do not overlap; of two that do, the better one stays, of equal ones the first."""
+    r, rows = random.Random(4), []
+    for case in range(60):
+        own = []
+        for kind in range(7):
+            at = r.randint(0, 9)
+            while at < 160:
+                end = at + r.choice((1, 2, 5, 30, 90))
+                own.append((at, kind, end, float("inf") if kind < 2 else float(r.randint(0, 6))))
+                at = end + r.randint(0, 25)
+        rows.append((case, sorted(own)))
+    assert max(len(s) for _, s in rows) > 40
+    frame = spark.createDataFrame(rows, "k int, s array<struct<start:int,kind:int,end:int,z:double>>")
+    for row in frame.select("s", pii.undisputed(F.col("s")).alias("x")).collect():
+        s = [tuple(v) for v in row["s"]]
+        beaten = lambda i: any((y[3] > s[i][3] or y[3] == s[i][3] and j < i) and y[0] < s[i][2] and y[2] > s[i][0] for j, y in enumerate(s) if j != i)
+        assert [tuple(v) for v in row["x"]] == [v[:3] for i, v in enumerate(s) if v[3] == float("inf") or not beaten(i)]
+
+
+def test_recall_and_precision_by_kind(spark):
+    made = pii.examples(1200, seed=77)
+    found = {r["doc_id"]: r["spans"] for r in pii.search(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(made)], "doc_id long, text string")).collect()}
+    hits = {k: [0, 0, 0] for k in ("email", "number", "secret")}  # found, private, right of found
+    for k, (text, start, end) in enumerate(made):
+        own = [(x["start"], x["end"], pii.KINDS[x["kind"]]) for x in found[k]]
+        for a, b, kind in own:
+            kind = kind if kind in hits else "number"
+            hits[kind][2] += start >= 0 and a < end and b > start
+            hits[kind][1] += 1
+        if start >= 0:
+            kind = "email" if "@" in text[start:end] or "(at)" in text else "number" if re.fullmatch(r"[0-9().\s-]+", text[start:end]) else "secret"
+            hits[kind][0] += 1
+            hits[kind].append(any(a <= start + 1 and b >= end - 1 for a, b, _ in own))
+    for kind, (there, given, right, *caught) in hits.items():
+        assert there and sum(caught) >= 0.9 * there, (kind, sum(caught) / there)
+        assert right >= 0.93 * given, (kind, right / given)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "a@b.cc"), (4, "a@b.cc"), (4, "a@b.cc"), (5, "x" * 200_000 + " a@b.cc"), (6, "1 " * 30_000)]
+    got = pii.digest(pii.search(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(None) for c in ("start", "kind", "end", "x", "base", "spans")})))
+    spans = sorted((str(r["doc_id"]), r["spans"]) for r in got.collect())
+    assert spans == [("1", ""), ("2", ""), ("3", ""), ("4", "email:0:6"), ("4", "email:0:6"), ("5", "email:200001:200007"), ("6", ""), ("None", "email:0:6")]
