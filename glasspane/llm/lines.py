@@ -1,27 +1,33 @@
 """Line deduplication by a tree of log templates.
 
-A line's way through the tree: its number of words, then its leading words, then its template. Words with
-a digit are variable fields (see below). A line gives its exact template (all its words, fields as wildcards) and, if
-it has ``loose_from`` words or more, general templates: the words after the leading ones lie in four
-sections, and each general template turns one section into wildcards. Two lines that differ within one
-section, as by other names or values, so share a template; nothing is compared in pairs.
-
-With ``passages``, they are found wherever they stand in their lines: a run of PASSAGE words of one document (over line
-ends, too) that another has word by word, with DISTINCT different words or more, goes from all documents but
-the one of the smallest doc_id, and what else stands on its lines stays. Runs are joined exactly, in two
-steps: of the shorter runs of PICKED words in each run of PASSAGE words the one of the least hash is posted;
-around those that recur, every run of PASSAGE words is. Between the steps stands a filter of bits, which may
-let through more but never less.
-
-Words are fields only in a line of which half or more of the words are literal (without a digit); in others,
-as rows of a table of numbers, the values are compared. A template recurs if enough documents have it: two for
-exact templates of ``long_from`` words, LOOSE for general ones, SHORT for shorter ones and for those with fields
-and under LONG literal words; such a line of ``long_from`` words also gives a template with its values. A line with a recurring template is dropped, except in the document
-of the smallest doc_id that has the template, so that no content is lost altogether.
+A line's way through the tree: its number of words, its first word, then one of the next words (a word with a digit
+counts as a variable field here). Of its LEADING possible leaves a line belongs to the one that most different lines
+reach; a leaf of fewer than LEAST lines is none. In a leaf, a word is as well supported as there are lines with that
+word at that place. For each power of two a line has a template: its words of at least that support are literal, all
+others are fields that may hold anything; half of the words or more must be literal.
+
+A line recurs exactly, or by a template with fields, if enough documents have it: their number times the square of
+the number of literal words must reach STRENGTH, and for each field FIELD times as much again. So lines of 8 words
+recur from 2 documents on, of 4 words from 8 on, and a template of 7 literal words and 2 fields from 12 on; a row of
+numbers has hardly a literal word and recurs with its values only. Templates with fields need LEAST documents.
+A recurring line is dropped, except in the document of the smallest doc_id that has the line or template, so that
+no content is lost altogether.
+
+With ``passages``, they are found wherever they stand in their lines: a run of PASSAGE words of one document (over
+line ends, too) that another has word by word, with DISTINCT different words or more, goes from all documents but the
+one of the smallest doc_id, and what else stands on its lines stays. Only runs count that hold a word which the lines
+leave, in either document; what lines drop is not written out once more. Runs are joined exactly, in two steps: of the
+shorter runs of PICKED words in each run of PASSAGE words the one of the least hash is posted; around those that
+recur, every run of PASSAGE words is.
+
+Before lines of some leaf, or runs around what recurs, are read again stands a filter of bits of a fixed size, which
+lets through more where it is full but never less; joins decide.
 
 Words are split at white space; A-Z are lower-cased. Lines without words stay as they are; a line that loses
-all its words goes. A document all of whose worded lines go is dropped as a whole; null and empty texts and rows with a null doc_id pass as
-they are. Rows that repeat a doc_id are one document. An empty table gives no rows; all columns are kept.
+all its words goes. A document all of whose worded lines go is dropped as a whole, and so is one of which less than
+the share ``least_left`` of its words is left: a copy with few changes, of which only shreds would stay. Null and empty
+texts and rows with a null doc_id pass as they are. Rows that repeat a doc_id are one document. An empty table gives
+no rows; all columns are kept.
 """
 
 from __future__ import annotations
@@ -34,55 +40,135 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shelf, in_batches
+from .shared import Shelf, hot_join, in_batches
 from .words import _ODD, UNSPACED, Words, _powers, chunks, mixed
 
-LONG, SHORT, LOOSE, LOOSE_FROM, LEADING, SECTIONS = 8, 10, 3, 16, 2, 4
+LEADING, LEAST, STRENGTH, FIELD = 3, 3, 128, 1.75
 PASSAGE, PICKED, DISTINCT, MOST_BITS = 50, 25, 20, 27
 _FIELD = np.uint64(0x5DEECE66D1234567)
 
 
-def templates(w: Words) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """(text, line of the text, template keys of the line, the documents that make each recur)."""
-    if not len(w.starts):
-        return
-    digit = np.concatenate(([0], np.cumsum((w.bytes >= 48) & (w.bytes <= 57))))
-    field = digit[w.ends] > digit[w.starts]
-    newline = np.cumsum(w.bytes == 10)
-    of = np.searchsorted(w.offsets, w.starts, side="right") - 1
-    line = newline[w.starts] + of  # texts are joined by a space, so the text counts too
-    heads = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    counts = np.diff(np.append(heads, len(line)))
-    literal = np.add.reduceat(~field, heads, dtype=np.int64)
-    place = np.arange(len(line)) - np.repeat(heads, counts)
-    n = np.repeat(counts, counts)
-    section = np.where(place < LEADING, 0, 1 + (place - LEADING) * SECTIONS // np.maximum(1, n - LEADING))
-    up = _powers(int(counts.max()))[0][place] * _ODD[1]
-    cut = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (section[1:] != section[:-1]))))
-    number = np.repeat(np.arange(len(heads)), counts)
-    base = counts.astype(np.uint64) * _ODD[2]
-
-    def summed(part: np.ndarray) -> np.ndarray:
-        sums = np.zeros((len(heads), SECTIONS + 1), part.dtype)
-        sums[number[cut], section[cut]] = np.add.reduceat(part, cut)
-        return sums
-
-    wild = (2 * literal >= counts) & (literal < counts)
-    sums = summed(mixed(np.where(field & np.repeat(wild, counts), _FIELD, w.hashes) * _ODD[0] + up))
-    values = mixed(np.add.reduceat(mixed(w.hashes * _ODD[0] + up), heads) + base).view(np.int64)
-    words = summed((~field).astype(np.int64))
-    whole = sums.sum(axis=1, dtype=np.uint64)
-    keys = [mixed(whole + base)] + [mixed(whole - sums[:, s] + base + _ODD[3 + s]) for s in range(1, SECTIONS + 1)]
-    keys = np.stack(keys, axis=1).view(np.int64)
-    # literal words that each template keeps: few do not tell lines with fields apart
-    few = wild[:, None] & (literal[:, None] - np.concatenate((np.zeros_like(words[:, :1]), words[:, 1:]), axis=1) < LONG)
-    least = np.where(few, SHORT, LOOSE)
-    least[:, 0] = np.where(few[:, 0] | (counts < LONG), SHORT, 2)
-    both = few[:, 0] & (counts >= LONG)
-    first_line = newline[w.offsets[:-1]] + np.arange(len(w.offsets) - 1)
-    for t, l, c, k, m, v, b in zip(of[heads].tolist(), (line[heads] - first_line[of[heads]]).tolist(), counts.tolist(), keys.tolist(), least.tolist(), values.tolist(), both.tolist()):
-        size = len(k) if c >= LOOSE_FROM else 1
-        yield t, l, k[:size] + [v] * b, m[:size] + [2] * b
+class Lines:
+    """The lines with words of many texts: of (text), number (within the text), size (words), first (word), key
+    (of all words) and nodes (a row of LEADING leaves for each line; 0 where it is too short)."""
+
+    def __init__(self, w: Words):
+        self.words = w
+        if not len(w.starts):
+            self.of = self.number = self.size = self.first = np.empty(0, np.int64)
+            self.key, self.nodes = np.empty(0, np.int64), np.empty((0, LEADING), np.int64)
+            return
+        newline = np.cumsum(w.bytes == 10)
+        of = np.searchsorted(w.offsets, w.starts, side="right") - 1
+        line = newline[w.starts] + of  # texts are joined by a space, so the text counts too
+        heads = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        size = np.diff(np.append(heads, len(line)))
+        place = np.arange(len(line)) - np.repeat(heads, size)
+        up = _powers(int(size.max()))[0][place] * _ODD[1]
+        base = size.astype(np.uint64) * _ODD[2]
+        first_line = newline[w.offsets[:-1]] + np.arange(len(w.offsets) - 1)
+        self.of, self.size, self.first = of[heads], size, heads
+        self.number = line[heads] - first_line[self.of]
+        self.key = mixed(np.add.reduceat(mixed(w.hashes * _ODD[0] + up), heads) + base).view(np.int64)
+        digit = np.concatenate(([0], np.cumsum((w.bytes >= 48) & (w.bytes <= 57))))
+        known = np.where(digit[w.ends] > digit[w.starts], _FIELD, w.hashes)
+        nodes = []
+        for k in range(1, LEADING + 1):
+            node = mixed(mixed(known[heads] * _ODD[3] + base) + known[np.minimum(heads + k, len(line) - 1)] * _ODD[3 + k])
+            nodes.append(np.where(size > k, node, np.uint64(0)).view(np.int64))
+        self.nodes = np.stack(nodes, axis=1)
+
+
+def _textual(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("which"), text.alias("text")).where("doc_id is not null and text is not null")
+
+
+def _arrays(nodes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * LEADING), pa.array(nodes.ravel()))
+
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, which (text of this doc_id), line (its number), size, key, new (no earlier line of the text is equal), nodes."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, which = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, own in chunks(batch.column(2).to_pylist()):
+                x = Lines(Words(own, UNSPACED))
+                new = np.zeros(len(x.of), bool)
+                order = np.lexsort((x.number, x.key, x.of))
+                a, b = x.of[order], x.key[order]
+                new[order] = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)]
+                columns = [ids[at + x.of], which[at + x.of], x.number.astype(np.int32), x.size.astype(np.int32), x.key, new]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _arrays(x.nodes)], names=["doc_id", "which", "line", "size", "key", "new", "nodes"])
+
+    return in_batches(_textual(docs), run, "doc_id long, which long, line int, size int, key long, new boolean, nodes array<long>")
+
+
+def reaching(docs: DataFrame, bits: int, known: np.ndarray) -> DataFrame:
+    """doc_id, key, nodes, words (their hashes) of the lines of which a node's bit is set."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at, own in chunks(batch.column(2).to_pylist()):
+                x = Lines(Words(own, UNSPACED))
+                some = np.flatnonzero(((x.nodes != 0) & _set(x.nodes, bits, known)).any(axis=1))
+                if len(some):
+                    ends = np.cumsum(np.concatenate(([0], x.size[some])))
+                    places = np.arange(ends[-1]) + np.repeat(x.first[some] - ends[:-1], x.size[some])
+                    words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.words.hashes[places].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + x.of[some]]), pa.array(x.key[some]), _arrays(x.nodes[some]), words], names=["doc_id", "key", "nodes", "words"])
+
+    return in_batches(_textual(docs), run, "doc_id long, key long, nodes array<long>, words array<long>")
+
+
+def enough(docs: F.Column, literal: F.Column, fields: F.Column) -> F.Column:
+    """Whether so many documents with so many literal words and fields make a template recur."""
+    return docs * literal * literal >= STRENGTH * (1 + FIELD * fields)
+
+
+def templates(lines: DataFrame, nodes: DataFrame, shelf: Shelf) -> DataFrame:
+    """key, keeper: the lines with a recurring template with fields, and the smallest doc_id that has it.
+
+    lines: key, first (doc_id), nodes, words of different lines; nodes: node, lines.
+    """
+    total = lines.count()
+    reached = lines.select("key", F.explode("nodes").alias("node")).where("node <> 0")
+    leaf = hot_join(reached, nodes, "node", "lines", total).groupBy("key").agg(F.max(F.struct("lines", "node")).alias("leaf")).select("key", "leaf.*")
+    words = lines.join(leaf, "key").select("key", "first", F.col("node").alias("leaf"), F.col("lines"), F.size("words").alias("size"), F.posexplode("words").alias("place", "word"))
+    words = shelf.put(words.withColumn("there", F.xxhash64("leaf", "place", "word")), "words")
+    support = shelf.put(words.groupBy("there").agg(F.count(F.lit(1)).alias("support")).where("support > 1"), "support")
+    held = hot_join(words, support, "there", "support", words.count())
+    held = held.groupBy("key", "first", "leaf", "lines", "size").agg(F.array_sort(F.collect_list(F.struct("place", "word", "support"))).alias("held"))
+    powers = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.log2("lines")).cast("int"))), lambda k: F.pow(F.lit(2.0), k))
+    literal = F.transform(powers, lambda p: F.transform(F.filter("held", lambda x: x["support"] >= p), lambda x: F.struct(x["place"].alias("place"), x["word"].alias("word"))))
+    literal = F.filter(F.array_distinct(literal), lambda x: (2 * F.size(x) >= F.col("size")) & (F.size(x) < F.col("size")))
+    made = held.select("key", "first", "leaf", "size", F.explode(literal).alias("words"))
+    made = shelf.put(made.select("key", "first", F.xxhash64("leaf", "words").alias("template"), F.size("words").alias("literal"), (F.col("size") - F.size("words")).alias("fields")), "templates")
+    often = made.groupBy("template", "literal", "fields", "first").agg(F.count(F.lit(1)).alias("n")).groupBy("template", "literal", "fields").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min("first").alias("keeper"))
+    often = shelf.put(often.where((F.col("docs") >= LEAST) & enough(F.col("docs"), F.col("literal"), F.col("fields"))).select("template", "n", "keeper"), "recurring")
+    return hot_join(made.select("key", "template"), often, "template", "n", made.count()).groupBy("key").agg(F.min("keeper").alias("keeper"))
+
+
+def recurring(docs: DataFrame, shelf: Shelf) -> DataFrame:
+    """doc_id, which, drop (array of line numbers): what goes from which document."""
+    table = shelf.put(found(docs), "lines")
+    counts = [F.count_if("new").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+    different = shelf.put(table.groupBy("key", "size", "nodes").agg(*counts), "different")
+    exact = different.where((F.col("first") < F.col("last")) & enough(F.col("docs"), F.col("size"), F.lit(0))).select("key", F.col("first").alias("keeper"), "docs")
+    nodes = shelf.put(different.select(F.explode("nodes").alias("node")).where("node <> 0").groupBy("node").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= LEAST), "nodes")
+    own = reaching(docs, *bits_of(nodes.select(F.col("node").alias("key")))).groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("nodes").alias("nodes"), F.any_value("words").alias("words"))
+    general = templates(shelf.put(own, "reaching"), nodes, shelf).withColumn("docs", F.lit(1).cast("long"))
+    keepers = shelf.put(exact.unionByName(general).groupBy("key").agg(F.min("keeper").alias("keeper"), F.max("docs").alias("docs")), "keepers")
+    gone = hot_join(table.select("doc_id", "which", "line", "key"), keepers, "key", "docs", table.count()).where("doc_id <> keeper")
+    return shelf.put(gone.groupBy("doc_id", "which").agg(F.collect_list("line").alias("drop")), "drops")
+
+
+def _set(keys: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
+    lead = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (known[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 == 1
 
 
 def runs(w: Words, size: int) -> np.ndarray:
@@ -118,31 +204,37 @@ def picked(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return places, h[places].view(np.int64)
 
 
-def _textual(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+def left_words(w: Words, drops: list) -> np.ndarray:
+    """Sums of the words before each word, and of all, that stand on no line of these numbers (a list or None for each text)."""
+    stay = np.ones(len(w.starts), np.int64)
+    if any(d is not None and len(d) for d in drops):
+        x = Lines(w)
+        gone = [np.isin(x.number[a:b], drops[t]) if drops[t] is not None else np.zeros(b - a, bool) for t, (a, b) in enumerate(zip(*(np.searchsorted(x.of, np.arange(len(drops)) + k) for k in (0, 1))))]
+        stay = np.repeat(~np.concatenate(gone), x.size).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(stay)))
+
+
+def _marked(marked: DataFrame) -> DataFrame:
+    return marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__drop").alias("drop")).where("doc_id is not null and text is not null")
 
 
-def found(docs: DataFrame, passages: bool) -> DataFrame:
-    """doc_id, key, least (documents that make it recur), passage: each template and each posted run once for each row."""
+def posted(marked: DataFrame) -> DataFrame:
+    """doc_id, key: each posted run near a word that lines leave, once for each row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, drops = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for at, own in chunks(batch.column(1).to_pylist()):
                 w = Words(own, UNSPACED)
-                of, key, least = [], [], []
-                for t, _, keys, enough in templates(w):
-                    of += [t] * len(keys)
-                    key += keys
-                    least += enough
-                places, posted = picked(w) if passages else (np.empty(0, np.int64),) * 2
+                left = left_words(w, drops[at : at + len(own)])
+                places, keys = picked(w)
                 texts = np.searchsorted(w.first, places, side="right") - 1
-                for part, rows in ((False, (of, key, least)), (True, (texts, posted, np.full(len(texts), 2)))):
-                    if len(rows[0]):
-                        rows = _distinct(*rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[0]]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(np.full(len(rows[0]), part))], names=["doc_id", "key", "least", "passage"])
+                near = left[np.minimum(places + PASSAGE, w.first[texts + 1])] > left[np.maximum(places - (PASSAGE - PICKED), w.first[texts])]
+                if near.any():
+                    texts, keys = _distinct(texts[near], keys[near])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + texts]), pa.array(keys)], names=["doc_id", "key"])
 
-    return in_batches(_textual(docs), run, "doc_id long, key long, least int, passage boolean")
+    return in_batches(_marked(marked), run, "doc_id long, key long")
 
 
 def bits_of(keys: DataFrame) -> tuple[int, np.ndarray]:
@@ -156,79 +248,75 @@ def bits_of(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, every.ravel()
 
 
-def around(docs: DataFrame, bits: int, known: np.ndarray) -> DataFrame:
-    """doc_id, key: the runs of PASSAGE words that hold a posted run whose bit is set, each once for each row."""
+def around(marked: DataFrame, bits: int, known: np.ndarray) -> DataFrame:
+    """doc_id, key: the runs of PASSAGE words with a word that lines leave and a posted run whose bit is set, each once for each row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, drops = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for at, own in chunks(batch.column(1).to_pylist()):
                 w = Words(own, UNSPACED)
                 places, keys = picked(w)
-                lead = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                places = places[(known[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 == 1]
+                places = places[_set(keys, bits, known)]
+                if not len(places):
+                    continue
+                left = left_words(w, drops[at : at + len(own)])
                 steps = np.zeros(len(w.starts) + 1, np.int64)
                 np.add.at(steps, np.maximum(places - (PASSAGE - PICKED), 0), 1)
                 np.add.at(steps, places + 1, -1)
                 starts = np.flatnonzero(np.cumsum(steps) > 0)
                 starts = starts[starts + PASSAGE <= w.first[np.searchsorted(w.first, starts, side="right")]]
+                starts = starts[left[starts + PASSAGE] > left[starts]]
                 keys = runs(w, PASSAGE)[starts].view(np.int64)
                 for k in range(0, len(starts), 4096):
                     some = np.sort(w.hashes[starts[k : k + 4096, None] + np.arange(PASSAGE)], axis=1)
                     rich = (some[:, 1:] != some[:, :-1]).sum(axis=1) >= DISTINCT - 1
                     texts = np.searchsorted(w.first, starts[k : k + 4096][rich], side="right") - 1
                     if len(texts):
-                        rows = _distinct(texts, keys[k : k + 4096][rich], np.zeros(len(texts)))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[0]]), pa.array(rows[1])], names=["doc_id", "key"])
+                        texts, own_keys = _distinct(texts, keys[k : k + 4096][rich])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + texts]), pa.array(own_keys)], names=["doc_id", "key"])
 
-    return in_batches(_textual(docs), run, "doc_id long, key long")
+    return in_batches(_marked(marked), run, "doc_id long, key long")
 
 
-def _distinct(of, key, least) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b, c = np.array(of, np.int64), np.array(key, np.int64), np.array(least, np.int64)
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
-    a, b, c = a[order], b[order], c[order]
+    a, b = a[order], b[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return a[new], b[new], c[new]
+    return a[new], b[new]
 
 
-def recurring(docs: DataFrame, shelf: Shelf, passages: bool) -> DataFrame:
-    """doc_id, drop (array of keys of templates and of runs of PASSAGE words): what goes from which document."""
-    table = shelf.put(found(docs, passages), "templates")
-    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
-    counted = table.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("least").alias("least"), F.bool_or("passage").alias("passage"), *ends)
-    often = shelf.put(counted.where("rows >= least and first < last").select("key", "first", "passage"), "often")
-    gone = table.where("not passage").join(often.where("not passage"), "key").where("doc_id <> first").select("doc_id", "key")
-    if passages:
-        again = shelf.put(around(docs, *bits_of(often.where("passage"))), "passages")
-        shared = again.groupBy("key").agg(*ends).where("first < last")
-        gone = gone.unionByName(again.join(shared, "key").where("doc_id <> first").select("doc_id", "key"))
-    out = shelf.put(gone.groupBy("doc_id").agg(F.collect_set("key").alias("drop")), "drops")
-    shelf.drop(table)
-    if passages:
-        shelf.drop(again)
-    return out
+def repeated(marked: DataFrame, shelf: Shelf) -> DataFrame:
+    """doc_id, cut (array of keys of runs of PASSAGE words): what goes from which document."""
+    ends = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")]
+    often = shelf.put(posted(marked).groupBy("key").agg(*ends).where("keeper < last").select("key"), "posted")
+    again = shelf.put(around(marked, *bits_of(often)), "passages")
+    shared = shelf.put(again.groupBy("key").agg(*ends).where("keeper < last").drop("last"), "shared")
+    gone = hot_join(again, shared, "key", "n", again.count()).where("doc_id <> keeper")
+    return shelf.put(gone.groupBy("doc_id").agg(F.collect_set("key").alias("cut")), "cuts")
+
 
+def without_lines(text: str, drop: list, least_left: float) -> str | None:
+    """The text without the lines of these numbers; None if too little is left."""
+    gone, lines = set(drop), text.encode().split(b"\n")
+    return _enough_left(b"\n".join(x for k, x in enumerate(lines) if k not in gone), text, least_left)
 
-def without(text: str, drop: np.ndarray) -> str | None:
-    """The text without the lines of these templates and without these runs of words; None if no line with a word is left."""
+
+def without(text: str, drop: list, cut: list, least_left: float) -> str | None:
+    """The text without the lines of these numbers and these runs of words; None if too little is left."""
     raw = text.encode()
-    w, keys_of = Words([raw], UNSPACED), set(drop.tolist())
-    lines = raw.split(b"\n")
-    gone, worded = set(), 0
-    for _, line, keys, _ in templates(w):
-        worded += 1
-        if not keys_of.isdisjoint(keys):
-            gone.add(line)
+    w, lines, gone = Words([raw], UNSPACED), raw.split(b"\n"), set()
+    starts = np.flatnonzero(np.isin(runs(w, PASSAGE).view(np.int64), np.asarray(cut, np.int64)))
     steps = np.zeros(len(w.starts) + 1, np.int64)
-    starts = np.flatnonzero(np.isin(runs(w, PASSAGE).view(np.int64), drop))
-    if len(starts):
-        steps[starts] += 1
-        steps[starts + PASSAGE] -= 1
-        _cut(w, np.cumsum(steps[:-1]) > 0, lines, gone)
-    if gone and len(gone) == worded:
-        return None
-    return b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + PASSAGE, -1)
+    _cut(w, (np.cumsum(steps[:-1]) > 0) | (np.diff(left_words(w, [drop])) == 0), lines, gone)
+    return _enough_left(b"\n".join(x for k, x in enumerate(lines) if k not in gone), text, least_left)
+
+
+def _enough_left(left: bytes, text: str, least_left: float) -> str | None:
+    n = len(left.split())  # bytes split at the same white space
+    return left.decode() if n and n >= least_left * len(text.encode().split()) else None
 
 
 def _cut(w: Words, out: np.ndarray, lines: list[bytes], gone: set[int]) -> None:
@@ -251,20 +339,33 @@ def _cut(w: Words, out: np.ndarray, lines: list[bytes], gone: set[int]) -> None:
         lines[k] = b"".join(left) + lines[k][at - begins[k] :]
 
 
-def dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
+def _joined(docs: DataFrame, drops: DataFrame, on: dict) -> DataFrame:
+    """docs with the last column of ``drops``; on: the columns of docs that its others are equal to."""
+    drops = drops.withColumnsRenamed({k: f"__{k}" for k in drops.columns})
+    return docs.join(drops.hint("shuffle_hash"), [v == F.col(f"__{k}") for k, v in on.items()], "left").drop(*[f"__{k}" for k in on])
+
+
+def dedup(docs: DataFrame, passages: bool = False, least_left: float = 0.0) -> DataFrame:
     """The documents with recurring lines (and passages) dropped, all columns as they were; n_chars follows the text."""
     shelf = Shelf(docs.sparkSession, "lines")
-    drops = recurring(docs, shelf, passages).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
+    doc, which = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    marked = _joined(docs, recurring(docs, shelf), {"doc_id": doc, "which": which})
+    if passages:
+        marked = shelf.put(marked, "marked")
+        marked = _joined(marked, repeated(marked, shelf), {"doc_id": doc})
+    else:
+        marked = marked.withColumn("__cut", F.lit(None).cast("array<long>"))
 
     @F.pandas_udf("string")
-    def cleaned(text: pd.Series, drop: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else without(t, np.asarray(d, np.int64)) for t, d in zip(text, drop)], dtype=object)
+    def cleaned(text: pd.Series, drop: pd.Series, cut: pd.Series) -> pd.Series:
+        new = [None if t is None else without_lines(t, d, least_left) if c is None else without(t, [] if d is None else d, c, least_left) for t, d, c in zip(text, drop, cut)]
+        return pd.Series(new, dtype=object)
 
     cleaned = cleaned.asNondeterministic()  # else Spark runs it once for the filter and once for the column
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    changed = joined.withColumn("__text", cleaned(F.when(F.col("__drop").isNotNull(), F.col("text").cast("string")), "__drop"))
-    left = changed.where("__drop is null or __text is not null").withColumn("text", F.when(F.col("__drop").isNotNull(), F.col("__text")).otherwise(F.col("text")))
+    some = F.col("__drop").isNotNull() | F.col("__cut").isNotNull()
+    changed = marked.withColumn("__some", some).withColumn("__text", cleaned(F.when(some, F.col("text").cast("string")), "__drop", "__cut"))
+    left = changed.where("not __some or __text is not null").withColumn("text", F.when(F.col("__some"), F.col("__text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        left = left.withColumn("n_chars", F.when(F.col("__drop").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(F.col("__some"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)

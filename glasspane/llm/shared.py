@@ -48,6 +48,24 @@ class Shelf:
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A key with over one in HOT_KEYS of the rows is hot; there are at most so many.
+HOT_KEYS = 2000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined to table, which has each key once and in ``weight`` the key's share of the ``total`` rows.
+
+    Hot keys (HOT_KEYS at most, so their part of the table is small) are broadcast and their rows stay where
+    they are; all other rows are dealt by key, and no key is more than one task's. table should be a stored one.
+    """
+    hot = table.where(F.col(weight) * HOT_KEYS > total)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) * HOT_KEYS <= total), key)
+    return near.unionByName(far)
+
+
 def crc_fold(doc_id) -> "F.Column":
     """crc32 of the id as text, modulo 4; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
