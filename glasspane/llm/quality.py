@@ -1,10 +1,13 @@
 """Quality rules as weak supervision: rules vote good or bad or abstain.
 
 Every rule looks at measures of the whole text. The rules' accuracies (how often each votes what on good
-and on bad documents) and the share of good documents are estimated by expectation maximisation from the counts of vote patterns (at most 3 to the power of
-the number of rules, however large the table), and a document is kept if the posterior probability
-of being good is at least ``keep_from``. The base rules fail a document whatever the others say, and
-what they fail is no part of the estimate.
+and on bad documents) and the share of good documents are estimated by expectation maximisation from the counts
+of vote patterns (at most 3 to the power of the number of rules, however large the table), and a document is kept
+if the posterior probability of being good is at least ``keep_from``. Nothing but a prior of a thousandth of the
+table's weight (HOLD) holds the accuracies; of the two kinds of documents that the estimate tells apart, the one
+with more good votes is the good one. A rule that votes bad on good and bad documents alike so counts for nothing,
+and one bad vote may be outvoted. The base rules fail a document whatever the others say, and what they fail is no
+part of the estimate.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged each for itself
 (and each counts in the estimate). An empty table gives no rows. Other columns are ignored.
@@ -49,6 +52,13 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(hashed, among))
 
 
+#: Words that are frequent in prose of several languages (fixed values).
+FREQUENT = "a an and as at be by das de del der des die du ein el en es et für il in is it la las le les los mit of on ou para par pas por pour que qui se sur that the this to un una und une von was with y zu".split()
+_END = r"(?=[.,;:!?]?(?:[\x20\x09-\x0D]|\z))"
+FREQUENT_WORD = r"(?<![^\x20\x09-\x0D])(?:" + "|".join(FREQUENT) + ")" + _END
+CAPITAL_WORD = r"(?<![^\x20\x09-\x0D])\p{Lu}{2,}+(?!\p{L})"
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of each text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -67,8 +77,11 @@ def measured(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     symbols = (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long")
     digits = (F.length("t") - F.length(F.regexp_replace("t", r"[0-9]+", ""))).cast("long")
-    return base.select("doc_id", m.alias("m"), n.alias("n"), symbols.alias("n_symbols"), digits.alias("n_digits")).select(
-        "doc_id", "m.n_words", "m.word_chars", "n_symbols", "n.n_dup_lines", "m.n_repeat_words", "m.n_closed", "n_digits", "n.n_lines"
+    found = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
+    others = (F.length("t") - F.length(F.regexp_replace("t", r"[^\p{L}\x20\x09-\x0D]+", ""))).cast("long")
+    counts = [symbols.alias("n_symbols"), others.alias("n_others"), digits.alias("n_digits"), found("(?i)" + FREQUENT_WORD).alias("n_frequent"), found(CAPITAL_WORD).alias("n_capital")]
+    return base.select("doc_id", m.alias("m"), n.alias("n"), *counts).select(
+        "doc_id", "m.n_words", "m.word_chars", "n_symbols", "n.n_dup_lines", "m.n_repeat_words", "m.n_closed", "n_digits", "n.n_lines", "n_frequent", "n_capital", "n_others"
     )
 
 
@@ -87,47 +100,46 @@ INF = float("inf")
 def rules() -> dict[str, Column]:
     words = F.col("n_words")
     return {
-        "length": between(words, 20, 40, INF, INF),
+        "length": between(words, 30, 60, 50_000, 200_000),
         "word_length": between(share("word_chars", "n_words"), 2.5, 3.5, 9, 14),
         "symbols": between(share("n_symbols", "n_words"), -1, 0, 0.02, 0.1),
         "same_lines": between(share("n_dup_lines", "n_lines"), -1, 0, 0.05, 0.3),
-        "repeats": between(share("n_repeat_words", "n_words"), -1, 0, 0.05, 0.3),
+        "repeats": between(share("n_repeat_words", "n_words"), -1, 0, 0.03, 0.15),
         "sentences": F.when(words < 20, 0).otherwise(between(share("n_closed", "n_words"), 0.005, 0.02, 0.4, 0.7)),
+        "frequent": F.when(words < 20, 0).otherwise(between(share("n_frequent", "n_words"), 0.02, 0.06, 0.7, 0.9)),
+        "letters": between(share("n_others", "word_chars"), -1, 0, 0.08, 0.14),
+        "capitals": between(share("n_capital", "n_words"), -1, 0, 0.1, 0.4),
         "digits": between(share("n_digits", "word_chars"), -1, 0, 0.05, 0.25),
     }
 
 
-#: What the estimate starts from, and is held to by a hundredth of the table's weight: chances of the votes -1, 0, 1.
+#: What the estimate starts from, and is held to by HOLD of the table's weight: chances of the votes -1, 0, 1.
 START = {True: (0.02, 0.08, 0.90), False: (0.35, 0.15, 0.50)}
+HOLD, GOOD = 0.001, 0.8
 
-#: A bad vote stands at an outer limit: good documents get one at most so often from a rule.
-MISTAKEN = 0.005
-
-
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> tuple[float, list[dict[bool, tuple[float, ...]]]]:
-    """Share of good documents and, for each rule, the chances of its votes on good and on bad documents.
 
-    A rule votes bad on bad documents at least twice as often as on good ones: it is better than chance.
-    """
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[bool, tuple[float, ...]]]]:
+    """Share of good documents and, for each rule, the chances of its votes on good and on bad documents."""
     if not patterns:
         return 0.5, []
     k, n_all = len(patterns[0][0]), sum(n for _, n in patterns)
-    good, chances = 0.9, [dict(START) for _ in range(k)]
-    hold = max(2.0, n_all / 100)
+    good, chances = GOOD, [dict(START) for _ in range(k)]
+    hold = max(1.0, HOLD * n_all)
     for _ in range(rounds):
         weight = [{g: [hold * x for x in START[g]] for g in (True, False)} for _ in range(k)]
-        goods = 0.0
+        goods, before = hold * GOOD, good
         for votes, n in patterns:
             p = posterior(votes, good, chances)
             goods += n * p
             for r, v in enumerate(votes):
                 weight[r][True][v + 1] += n * p
                 weight[r][False][v + 1] += n * (1 - p)
-        good = min(0.95, max(0.2, goods / n_all))
+        good = goods / (n_all + hold)
         chances = [{g: tuple(x / sum(w[g]) for x in w[g]) for g in (True, False)} for w in weight]
-        for c in chances:
-            c[True] = (min(c[True][0], MISTAKEN), *c[True][1:])
-            c[False] = (max(c[False][0], 2 * c[True][0]), *c[False][1:])
+        if abs(good - before) < 1e-9:
+            break
+    if sum(c[True][2] - c[True][0] for c in chances) < sum(c[False][2] - c[False][0] for c in chances):
+        good, chances = 1 - good, [{g: c[not g] for g in (True, False)} for c in chances]
     return good, chances
 
 
