@@ -1,7 +1,7 @@
 """Line deduplication by a tree of log templates.
 
-A line's way through the tree: its number of words, its first word, then one of the next words (a word with a digit
-counts as a variable field here). Of its LEADING possible leaves a line belongs to the one that most different lines
+A line's way through the tree: its number of words, its first word, then two of the LEADING next words (a word with a
+digit counts as a variable field here). Of its possible leaves a line belongs to the one that most different lines
 reach; a leaf of fewer than LEAST lines is none. In a leaf, a word is as well supported as there are lines with that
 word at that place. For each power of two a line has a template: its words of at least that support are literal, all
 others are fields that may hold anything; half of the words or more must be literal.
@@ -32,6 +32,7 @@ no rows; all columns are kept.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,20 +44,21 @@ from pyspark.sql import functions as F
 from .shared import Shelf, hot_join, in_batches
 from .words import _ODD, UNSPACED, Words, _powers, chunks, mixed
 
-LEADING, LEAST, STRENGTH, FIELD = 3, 3, 128, 1.75
+LEADING, LEAST, STRENGTH, FIELD = 4, 3, 128, 1.75
+PAIRS = list(itertools.combinations(range(1, LEADING + 1), 2))
 PASSAGE, PICKED, DISTINCT, MOST_BITS = 50, 25, 20, 27
 _FIELD = np.uint64(0x5DEECE66D1234567)
 
 
 class Lines:
     """The lines with words of many texts: of (text), number (within the text), size (words), first (word), key
-    (of all words) and nodes (a row of LEADING leaves for each line; 0 where it is too short)."""
+    (of all words) and nodes (a row of leaves for each line, one for each of PAIRS; 0 where it is too short)."""
 
     def __init__(self, w: Words):
         self.words = w
         if not len(w.starts):
             self.of = self.number = self.size = self.first = np.empty(0, np.int64)
-            self.key, self.nodes = np.empty(0, np.int64), np.empty((0, LEADING), np.int64)
+            self.key, self.nodes = np.empty(0, np.int64), np.empty((0, len(PAIRS)), np.int64)
             return
         newline = np.cumsum(w.bytes == 10)
         of = np.searchsorted(w.offsets, w.starts, side="right") - 1
@@ -72,10 +74,9 @@ class Lines:
         self.key = mixed(np.add.reduceat(mixed(w.hashes * _ODD[0] + up), heads) + base).view(np.int64)
         digit = np.concatenate(([0], np.cumsum((w.bytes >= 48) & (w.bytes <= 57))))
         known = np.where(digit[w.ends] > digit[w.starts], _FIELD, w.hashes)
-        nodes = []
-        for k in range(1, LEADING + 1):
-            node = mixed(mixed(known[heads] * _ODD[3] + base) + known[np.minimum(heads + k, len(line) - 1)] * _ODD[3 + k])
-            nodes.append(np.where(size > k, node, np.uint64(0)).view(np.int64))
+        lead = mixed(known[heads] * _ODD[3] + base)
+        nth = [known[np.minimum(heads + k, len(line) - 1)] for k in range(LEADING + 1)]
+        nodes = [np.where(size > k, mixed(lead + nth[j] * _ODD[3 + j] + nth[k] * _ODD[8 + k]), np.uint64(0)).view(np.int64) for j, k in PAIRS]
         self.nodes = np.stack(nodes, axis=1)
 
 
@@ -85,7 +86,7 @@ def _textual(docs: DataFrame) -> DataFrame:
 
 
 def _arrays(nodes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * LEADING), pa.array(nodes.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * len(PAIRS)), pa.array(nodes.ravel()))
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def plain_tree(texts: dict[int, str]) -> dict[int, str]:
             if line:
                 docs[line].add(d)
     field = lambda w: "*" if any(c.isdigit() for c in w) else w
-    leaves = lambda line: [(len(line), k, field(line[0]), field(line[k])) for k in range(1, lines.LEADING + 1) if len(line) > k]
+    pairs = [(j, k) for j in range(1, 5) for k in range(j + 1, 5)]
+    leaves = lambda line: [(len(line), j, k, field(line[0]), field(line[j]), field(line[k])) for j, k in pairs if len(line) > k]
     enough = lambda n, literal, fields: n * literal**2 >= lines.STRENGTH * (1 + lines.FIELD * fields)
     reached = collections.Counter(x for line in docs for x in leaves(line))
     keeper = {line: min(d) for line, d in docs.items() if len(d) > 1 and enough(len(d), len(line), 0)}
