@@ -11,8 +11,11 @@ Two documents are linked if the Jaccard similarity of their sets is at least ``p
    those. Short lists give all their pairs. In a long list each class pairs with the list's hub.
 4. Union sketches estimate the similarity of each pair (five standard errors of slack); where both
    sets are kept whole this is the exact value. Otherwise the exact Jaccard of the full sets decides.
-5. Long lists are then joined among classes that are still in different components, so that no link
-   that would join components is missed, and members of one component are not compared again.
+5. Classes of long lists are then joined by windows, which are two retained values that stand next to each other in
+   a class's sketch: two sets that are similar enough have several windows in common, and two that share a common
+   passage only seldom do. Again rare ones come first and a class posts only so many that MET common ones are among
+   them (or all there are), and only pairs with so many are compared. Only classes of different components meet, so that no link that would join components is missed, and
+   members of one component are not compared again; a window of many classes is dealt in pairs of blocks.
 
 Rows with a null doc_id link with nothing: component_id null, kept true. Null and empty texts: no
 shingles, kept. Repeated rows count as copies of each other, one result row each; of rows that repeat
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shelf, in_batches
+from .shared import Shelf, hot_join, in_batches
 from .words import UNSPACED, Words, chunks, one
 
 RETAINED, FULL, POSTED, LONG_LIST = 128, 256, 64, 24
-#: A family of classes that share long lists is joined in pairs of blocks of about so many of them.
-BLOCK = 300
+#: Classes that share a window are joined in pairs of blocks of about so many of them.
+BLOCK = 1000
+#: Pairs with fewer common windows than this (or than any similar pair of theirs has) are not compared.
+MET = 8
 
 
 def shingle_sets(texts: list, size: int):
@@ -94,6 +99,19 @@ def prefix_length(n: Column, percent: int) -> Column:
     return (F.least(n, F.lit(POSTED)) - least + 1).cast("int")
 
 
+def common_windows(n: Column, percent: int, width: int) -> Column:
+    """So many windows of ``width`` retained values at least a class has in common with one that is similar enough.
+
+    Among the ``drawn`` smallest values of the union (or all, if they are fewer) those that both have are ``common``
+    ones: exactly ``percent`` or more of a small union, by five standard errors otherwise. The others stand between
+    them and each breaks ``width`` - 1 windows at most.
+    """
+    kept = lambda common, drawn: common - (width - 1) * (1 + drawn - common)
+    whole = kept(F.ceil(n * percent / 100), n)
+    sampled = kept(F.floor(RETAINED * (percent / 100 - slack(n, RETAINED, percent))), F.lit(RETAINED))
+    return F.when(100 * n <= percent * RETAINED, whole).when(n <= RETAINED, F.least(whole, sampled)).otherwise(sampled)
+
+
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -116,12 +134,14 @@ def may_link(value: Column, na: Column, nb: Column, percent: int) -> Column:
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """node, root (smallest of its component) of all nodes with edges a, b: alternating large and small stars."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    now = shelf.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    total = 2 * now.count()
     stored = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a star's hub is one key: its rows stay where they are (hot_join)
+        least = shelf.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("degree")).where("degree > 0"), "least")
+        large = hot_join(both.where("b > a"), least, "a", "degree", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = shelf.put(small, "edges")
@@ -201,28 +221,33 @@ class Linker:
         return pairs.join(l, "a", "left").join(r, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
 
     def late_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of long lists across components, each once, estimated in the join itself.
-
-        Classes that share long lists form families; a family is joined block by block, so that the work of a
-        large one is dealt to many tasks of equal size.
-        """
-        long_ = self.prefixes.select("node", "n", F.transform(F.filter("shared", lambda x: x["spread"] > LONG_LIST), lambda x: x["value"]).alias("shared")).where("size(shared) > 0")
-        tied = long_.select(F.explode("shared").alias("a"), F.element_at("shared", 1).alias("b")).where("a <> b").distinct()
-        family = components(tied, self.shelf).withColumnsRenamed({"node": "value", "root": "family"})
-        placed = long_.withColumn("value", F.element_at("shared", 1)).join(family, "value", "left").withColumn("family", F.coalesce("family", "value")).drop("value")
-        placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
-        apart = placed.groupBy("family").agg((F.min("root") < F.max("root")).alias("apart"), blocks).where("apart").select("family", "blocks")
-        side = placed.join(apart, "family").join(self.nodes.select("node", "values"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        side = self.shelf.put(side, "sides")
-        parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        l = side.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).repartition(parts, "family", "i", "j").alias("l")
-        r = side.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).repartition(parts, "family", "i", "j").alias("r")
-        na, nb = F.col("l.n"), F.col("r.n")
-        value = estimate(F.col("l.values"), F.col("r.values"), na, nb)
-        on = (F.col("l.family") == F.col("r.family")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & ((F.col("l.i") < F.col("l.j")) | (F.col("l.node") < F.col("r.node"))) & (F.col("l.root") != F.col("r.root")) & sizes_fit(na, nb, self.percent)
-        on = on & F.arrays_overlap("l.shared", "r.shared") & may_link(value, na, nb, self.percent)
-        return l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), na.alias("na"), nb.alias("nb"))
+        """Pairs of classes of long lists across components that share a window, with their estimates."""
+        shelf, width = self.shelf, 2 if self.percent >= 75 else 1
+        long_ = self.prefixes.where(F.exists("shared", lambda x: x["spread"] > LONG_LIST)).select("node", "n")
+        drawn = F.slice("values", 1, RETAINED)
+        windows = F.transform(F.slice(drawn, F.lit(1), F.greatest(F.lit(0), F.size(drawn) - (width - 1))), lambda x, i: F.xxhash64(x, *[F.get(drawn, i + k) for k in range(1, width)]))
+        posted = shelf.put(long_.join(self.nodes.select("node", "values"), "node").select("node", "n", F.explode(windows).alias("window")), "windows")
+        spread = shelf.put(posted.groupBy("window").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "spread")
+        own = hot_join(posted, spread, "window", "spread", posted.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "window"))).alias("shared"))
+        # of at least ``need`` common windows, ``met`` lie among all but the last need - met of either class
+        need = F.greatest(F.lit(1), common_windows(F.col("n"), self.percent, width))
+        met = F.least(need, F.lit(MET))
+        length = F.greatest(F.lit(0), F.size("shared") - need + met).cast("int")
+        first = own.select("node", "n", met.alias("met"), F.explode(F.slice("shared", F.lit(1), length)).alias("x")).select("node", "n", "met", "x.window")
+        placed = shelf.put(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        shelf.drop(posted)
+        # most classes of a window are often of one component: they meet the others only
+        kinds = placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("window").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("main"))
+        kinds = kinds.where("every > main.c").select("window", "every", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("every") / BLOCK).cast("int").alias("columns"))
+        side = shelf.put(hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count()), "sides")
+        at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+        l = side.where("root <> main").withColumn("i", at("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("l")
+        r = side.withColumn("j", at("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
+        on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("window", "i", "j")]
+        on += [F.col("l.root") != F.col("r.root"), (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")), sizes_fit(F.col("l.n"), F.col("r.n"), self.percent)]
+        pairs = l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), F.least("l.met", "r.met").alias("met"))
+        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("met").alias("met")).where("common >= met").select("a", "b")
+        return self.estimated(pairs).select("a", "b", "na", "nb")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """For each class its most similar partner, and of those that seem similar enough the one that others choose too."""

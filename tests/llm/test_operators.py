@@ -383,3 +383,20 @@ def test_pipeline_stages_follow_each_other(spark, sf):
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
     leaks = {r["doc_id"] for r in queries.op10_decontamination(spark, sf).collect()}
     assert kept and not kept & leaks and len(kept & toxic) <= 0.2 * len(toxic)
+
+
+def test_near_duplicates_of_common_passages(spark):
+    """Texts of nothing but common passages share many values and few windows; copies of them with few changes are linked."""
+    rng = np.random.default_rng(12)
+    word = lambda: "w" + str(rng.integers(0, 10**6))
+    passages = [" ".join(word() for _ in range(30)) for _ in range(12)]
+    rows = [(k, " ".join(passages[j] for j in rng.choice(12, 5, replace=False))) for k in range(150)]
+    for k in range(150, 200):
+        own = rows[int(rng.integers(0, 150))][1].split()
+        for p in rng.integers(0, len(own), rng.integers(1, 7)):
+            own[p] = word()
+        rows.append((k, " ".join(own)))
+    sets = {k: shingles(t, 5) for k, t in rows}
+    for percent in (80, 60):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+        assert got == components(sets, percent)
