@@ -13,13 +13,18 @@ from pyspark.sql import types as T
 from ..functions import kernels
 
 
+#: What a row counts in the number of a pixel; no raster is wider.
+CODE = 1 << 31
+
+
 def per_slide(df: DataFrame, function: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], inputs: list[str], outputs: dict[str, str]) -> DataFrame:
     """All columns of df and the outputs that the function makes of a slide's rasters (missing pixels: 0 or false).
 
-    Only what the kernels need is dealt by slide; with df already dealt by slide there is no further exchange.
+    With df already dealt by slide there is no further exchange. Where df has a column __failed, a slide whose function
+    raises keeps the message there and has empty outputs, and later steps leave it out.
     """
     schema = T.StructType([f for f in df.schema.fields if f.name not in outputs] + [T.StructField(k, T._parse_datatype_string(t)) for k, t in outputs.items()])
-    names = [f.name for f in schema.fields]
+    names, guarded = [f.name for f in schema.fields], "__failed" in df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
@@ -31,7 +36,14 @@ def per_slide(df: DataFrame, function: Callable[[dict[str, np.ndarray]], dict[st
             values = pdf[name].to_numpy()
             rasters[name] = np.zeros(shape, values.dtype if values.dtype != object else bool)
             rasters[name][r, c] = values
-        made = function(rasters)
+        try:
+            made = function(rasters) if not guarded or pd.isna(pdf["__failed"].iloc[0]) else None
+        except Exception as e:  # the slide's own failure is its result
+            if not guarded:
+                raise
+            made, pdf = None, pdf.assign(__failed=f"{type(e).__name__}: {e}")
+        if made is None:
+            made = {k: np.zeros(shape, bool if t == "boolean" else float if t == "double" else int) for k, t in outputs.items()}
         return pdf.assign(**{k: made[k][r, c] for k in outputs})[names]
 
     return df.groupBy("slide_id").applyInPandas(run, schema)
@@ -70,7 +82,7 @@ def open_disk(df: DataFrame, mask: str, radius: int = 25, name: str | None = Non
 
 
 def label_components(df: DataFrame, mask: str, connectivity: int = 8, name: str = "label") -> DataFrame:
-    """Adds each mask pixel's component, named by its first pixel (r * 65536 + c of the least), null outside."""
+    """Adds each mask pixel's component, named by its first pixel (r * CODE + c of the least), null outside."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +90,7 @@ def label_components(df: DataFrame, mask: str, connectivity: int = 8, name: str
         raster = np.zeros((int(r.max()) + 1, int(c.max()) + 1), bool)
         raster[r, c] = m
         labels = kernels.label(raster, connectivity)[r, c]
-        code = r.astype(np.int64) * 65536 + c
+        code = r.astype(np.int64) * CODE + c
         first = np.full(labels.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, labels, code)
         return pdf.assign(**{name: pd.Series(first[labels], index=pdf.index).astype("Int64").where(pd.Series(m, index=pdf.index))})

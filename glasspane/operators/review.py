@@ -68,8 +68,14 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Colu
     return hits % 2 == 1
 
 
+#: Edges of a drawing.
+MOST_EDGES = 10_000
+
+
 def lasso_ids(df: DataFrame, key: str, x: str, y: str, polygon: DataFrame) -> DataFrame:
-    """key of rows in polygons given as edges (x1, y1, x2, y2): a drawing, so a few rows."""
+    """key of rows in polygons given as edges (x1, y1, x2, y2): a drawing, of MOST_EDGES edges at most, is broadcast."""
+    if polygon.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"a drawing of over {MOST_EDGES} edges")
     met = df.select(key, x, y).join(F.broadcast(polygon), crosses(F.col(x), F.col(y)))
     return met.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select(key)
 
@@ -84,10 +90,15 @@ def ordered(df: DataFrame, column: str, key: str, ascending: bool = True, as_tex
 
 
 def page(df: DataFrame, column: str, key: str, number: int, size: int = 25, ascending: bool = True) -> DataFrame:
-    """One page of a sorted table; a page beyond the last shows the last. Only a top-k is ever sorted whole."""
+    """One page of a sorted table; a page beyond the last shows the last.
+
+    Rows are numbered by ranges (``ranked``), so a late page costs what an early one does and no task holds those before it.
+    """
     pages = max(1, -(-df.count() // size))
     at = min(max(0, number), pages - 1)
-    return ordered(df, column, key, ascending).limit((at + 1) * size).offset(at * size)
+    value = F.col(column).asc_nulls_first() if ascending else F.col(column).desc_nulls_last()
+    shown = ranked(df, [value, F.col(key)], "__place").where(F.col("__place").between(at * size + 1, (at + 1) * size))
+    return shown.orderBy("__place").select(*df.columns)
 
 
 # --- totals and summaries -------------------------------------------------------------------------

@@ -18,14 +18,13 @@ def over(mask: str | None, value: Column, invert: bool = False) -> Column:
 
 
 def brightness(df: DataFrame, space: str | None = None, mask: str | None = None, invert: bool = False, prefix: str = "") -> DataFrame:
-    """Mean and population deviation of luminance, or of each channel of a colour space, over the mask."""
+    """Mean and population deviation of luminance, or of each channel of a colour space, over the mask (empty: the sentinel, and 0)."""
     values = {f"{prefix}grayscale_brightness": gray()} if space is None else {f"{prefix}chan{k}_brightness": v for k, v in enumerate(converted(space), 1)}
     tail = "" if space in (None, "RGB") else f"_{space}"
     aggregates = []
     for name, value in values.items():
         own = over(mask, value, invert)
-        empty = F.lit(0.0) if space is None else F.lit(NOT_COMPUTABLE)
-        aggregates += [F.coalesce(F.avg(own), F.lit(NOT_COMPUTABLE)).alias(name + tail), F.coalesce(F.stddev_pop(own), empty).alias(f"{name}_std{tail}")]
+        aggregates += [F.coalesce(F.avg(own), F.lit(NOT_COMPUTABLE)).alias(name + tail), F.coalesce(F.stddev_pop(own), F.lit(0.0)).alias(f"{name}_std{tail}")]
     return df.groupBy("slide_id").agg(*aggregates)
 
 
@@ -74,28 +73,36 @@ def stains(df: DataFrame, stain: str = "hed", mask: str | None = None, prefix: s
 
 
 def sampled_corners(df: DataFrame, mask: str | None, patches: int, seed: int = 0) -> DataFrame:
-    """slide_id, patch, r0, c0: top-left corners of patches, drawn by a hash of the place.
+    """slide_id, patch, r0, c0: top-left corners of patches, drawn with replacement from the mask's places.
 
-    With replacement, as patch i takes the place whose hash with i is least; smaller masks repeat places.
+    Patch i takes the place whose rank (by row, then column) is a hash of seed, slide and i modulo the mask's size. Ranks
+    come from counts by row, so that no task orders a whole slide.
     """
-    own = df.where(F.col(mask)) if mask else df
-    order = F.xxhash64(F.lit(seed), "slide_id", "r", "c")
-    first = own.select("slide_id", "r", "c", order.alias("h")).selectExpr("*", "row_number() over (partition by slide_id order by h, r, c) as k").where(F.col("k") <= patches)
-    ranked = first.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("h", "r", "c"))).alias("p"))  # at most `patches` places
-    chosen = ranked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(patches - 1)))).withColumn("x", F.get("p", F.col("i") % F.size("p")))
-    return chosen.select("slide_id", F.col("i").alias("patch"), F.col("x.r").alias("r0"), F.col("x.c").alias("c0"))
+    own = (df.where(F.col(mask)) if mask else df).select("slide_id", "r", "c")
+    rows = own.groupBy("slide_id", "r").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.selectExpr("*", "sum(n) over (partition by slide_id order by r) - n as before", "sum(n) over (partition by slide_id) as size")
+    drawn = rows.select("slide_id", "size").distinct().select("slide_id", "size", F.explode(F.sequence(F.lit(0), F.lit(patches - 1))).alias("patch"))
+    rank = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("slide_id"), F.col("patch"))), 1, 15), 16, 10).cast("long") % F.col("size")
+    at = drawn.withColumn("rank", rank).join(rows.drop("size"), "slide_id").where("rank >= before and rank < before + n").select("slide_id", "patch", "r", (F.col("rank") - F.col("before") + 1).alias("k"))
+    ranked = own.join(at.select("slide_id", "r").distinct(), ["slide_id", "r"], "left_semi").selectExpr("*", "row_number() over (partition by slide_id, r order by c) as k")
+    return at.join(ranked, ["slide_id", "r", "k"]).select("slide_id", "patch", F.col("r").alias("r0"), F.col("c").alias("c0"))
 
 
 def texture(df: DataFrame, corners: DataFrame, side: int = 32, levels: int = 8, distance: int = 5) -> DataFrame:
-    """slide_id and mean and deviation over patches of the co-occurrence properties, pairs ``distance`` to the right."""
+    """slide_id and mean and deviation over patches of the co-occurrence properties, pairs ``distance`` to the right.
+
+    Patches are rolled out into their places, which meet the pixels one to one.
+    """
     level = F.ceil(F.round(gray() * (levels - 1), 9)).cast("int")
     shades = df.select("slide_id", "r", "c", level.alias("i"))
     beyond = shades.select("slide_id", "r", (F.col("c") - distance).alias("c"), F.col("i").alias("j"))
     pairs = shades.join(beyond, ["slide_id", "r", "c"])
-    k = corners.select("slide_id", "patch", "r0", "c0")
-    inside = (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + side) & (F.col("c") >= F.col("c0")) & (F.col("c") + distance < F.col("c0") + side)
+    if side <= distance:
+        raise ValueError("a patch must be wider than the distance of its pairs")
+    k = corners.select("slide_id", "patch", "c0", F.explode(F.sequence(F.col("r0"), F.col("r0") + side - 1)).alias("r"))
+    k = k.select("slide_id", "patch", "r", F.explode(F.sequence(F.col("c0"), F.col("c0") + side - 1 - distance)).alias("c"))
     # a pair counts both ways
-    both = pairs.join(k, "slide_id").where(inside).select("slide_id", "patch", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"))
+    both = pairs.join(k, ["slide_id", "r", "c"]).select("slide_id", "patch", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"))
     cells = both.groupBy("slide_id", "patch", "p.i", "p.j").agg(F.count(F.lit(1)).alias("n"))
     return texture_properties(cells)
 

@@ -134,8 +134,9 @@ def minimum_neighbourhood(s: State, p: Params) -> State:
 
 @operator("brightest", params="invert mask_statistics")
 def brightest(s: State, p: Params) -> State:
-    df = s.df.join(masks.bright_cluster_level(s.df), "slide_id")
-    m = gray() > F.coalesce("level", F.lit(2.0))
+    level = s.own("level")
+    df = s.df.join(masks.bright_cluster_level(s.df).select("slide_id", F.col("level").alias(level)), "slide_id")
+    m = gray() > F.coalesce(level, F.lit(2.0))
     return s.narrowed(F.col(s.use) & (~m if truth(p, "invert", False) else m), "brightestPixels", p.get("mask_statistics"), "brightest", df=df)
 
 

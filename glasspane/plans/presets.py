@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .pipeline import Step
 
+#: Parameters of the published pipelines (fixed values).
 _PARAMS = {
     "intensity:tissue": {"name": "bright", "upper_threshold": ".9", "lower_std": "10"},
     "intensity:dark": {"name": "dark", "upper_threshold": ".15", "invert": "true"},
@@ -30,7 +31,7 @@ _COLOUR = "template_distance histogram contrast brightness channel_brightness:RG
 _CLEAN = "fat_like fill_holes remove_small"
 _END = "keep final"
 
-#: Classifier steps of these pipelines need exemplar pictures and are added by the caller.
+#: Order of steps of the published pipelines (fixed values). Classifier steps of these pipelines need exemplar pictures and are added by the caller.
 _STEPS = {
     "default": f"basic_stats intensity:tissue intensity:dark smoothness {_CLEAN} blur spur area {_COLOUR} {_END}",
     "light": f"basic_stats intensity:tissue smoothness intensity:dark fill_holes remove_small blur spur area {_END}",

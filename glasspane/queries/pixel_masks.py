@@ -187,7 +187,7 @@ def open_disk(spark, d):
 def lab(name: str, source: str, connectivity: int) -> str:
     """A keyed recursion: each pixel of ``source`` (slide_id, r, c) ends with the least code of its component."""
     near = "abs(n.r - l.r) + abs(n.c - l.c) = 1" if connectivity == 4 else "abs(n.r - l.r) <= 1 AND abs(n.c - l.c) <= 1"
-    return f"""{name}(slide_id, r, c, l) USING KEY (slide_id, r, c) AS (SELECT slide_id, r, c, (r * 65536 + c)::BIGINT FROM {source} UNION
+    return f"""{name}(slide_id, r, c, l) USING KEY (slide_id, r, c) AS (SELECT slide_id, r, c, (r::BIGINT * 2147483648 + c) FROM {source} UNION
   SELECT n.slide_id, n.r, n.c, min(l.l) FROM {name} l JOIN {source} n ON n.slide_id = l.slide_id AND n.r BETWEEN l.r - 1 AND l.r + 1 AND {near} JOIN recurring.{name} k ON k.slide_id = n.slide_id AND k.r = n.r AND k.c = n.c WHERE l.l < k.l GROUP BY ALL)"""
 
 
@@ -272,14 +272,14 @@ def decimated_thumbnail(spark, d):
 
 @query(
     "nearest_resize",
-    f"""WITH {PX}, s AS (SELECT slide_id, r, c, red FROM px WHERE r < 32 AND c < 32)
+    f"""WITH {PX}, s AS (SELECT slide_id, r // 2 AS r, c // 2 AS c, red FROM px WHERE r % 2 = 0 AND c % 2 = 0)
 SELECT p.slide_id, count(*) AS n, count(s.red) AS met, sum(s.red)::BIGINT AS total FROM px p LEFT JOIN s ON s.slide_id = p.slide_id AND s.r = floor((p.r + 0.5) * 32 / 64)::INT AND s.c = floor((p.c + 0.5) * 32 / 64)::INT GROUP BY p.slide_id""",
 )
 def nearest_resize(spark, d):
-    from ..sources.pixels import cropped
-
+    """A picture of half the size, every second pixel of every second row, brought back to the whole slide's size."""
     px = pixels(spark, d)
-    df = neighbourhood.resized(cropped(px, 0, 0, 32, 32), "red", 64, 32, px, "small")
+    half = px.where("r % 2 = 0 and c % 2 = 0").selectExpr("slide_id", "cast(r div 2 as int) as r", "cast(c div 2 as int) as c", "red")
+    df = neighbourhood.resized(half, "red", 64, 32, px, "small")
     return df.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.count("small").alias("met"), F.sum("small").alias("total"))
 
 

@@ -46,14 +46,19 @@ def empty_mask_brightness(spark, d):
     return rounded(stats.brightness(pixels(spark, d).withColumn("m", F.col("red") > 300), None, "m"))
 
 
-@query("channel_brightness_rgb", f"WITH {PX} " + _moments(_channels(["red::DOUBLE", "green::DOUBLE", "blue::DOUBLE"], ""), f"red < {TISSUE}", "-100.0"))
+@query("empty_mask_channels", f"WITH {PX} " + _moments(_channels(["red::DOUBLE", "green::DOUBLE", "blue::DOUBLE"], ""), "red > 300", "0.0"))
+def empty_mask_channels(spark, d):
+    return rounded(stats.brightness(pixels(spark, d).withColumn("m", F.col("red") > 300), "RGB", "m"))
+
+
+@query("channel_brightness_rgb", f"WITH {PX} " + _moments(_channels(["red::DOUBLE", "green::DOUBLE", "blue::DOUBLE"], ""), f"red < {TISSUE}", "0.0"))
 def channel_brightness_rgb(spark, d):
     return rounded(stats.brightness(masked(spark, d), "RGB", "m"))
 
 
 def _linear(space: str, offsets=(0.0, 0.0, 0.0)) -> str:
     rows = [" + ".join(f"{w!r}::DOUBLE * ({n} / 255.0::DOUBLE)" for w, n in zip(row, ("red", "green", "blue"))) + f" + {o!r}::DOUBLE" for row, o in zip(LINEAR[space], offsets)]
-    return f"WITH {PX} " + _moments(_channels(rows, f"_{space}"), f"red < {TISSUE}", "-100.0")
+    return f"WITH {PX} " + _moments(_channels(rows, f"_{space}"), f"red < {TISSUE}", "0.0")
 
 
 @query("channel_brightness_yuv", _linear("YUV"))
@@ -86,7 +91,7 @@ h AS (SELECT *, (CASE WHEN t = l THEN 0.0 WHEN a = t THEN (b - e) / (t - l) WHEN
 px AS (SELECT slide_id, red, CASE WHEN x < 0 THEN x + 1.0 ELSE x END AS hue, CASE WHEN t = 0 THEN 0.0 ELSE (t - l) / t END AS sat, t AS val FROM h) """
 
 
-@query("channel_brightness_hsv", _HSV + _moments(_channels(["hue", "sat", "val"], "_HSV"), f"red < {TISSUE}", "-100.0"))
+@query("channel_brightness_hsv", _HSV + _moments(_channels(["hue", "sat", "val"], "_HSV"), f"red < {TISSUE}", "0.0"))
 def channel_brightness_hsv(spark, d):
     return rounded(stats.brightness(masked(spark, d), "HSV", "m"))
 
@@ -96,7 +101,7 @@ def _xyz() -> str:
 
     lin = lambda n: f"(CASE WHEN {n} / 255.0::DOUBLE > 0.04045::DOUBLE THEN pow(({n} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) ELSE {n} / 255.0::DOUBLE / 12.92::DOUBLE END)"
     rows = [" + ".join(f"{w!r}::DOUBLE * {lin(n)}" for w, n in zip(row, ("red", "green", "blue"))) for row in XYZ]
-    return f"WITH {PX} " + _moments(_channels(rows, "_XYZ"), f"red < {TISSUE}", "-100.0")
+    return f"WITH {PX} " + _moments(_channels(rows, "_XYZ"), f"red < {TISSUE}", "0.0")
 
 
 @query("channel_brightness_xyz", _xyz())
@@ -173,11 +178,16 @@ def glcm_features(spark, d):
     return rounded(stats.texture(df, chosen, side=16, levels=8))
 
 
-@query("glcm_sampled")
+_SAMPLED = f"""o AS (SELECT slide_id, r, c, row_number() OVER (PARTITION BY slide_id ORDER BY r, c) - 1 AS k, count(*) OVER (PARTITION BY slide_id) AS n FROM px WHERE red < {TISSUE}),
+y AS (SELECT DISTINCT slide_id, n, i FROM o, range(20) x(i)),
+k AS (SELECT slide_id, i AS patch, r AS r0, c AS c0 FROM y JOIN o USING (slide_id, n) WHERE k = ('0x' || substr(md5('0:' || slide_id || ':' || i), 1, 15))::BIGINT % n)"""
+
+
+@query("glcm_sampled", _GLCM[: _GLCM.index("k AS (")] + _SAMPLED + _GLCM[_GLCM.index(",\np AS (") :])
 def glcm_sampled(spark, d):
     """Texture over patches drawn by hash, as pipelines do."""
     df = masked(spark, d)
-    return stats.texture(df, stats.sampled_corners(df, "m", 20), side=16)
+    return rounded(stats.texture(df, stats.sampled_corners(df, "m", 20), side=16))
 
 
 # --- tiles ----------------------------------------------------------------------------------------------
@@ -301,8 +311,8 @@ def bright_kmeans(spark, d):
 
 @query("cohort_clusters")
 def cohort_clusters(spark, d):
-    wide = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(8)])
-    return learning.cohort_clusters(wide, "vec_id", [f"f{k}" for k in range(8)], 5)
+    wide = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(64)])
+    return learning.cohort_clusters(wide, "vec_id", [f"f{k}" for k in range(64)], 5)
 
 
 _SCORES = f"""WITH p AS (SELECT vec_id, label, d, embedding[d + 1]::DOUBLE AS x FROM embeddings, range(64) t(d)), k AS (SELECT label, d, avg(x) AS m FROM p GROUP BY ALL), w AS (SELECT d, avg(x) AS w FROM p GROUP BY d),

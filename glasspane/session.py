@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,19 +31,21 @@ def stored(df: DataFrame) -> DataFrame:
     """The frame written to the folder that all executors share, with its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glasspane-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glasspane-"))
     return df.checkpoint(eager=True)
 
 
 def ranked(df: DataFrame, order: list, name: str = "place") -> DataFrame:
-    """Adds each row's place (from 1) in a total order, without one task for all rows.
+    """Adds each row's place (from 1) in a total order (columns, ascending or with a direction), without one task for all rows.
 
     Rows are dealt by range and numbered within their range; the counts of the ranges before are added. The dealt
     rows are stored first, since two reads of a range partitioning need not agree.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__key", F.struct(*order))
-    dealt = stored(keyed.repartitionByRange(parts, "__key").withColumn("__part", F.spark_partition_id()))
+    dealt = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     before = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).selectExpr("__part", "sum(__n) over (order by __part) - __n as __before")  # a row a partition
-    inner = dealt.selectExpr("*", "row_number() over (partition by __part order by __key) as __row")
-    return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__part", "__row", "__before", "__key")
+    inner = dealt.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return inner.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__part", "__row", "__before")
