@@ -194,6 +194,18 @@ def local_otsu(a: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def png(layers: np.ndarray) -> bytes:
+    """A picture of (height, width, 1 or 3) bytes."""
+    import struct
+    import zlib
+
+    h, w, n = layers.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate((np.zeros((h, 1), np.uint8), layers.reshape(h, w * n)), axis=1)
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if n == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def outline(mask: np.ndarray) -> list[tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]]:
     """(outer ring, holes) of each component, as closed rings of pixel corners (x, y) along the pixels' edges."""
     found = []

@@ -49,6 +49,23 @@ def xml_regions(spark: SparkSession, path: str) -> DataFrame:
     return each.select("uri", "position", F.lit(0).alias("part"), outer.alias("outer"), F.array().cast(f"array<{POINT}>").alias("holes"), F.col("raw_label").alias("label"), "raw_label")
 
 
+#: Readers of annotation files by the name of their format.
+READERS = {
+    "geojson": lambda spark, path: geojson_regions(spark.read.text(path, wholetext=True).select(F.col("value").alias("json"), F.col("_metadata.file_path").alias("uri"))),
+    "json": lambda spark, path: READERS["geojson"](spark, path),
+    "xml": lambda spark, path: xml_regions(spark, path),
+}
+
+
+def regions_by_slide(spark: SparkSession, folder: str, kind: str, suffix: str = "") -> DataFrame | None:
+    """Regions of the files <slide><suffix>.<kind> of a folder, with slide_id as text; None for a kind without a reader."""
+    if kind.lower() not in READERS:
+        return None
+    regions = READERS[kind.lower()](spark, f"{folder.rstrip('/')}/*{suffix}.{kind}")
+    name = F.element_at(F.split("uri", "/"), -1)
+    return regions.withColumn("slide_id", F.substring(name, F.lit(1), F.length(name) - len(f"{suffix}.{kind}")))
+
+
 def valid(regions: DataFrame) -> DataFrame:
     """Without regions of fewer than three outer points, and without holes of fewer than three points."""
     return regions.where(F.size("outer") >= 3).withColumn("holes", F.filter("holes", lambda h: F.size(h) >= 3))

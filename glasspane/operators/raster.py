@@ -116,24 +116,42 @@ def features(df: DataFrame, value: str, wanted: dict[str, Callable[[np.ndarray],
     return per_slide(df, lambda x: {k: f(x[value].astype(float)) for k, f in wanted.items()}, [value], {k: "double" for k in wanted})
 
 
-def gabor_bank() -> dict[str, Callable[[np.ndarray], np.ndarray]]:
-    bank = {}
-    for t in range(4):
-        for sigma in (1, 3):
-            for frequency in (0.05, 0.25):
-                bank[f"gabor_{t}_{sigma}_{int(frequency * 100)}"] = lambda a, t=t, s=sigma, f=frequency: kernels.gabor(a, f, t * np.pi / 4, s)
-    return bank
-
-
-#: Pixel features by name.
-FEATURES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "laplace": kernels.laplacian,
-    "gaussian": lambda a: kernels.gaussian(a, 1.0),
-    "median": lambda a: kernels.median(a, 3),
-    "frangi": kernels.ridges,
-    "lbp": kernels.binary_pattern,
-    **gabor_bank(),
-}
+def features_with(laplace_size=3, scales=(1, 3, 5, 7, 9), beta=0.5, gamma=15.0, dark_ridges=True, thetas=4, sigmas=(1, 3), frequencies=(0.05, 0.25), lbp_points=24, lbp_radius=3.0, lbp_method="default", median_radius=3, gaussian_sigma=1.0) -> dict[str, Callable[[np.ndarray], np.ndarray]]:
+    """Pixel features by name; the angles of the Gabor bank are quarters of half a turn."""
+    if laplace_size != 3:
+        raise ValueError("the Laplacian is that of the nearest four")
+    if lbp_method != "default":
+        raise ValueError(f"no such binary pattern: {lbp_method}")
+    made: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+        "laplace": kernels.laplacian,
+        "gaussian": lambda a: kernels.gaussian(a, gaussian_sigma),
+        "median": lambda a: kernels.median(a, median_radius),
+        "frangi": lambda a: kernels.ridges(a if dark_ridges else -a, scales, beta, gamma),
+        "lbp": lambda a: kernels.binary_pattern(a, lbp_points, lbp_radius),
+    }
+    for t in range(thetas):
+        for sigma in sigmas:
+            for frequency in frequencies:
+                made[f"gabor_{t}_{sigma:g}_{round(frequency * 100):d}"] = lambda a, t=t, s=sigma, f=frequency: kernels.gabor(a, f, t * np.pi / 4, s)
+    return made
+
+
+#: Pixel features by name, as they are without parameters.
+FEATURES = features_with()
+
+
+def pictures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """slide_id, png: a picture of each slide, of one boolean column (white where it holds) or of three colours."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(pdf["r"].max()) + 1, int(pdf["c"].max()) + 1)
+        layers = np.zeros((*shape, len(columns)), np.uint8)
+        for k, name in enumerate(columns):
+            values = pdf[name].to_numpy()
+            layers[pdf["r"], pdf["c"], k] = values.astype(bool) * 255 if len(columns) == 1 else values
+        return pd.DataFrame({"slide_id": [pdf["slide_id"].iloc[0]], "png": [kernels.png(layers)]})
+
+    return df.select("slide_id", "r", "c", *columns).groupBy("slide_id").applyInPandas(run, T.StructType([df.schema["slide_id"], T.StructField("png", T.BinaryType())]))
 
 
 def ridge_share(df: DataFrame, window: int = 2048, least: int = 100, name: str = "roi") -> DataFrame:

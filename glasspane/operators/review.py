@@ -101,6 +101,16 @@ def page(df: DataFrame, column: str, key: str, number: int, size: int = 25, asce
     return shown.orderBy("__place").select(*df.columns)
 
 
+def row_numbers(df: DataFrame, key: str) -> DataFrame:
+    """The table with row, each key's place from 0 in the order of keys: both ways between ids and rows are a join or filter."""
+    return ranked(df, [F.col(key)], "row").withColumn("row", F.col("row") - 1)
+
+
+def random_subset(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows (or all) drawn by a hash of the key: the same ones on every run, and a top-k rather than a shuffle of all."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), key).limit(n)
+
+
 # --- totals and summaries -------------------------------------------------------------------------
 
 
@@ -118,6 +128,18 @@ def group_totals(df: DataFrame, by: list[str], columns: list[str], nested: bool
     return grouped.agg(F.grouping_id().cast("long").alias("level"), *aggregates) if nested else grouped.agg(*aggregates)
 
 
+def ordered_groups(df: DataFrame, by: str, aggregators: dict[str, Column], values: list | None = None, order: list[Column] | None = None) -> DataFrame:
+    """Groups of a column with any aggregates by name; values: groups that are shown even where they are empty, and no others.
+
+    order: what groups are compared by, aggregates included; place (from 1) is a group's place.
+    """
+    grouped = df.groupBy(by).agg(*[a.alias(n) for n, a in aggregators.items()])
+    if values is not None:
+        fixed = df.sparkSession.createDataFrame([(v,) for v in values], f"{by} {df.schema[by].dataType.simpleString()}")
+        grouped = fixed.join(grouped, by, "left")
+    return ranked(grouped, [*(order or []), F.col(by)])
+
+
 def axis_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """axis, count, mean, std (of the sample), min, max; mean and std to three places."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")

@@ -10,6 +10,7 @@ import configparser
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ class State:
     slides: DataFrame | None = None
     templates: DataFrame | None = None
     given: dict[str, DataFrame] = field(default_factory=dict)
+    outputs: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = ()
+    notes: tuple[str, ...] = ()
 
     def narrowed(self, use: Column, metric: str | None, mode: str | None = None, warn: str | None = None, df: DataFrame | None = None) -> State:
         name = f"use_{int(self.use.split('_')[1]) + 1}"
@@ -44,6 +47,12 @@ class State:
     def with_frame(self, frame: Callable[[DataFrame], DataFrame]) -> State:
         return replace(self, frames=(*self.frames, frame))
 
+    def with_output(self, name: str, output: Callable[[DataFrame], DataFrame]) -> State:
+        return replace(self, outputs=(*self.outputs, (name, output)))
+
+    def noted(self, text: str) -> State:
+        return replace(self, notes=(*self.notes, text))
+
     def own(self, name: str) -> str:
         """A column of the present step alone, so that a step can come twice."""
         return f"__{name}_{len(self.done)}"
@@ -56,6 +65,7 @@ class Operator:
     params: frozenset[str]
 
 
+#: Steps by name. Names of their parameters must be those of configuration files (fixed values).
 OPERATORS: dict[str, Operator] = {}
 
 
@@ -116,8 +126,18 @@ def intensity(s: State, p: Params) -> State:
     return s.narrowed(F.col(s.use) & m, name, p.get("mask_statistics"), "intensity")
 
 
-@operator("otsu", params="name invert mask_statistics")
+@operator("otsu", params="name invert local radius mask_statistics")
 def otsu(s: State, p: Params) -> State:
+    """One threshold for a slide, or (local) for each pixel that of the bytes under a disk around it."""
+    if truth(p, "local", False):
+        from ..functions import kernels
+
+        limit, radius = s.own("limit"), int(number(p, "radius", 15))
+        df = raster.per_slide(s.df.withColumn("__g8", gray8()), lambda x: {limit: kernels.local_otsu(x["__g8"], radius)}, ["__g8"], {limit: "int"})
+        dark = F.col("__g8") < F.col(limit)
+        mark = s.own("otsu")
+        df = df.withColumn(mark, ~dark if truth(p, "invert", False) else dark)
+        return s.narrowed(F.col(s.use) & F.col(mark), p.get("name", "otsu"), p.get("mask_statistics"), "otsu", df=df)
     df = masks.otsu(s.df, truth(p, "invert", False), "__otsu")
     return s.narrowed(F.col(s.use) & F.col("__otsu"), p.get("name", "otsu"), p.get("mask_statistics"), "otsu", df=df.drop("threshold"))
 
@@ -256,12 +276,20 @@ def final(s: State, p: Params) -> State:
 
 @operator("keep", params="use_mask overlay")
 def keep(s: State, p: Params) -> State:
-    return replace(s, df=s.df.withColumn("final", masks.forced_out(F.col(s.use), *[F.col(m) for m in s.forced])))
+    """The final mask as a column and as pictures: the mask, and the slide with what is left out tinted."""
+    made = replace(s, df=s.df.withColumn("final", masks.forced_out(F.col(s.use), *[F.col(m) for m in s.forced])))
+    overlay = [F.when(F.col("final"), F.col(n)).otherwise(F.col(n) / 2 + add).cast("int").alias(n) for n, add in (("red", 0), ("green", 127), ("blue", 0))]
+    made = made.with_output("mask_use", lambda df: raster.pictures(df, ["final"]))
+    return made.with_output("fuse", lambda df: raster.pictures(df.select("slide_id", "r", "c", *overlay), ["red", "green", "blue"]))
 
 
 @operator("keep_named", params="suffix")
 def keep_named(s: State, p: Params) -> State:
-    return replace(s, df=s.df.withColumn(p["suffix"], F.col(s.use))) if "suffix" in p else s
+    """The present mask under a name, as a column and as a picture."""
+    name = p.get("suffix")
+    if not name:
+        return s.noted("Please set the suffix for mask use.")
+    return replace(s, df=s.df.withColumn(name, F.col(s.use))).with_output(name, lambda df: raster.pictures(df, [name]))
 
 
 @operator("equalise")
@@ -285,13 +313,41 @@ def given(s: State, kind: str, name: str | None) -> DataFrame:
     return found
 
 
-def with_features(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+def features_of(p: Params) -> dict[str, Callable]:
+    """The registered features with the parameters that a step gives them."""
+    numbers = lambda key, default: tuple(float(x) for x in p.get(key, default).strip("() ").split(",") if x.strip())
+    low, high = numbers("frangi_scale_range", "(1, 10)")
+    return raster.features_with(
+        laplace_size=int(number(p, "laplace_ksize", 3)),
+        scales=tuple(np.arange(low, high, number(p, "frangi_scale_step", 2))),
+        beta=number(p, "frangi_beta1", 0.5),
+        gamma=number(p, "frangi_beta2", 15),
+        dark_ridges=truth(p, "frangi_black_ridges", True),
+        thetas=int(number(p, "gabor_theta", 4)),
+        sigmas=numbers("gabor_sigma", "(1,3)"),
+        frequencies=numbers("gabor_frequency", "(0.05, 0.25)"),
+        lbp_points=int(number(p, "lbp_points", 24)),
+        lbp_radius=number(p, "lbp_radius", 3),
+        lbp_method=p.get("lbp_method", "default"),
+        median_radius=int(number(p, "median_disk_size", 3)),
+        gaussian_sigma=number(p, "gaussian_sigma", 1),
+    )
+
+
+def with_features(df: DataFrame, names: list[str], params: Params | None = None) -> tuple[DataFrame, list[str]]:
     """Pixels with the named features, and the columns that they make."""
-    columns = [c for n in names for c in (["red", "green", "blue"] if n == "rgb" else [k for k in raster.FEATURES if k == n or k.startswith(f"{n}_")])]
-    unknown = [n for n in names if n != "rgb" and not any(k == n or k.startswith(f"{n}_") for k in raster.FEATURES)]
+    known = features_of(params or {})
+    if "gaussian" in names and truth(params or {}, "gaussian_multichan", False):
+        sigma = number(params, "gaussian_sigma", 1)
+        for channel in ("red", "green", "blue"):
+            df = raster.blurred(df, channel, sigma, f"gaussian_{channel}")
+        rest, columns = with_features(df, [n for n in names if n != "gaussian"], params)
+        return rest, [*columns, "gaussian_red", "gaussian_green", "gaussian_blue"]
+    columns = [c for n in names for c in (["red", "green", "blue"] if n == "rgb" else [k for k in known if k == n or k.startswith(f"{n}_")])]
+    unknown = [n for n in names if n != "rgb" and not any(k == n or k.startswith(f"{n}_") for k in known)]
     if unknown:
         raise NameError(f"no such feature: {', '.join(unknown)}")
-    wanted = {c: raster.FEATURES[c] for c in columns if c in raster.FEATURES}
+    wanted = {c: known[c] for c in columns if c in known}
     return (raster.features(df.withColumn("__g", gray()), "__g", wanted) if wanted else df), columns
 
 
@@ -300,9 +356,9 @@ def classify_examples(s: State, p: Params) -> State:
     """Takes off what a forest, fitted to given example pixels with labels, marks; the mark is forced off at the end too."""
     name = p.get("name", "classTask")
     names = [x.split("#")[0].strip() for x in p.get("features", "rgb").split("\n")]
-    examples, columns = with_features(given(s, "examples", name), [x for x in names if x])
+    examples, columns = with_features(given(s, "examples", name), [x for x in names if x], p)
     model = learning.forest(learning.sampled(examples, number(p, "nsamples_per_example", -1)), columns)
-    marked, mark = with_features(s.df, [x for x in names if x])[0], s.own("mark")
+    marked, mark = with_features(s.df, [x for x in names if x], p)[0], s.own("mark")
     marked = learning.probability(model, marked, columns, "__p").withColumn(mark, F.col("__p") > number(p, "threshold", 0.5))
     marked = raster.remove_small(marked.drop("__p", "__g", *[c for c in columns if c not in s.df.columns]), mark, int(number(p, "area_threshold", 5)))
     if side := int(number(p, "dilate_kernel_size", 0)):
@@ -315,6 +371,11 @@ def classify_examples(s: State, p: Params) -> State:
 @operator("annotation", params="format file_path suffix mask_statistics")
 def annotation(s: State, p: Params) -> State:
     """Keeps what lies in the given regions of each slide; slides without regions are left whole, with a warning's metric of 0."""
+    if "regions" not in s.given and p.get("file_path"):
+        found = annotations.regions_by_slide(s.df.sparkSession, p["file_path"], p.get("format", "xml"), p.get("suffix", ""))
+        if found is None:
+            return s.noted(f"unsupported file format '{p.get('format')}'. Skipping...")
+        s = replace(s, given={**s.given, "regions": found.withColumn("slide_id", F.col("slide_id").cast(s.df.schema["slide_id"].dataType))})
     regions = annotations.valid(given(s, "regions", None))
     mask, there = s.own("annotated"), s.own("there")
     known = regions.select("slide_id", F.lit(True).alias(there)).distinct()
@@ -335,10 +396,39 @@ def extract(s: State, p: Params) -> State:
     return s.with_frame(lambda df: tiles.as_json(tiles.extract_tiles(df, s.use, int(scale * 1_000_000), 1_000_000, int(number(p, "tile_size", 256)), int(number(p, "tile_stride", 256)), number(p, "tissue_ratio", 0.5))))
 
 
-@operator("picture", params="dim small_dim image_work_size suffix mask_name")
-def picture(s: State, p: Params) -> State:
-    """Steps that only write pictures; masks and thumbnails are tables here."""
-    return s
+@operator("macro", params="small_dim")
+def macro(s: State, p: Params) -> State:
+    """The slides' overview pictures, a given table of pixels "macro", no side longer than ``small_dim``; without it a warning."""
+    if "macro" not in s.given:
+        return s.noted("Can't Read 'macro' Image from Slide's Associated Images")
+    return s.with_output("macro", lambda df: raster.pictures(within(s.given["macro"], int(number(p, "small_dim", 500))), ["red", "green", "blue"]))
+
+
+def within(df: DataFrame, longest: int) -> DataFrame:
+    """Pixels of each slide, of which squares are averaged so that no side is longer."""
+    sides = df.groupBy("slide_id").agg(F.ceil((F.greatest(F.max("r"), F.max("c")) + 1) / longest).cast("int").alias("__by"))
+    means = [F.bround(F.avg(n)).cast("int").alias(n) for n in ("red", "green", "blue")]
+    return df.join(sides, "slide_id").groupBy("slide_id", F.expr("cast(r div __by as int)").alias("r"), F.expr("cast(c div __by as int)").alias("c")).agg(*means)
+
+
+@operator("thumbnails", params="small_dim image_work_size")
+def thumbnails(s: State, p: Params) -> State:
+    """The slide at its working size, and small: no side longer than ``small_dim``."""
+    colours = ["red", "green", "blue"]
+    small = int(number(p, "small_dim", 500))
+    return s.with_output("thumb", lambda df: raster.pictures(df, colours)).with_output("thumb_small", lambda df: raster.pictures(within(df, small), colours))
+
+
+@operator("geojson", params="suffix mask_name")
+def geojson(s: State, p: Params) -> State:
+    """A mask's outlines, under the name of the suffix."""
+    if not p.get("suffix"):
+        return s.noted("Please set the suffix for mask use in geojson.")
+    name = p.get("mask_name", "img_mask_use")
+    mask = s.use if name == "img_mask_use" else name.removeprefix("img_mask_")
+    if mask not in s.df.columns:
+        return s.noted(f"The `{name}` mask dosen't exist. Please use correct mask name.")
+    return s.with_output(p["suffix"], lambda df: raster.contours(df, mask))
 
 
 #: Step names of configuration files and the operators that they mean (fixed values).
@@ -373,9 +463,9 @@ STEP_NAMES = {
     "AnnotationModule.saveAnnotationMask": "annotation",
     "BubbleRegionByRegion.roiWise": "roi_scan",
     "TileExtractionModule.extract": "tiles",
-    "SaveModule.saveMacro": "picture",
-    "SaveModule.saveThumbnails": "picture",
-    "SaveModule.saveMask2Geojson": "picture",
+    "SaveModule.saveMacro": "macro",
+    "SaveModule.saveThumbnails": "thumbnails",
+    "SaveModule.saveMask2Geojson": "geojson",
 }
 OPERATORS |= {name: OPERATORS[own] for name, own in STEP_NAMES.items()}
 
@@ -421,7 +511,8 @@ def folded(pixels: DataFrame, steps: list[Step], mode: str = "relative2mask", sl
 
     given: tables of steps that need them, "training", "examples" or "regions", or these with a colon and a step's name.
     """
-    state = State(neighbourhood.by_slide(pixels).withColumn("use_0", F.lit(True)), mode=mode, slides=slides, templates=templates, given=given or {})
+    start = neighbourhood.by_slide(pixels).withColumns({"use_0": F.lit(True), "__failed": F.lit(None).cast("string")})
+    state = State(start, mode=mode, slides=slides, templates=templates, given=given or {})
     for op, step in bound(steps)[0]:
         state = op.run(state, step.params)
         state = replace(state, done=(*state.done, step.name))
@@ -429,16 +520,35 @@ def folded(pixels: DataFrame, steps: list[Step], mode: str = "relative2mask", sl
 
 
 def metrics(state: State) -> DataFrame:
-    """One row a slide: mask statistics of all steps from one aggregate, the other metrics, completed and warnings."""
+    """One row a slide: mask statistics of all steps from one aggregate, the other metrics, completed and warnings.
+
+    A slide that a step's kernel failed on has the status "failed", the error, and no metrics; others are not touched.
+    """
     names = sorted({c for _, a, b, _ in state.counted for c in (a, b)} | {c for _, c in state.guarded}, key=lambda c: int(c.split("_")[1]))
     df = stored(state.df.select(*[c for c in state.df.columns if c not in ("__g", "__lap", "__soft", "__g8", "__min")])) if len(state.frames) > 1 else state.df
-    counts = df.groupBy("slide_id").agg(F.count(F.lit(1)).alias("__total"), *[F.count_if(c).alias(c) for c in names])
+    counts = df.groupBy("slide_id").agg(F.count(F.lit(1)).alias("__total"), F.max("__failed").alias("error"), *[F.count_if(c).alias(c) for c in names])
     chosen = {m: masks.statistic(mode, F.col(a), F.col(b), F.col("__total")) for m, a, b, mode in state.counted}  # of a name that repeats, the last
     empty = F.filter(F.array(*[F.when(F.col(c) == 0, F.lit(f"After {w} NO tissue remains detectable")) for w, c in state.guarded]), lambda x: x.isNotNull()) if state.guarded else F.array().cast("array<string>")
-    row = counts.select("slide_id", *[c.alias(m) for m, c in chosen.items()], empty.alias("warnings"), F.array(*map(F.lit, state.done)).alias("completed"))
+    empty = F.concat(F.array(*map(F.lit, state.notes)), empty) if state.notes else empty
+    status = F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status")
+    row = counts.select("slide_id", *[c.alias(m) for m, c in chosen.items()], empty.alias("warnings"), F.array(*map(F.lit, state.done)).alias("completed"), status, "error")
     for frame in state.frames:
-        row = row.join(frame(df), "slide_id", "left")
-    return row
+        more = frame(df)
+        row = row.drop(*more.columns[1:]).join(more, "slide_id", "left")  # here, too, the last of a name that repeats
+    kept = ("slide_id", "warnings", "completed", "status", "error")
+    return row.select(*[F.col(f"`{c}`") if c in kept else F.when(F.col("error").isNull(), F.col(f"`{c}`")).alias(c) for c in row.columns])
+
+
+def outputs(state: State) -> dict[str, DataFrame]:
+    """What the steps of a pipeline save besides metrics, by name: slide_id and png (pictures) or geojson."""
+    return {name: output(state.df) for name, output in state.outputs}
+
+
+def header(text: str, started: str, outdir: str, config: str | None = None, arguments: str = "") -> list[str]:
+    """The lines before a metric table: what ran, when, on what and with what arguments (names are fixed)."""
+    steps = " ".join(s.name + (f":{s.label}" if s.label else "") for s in parsed(text)[0])
+    given_ = {"start_time": started, "pipeline": steps, "outdir": outdir, "config_file": config or "default", "command_line_args": arguments}
+    return [f"#{k}:\t{v}" for k, v in given_.items()]
 
 
 def run(pixels: DataFrame, text: str, **more) -> DataFrame:

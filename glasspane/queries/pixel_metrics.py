@@ -328,6 +328,19 @@ def cluster_scores(spark, d):
     return rounded(learning.cluster_scores(df, "vec_id", "label", "v"))
 
 
+_SILHOUETTE = f"""WITH p AS (SELECT vec_id, label, d, embedding[d + 1]::DOUBLE AS x FROM embeddings, range(64) t(d)), m AS (SELECT label, d, avg(x) AS m FROM p GROUP BY ALL), s AS (SELECT vec_id, label, sum(x * x) AS s FROM p GROUP BY ALL),
+q AS (SELECT label AS k, avg(s) AS q, count(*) AS n FROM s GROUP BY label), o AS (SELECT p.vec_id, p.label, m.label AS k, sum(x * m.m) AS o FROM p JOIN m ON m.d = p.d GROUP BY ALL),
+f AS (SELECT o.vec_id, o.label, o.k, n, s + q - 2 * o AS d FROM o JOIN s ON s.vec_id = o.vec_id JOIN q ON q.k = o.k),
+e AS (SELECT vec_id, any_value(CASE WHEN label = k THEN n END) AS n, max(CASE WHEN label = k AND n > 1 THEN d * n / (n - 1) END) AS a, min(CASE WHEN label <> k THEN d END) AS b FROM f GROUP BY vec_id)
+SELECT {r6("avg(CASE WHEN a IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END)")} AS silhouette FROM e"""
+
+
+@query("cluster_silhouette", _SILHOUETTE)
+def cluster_silhouette(spark, d):
+    score = learning.silhouette(table(spark, d, "embeddings"), "label", "embedding")
+    return rounded(spark.createDataFrame([(score,)], "silhouette double"))
+
+
 # --- whole pipelines ----------------------------------------------------------------------------------------
 
 _CHAIN = f"""p AS (SELECT slide_id, r, c, red, green, blue, {GRAY} AS v FROM px), n AS (SELECT slide_id, count(*) AS t, count(*) FILTER (v < 0.52::DOUBLE) AS a, count(*) FILTER (v < 0.52::DOUBLE AND NOT v < 0.46::DOUBLE) AS b FROM p GROUP BY slide_id),

@@ -87,6 +87,27 @@ def page_clamped(spark, d):
     return review.page(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey", 99, 10)
 
 
+@query("row_numbers", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS row FROM supplier")
+def row_numbers(spark, d):
+    return review.row_numbers(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+
+
+@query("random_subset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
+def random_subset(spark, d):
+    return review.random_subset(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, 7)
+
+
+@query(
+    "ordered_groups",
+    """WITH g AS (SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1),
+v AS (SELECT unnest(['1-URGENT', '5-LOW', '0-NEVER', '3-MEDIUM']) AS o_orderpriority)
+SELECT v.o_orderpriority, n, top, kinds, row_number() OVER (ORDER BY n DESC NULLS LAST, v.o_orderpriority) AS place FROM v LEFT JOIN g ON g.o_orderpriority = v.o_orderpriority""",
+)
+def ordered_groups(spark, d):
+    aggregators = {"n": F.count(F.lit(1)), "top": F.max("o_totalprice"), "kinds": F.count_distinct("o_orderstatus")}
+    return review.ordered_groups(table(spark, d, "orders"), "o_orderpriority", aggregators, ["1-URGENT", "5-LOW", "0-NEVER", "3-MEDIUM"], [F.col("n").desc_nulls_last()])
+
+
 @query("sort_lexicographic", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey::VARCHAR, s_suppkey) AS place FROM supplier")
 def sort_lexicographic(spark, d):
     return ranked(table(spark, d, "supplier").select("s_suppkey"), [F.col("s_suppkey").cast("string"), F.col("s_suppkey")])

@@ -204,3 +204,82 @@ def test_tsv_of_the_whole_table(spark, sf, monkeypatch):
     monkeypatch.setattr(review_queries.tables, "metrics", lambda s, path: seen.append(read(s, path)) or seen[0])
     review_queries.tsv_roundtrip(spark, sf)
     assert seen[0].count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_every_step_twice(spark, sf):
+    """Labelled repeats: no step's columns get in the way of its second run."""
+    px = pixels(spark, sf)
+    params = {"intensity": {"name": "bright", "upper_threshold": ".6"}, "minimum_neighbourhood": {"disk_size": "1"}, "smoothness": {"kernel_size": "3", "min_object_size": "8"}, "fat_like": {"kernel_size": "3"}, "spur": {"disk_radius": "1"}, "area": {"area_threshold": "4"}, "keep_named": {"suffix": "first"}, "geojson": {"suffix": "outline"}, "blur": {"blur_radius": "1"}, "texture": {"npatches": "3", "patch_size": "8"}}
+    names = "intensity otsu minimum_neighbourhood brightest smoothness fat_like fill_holes remove_small remove_large blur spur area pieces keep_named".split()
+    one_slide = px.where("slide_id = 0")
+    for name in names:
+        step = pipeline.Step(name, None, params.get(name, {}))
+        assert pipeline.metrics(pipeline.folded(one_slide, [step, step])).count() == 1
+
+
+def test_a_failed_slide_leaves_the_others_alone(spark, sf, monkeypatch):
+    from glasspane.operators import raster
+
+    df = pixels(spark, sf).withColumn("m", F.col("red") < 124).withColumn("__failed", F.lit(None).cast("string"))
+
+    def picky(x):
+        if int(x["red"][0, 0]) == first:
+            raise ValueError("unreadable")
+        return {"out": x["m"]}
+
+    first = df.where("slide_id = 0 and r = 0 and c = 0").first()["red"]
+    got = raster.per_slide(raster.per_slide(df, picky, ["m", "red"], {"out": "boolean"}), lambda x: {"more": x["out"]}, ["out"], {"more": "boolean"})
+    failed = {r["slide_id"]: r["e"] for r in got.groupBy("slide_id").agg(F.max("__failed").alias("e")).collect()}
+    assert failed[0] == "ValueError: unreadable" and all(e is None or k == 0 for k, e in failed.items())
+    state = pipeline.folded(pixels(spark, sf), [pipeline.Step("intensity", None, {"name": "a", "upper_threshold": ".6"}), pipeline.Step("final")])
+    from dataclasses import replace
+
+    bad = replace(state, df=state.df.withColumn("__failed", F.when(F.col("slide_id") == 0, "broken")))
+    rows = {r["slide_id"]: r for r in pipeline.metrics(bad).collect()}
+    assert rows[0]["status"] == "failed" and rows[0]["a"] is None and rows[0]["error"] == "broken"
+    assert all(r["status"] == "done" and r["a"] is not None for k, r in rows.items() if k != 0)
+
+
+def test_outputs_of_steps(spark, sf, tmp_path):
+    """Pictures and outlines are made by steps, and read back as what they show; what cannot be made is a warning."""
+    px = pixels(spark, sf).where("slide_id = 0")
+    text = "[pipeline]\nsteps = LightDarkModule.getIntensityThresholdPercent:tissue\n SaveModule.saveMask\n SaveModule.saveMask:a\n SaveModule.saveMacro\n SaveModule.saveMask2Geojson:b\n SaveModule.saveThumbnails\n SaveModule.saveFinalMask\n[LightDarkModule.getIntensityThresholdPercent:tissue]\nname = bright\nupper_threshold = .6\n[SaveModule.saveMask:a]\nsuffix = mask_a\n[SaveModule.saveMask2Geojson:b]\nsuffix = out\n[SaveModule.saveThumbnails]\nsmall_dim = 16\n"
+    steps, mode = pipeline.parsed(text)
+    assert pipeline.bound(steps)[1] == []
+    state = pipeline.folded(px, steps, mode)
+    made = pipeline.outputs(state)
+    assert set(made) == {"mask_a", "out", "thumb", "thumb_small", "mask_use", "fuse"}
+    assert pipeline.metrics(state).first()["warnings"][:2] == ["Please set the suffix for mask use.", "Can't Read 'macro' Image from Slide's Associated Images"]
+    for name in ("mask_a", "thumb", "thumb_small"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.png").write_bytes(made[name].first()["png"])
+    back = from_images(spark, str(tmp_path / "thumb"))
+    assert back.drop("slide_id").exceptAll(px.select("r", "c", "red", "green", "blue")).count() == 0 and back.count() == px.count()
+    assert from_images(spark, str(tmp_path / "thumb_small")).agg(F.max("r"), F.max("c")).first() == (15, 15)
+    mask = from_images(spark, str(tmp_path / "mask_a")).select("r", "c", (F.col("red") > 0).alias("m"))
+    assert mask.exceptAll(state.df.select("r", "c", F.col("mask_a").alias("m"))).count() == 0
+    assert '"FeatureCollection"' in made["out"].first()["geojson"]
+    head = pipeline.header(text, "now", "/out", arguments="-n 1")
+    assert len(head) == 5 and head[0] == "#start_time:\tnow" and "LightDarkModule.getIntensityThresholdPercent:tissue" in head[1]
+
+
+def test_local_threshold_and_feature_parameters(spark, sf):
+    px = pixels(spark, sf).where("slide_id = 0 and r < 24 and c < 24")
+    row = pipeline.metrics(pipeline.folded(px, [pipeline.Step("otsu", None, {"local": "True", "radius": "3", "name": "near"}), pipeline.Step("final")])).first()
+    assert 0 < row["pixels_to_use"] < px.count()
+    params = {"gabor_theta": "2", "gabor_sigma": "(1,)", "gabor_frequency": "(0.1, 0.2)", "median_disk_size": "1", "lbp_points": "4", "lbp_radius": "1", "frangi_scale_range": "(1, 4)", "gaussian_multichan": "True"}
+    out, columns = pipeline.with_features(px, ["gabor", "median", "lbp", "frangi", "gaussian"], params)
+    assert columns == ["gabor_0_1_10", "gabor_0_1_20", "gabor_1_1_10", "gabor_1_1_20", "median", "lbp", "frangi", "gaussian_red", "gaussian_green", "gaussian_blue"] or set(columns) >= {"gabor_1_1_20", "gaussian_blue"}
+    assert out.agg(F.max("lbp")).first()[0] <= 15
+    with pytest.raises(ValueError, match="binary pattern"):
+        pipeline.features_of({"lbp_method": "magic"})
+
+
+def test_annotations_by_slide(spark, sf, tmp_path):
+    shape = '{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]]}, "properties": {}}'
+    (tmp_path / "0_ann.geojson").write_text(shape)
+    px = pixels(spark, sf).where("slide_id < 2")
+    step = lambda kind: pipeline.Step("annotation", None, {"format": kind, "file_path": str(tmp_path), "suffix": "_ann"})
+    rows = {r["slide_id"]: r["pixels_to_use"] for r in pipeline.metrics(pipeline.folded(px, [step("geojson"), pipeline.Step("final")])).collect()}
+    assert 80 <= rows[0] <= 121 and rows[1] == px.where("slide_id = 1").count()
+    assert "unsupported" in pipeline.metrics(pipeline.folded(px, [step("doc"), pipeline.Step("final")])).first()["warnings"][0]
