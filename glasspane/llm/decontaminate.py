@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words (ASCII letters and digits and all beyond ASCII; A-Z lower-cased; a point or comma between digits
-belongs to its number) become typed placeholders where they are numbers, units after a number, or names
-(an upper-case word that opens no sentence). Windows of WINDOW canonical words of all texts are joined by
+belongs to its number) become typed placeholders where they are numbers (in digits or in words, see NUMBER_WORDS),
+units after a number, or names (an upper-case word that opens no sentence). Names that follow each other are one
+placeholder, whose value is all of them, so that a name of two words may stand for one of one. Windows of WINDOW
+canonical words of all texts are joined by
 hash with those of the benchmark items. What stands in the slots of the matched windows must be consistent:
 each value of the item always has the same value in the text, so a question asked again with other numbers
 and names is found, while a text that only looks alike is not.
@@ -46,8 +48,16 @@ _NUMBER, _UNIT, _NAME = (np.uint64(0x1000000000000001 + k) for k in range(3))
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds percent usd eur gbp dollars dollar euros euro cents cent meters metres meter metre miles mile feet inches grams gram kilograms liters litres c f k w kw kwh v a hz khz mhz ghz kb mb gb tb".split()
 
 
+#: Words that are numbers (fixed values); "one" is not, as it seldom is one.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+
+
 class Canonical(Words):
-    """Words with canonical hashes; kinds: 0 a word, 1 a number, 2 a unit, 3 a name."""
+    """Words with canonical hashes; kinds: 0 a word, 1 a number, 2 a unit, 3 a name.
+
+    ``hashes`` and ``first`` are those of the words as they stand; ``canonical`` and ``begins`` those of the canonical
+    words, each of which runs from word ``at[k]`` to before ``at[k + 1]`` (a run of names).
+    """
 
     def __init__(self, texts: list[bytes]):
         joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -66,6 +76,7 @@ class Canonical(Words):
         n = len(self.starts)
         self.kinds = np.zeros(n, np.int8)
         if not n:
+            self.at, self.begins, self.kind, self.canonical = np.zeros(1, np.int64), self.first, self.kinds, self.hashes
             return
         lead = joined[self.starts]
         capital = accented | (joined >= 65) & (joined <= 90)
@@ -79,50 +90,67 @@ class Canonical(Words):
         opens[self.first[:-1][self.first[:-1] < n]] = True
         self.kinds[upper & ~opens] = 3
         self.kinds[(lead >= 48) & (lead <= 57)] = 1
+        self.kinds[(self.kinds == 0) & np.isin(self.hashes, _known_hashes(NUMBER_WORDS))] = 1
         after = np.concatenate(([False], self.kinds[:-1] == 1))
-        self.kinds[after & (self.kinds == 0) & np.isin(self.hashes, _unit_hashes())] = 2
-        self.plain = self.hashes
-        self.hashes = np.choose(self.kinds, [self.hashes, _NUMBER, _UNIT, _NAME])
+        self.kinds[after & (self.kinds == 0) & np.isin(self.hashes, _known_hashes(UNITS))] = 2
+        # a name right after a name of the same text goes on with it
+        same_text = np.ones(n, bool)
+        same_text[self.first[:-1][self.first[:-1] < n]] = False
+        goes_on = np.concatenate(([False], (self.kinds[1:] == 3) & (self.kinds[:-1] == 3))) & same_text
+        heads = np.flatnonzero(~goes_on)
+        self.at = np.append(heads, n)
+        self.begins = np.searchsorted(heads, self.first)
+        self.kind = self.kinds[heads]
+        self.canonical = np.choose(self.kind, [self.hashes[heads], _NUMBER, _UNIT, _NAME])
 
-    def slots(self, at: int, size: int, plain: bool = False) -> list[str]:
-        """The placeholders of a window, of a plain one its numbers."""
-        return [f"{k}:{LOWER[self.raw[self.starts[at + k] : self.ends[at + k]]].tobytes().decode(errors='replace')}" for k in range(size) if (self.kinds[at + k] == 1 if plain else self.kinds[at + k])]
+    def value(self, low: int, high: int) -> str:
+        return " ".join(LOWER[self.raw[self.starts[k] : self.ends[k]]].tobytes().decode(errors="replace") for k in range(low, high))
 
+    def slots(self, place: int, size: int, plain: bool) -> list[str]:
+        """The placeholders of a window, of a plain one its numbers in digits."""
+        if plain:
+            return [f"{k}:{self.value(place + k, place + k + 1)}" for k in range(size) if 48 <= self.raw[self.starts[place + k]] <= 57]
+        return [f"{k}:{self.value(self.at[place + k], self.at[place + k + 1])}" for k in range(size) if self.kind[place + k]]
 
-_UNITS: list[np.ndarray] = []
 
+_KNOWN: dict[str, np.ndarray] = {}
 
-def _unit_hashes() -> np.ndarray:
-    if not _UNITS:
-        _UNITS.append(Words([" ".join(UNITS).encode()], ALPHANUMERIC).hashes)
-    return _UNITS[0]
+
+def _known_hashes(words: list[str]) -> np.ndarray:
+    if words[0] not in _KNOWN:
+        _KNOWN[words[0]] = Words([" ".join(words).encode()], ALPHANUMERIC).hashes
+    return _KNOWN[words[0]]
 
 
 def windows(c: Canonical, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word within the text, hash) of windows that lie in one text and are mostly words; plain ones may be anything."""
-    if plain:
-        c = copy.copy(c)
-        c.hashes = getattr(c, "plain", c.hashes)
+    """(text, first word, hash) of windows that lie in one text and are mostly words; plain ones may be anything.
+
+    The first word is a place among the canonical words, of plain windows among the words as they stand.
+    """
+    first = c.first if plain else c.begins
+    c = copy.copy(c)
+    c.hashes = c.hashes if plain else c.canonical
     h = c.windows(size)
     at = np.arange(len(h))
-    of = np.searchsorted(c.first, at, side="right") - 1
-    good = at + size <= c.first[of + 1]
+    of = np.searchsorted(first, at, side="right") - 1
+    good = at + size <= first[of + 1]
     if not plain:
-        words = np.concatenate(([0], np.cumsum(c.kinds == 0)))
+        words = np.concatenate(([0], np.cumsum(c.kind == 0)))
         good &= 2 * (words[at + size] - words[at]) > size
     return of[good], at[good], mixed(h[good] + np.uint64(int(_ODD[41 if plain else 40]) * size % (1 << 64))).view(np.int64)
 
 
 def window_rows(table: DataFrame, key: str, sizes: dict[int, tuple[int, int]], only: np.ndarray | None) -> DataFrame:
-    """key, n_words, place, size, plain, hash, slots: the windows of each size for texts of so many words (from, to)."""
+    """key, n_words, place, word (the same among the words as they stand), size, plain, hash, slots: the windows of each size for texts of so many words (from, to)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, own in chunks(batch.column(1).to_pylist(), 1 << 18):
                 c = Canonical(own)
-                n = np.diff(c.first)
                 for (size, (low, high)), plain in itertools.product(sizes.items(), (False, True)):
+                    first = c.first if plain else c.begins
+                    n = np.diff(first)
                     of, place, hashes = windows(c, size, plain)
                     keep = (n[of] >= low) & (n[of] <= high)
                     if only is not None:
@@ -130,10 +158,12 @@ def window_rows(table: DataFrame, key: str, sizes: dict[int, tuple[int, int]], o
                     of, place, hashes = of[keep], place[keep], hashes[keep]
                     if len(of):
                         slots = [c.slots(p, size, plain) for p in place]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + of]), pa.array(n[of].astype(np.int32)), pa.array((place - c.first[of]).astype(np.int32)), pa.array(np.full(len(of), size, np.int32)), pa.array(np.full(len(of), plain)), pa.array(hashes), pa.array(slots, pa.list_(pa.string()))], names=[key, "n_words", "place", "size", "plain", "hash", "slots"])
+                        word = place if plain else c.at[place]
+                        columns = [ids[at + of], n[of].astype(np.int32), (place - first[of]).astype(np.int32), (word - c.first[of]).astype(np.int32), np.full(len(of), size, np.int32), np.full(len(of), plain), hashes]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(slots, pa.list_(pa.string()))], names=[key, "n_words", "place", "word", "size", "plain", "hash", "slots"])
 
     rows = table.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
-    return in_batches(rows, run, f"{key} long, n_words int, place int, size int, plain boolean, hash long, slots array<string>")
+    return in_batches(rows, run, f"{key} long, n_words int, place int, word int, size int, plain boolean, hash long, slots array<string>")
 
 
 ANY = 1 << 30
@@ -147,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     bits = items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("bit")).distinct()
     only[[r["bit"] for r in bits.toLocalIterator()]] = True  # at most 2 ** FILTER_BITS
     own = window_rows(docs, "doc_id", {WINDOW: (WINDOW, ANY), SHORTEST: (SHORTEST, ANY)}, only)
-    joined = own.alias("d").join(items.alias("i"), ["hash", "size", "plain"]).where(~F.col("plain") | (F.col("d.slots") == F.col("i.slots"))).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", "plain", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
+    joined = own.alias("d").join(items.alias("i"), ["hash", "size", "plain"]).where(~F.col("plain") | (F.col("d.slots") == F.col("i.slots"))).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", "plain", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.col("d.word").alias("word"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
     pair = ["doc_id", "item_id", "n", "size", "plain"]
     offset = F.col("p") - F.col("q")
     ordered = Window.partitionBy(*pair).orderBy("offset")
@@ -158,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     groups = F.array(group(0, F.col("offset")), F.when(~F.col("plain"), group(1, F.col("chain"))), F.when(~F.col("plain") & F.col("first"), group(2, F.lit(0))))
     grouped = placed.withColumn("of", F.explode(groups)).where("of is not null").groupBy(*pair, "of")
     values = F.array_distinct(F.flatten(F.collect_list(F.transform("pairs", lambda z: F.struct(F.regexp_replace(z["a"], "^[0-9]+:", "").alias("a"), F.regexp_replace(z["b"], "^[0-9]+:", "").alias("b"))))))
-    grouped = grouped.agg(F.array_sort(F.collect_set("q")).alias("q"), values.alias("values"), F.min("p").cast("long").alias("first_word"))
+    grouped = grouped.agg(F.array_sort(F.collect_set("q")).alias("q"), values.alias("values"), F.min("word").cast("long").alias("first_word"))
     gap = F.transform("q", lambda x, k: F.least(F.col("size"), F.coalesce(F.get("q", k + 1) - x, F.col("size"))))
     covered = F.aggregate(gap, F.lit(0), lambda a, x: a + x)
     consistent = F.col("plain") | (F.size(F.array_distinct(F.transform("values", lambda z: z["a"]))) == F.size("values"))
