@@ -2,27 +2,28 @@
 
 All rolling hashes of word k-grams of a text are joined (a broadcast join: the template table is fixed
 and small, see TEMPLATES) to the places of the same k-grams in license templates. A hit at word p of a
-text and word q of a template votes for the diagonal p - q. Votes on neighbouring diagonals, as left by
-an inserted or missing word, are merged; a candidate with enough votes is verified on its words.
-
-Templates shorter than k are joined by grams of their own length. The base phrases are templates too,
-of which only whole verified occurrences count.
-
-Null text counts as empty (no words, no labels, score 0). Repeated rows, ties and null ids: each row is
-scanned for itself. An empty table gives no rows. Other columns are ignored. No shuffle is needed: the
-text travels ahead of its grams through the join to the voting, within one task.
+text and word q of a template votes for the diagonal p - q; Spark counts the votes of each text, template and
+diagonal. Diagonals that follow each other within ``reach``, as left by an inserted or missing word, are merged,
+and a candidate is verified on its words: those of the template that lie in hits, each counted once, must be
+``enough`` of its words, and that share is the span's similarity.
+
+Templates shorter than k are joined by grams of their own length. The base phrases are templates too, no longer
+than k, so that each hit is an occurrence. Words are compared by hashes of 64 bits.
+
+Only hits and a row for each text are shuffled, never texts; nothing is held for a text but its own spans. Null text
+counts as empty (no words, no labels, score 0). Each row has a result of its own; rows with the same doc_id (a null
+one, too) and text have the same one. Ties between templates all count. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import in_batches
+from .shared import Shelf, in_batches
 from .words import ALPHANUMERIC, Words, chunks
 
 GRAM = 3
@@ -34,180 +35,108 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-#: Notices of common licenses (fixed values), and their labels.
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_DISCLAIMER = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+#: Notices and texts of common licenses, in words as they are compared (fixed values), and their labels.
 TEMPLATES = {
     "released under the mit license": "mit",
     "licensed under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _WARRANTY: "mit",
     "licensed under the apache license version 2 0": "apache-2.0",
     "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2.0",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache-2.0",
     "this work is licensed under the gnu general public license version 3": "gpl",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    _DISCLAIMER: "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "distributed under the boost software license version 1 0": "boost",
 }
 
 
 class Templates:
-    """The word hashes of all templates, and the table of their grams."""
+    """The grams of all templates: the base phrases first."""
 
     def __init__(self, extra: dict[str, str] | None = None):
         table = TEMPLATES | (extra or {})
         self.labels = [*BASE.values(), *table.values()]
         self.base = len(BASE)
         self.words = [Words([t.encode()], ALPHANUMERIC) for t in (*BASE, *table)]
-        self.hashes = [w.hashes for w in self.words]
-        self.k = [min(GRAM, len(h)) for h in self.hashes]
+        self.sizes = [len(w.hashes) for w in self.words]
+        self.k = [min(GRAM, n) for n in self.sizes]
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(int(h), t, q) for t, w in enumerate(self.words) for q, h in enumerate(w.windows(self.k[t]).view(np.int64))]
+    def rows(self) -> list[tuple]:
+        """gram, template, spot, k, size, label"""
+        return [(int(h), t, q, self.k[t], self.sizes[t], self.labels[t]) for t, w in enumerate(self.words) for q, h in enumerate(w.windows(self.k[t]).view(np.int64))]
+
+
+#: The gram of a row that stands for a whole text (its place is the number of words); its template is -1.
+TEXT_ROW = 0
 
 
 def grams(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """For each document a row with its text and number of words (gram null), then a row per gram."""
+    """doc_id, which (a hash of the text), place, gram: a row for each text, and one for each of its grams."""
 
     def run(batches):
-        number = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, own in chunks(texts, 1 << 18):
+            ids, which = batch.column(0), batch.column(1)
+            for at, own in chunks(batch.column(2).to_pylist(), 1 << 18):
                 w = Words(own, ALPHANUMERIC)
-                counts = np.diff(w.first)
-                columns = []
+                columns = [(np.arange(len(own)), np.diff(w.first), np.full(len(own), TEXT_ROW))]
                 for k in sizes:
                     hashes = w.windows(k).view(np.int64)
                     place = np.arange(len(hashes))
                     of = np.searchsorted(w.first, place, side="right") - 1
                     inside = place + k <= w.first[of + 1]
                     columns.append((of[inside], (place - w.first[of])[inside], hashes[inside]))
-                of, place, hashes = (np.concatenate(x) for x in zip(*columns))
-                order = np.argsort(of, kind="stable")
-                n_text = len(own)
-                # the row of a text goes before the rows of its grams
-                where = np.searchsorted(of[order], np.arange(n_text))
-                all_of = np.insert(of[order], where, np.arange(n_text))
-                first = where + np.arange(n_text)
-                n = len(all_of)
-                head = np.zeros(n, bool)
-                head[first] = True
-                pos = np.zeros(n, np.int32)
-                pos[~head] = place[order]
-                pos[first] = counts
-                value = np.zeros(n, np.int64)
-                value[~head] = hashes[order]
-                text: list = [None] * n
-                doc: list = [None] * n
-                for j, f in enumerate(first):
-                    text[f], doc[f] = own[j], ids[at + j]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(all_of + number), pa.array(doc, pa.int64()), pa.array(text, pa.binary()), pa.array(pos), pa.array(value)],
-                    names=["number", "doc_id", "text", "place", "gram"],
-                )
-                number += n_text
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_batches(rows, run, "number long, doc_id long, text binary, place int, gram long")
-
-
-#: The gram of the rows that carry texts; template -1 in the joined table.
-TEXT_ROW = 0
-
+                of, place, gram = (np.concatenate(x) for x in zip(*columns))
+                rows = pa.array(at + of)
+                yield pa.RecordBatch.from_arrays([ids.take(rows), which.take(rows), pa.array(place.astype(np.int32)), pa.array(gram)], names=["doc_id", "which", "place", "gram"])
 
-def spans(text: bytes, hits: list[tuple[int, int, int]], templates: Templates, enough: float, reach: int) -> list[tuple[int, int, int, float]]:
-    """Verified (template, first word, last word, similarity) of one text, from hits (template, q, p)."""
-    own = Words([text], ALPHANUMERIC).hashes
-    votes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    found = []
-    for t, q, p in hits:
-        if t < templates.base:
-            n = len(templates.hashes[t])
-            if q == 0 and np.array_equal(own[p : p + n], templates.hashes[t]):
-                found.append((t, p, p + n - 1, 1.0))
-        else:
-            votes[t][p - q].add(q)
-    for t, diagonals in votes.items():
-        words, k = templates.hashes[t], templates.k[t]
-        n = len(words)
-        order = sorted(diagonals)
-        group: list[int] = []
-        for d in [*order, None]:
-            if group and (d is None or d - group[-1] > reach):
-                q = set().union(*(diagonals[x] for x in group))
-                if len(q) >= enough * (n - k + 1) * 0.5:
-                    low, high = max(0, group[0] - reach), min(len(own), group[-1] + n + reach)
-                    same, first, last = aligned(own[low:high], words)
-                    if same >= enough * n:
-                        found.append((t, low + first, low + last, same / n))
-                group = []
-            if d is not None:
-                group.append(d)
-    return found
-
-
-def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Length of the longest common subsequence of b with a, and the first and last word of a in it."""
-    best = [(0, 0, -1)] * (len(b) + 1)
-    for i, x in enumerate(a):
-        before = best[0]
-        for j, y in enumerate(b):
-            old = best[j + 1]
-            if x == y:
-                new = (before[0] + 1, before[1] if before[0] else -i, i)
-                if new[0] > old[0] or new[0] == old[0] and new[1] < old[1]:
-                    best[j + 1] = new
-            elif best[j][0] > old[0]:
-                best[j + 1] = best[j]
-            before = old
-    same, first, last = best[-1]
-    return same, -first if same else 0, max(last, 0)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("which"), text.alias("text"))
+    return in_batches(rows, run, "doc_id long, which long, place int, gram long")
 
 
 def scan(docs: DataFrame, extra: dict[str, str] | None = None, enough: float = 0.8, reach: int = 2) -> DataFrame:
     """doc_id, n_words, base (array of first words of base places with labels) and spans (array of verified
     spans: label, first word, last word, similarity)."""
-    spark = docs.sparkSession
+    spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "licenses")
     templates = Templates(extra)
-    table = spark.createDataFrame([(TEXT_ROW, -1, 0), *templates.rows()], "gram long, template int, spot int")
-    joined = grams(docs, sorted(set(templates.k))).join(F.broadcast(table), "gram").select("number", "doc_id", "text", "place", "template", "spot")
-
-    def run(batches):
-        open_: tuple | None = None
-
-        def done():
-            number, doc, text, n, hits = open_
-            found = spans(text, hits, templates, enough, reach) if hits else []
-            base = sorted({(p, templates.labels[t]) for t, p, _, _ in found if t < templates.base})
-            more = [{"label": templates.labels[t], "first": int(p), "last": int(e), "similarity": s} for t, p, e, s in sorted(found, key=lambda x: (x[1], x[0]))]
-            return doc, n, [{"first": int(p), "label": x} for p, x in base], more
-
-        kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("base", pa.list_(pa.struct([("first", pa.int64()), ("label", pa.string())]))), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("similarity", pa.float64())])))])
-        for batch in batches:
-            out = []
-            template, number, place, spot = (batch.column(k).to_numpy() for k in (4, 0, 3, 5))
-            doc, text = batch.column(1), batch.column(2)
-            for r in range(batch.num_rows):
-                if template[r] < 0:
-                    if open_:
-                        out.append(done())
-                    open_ = (number[r], doc[r].as_py(), text[r].as_py(), int(place[r]), [])
-                elif open_ and number[r] == open_[0]:
-                    open_[4].append((int(template[r]), int(spot[r]), int(place[r])))
-                else:
-                    raise RuntimeError("grams came apart from their text")
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
-        if open_:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(done(), kind)], schema=kind)
-
-    return in_batches(joined, run, "doc_id long, n_words long, base array<struct<first:long,label:string>>, spans array<struct<label:string,first:long,last:long,similarity:double>>")
+    table = spark.createDataFrame([(TEXT_ROW, -1, 0, 0, 0, ""), *templates.rows()], "gram long, template int, spot int, k int, size int, label string")
+    joined = shelf.put(grams(docs, sorted(set(templates.k))).join(F.broadcast(table), "gram").drop("gram"), "hits")
+    texts = joined.where("template < 0").select("doc_id", "which", F.col("place").cast("long").alias("n_words"))
+    hits = joined.where("template >= 0").distinct()
+    one = ["doc_id", "which", "template"]
+    votes = hits.withColumn("diagonal", F.col("place") - F.col("spot")).groupBy(*one, "k", "size", "label", "diagonal")
+    votes = votes.agg(F.collect_set("spot").alias("spots"), F.min("place").alias("first"), F.max(F.col("place") + F.col("k") - 1).alias("last"))
+    ordered = Window.partitionBy(*one).orderBy("diagonal")
+    # occurrences of a base phrase are never merged
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(ordered) > reach) | (F.col("template") < templates.base), F.lit(False))
+    chained = votes.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = chained.groupBy(*one, "k", "size", "label", "chain").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("q"), F.min("first").cast("long").alias("first"), F.max("last").cast("long").alias("last"))
+    step = F.transform("q", lambda x, i: F.least(F.col("k"), F.coalesce(F.get("q", i + 1) - x, F.col("k"))))
+    share = F.aggregate(step, F.lit(0), lambda a, x: a + x) / F.col("size")
+    spans = merged.withColumn("similarity", share).where(F.col("similarity") >= enough)
+    own = F.when(F.col("template") < templates.base, F.struct("first", "label"))
+    each = spans.groupBy("doc_id", "which").agg(F.array_sort(F.collect_list(own)).alias("base"), F.array_sort(F.collect_list(F.struct("first", "last", "label", "similarity"))).alias("found"))
+    each = each.select(F.col("doc_id").alias("d"), F.col("which").alias("w"), "base", F.transform("found", lambda x: F.struct(*[x[c].alias(c) for c in ("label", "first", "last", "similarity")])).alias("spans"))
+    out = texts.join(each, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("which") == F.col("w")), "left")
+    nothing = lambda c: F.coalesce(F.col(c), F.array().cast(each.schema[c].dataType)).alias(c)
+    return out.select("doc_id", "n_words", nothing("base"), nothing("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
