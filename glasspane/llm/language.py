@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, in_batches
+from .shared import Shelf, crc_fold, hot_join, in_batches
 
 PLACES, BOUND = 300, 3000
 _LETTER: list[np.ndarray] = []
@@ -88,10 +88,9 @@ class Profiles:
 def learn(docs: DataFrame, places: int = PLACES, bound: int = BOUND) -> Profiles:
     """Profiles from the rows whose lang is not null; the caller leaves out what is held out."""
     rows = docs.select(F.xxhash64("doc_id").alias("order"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    drawn = F.lit(False)
-    for language, n in sizes.items():
-        drawn = drawn | ((F.col("lang") == language) & (F.pmod("order", F.lit(1_000_003)) < bound / n * 1_000_003))
+    sizes = Shelf(docs.sparkSession, "language").put(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    every = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    drawn = hot_join(rows, sizes.withColumn("most", bound / F.col("n") * 1_000_003), "lang", "n", every).where(F.pmod("order", F.lit(1_000_003)) < F.col("most"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +101,7 @@ def learn(docs: DataFrame, places: int = PLACES, bound: int = BOUND) -> Profiles
                 found, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(found)), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = in_batches(rows.where(drawn).select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = in_batches(drawn.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # ties in unsigned order of the numbers, as for documents
     ranked = counted.selectExpr("lang", "gram", "row_number() over (partition by lang order by n desc, gram < 0, gram) - 1 as place")
     return Profiles([(r["lang"], r["gram"], r["place"]) for r in ranked.where(F.col("place") < places).collect()], places)  # `places` rows a language

@@ -15,9 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor shares, as the cluster names it; a local one only where none is named."""
+    """The folder that every executor shares, as the cluster names it; a temporary one on a local master without a name."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/glasspane-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

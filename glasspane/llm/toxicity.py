@@ -151,11 +151,11 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, bound: i
             for of, place in distinct(texts, table):
                 for k, p in zip(of.tolist(), np.searchsorted(places, place).tolist()):
                     own[k].append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int16())), batch.column(1)], names=["columns", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], names=["columns", "toxic"])
 
     # `bound` rows of numbers, for the fit
     rows, columns, y = [], [], []
-    for k, r in enumerate(in_batches(sample, vectors, "columns array<short>, toxic int").toLocalIterator()):
+    for k, r in enumerate(in_batches(sample, vectors, "columns array<int>, toxic int").toLocalIterator()):
         columns.append(np.array(r["columns"], np.int64))
         rows.append(np.full(len(columns[-1]), k))
         y.append(r["toxic"])
