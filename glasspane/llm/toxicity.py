@@ -44,7 +44,7 @@ def _places(texts: list[str], at: int) -> tuple[np.ndarray, np.ndarray]:
     c = np.where(letters(codes), codes, 0).astype(np.uint64)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
     inside = c != 0
-    of, places = [], []
+    of, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for n in ORDERS:
         m = len(c) - n + 1
         if m <= 0:
