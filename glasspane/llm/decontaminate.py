@@ -21,7 +21,8 @@ makes no difference what precedes them or how many placeholders they would be: a
 at one offset.
 
 A filter of fixed size, made from the benchmark's windows, keeps windows that surely match nothing out of
-the join; the join itself is Spark's, with a broadcast only if Spark finds the benchmark small enough.
+the join; the join itself is Spark's, with a broadcast only if Spark finds the benchmark small enough, and salted, as
+one window may stand in very many texts.
 
 Null and empty texts contain nothing. Rows with a null doc_id are not searched, and are kept. Rows that
 repeat a doc_id are one document. Empty tables give no rows; other columns are ignored or kept as they are.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .shared import Shelf, in_batches
 from .words import _ODD, ALPHANUMERIC, LOWER, Words, chunks, mixed
 
-WINDOW, SHORTEST, ENOUGH, FILTER_BITS, SHIFT = 8, 5, 10, 22, 8
+WINDOW, SHORTEST, ENOUGH, FILTER_BITS, SHIFT, SALTS = 8, 5, 10, 22, 8, 16
 _NUMBER, _UNIT, _NAME = (np.uint64(0x1000000000000001 + k) for k in range(3))
 
 #: Words that are units when a number stands before them (fixed values).
@@ -177,7 +178,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     bits = items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("bit")).distinct()
     only[[r["bit"] for r in bits.toLocalIterator()]] = True  # at most 2 ** FILTER_BITS
     own = window_rows(docs, "doc_id", {WINDOW: (WINDOW, ANY), SHORTEST: (SHORTEST, ANY)}, only)
-    joined = own.alias("d").join(items.alias("i"), ["hash", "size", "plain"]).where(~F.col("plain") | (F.col("d.slots") == F.col("i.slots"))).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", "plain", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.col("d.word").alias("word"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
+    # a window that a third of all texts have is dealt by SALTS, and the items once for each
+    own, items = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = own.alias("d").join(items.alias("i"), ["hash", "size", "plain", "salt"]).where(~F.col("plain") | (F.col("d.slots") == F.col("i.slots"))).select("doc_id", "item_id", F.col("i.n_words").alias("n"), "size", "plain", F.col("i.place").alias("q"), F.col("d.place").alias("p"), F.col("d.word").alias("word"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("pairs"))
     pair = ["doc_id", "item_id", "n", "size", "plain"]
     offset = F.col("p") - F.col("q")
     ordered = Window.partitionBy(*pair).orderBy("offset")
