@@ -14,8 +14,9 @@ Two documents are linked if the Jaccard similarity of their sets is at least ``p
 5. Classes of long lists are then joined by windows, which are two retained values that stand next to each other in
    a class's sketch: two sets that are similar enough have several windows in common, and two that share a common
    passage only seldom do. Again rare ones come first and a class posts only so many that MET common ones are among
-   them (or all there are), and only pairs with so many are compared. Only classes of different components meet, so that no link that would join components is missed, and
-   members of one component are not compared again; a window of many classes is dealt in pairs of blocks.
+   them (or all there are). A class that has so many in common with a component is compared with all its classes, so
+   that no link that would join components is missed, and members of one component are not compared again; what
+   many share is dealt in blocks.
 
 Rows with a null doc_id link with nothing: component_id null, kept true. Null and empty texts: no
 shingles, kept. Repeated rows count as copies of each other, one result row each; of rows that repeat
@@ -35,9 +36,9 @@ from .shared import Shelf, hot_join, in_batches
 from .words import UNSPACED, Words, chunks, one
 
 RETAINED, FULL, POSTED, LONG_LIST = 128, 256, 64, 24
-#: Classes that share a window are joined in pairs of blocks of about so many of them.
+#: What shares a window, and the classes of a component, are dealt in blocks of about so many.
 BLOCK = 1000
-#: Pairs with fewer common windows than this (or than any similar pair of theirs has) are not compared.
+#: A class is compared with components that have so many windows of it (or as many as any similar pair has).
 MET = 8
 
 
@@ -236,18 +237,27 @@ class Linker:
         first = own.select("node", "n", met.alias("met"), F.explode(F.slice("shared", F.lit(1), length)).alias("x")).select("node", "n", "met", "x.window")
         placed = shelf.put(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
         shelf.drop(posted)
-        # most classes of a window are often of one component: they meet the others only
-        kinds = placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("window").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("main"))
-        kinds = kinds.where("every > main.c").select("window", "every", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("every") / BLOCK).cast("int").alias("columns"))
-        side = shelf.put(hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count()), "sides")
-        at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-        l = side.where("root <> main").withColumn("i", at("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("l")
-        r = side.withColumn("j", at("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
+        # first classes meet components by windows; the one of most classes of a window is met, and need not meet
+        there = shelf.put(placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c"), F.min("met").alias("met")), "there")
+        kinds = there.groupBy("window").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("main")).where("roots > 1")
+        kinds = shelf.put(kinds.select("window", "roots", "every", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("roots") / BLOCK).cast("int").alias("columns")), "kinds")
+        at = lambda key, blocks: F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
+        l = hot_join(placed, kinds, "window", "every", placed.count()).where("root <> main").withColumn("i", at("node", "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("l")
+        r = hot_join(there, kinds, "window", "roots", there.count()).withColumn("j", at("root", "columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
         on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("window", "i", "j")]
-        on += [F.col("l.root") != F.col("r.root"), (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")), sizes_fit(F.col("l.n"), F.col("r.n"), self.percent)]
-        pairs = l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), F.least("l.met", "r.met").alias("met"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("met").alias("met")).where("common >= met").select("a", "b")
-        return self.estimated(pairs).select("a", "b", "na", "nb")
+        on += [(F.col("l.root") < F.col("r.root")) | (F.col("r.root") == F.col("r.main"))]
+        met = l.join(r, on).groupBy("l.node", F.col("r.root").alias("other")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l.met", "r.met")).alias("met")).where("common >= met").select("node", "other")
+        # then each class and all of a component that it met; estimates decide in the join itself
+        met = shelf.put(met, "met")
+        known = self.nodes.select("node", "n", "values")
+        members = shelf.put(placed.select("node", "root").distinct().join(met.select(F.col("other").alias("root")).distinct(), "root").join(known, "node"), "members")
+        sizes = shelf.put(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "sizes")
+        x = met.withColumnRenamed("other", "root").join(sizes, "root").join(known, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+        y = hot_join(members, sizes, "root", "size", members.count()).withColumn("block", at("node", "blocks")).alias("y")
+        na, nb = F.col("x.n"), F.col("y.n")
+        value = estimate(F.col("x.values"), F.col("y.values"), na, nb)
+        fits = [F.col("x.root") == F.col("y.root"), F.col("x.block") == F.col("y.block"), sizes_fit(na, nb, self.percent), may_link(value, na, nb, self.percent)]
+        return x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), na.alias("na"), nb.alias("nb"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """For each class its most similar partner, and of those that seem similar enough the one that others choose too."""
