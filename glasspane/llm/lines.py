@@ -38,15 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Shelf, hot_join, in_batches
+from .shared import HOT_KEYS, Shelf, hot_join, in_batches
 from .words import _ODD, UNSPACED, Words, _powers, chunks, mixed
 
 LEADING, LEAST, STRENGTH, FIELD = 4, 3, 128, 1.75
 PAIRS = list(itertools.combinations(range(1, LEADING + 1), 2))
 PASSAGE, PICKED, DISTINCT, MOST_BITS = 50, 25, 20, 27
+#: A posted run of HOT_LEAST / HOT_KEYS documents or fewer is not hot.
+HOT_LEAST = 1_000_000
 _FIELD = np.uint64(0x5DEECE66D1234567)
 
 
@@ -249,24 +251,26 @@ def bits_of(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, every.ravel()
 
 
-def around(marked: DataFrame, bits: int, known: np.ndarray) -> DataFrame:
-    """doc_id, key: the runs of PASSAGE words with a word that lines leave and a posted run whose bit is set, each once for each row."""
+def around(marked: DataFrame, bits: int, known: np.ndarray, hot: np.ndarray, wanted: bool) -> DataFrame:
+    """doc_id, key: the runs of PASSAGE words with a word that lines leave whose own posted run has its bit set, each once for each row.
+
+    Of these, those whose posted run is a hot one (wanted), or all others.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, drops = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for at, own in chunks(batch.column(1).to_pylist()):
                 w = Words(own, UNSPACED)
-                places, keys = picked(w)
-                places = places[_set(keys, bits, known)]
-                if not len(places):
+                h = runs(w, PICKED)
+                if len(h) <= PASSAGE - PICKED:
                     continue
-                left = left_words(w, drops[at : at + len(own)])
-                steps = np.zeros(len(w.starts) + 1, np.int64)
-                np.add.at(steps, np.maximum(places - (PASSAGE - PICKED), 0), 1)
-                np.add.at(steps, places + 1, -1)
-                starts = np.flatnonzero(np.cumsum(steps) > 0)
+                least = _sliding(h, PASSAGE - PICKED + 1, np.minimum).view(np.int64)
+                starts = np.flatnonzero(_set(least, bits, known) & (np.isin(least, hot) == wanted))
                 starts = starts[starts + PASSAGE <= w.first[np.searchsorted(w.first, starts, side="right")]]
+                if not len(starts):
+                    continue
+                left = left_words(w, drops[at : at + len(own)])
                 starts = starts[left[starts + PASSAGE] > left[starts]]
                 keys = runs(w, PASSAGE)[starts].view(np.int64)
                 for k in range(0, len(starts), 4096):
@@ -288,12 +292,21 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(marked: DataFrame, shelf: Shelf) -> DataFrame:
-    """doc_id, cut (array of keys of runs of PASSAGE words): what goes from which document."""
+    """doc_id, cut (array of keys of runs of PASSAGE words): what goes from which document.
+
+    Runs are dealt by key once. Those around hot posted runs (HOT_KEYS at most) are counted where they are instead.
+    """
     ends = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")]
-    often = shelf.put(posted(marked).groupBy("key").agg(*ends).where("keeper < last").select("key"), "posted")
-    again = shelf.put(around(marked, *bits_of(often)), "passages")
-    shared = shelf.put(again.groupBy("key").agg(*ends).where("keeper < last").drop("last"), "shared")
-    gone = hot_join(again, shared, "key", "n", again.count()).where("doc_id <> keeper")
+    often = shelf.put(posted(marked).groupBy("key").agg(*ends).where("keeper < last").select("key", "n"), "posted")
+    every = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = np.array([r["key"] for r in often.where(F.col("n") * HOT_KEYS > F.greatest(F.lit(every), F.lit(HOT_LEAST))).collect()], np.int64)  # HOT_KEYS at most
+    bits, known = bits_of(often.select("key"))
+    keeper = F.min("doc_id").over(Window.partitionBy("key"))
+    gone = around(marked, bits, known, hot, False).withColumn("keeper", keeper).where("doc_id <> keeper").select("doc_id", "key")
+    if len(hot):
+        again = shelf.put(around(marked, bits, known, hot, True), "passages")
+        shared = shelf.put(again.groupBy("key").agg(*ends).where("keeper < last").drop("last"), "shared")
+        gone = gone.unionByName(hot_join(again, shared, "key", "n", again.count()).where("doc_id <> keeper").select("doc_id", "key"))
     return shelf.put(gone.groupBy("doc_id").agg(F.collect_set("key").alias("cut")), "cuts")
 
 

@@ -100,3 +100,17 @@ def test_odd_rows(spark):
     for passages in (False, True):
         got = sorted(((r["doc_id"] or 0, r["text"]) for r in lines.dedup(df, passages).collect()), key=str)
         assert got == sorted([(0, line), (0, line), (1, None), (2, ""), (3, " \n\t\n"), rows[4], rows[5], (5, "own"), (7, "x\n")], key=str)
+
+
+def test_hot_passages_are_found_alike(spark, monkeypatch):
+    """Whether a posted run counts as hot makes no difference."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passages = [" ".join(word() for _ in range(70)) for _ in range(3)]
+    rows = [(k, " ".join(word() for _ in range(r.randint(3, 40))) + f" {r.choice(passages)} " + " ".join(word() for _ in range(20)) + f"\n{r.choice(passages)} {word()}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cold = {x["doc_id"]: x["text"] for x in lines.dedup(df, passages=True).collect()}
+    monkeypatch.setattr(lines, "HOT_LEAST", 0)
+    monkeypatch.setattr(lines, "HOT_KEYS", 25)  # those with over a twenty-fifth of the posted runs
+    assert {x["doc_id"]: x["text"] for x in lines.dedup(df, passages=True).collect()} == cold
+    assert sum(len(t.split()) for t in cold.values()) < 0.55 * sum(len(t.split()) for _, t in rows)
