@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read
+from .shared import Shelf, read
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import token_files
+
+    folder = f"{Shelf(spark, 'tokens').root}/files"
+    token_files.write(read(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end=2)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination, "op13_tokens": op13_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
