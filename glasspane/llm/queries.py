@@ -76,6 +76,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tries import trie
+
+    return trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import align
 
@@ -93,10 +99,11 @@ def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination, "op12_alignment": op12_alignment, "op13_tokens": op13_tokens}
+    return {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_lines": op3_lines, "op4_urls": op4_urls, "op5_quality": op5_quality, "op6_language": op6_language, "op7_minhash": op7_minhash, "op8_pii": op8_pii, "op9_packing": op9_packing, "op10_decontamination": op10_decontamination, "op11_trie": op11_trie, "op12_alignment": op12_alignment, "op13_tokens": op13_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .tries import trie_sql
     from .urls import verdicts_sql
 
-    return {"op4_urls": verdicts_sql()}
+    return {"op4_urls": verdicts_sql(), "op11_trie": trie_sql()}
