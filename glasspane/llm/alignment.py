@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Shelf, in_batches
+from .shared import Shelf, byte_of_sign, in_batches
 
 #: Pairs of a document and an irregular id pair in a block of documents, about.
 BLOCK = 1 << 20
@@ -44,13 +44,6 @@ _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎]")
 _SEGMENTS = re.compile(r"\n(?=[^ \n])|[ \n]*[^ \n]+|[ \n]+")
 
 
-def _byte_of_sign() -> dict[str, int]:
-    """Byte-level vocabularies show printable bytes as themselves, the others as signs from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = sorted(set(range(256)) - set(shown))
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Vocabularies:
     """Both tokenizers, the bytes of each id, and the map of A ids to B ids of the same bytes."""
 
@@ -60,7 +53,7 @@ class Vocabularies:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings are plain text
-        signs = _byte_of_sign()
+        signs = byte_of_sign()
         self.a_bytes: list[bytes] = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for piece, i in self.a.get_vocab(with_added_tokens=True).items():
             self.a_bytes[i] = bytes(map(signs.__getitem__, piece)) if all(x in signs for x in piece) else piece.encode()

@@ -73,6 +73,13 @@ def crc_fold(doc_id) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
 
 
+def byte_of_sign() -> dict[str, int]:
+    """Byte-level vocabularies show printable bytes as themselves, the others as signs from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 #: Rows of texts that go to Python at once.
 BATCH_ROWS = 400
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .elias_fano import EliasFano
-from .shared import give_back, in_batches
+from .shared import byte_of_sign, give_back, in_batches
 
 MAGIC = b"GPTOKEN1"
 #: Documents, those of them with a null doc_id (they come first), ids, bytes an id, smallest doc_id, bytes of the two lists.
@@ -51,76 +51,66 @@ FORMAT = "glasspane_tokens"
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "a-zß-öø-ÿ"
 _WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
-#: Texts of other signs are cut at white space only, and those with special white space or tokens not at all.
-_BEYOND = re.compile(r"[^\x20-\x7e\n\r\tÀ-ÖØ-öø-ÿ]")
-_WHOLE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]|<\|")
+#: Signs, in Latin-1, of texts that are cut into words; others are cut at white space, or not at all if it is a special one.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+_WHOLE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]")
 
 
 class LowerCaseEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, for tokenizers that drop white space.
 
-    Words come back often, so the ids of words of 40 signs at most are kept, until a batch brings them over
-    ``keep``. The unknown words of a batch are encoded in one call, parted by a sign whose id no word has. A tokenizer that splits
-    texts in another way than the one above encodes each text whole.
+    Words come back often, so the ids of up to ``keep`` words, and words with their stops, of 40 signs at most are
+    kept. A word of a plain text goes straight to the tokenizer's model, anything else through all of the tokenizer.
+    A tokenizer that splits texts in another way than the one above encodes each text whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-        split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"), {})
-        self.by_words = split.get("pattern", {}).get("Regex") == _WORD_SPLIT and split.get("invert") and split.get("behavior") == "Removed"
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        if self.by_words:
-            (self.mark,) = self.tokenizer.encode("0", add_special_tokens=False).ids
-            self.digits = {str(d): self.whole(str(d)) for d in range(10)}
-            self.known = dict(self.digits)
+        split, *more = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) or [{}]
+        self.by_words = split.get("pattern", {}).get("Regex") == _WORD_SPLIT and split.get("invert") and split.get("behavior") == "Removed" and [x["type"] for x in more] == ["ByteLevel"]
+        self.model, self.signs = self.tokenizer.model, {b: sign for sign, b in byte_of_sign().items()}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        words = list(words)
-        ids = np.array(self.tokenizer.encode(" 0 ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark)
-        if len(ends) != len(words) - 1:
-            raise ValueError("a word holds the sign that parts words")
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, [*ends.tolist(), len(ids)]):
-            self.known[word] = data[4 * at : 4 * end]
-            at = end + 1
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif not self.by_words or _WHOLE.search(text):
-                cut.append(None)
-            elif _BEYOND.search(text):
-                cut.append(text.split())
-            else:
-                cut.append(_WORDS.findall(text.lower()))
-        if len(self.known) > self.keep:
-            self.known = dict(self.digits)
-        fresh = set()
-        for words in cut:
-            if words:
-                fresh.update(words)
-        fresh -= self.known.keys()
-        odd = [w for w in fresh if len(w) > 40 or "0" in w]  # too long to keep, or with the sign itself
-        fresh.difference_update(odd)
-        if fresh:
-            self.learn(fresh)
-        for w in odd:
-            self.known[w] = self.whole(w)
-        get = self.known.__getitem__
-        out = [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
-        for w in odd:
-            del self.known[w]
-        return out
+    def kept(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= 40:
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        """Of a lower-cased plain word: its bytes as the model's signs, merged by the model."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        return self.kept(word, np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes())
+
+    def plain(self, chunk: str) -> bytes:
+        """Of signs without white space between: often one word, or a word and a stop."""
+        words = _WORDS.findall(chunk)
+        get = self.known.get
+        ids = b"".join([get(w) or self.word(w) for w in words])
+        return ids if len(words) == 1 else self.kept(chunk, ids)
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_words or "<|" in text:
+            return self.whole(text)
+        get = self.known.get
+        try:
+            plain = not text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            return b"".join([get(c) or self.plain(c) for c in text.lower().split()])
+        if _WHOLE.search(text):
+            return self.whole(text)
+        return b"".join([get(c) or self.kept(c, self.whole(c)) for c in text.split()])
 
 
 # --- the data source -------------------------------------------------------------------------
@@ -316,8 +306,8 @@ def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def run(batches):
         encoder, close = LowerCaseEncoder(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids = encoder(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + close for x in ids], pa.binary())], names=["doc_id", "ids"])
+            ids = pa.array([encoder(text) + close for text in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary")
 

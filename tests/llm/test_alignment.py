@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glasspane.llm import alignment, queries
+from glasspane.llm.shared import byte_of_sign
 
 A, B = queries.tokenizer_path(), queries.tokenizer_path("piece_bpe_32k.model")
-SIGNS = alignment._byte_of_sign()
+SIGNS = byte_of_sign()
 
 
 def plain(texts):

@@ -45,9 +45,8 @@ def test_words_encode_as_whole_texts(spark, sf):
     tokenizer, encoder = Tokenizer.from_file(WORDS), token_files.LowerCaseEncoder(WORDS, keep=3000)
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert encoder.by_words
-    for k in range(0, len(texts), 40):
-        for t, ids in zip(texts[k : k + 40], encoder(texts[k : k + 40])):
-            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    for t in texts + ODD:
+        assert np.frombuffer(encoder(t), "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
 def plain(rows):
