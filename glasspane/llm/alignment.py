@@ -15,7 +15,7 @@ which tokens of both end cut the tokens into groups; tokens whose byte ranges ov
 
 Encoding runs word by word where that gives the same tokens as whole texts: behind a sign that is no white space
 a new token begins at a space, for both tokenizers (B has no piece with a space within), and line feeds stand
-alone. Texts with other white space are encoded whole. Words come back often, so each word's alignment is kept, up to a bound.
+alone; and if no piece of B has a stop behind a letter, a cut may also be there. Texts with other white space are encoded whole. Words come back often, so each word's alignment is kept, up to a bound.
 
 Null and empty texts, and those whose tokens' bytes are not those of space + text, have no tokens: zeros and an empty
 string. Repeated rows are documents each; doc_id may be null or repeat and is only carried along. An empty table
@@ -42,6 +42,9 @@ KEEP, KEEP_LINKS = 300_000, 6_000_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎]")
 _SEGMENTS = re.compile(r"\n(?=[^ \n])|[ \n]*[^ \n]+|[ \n]+")
+_LETTER, _STOP = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+#: The same, with a cut between a letter and a stop.
+_STOPPED = re.compile(rf"\n(?=[^ \n])|[ \n]*+(?:[^ \n{_LETTER}]*+[{_LETTER}]++(?=[{_STOP}])|[^ \n]+)|[ \n]+")
 
 
 class Vocabularies:
@@ -64,6 +67,11 @@ class Vocabularies:
         for i in [*(i for i in range(n) if raw[i]), *(i for i in range(n) if not raw[i] and not self.b.is_control(i) and not self.b.is_unknown(i))]:
             own[self.b_bytes[i]] = i  # a piece goes before a raw byte
         self.same = np.array([own.get(x, -1) for x in self.a_bytes], np.int64)
+        self.a_sizes, self.b_sizes = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
+        self.a_names, self.b_names = [*map(str, range(len(self.a_bytes)))], [*map(str, range(n))]
+        pieces = [self.b.id_to_piece(i) for i in range(n) if not raw[i]]
+        letter_stop = re.compile(f"[{_LETTER}][{_STOP}]")
+        self.segments = _SEGMENTS if any(map(letter_stop.search, (x for x in pieces if x not in ("<unk>", "<s>", "</s>")))) else _STOPPED
 
     def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
         """A's and B's ids of each segment; B adds its space to those that start with one, the others follow a line feed."""
@@ -73,27 +81,30 @@ class Vocabularies:
         return [(x, y if own else y[2:]) for own, x, y in zip(spaced, a, b)]
 
 
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[str], list[tuple[int, int]]]:
-    """The groups as text, and the linked pairs of ids in order, of two token lists over the same bytes."""
+def aligned(a: list[int], b: list[int], v: Vocabularies) -> tuple[list[str], list[int]]:
+    """The groups as text, and the linked pairs of ids in order as a * (size of B) + b, of two token lists over the same bytes."""
+    a_sizes, b_sizes, base = v.a_sizes, v.b_sizes, len(v.b_bytes)
+    a_names, b_names = [v.a_names[x] for x in a], [v.b_names[x] for x in b]
     groups, links = [], []
     i = j = first_a = first_b = 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
+    start, ahead = a[0] * base, a_sizes[a[0]] - b_sizes[b[0]]  # ahead: bytes by which A's token ends behind B's
     while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
+        links.append(start + b[j])
+        if ahead == 0:
             i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+            groups.append(",".join(a_names[first_a:i]) + "|" + ",".join(b_names[first_b:j]))
             if i == len(a):
                 return groups, links
             first_a, first_b = i, j
-            end_a += len(a_bytes[a[i]])
-            end_b += len(b_bytes[b[j]])
-        elif end_a < end_b:
+            start = a[i] * base
+            ahead = a_sizes[a[i]] - b_sizes[b[j]]
+        elif ahead < 0:
             i += 1
-            end_a += len(a_bytes[a[i]])
+            start = a[i] * base
+            ahead += a_sizes[a[i]]
         else:
             j += 1
-            end_b += len(b_bytes[b[j]])
+            ahead -= b_sizes[b[j]]
 
 
 class _Grown:
@@ -126,10 +137,9 @@ class Aligner:
         self.sizes, self.codes, self.first = _Grown(), _Grown(), _Grown()  # tokens of A, of B and groups by threes; codes of links; where a segment's begin
         self.first.extend([0])
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
         whole = " " + text
-        return [whole] if _OTHER_SPACE.search(text) else _SEGMENTS.findall(whole)
+        return [whole] if _OTHER_SPACE.search(text) else self.v.segments.findall(whole)
 
     def learn(self, segments: list[str]) -> None:
         """Aligns new segments; each gets the next number."""
@@ -141,10 +151,10 @@ class Aligner:
                 self.groups.append(None)
                 sizes += (0, 0, 0)
             else:
-                groups, links = aligned(a, b, v.a_bytes, v.b_bytes)
+                groups, links = aligned(a, b, v)
                 self.groups.append(";".join(groups))
                 sizes += (len(a), len(b), len(groups))
-                codes += [x * self.base + y for x, y in links]
+                codes += links
             ends.append(at + len(codes))
         self.sizes.extend(sizes)
         self.codes.extend(codes)
