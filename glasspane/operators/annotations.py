@@ -82,28 +82,55 @@ def by_label(regions: DataFrame) -> DataFrame:
     return regions.groupBy("uri", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "part", "outer", "holes"))), lambda x: F.struct(x["outer"].alias("outer"), x["holes"].alias("holes"))).alias("regions"))
 
 
-def edges(regions: DataFrame, key: str) -> DataFrame:
-    """key, x1, y1, x2, y2: the edges of all rings, each ring closed. Parity over them leaves holes out."""
-    rings = regions.select(key, F.explode(F.concat(F.array("outer"), "holes")).alias("ring"))
-    closed = F.concat("ring", F.slice("ring", 1, 1))
-    pairs = F.zip_with(F.slice(closed, F.lit(1), F.size("ring")), F.slice(closed, F.lit(2), F.size("ring")), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    return rings.select(key, F.explode(pairs).alias("e")).select(key, "e.*")
-
-
 def crosses(x: Column, y: Column) -> Column:
     """Whether the ray to the right of a point crosses the edge x1, y1, x2, y2; an edge owns its lower end."""
     x1, y1, x2, y2 = (F.col(n).cast("double") for n in ("x1", "y1", "x2", "y2"))
     return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y1 == y2, 1.0).otherwise(y2 - y1) + x1)
 
 
+def strokes(regions: DataFrame, key: str = "slide_id") -> DataFrame:
+    """key, painted (place in the order of painting), value, edge, x1, y1, x2, y2: the edges of all rings, each ring closed.
+
+    Regions are painted in file order, the outer ring with 1 and then each hole with 0; so a region in another's hole
+    shows, and regions that overlap unite.
+    """
+    ring = lambda points, k, value: F.struct(k.cast("int").alias("ring"), F.lit(value).alias("value"), points.alias("points"))
+    holes = F.transform("holes", lambda h, i: ring(h, i + 1, 0))
+    rings = regions.select(key, *[F.col(c) for c in ("position", "part")], F.explode(F.concat(F.array(ring(F.col("outer"), F.lit(0), 1)), holes)).alias("s"))
+    points = F.col("s.points")
+    closed = F.concat(points, F.slice(points, 1, 1))
+    pairs = F.zip_with(F.slice(closed, F.lit(1), F.size(points)), F.slice(closed, F.lit(2), F.size(points)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    return rings.select(key, F.struct("position", "part", F.col("s.ring").alias("ring")).alias("painted"), F.col("s.value").alias("value"), F.posexplode(pairs).alias("edge", "e")).select(key, "painted", "value", "edge", "e.*")
+
+
+def spans(regions: DataFrame, scale: float = 1.0, key: str = "slide_id") -> DataFrame:
+    """key, painted, value, r, low, high: the columns low .. high - 1 of row r that a ring covers, in pixels of ``scale`` slide pixels.
+
+    A ring covers the pixels whose places lie inside it (even-odd, see ``crosses``) and those of its
+    outline: on the line between two corners' pixels, a step along the longer axis at a time.
+    """
+    own = strokes(regions, key)
+    y1, y2, x1, x2 = (F.col(n).cast("double") for n in ("y1", "y2", "x1", "x2"))
+    rows = F.sequence(F.floor(F.least("y1", "y2") / F.lit(scale)).cast("int"), F.ceil(F.greatest("y1", "y2") / F.lit(scale)).cast("int"))
+    y = F.col("r") * F.lit(float(scale))
+    crossed = own.where("y1 <> y2").withColumn("r", F.explode(rows)).where((y1 > y) != (y2 > y))
+    at = crossed.groupBy(key, "painted", "value", "r").agg(F.array_sort(F.collect_list((x2 - x1) * (y - y1) / (y2 - y1) + x1)).alias("xs"))  # one ring, one row
+    ends = F.transform(F.sequence(F.lit(0), F.expr("size(xs) div 2") - 1), lambda i: F.struct(F.get("xs", 2 * i).alias("a"), F.get("xs", 2 * i + 1).alias("b")))
+    column = lambda x: F.ceil(x / F.lit(float(scale))).cast("int")
+    inside = at.select(key, "painted", "value", "r", F.explode(ends).alias("s")).select(key, "painted", "value", "r", column(F.col("s.a")).alias("low"), column(F.col("s.b")).alias("high"))
+    corner = {n: F.floor(F.col(n) / F.lit(float(scale))).cast("long") for n in ("x1", "y1", "x2", "y2")}
+    line = own.select(key, "painted", "value", "edge", *[c.alias(n) for n, c in corner.items()]).withColumn("n", F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))
+    on = lambda a, b: F.when(F.col("n") == 0, F.col(a)).otherwise(F.col(a) + F.floor((2 * (F.col(b) - F.col(a)) * F.col("k") + F.col("n")) / (2 * F.greatest("n", F.lit(1))))).cast("int")
+    steps = line.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    outline = steps.select(key, "painted", "value", "edge", on("y1", "y2").alias("r"), on("x1", "x2").alias("c")).groupBy(key, "painted", "value", "edge", "r").agg(F.min("c").alias("low"), (F.max("c") + 1).alias("high")).drop("edge")
+    return inside.where("low < high").unionByName(outline)
+
+
 def annotation_mask(df: DataFrame, regions: DataFrame, name: str = "annotated", scale: float = 1.0) -> DataFrame:
-    """Pixels whose place (scaled to the slide) lies in a region of their slide; regions carry slide_id.
+    """Pixels that the regions of their slide leave painted (see ``strokes``); regions carry slide_id, and scale is slide pixels to a pixel.
 
-    Pixels join the edges of their own slide whose vertical extent holds their row: an equi-join on slide and row.
+    Pixels join the spans of their own row, an equi-join on slide and row; of the rings over a pixel the last one decides.
     """
-    own = edges(regions, "slide_id")
-    low, high = F.floor(F.least("y1", "y2") / F.lit(scale)), F.ceil(F.greatest("y1", "y2") / F.lit(scale))
-    by_row = own.where("y1 <> y2").withColumn("r", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    met = df.select("slide_id", "r", "c").join(by_row, ["slide_id", "r"]).where(crosses(F.col("c") * scale, F.col("r") * scale))
-    inside = met.groupBy("slide_id", "r", "c").agg((F.count(F.lit(1)) % 2 == 1).alias(name)).where(name)
+    met = df.select("slide_id", "r", "c").join(spans(regions, scale), ["slide_id", "r"]).where("c >= low and c < high")
+    inside = met.groupBy("slide_id", "r", "c").agg((F.max_by("value", "painted") == 1).alias(name)).where(name)
     return df.join(inside, ["slide_id", "r", "c"], "left").withColumn(name, F.coalesce(name, F.lit(False)))

@@ -9,7 +9,7 @@ from ..operators import annotations, learning, masks, stats, tiles
 from ..plans.pipeline import Step, folded, metrics
 from ..session import table
 from ..sources import tables
-from ..sources.pixels import pixels
+from ..sources.pixels import pixels, u8
 from .registry import GRAY, PX, query, r6, rounded
 
 TISSUE = 124
@@ -230,43 +230,74 @@ def tiles_json(spark, d):
 
 # --- annotations ------------------------------------------------------------------------------------------
 
-_A = '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[5.5,5],[50,8],[45,55],[8,48],[5.5,5]],[[20,20],[35,20],[35,35],[20,35],[20,20]]]},"properties":{"classification":{"name":"Tissue"}}}'
-_B = '[{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[2,2],[12,2],[12,12],[2,12]]],[[[30,30],[60,30],[45,60]]]]},"properties":{"classification":{"name":"Fold"}}},{"type":"Feature","geometry":{"type":"LineString","coordinates":[[1,1],[9,1],[9,9]]},"properties":{"classification":{"name":"Fold"}}}]'
+def _texts(spark, d):
+    """A GeoJSON text for each slide, made of its vectors: each draws a quadrangle, and a hole where it is large enough.
 
+    Regions of a slide overlap, lie in each other's holes and touch its edges.
+    """
+    u = lambda k: u8(F.get("embedding", F.lit(k)))
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.expr("vec_id div 64").alias("slide_id"), (u(0) % 48).alias("x"), (u(1) % 48).alias("y"), (u(2) % 21 + 3).alias("w"), (u(3) % 21 + 3).alias("h"))
+    points = lambda *ps: "[" + ", ".join(f"[{x}, {y}]" for x, y in ps) + "]"
+    outer = points(*[("%d", "%d.5")] * 4, ("%d", "%d.5"))
+    c = F.col
+    corners = [(c("x"), c("y")), (c("x") + c("w"), c("y") + F.expr("h div 3")), (c("x") + c("w") - 2, c("y") + c("h")), (c("x"), c("y") + c("h") - 1)]
+    inner = [(c("x") + 4, c("y") + 6), (c("x") + 8, c("y") + 6), (c("x") + 8, c("y") + 9), (c("x") + 4, c("y") + 9)]
+    shown = lambda ps: F.format_string(outer, *[p for xy in [*ps, ps[0]] for p in xy])
+    hole = F.when((c("w") > 12) & (c("h") > 12), F.concat(F.lit(", "), shown(inner))).otherwise("")
+    feature = F.concat(F.lit('{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": ['), shown(corners), hole, F.lit(']}, "properties": {"classification": {"name": "'), c("label").cast("string"), F.lit('"}}}'))
+    each = v.select("slide_id", F.struct("vec_id", feature.alias("text")).alias("f"))
+    texts = each.groupBy("slide_id").agg(F.concat_ws(",\n", F.transform(F.array_sort(F.collect_list("f")), lambda f: f["text"])).alias("t"))  # 64 vectors a slide
+    return texts.select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "t", F.lit("]}")).alias("json"), F.col("slide_id").cast("string").alias("uri"))
 
-def _drawn(spark):
-    texts = spark.createDataFrame([(_A, "a.json"), (_B, "b.json")], "json string, uri string")
-    return annotations.valid(annotations.geojson_regions(texts))
+
+def _regions(spark, d):
+    return annotations.valid(annotations.geojson_regions(_texts(spark, d)))
+
+
+def _painted(spark, d):
+    return _regions(spark, d).withColumn("slide_id", F.col("uri").cast("long"))
+
+
+_DRAWN = """v AS (SELECT vec_id // 64 AS slide_id, vec_id % 64 AS position, label, floor((embedding[1]::DOUBLE + 1) * 127.5)::INT % 48 AS x, floor((embedding[2]::DOUBLE + 1) * 127.5)::INT % 48 AS y,
+  floor((embedding[3]::DOUBLE + 1) * 127.5)::INT % 21 + 3 AS w, floor((embedding[4]::DOUBLE + 1) * 127.5)::INT % 21 + 3 AS h FROM embeddings),
+ring AS (
+  SELECT slide_id, position, 0 AS ring, 1 AS value, [[x, y], [x + w, y + h // 3], [x + w - 2, y + h], [x, y + h - 1], [x, y], [x, y]] AS p FROM v
+  UNION ALL SELECT slide_id, position, 1, 0, [[x + 4, y + 6], [x + 8, y + 6], [x + 8, y + 9], [x + 4, y + 9], [x + 4, y + 6], [x + 4, y + 6]] FROM v WHERE w > 12 AND h > 12),
+e AS (SELECT slide_id, position, ring, value, p[k][1] AS x1, p[k][2] AS y1, p[k + 1][1] AS x2, p[k + 1][2] AS y2 FROM ring, range(1, 6) t(k)),
+l AS (SELECT *, greatest(abs(x2 - x1), abs(y2 - y1)) AS n FROM e),
+q AS (SELECT slide_id, position, ring, value, CASE WHEN n = 0 THEN x1 ELSE x1 + floor((2 * (x2 - x1) * k + n)::DOUBLE / (2 * n))::INT END AS c, CASE WHEN n = 0 THEN y1 ELSE y1 + floor((2 * (y2 - y1) * k + n)::DOUBLE / (2 * n))::INT END AS r FROM l, range(70) t(k) WHERE k <= n),
+i AS (SELECT px.slide_id, px.r, px.c, position, ring, value FROM px JOIN e ON e.slide_id = px.slide_id AND (y1 > r) <> (y2 > r) AND c < (x2 - x1)::DOUBLE * (r - y1)::DOUBLE / (y2 - y1)::DOUBLE + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+z AS (SELECT slide_id, r, c, arg_max(value, position * 2 + ring) AS value FROM (SELECT slide_id, r, c, position, ring, value FROM i UNION ALL SELECT slide_id, r, c, position, ring, value FROM q) GROUP BY ALL),
+a AS (SELECT px.*, coalesce(z.value, 0) = 1 AS k FROM px LEFT JOIN z ON z.slide_id = px.slide_id AND z.r = px.r AND z.c = px.c)"""
 
 
 @query(
     "annotation_rings",
-    """SELECT * FROM (VALUES ('a.json', 0, 0, 'Tissue', 5, 1, 234::BIGINT), ('b.json', 0, 0, 'Fold', 4, 0, 56::BIGINT), ('b.json', 0, 1, 'Fold', 3, 0, 255::BIGINT), ('b.json', 1, 0, 'Fold', 3, 0, 30::BIGINT)) t(uri, position, part, label, n_outer, n_holes, total)""",
+    f"""WITH {PX}, {_DRAWN} SELECT slide_id::VARCHAR AS uri, position::INT AS position, any_value(v.label)::VARCHAR AS label, max(CASE WHEN ring = 0 THEN 5 END) AS n_outer, max(ring) AS n_holes, sum(CASE WHEN ring = 0 THEN list_sum([a[1] + a[2] FOR a IN p[1:5]]) END)::BIGINT AS total
+FROM ring JOIN v USING (slide_id, position) GROUP BY slide_id, position""",
 )
 def annotation_rings(spark, d):
     add = lambda a, p: a + p["x"] + p["y"]
-    return _drawn(spark).select("uri", "position", "part", "label", F.size("outer").alias("n_outer"), F.size("holes").alias("n_holes"), F.aggregate("outer", F.lit(0).cast("long"), lambda a, p: add(a, p).cast("long")).alias("total"))
-
-
-_EDGES = """e AS (SELECT * FROM (VALUES (0, 5, 5, 50, 8), (0, 50, 8, 45, 55), (0, 45, 55, 8, 48), (0, 8, 48, 5, 5), (0, 20, 20, 35, 20), (0, 35, 20, 35, 35), (0, 35, 35, 20, 35), (0, 20, 35, 20, 20),
-(1, 2, 2, 12, 2), (1, 12, 2, 12, 12), (1, 12, 12, 2, 12), (1, 2, 12, 2, 2), (1, 30, 30, 60, 30), (1, 60, 30, 45, 60), (1, 45, 60, 30, 30)) t(slide_id, x1, y1, x2, y2))"""
+    return _regions(spark, d).select("uri", "position", "label", F.size("outer").alias("n_outer"), F.size("holes").alias("n_holes"), F.aggregate("outer", F.lit(0).cast("long"), lambda a, p: add(a, p).cast("long")).alias("total"))
 
 
 @query(
     "annotation_mask",
-    f"""WITH {PX}, {_EDGES}, h AS (SELECT px.slide_id, px.r, px.c, count(e.x1) AS n FROM px LEFT JOIN e ON e.slide_id = px.slide_id AND (y1 > r) <> (y2 > r) AND c < (x2 - x1)::DOUBLE * (r - y1)::DOUBLE / (y2 - y1)::DOUBLE + x1 GROUP BY ALL)
-SELECT slide_id, count(*) FILTER (n % 2 = 1) AS inside, coalesce(sum(r) FILTER (n % 2 = 1), 0)::BIGINT AS rows_, count(*) AS total FROM h GROUP BY slide_id""",
+    f"""WITH {PX}, {_DRAWN} SELECT slide_id, count(*) FILTER (k) AS inside, coalesce(sum(r * 64 + c) FILTER (k), 0)::BIGINT AS places, count(*) AS total FROM a GROUP BY slide_id""",
 )
 def annotation_mask(spark, d):
-    regions = _drawn(spark).where("position = 0").withColumn("slide_id", F.when(F.col("uri") == "a.json", 0).otherwise(1).cast("long"))
-    df = annotations.annotation_mask(pixels(spark, d), regions)
-    return df.groupBy("slide_id").agg(F.count_if("annotated").alias("inside"), F.coalesce(F.sum(F.when(F.col("annotated"), F.col("r"))), F.lit(0)).cast("long").alias("rows_"), F.count(F.lit(1)).alias("total"))
+    df = annotations.annotation_mask(pixels(spark, d), _painted(spark, d))
+    return df.groupBy("slide_id").agg(F.count_if("annotated").alias("inside"), F.coalesce(F.sum(F.when(F.col("annotated"), F.col("r") * 64 + F.col("c"))), F.lit(0)).cast("long").alias("places"), F.count(F.lit(1)).alias("total"))
+
+
+_NAMES = {str(k): ("tissue", "fold", "ink")[k % 3] for k in range(10)}
 
 
-@query("annotation_labels", "SELECT * FROM (VALUES ('a.json', 'tissue', 1::BIGINT), ('b.json', 'artefact', 3::BIGINT)) t(uri, label, n)")
+@query("annotation_labels", "SELECT (vec_id // 64)::VARCHAR AS uri, CASE label % 3 WHEN 0 THEN 'tissue' WHEN 1 THEN 'fold' ELSE 'ink' END AS label, count(*) AS n, min(vec_id % 64)::INT AS first FROM embeddings GROUP BY ALL")
 def annotation_labels(spark, d):
-    named = annotations.relabelled(_drawn(spark), {"Tissue": "tissue", "Fold": "artefact"})
-    return annotations.by_label(named).select("uri", "label", F.size("regions").cast("long").alias("n"))
+    named = annotations.relabelled(_regions(spark, d), _NAMES)
+    firsts = named.groupBy("uri", "label").agg(F.min("position").alias("first"))
+    return annotations.by_label(named).select("uri", "label", F.size("regions").cast("long").alias("n")).join(firsts, ["uri", "label"])
 
 
 # --- classifiers ------------------------------------------------------------------------------------------
@@ -391,7 +422,7 @@ def preset_pipeline(spark, d):
 def classified_pipeline(spark, d):
     """Annotation, both classifiers, tiles and ridges as steps of one pipeline."""
     px = pixels(spark, d)
-    regions = _drawn(spark).where("position = 0").withColumn("slide_id", F.when(F.col("uri") == "a.json", 0).otherwise(1).cast("long"))
+    regions = _painted(spark, d)
     steps = [
         Step("annotation"),
         Step("classify_bayes", None, {"name": "ink", "threshold": ".9"}),
@@ -406,9 +437,9 @@ def classified_pipeline(spark, d):
 
 @query(
     "annotated_pipeline",
-    f"""WITH {PX}, {_EDGES}, h AS (SELECT px.slide_id, px.r, px.c, any_value(red) AS red, count(e.x1) AS n FROM px LEFT JOIN e ON e.slide_id = px.slide_id AND (y1 > r) <> (y2 > r) AND c < (x2 - x1)::DOUBLE * (r - y1)::DOUBLE / (y2 - y1)::DOUBLE + x1 GROUP BY ALL),
-u AS (SELECT slide_id, n % 2 = 1 OR slide_id > 1 AS k FROM h) SELECT slide_id, {r6("1 - count(*) FILTER (k) / count(*)")} AS "getAnnotationMask", (count(*) FILTER (k))::DOUBLE AS pixels_to_use FROM u GROUP BY slide_id""",
+    f"""WITH {PX}, {_DRAWN}, u AS (SELECT slide_id, k OR slide_id > 5 AS k FROM a) SELECT slide_id, {r6("1 - count(*) FILTER (k) / count(*)")} AS "getAnnotationMask", (count(*) FILTER (k))::DOUBLE AS pixels_to_use FROM u GROUP BY slide_id""",
 )
 def annotated_pipeline(spark, d):
-    regions = _drawn(spark).where("position = 0").withColumn("slide_id", F.when(F.col("uri") == "a.json", 0).otherwise(1).cast("long"))
+    """Slides from number 6 on have no annotations and stay whole."""
+    regions = _painted(spark, d).where("slide_id <= 5")
     return rounded(metrics(folded(pixels(spark, d), [Step("annotation"), Step("final")], given={"regions": regions})).select("slide_id", "getAnnotationMask", "pixels_to_use"))
