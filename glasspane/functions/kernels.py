@@ -206,6 +206,69 @@ def png(layers: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
+def unpng(data: bytes) -> np.ndarray:
+    """(height, width, channels) bytes of a picture of 8 bits a sample that is not interlaced; a palette becomes its colours."""
+    import struct
+    import zlib
+
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG picture")
+    at, head, palette, packed = 8, None, None, b""
+    while at + 8 <= len(data):
+        (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed += body
+        at += 12 + size
+    if head is None or head[2] != 8 or head[6] or head[3] not in (0, 2, 3, 4, 6):
+        raise ValueError("not a picture of 8 bits a sample, or interlaced")
+    w, h, n = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
+    try:
+        raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    except zlib.error:
+        raise ValueError("a damaged picture") from None
+    if len(raw) != h * (w * n + 1):
+        raise ValueError("a picture of another size than it says")
+    lines = raw.reshape(h, w * n + 1)
+    out = np.zeros((h, w, n), np.uint8)
+    above = np.zeros((w, n), np.uint8)
+    for r in range(h):
+        kind, line = int(lines[r, 0]), lines[r, 1:].reshape(w, n)
+        if kind == 0:
+            above = line
+        elif kind == 1:
+            above = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            above = line + above
+        else:
+            above = _predicted(kind, line, above)
+        out[r] = above
+    return palette[out[:, :, 0]] if palette is not None and head[3] == 3 else out
+
+
+def _predicted(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A row whose bytes were taken less the mean of, or the nearest (Paeth) among, their neighbours."""
+    if kind not in (3, 4):
+        raise ValueError("no such filter")
+    out = np.zeros(line.shape, np.int64)
+    up = above.astype(np.int64)
+    left = corner = np.zeros(line.shape[1], np.int64)
+    for c in range(len(line)):
+        if kind == 3:
+            guess = (left + up[c]) // 2
+        else:
+            p = left + up[c] - corner
+            a, b, d = abs(p - left), abs(p - up[c]), abs(p - corner)
+            guess = np.where((a <= b) & (a <= d), left, np.where(b <= d, up[c], corner))
+        left, corner = (line[c] + guess) % 256, up[c]
+        out[c] = left
+    return out.astype(np.uint8)
+
+
 def outline(mask: np.ndarray) -> list[tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]]:
     """(outer ring, holes) of each component, as closed rings of pixel corners (x, y) along the pixels' edges."""
     found = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.colour import gray, gray8
@@ -263,6 +265,34 @@ def tissue_pieces(spark, d):
     return df.select("slide_id", F.col("num_regions").alias("pieces"))
 
 
+_HALF = "SELECT slide_id, (r // 2)::INT AS r, (c // 2)::INT AS c, round_even(avg(red), 0)::INT AS red, round_even(avg(green), 0)::INT AS green, round_even(avg(blue), 0)::INT AS blue FROM"
+
+
+def _pyramid(spark, d):
+    from ..session import shared_folder
+    from ..sources import pyramid
+
+    folder = f"{shared_folder(spark)}/pyramid-{uuid.uuid4().hex}"
+    pyramid.write(pixels(spark, d), folder, tile=16, levels=3)
+    return folder
+
+
+@query("pyramid_region", f"WITH {PX}, half AS ({_HALF} px GROUP BY ALL) SELECT slide_id::VARCHAR AS slide_id, r, c, red, green, blue FROM half WHERE r BETWEEN 5 AND 20 AND c BETWEEN 10 AND 27")
+def pyramid_region(spark, d):
+    """A box of level 1 of a pyramid of all slides: no tile of other levels, and none beyond the box, is opened."""
+    from ..sources import pyramid
+
+    return pyramid.region(spark, _pyramid(spark, d), level=1, left=10, top=5, width=18, height=16).select("slide_id", "r", "c", "red", "green", "blue")
+
+
+@query("pyramid_thumbnail", f"WITH {PX}, half AS ({_HALF} px GROUP BY ALL), quarter AS ({_HALF} half GROUP BY ALL), e AS ({_HALF} quarter GROUP BY ALL) SELECT slide_id::VARCHAR AS slide_id, r, c, red, green, blue FROM e")
+def pyramid_thumbnail(spark, d):
+    """An eighth of each slide, of the coarsest level that is fine enough."""
+    from ..sources import pyramid
+
+    return pyramid.thumbnail(spark, _pyramid(spark, d), factor=8, levels=3)
+
+
 @query("decimated_thumbnail", f"WITH {PX} SELECT slide_id, (r // 4)::INT AS r, (c // 4)::INT AS c, round_even(avg(red), 0)::INT AS red, round_even(avg(green), 0)::INT AS green, round_even(avg(blue), 0)::INT AS blue FROM px GROUP BY ALL")
 def decimated_thumbnail(spark, d):
     from ..sources.pixels import decimated
