@@ -161,8 +161,8 @@ def label_components(df: DataFrame, mask: str, connectivity: int = 8, name: str
 def by_area(df: DataFrame, mask: str, keep: Column, name: str, connectivity: int = 4, block: int = BLOCK) -> DataFrame:
     """The mask's components whose ``area`` fulfils a condition."""
     parts, named = _sized(df, mask, connectivity, block)
-    kept = parts.where("__part is not null").join(named.where(keep), ["slide_id", "__part"], "left_semi").select("slide_id", "r", "c", F.lit(True).alias("__kept"))
-    return df.join(kept, ["slide_id", "r", "c"], "left").withColumn(name, F.coalesce("__kept", F.lit(False))).drop("__kept")
+    kept = parts.where("__part is not null").join(named.where(keep), ["slide_id", "__part"], "left_semi").select("slide_id", "r", "c", F.lit(True).alias("__of_size"))
+    return df.join(kept, ["slide_id", "r", "c"], "left").withColumn(name, F.coalesce("__of_size", F.lit(False))).drop("__of_size")
 
 
 def remove_small(df: DataFrame, mask: str, least: int = 64, name: str | None = None, connectivity: int = 4, block: int = BLOCK) -> DataFrame:

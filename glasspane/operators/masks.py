@@ -78,6 +78,12 @@ def equalised(df: DataFrame) -> DataFrame:
     return df.withColumn("g", gray8()).join(cdf, ["slide_id", "g"]).drop("g")
 
 
+def overlaid(df: DataFrame, mask: str) -> DataFrame:
+    """over_red, over_green, over_blue: the luminance as green, with the mask as red and blue."""
+    m = F.when(F.col(mask), 255).otherwise(0)
+    return df.select("slide_id", "r", "c", m.alias("over_red"), gray8().alias("over_green"), m.alias("over_blue"))
+
+
 def bright_cluster_level(df: DataFrame, start: tuple[float, float, float] = (0.25, 0.5, 0.75), rounds: int = 5) -> DataFrame:
     """slide_id, level: least luminance of the brightest of three clusters (Lloyd's rounds from fixed centres).
 

@@ -73,3 +73,13 @@ def resized(small: DataFrame, value: str, large_side: int, small_side: int, larg
     scaled = lambda x: F.floor((F.col(x) + 0.5) * small_side / large_side).cast("int")
     source = small.select("slide_id", F.col("r").alias("__r"), F.col("c").alias("__c"), F.col(value).alias(name))
     return large.withColumns({"__r": scaled("r"), "__c": scaled("c")}).join(source, ["slide_id", "__r", "__c"], "left").drop("__r", "__c")
+
+
+def resized_by_slide(small: DataFrame, value: str, large: DataFrame, name: str) -> DataFrame:
+    """The same for slides of any sizes: each axis is scaled by the slide's own extents."""
+    sides = lambda df, k: df.groupBy("slide_id").agg((F.max("r") + 1).alias(f"__h{k}"), (F.max("c") + 1).alias(f"__w{k}"))
+    both = sides(small, 0).join(sides(large, 1), "slide_id")
+    scaled = lambda x, side: F.floor((F.col(x) + 0.5) * F.col(f"{side}0") / F.col(f"{side}1")).cast("int")
+    source = small.select("slide_id", F.col("r").alias("__r"), F.col("c").alias("__c"), F.col(value).alias(name))
+    placed = large.join(both, "slide_id", "left").withColumns({"__r": scaled("r", "__h"), "__c": scaled("c", "__w")})
+    return placed.join(source, ["slide_id", "__r", "__c"], "left").select(*large.columns, name)

@@ -132,7 +132,7 @@ def features_with(laplace_size=3, scales=(1, 3, 5, 7, 9), beta=0.5, gamma=15.0,
     for t in range(thetas):
         for sigma in sigmas:
             for frequency in frequencies:
-                made[f"gabor_{t}_{sigma:g}_{round(frequency * 100):d}"] = lambda a, t=t, s=sigma, f=frequency: kernels.gabor(a, f, t * np.pi / 4, s)
+                made[f"gabor_{t}_{sigma:g}_{round(frequency * 100):d}" if len({round(f * 100) for f in frequencies}) == len(frequencies) else f"gabor_{t}_{sigma:g}_{frequency:g}"] = lambda a, t=t, s=sigma, f=frequency: kernels.gabor(a, f, t * np.pi / 4, s)
     return made
 
 
@@ -154,26 +154,37 @@ def pictures(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("slide_id", "r", "c", *columns).groupBy("slide_id").applyInPandas(run, T.StructType([df.schema["slide_id"], T.StructField("png", T.BinaryType())]))
 
 
-def ridge_share(df: DataFrame, window: int = 2048, least: int = 100, name: str = "roi") -> DataFrame:
-    """slide_id, roi: the mean over a slide's windows of the share of dark ridges of at least so many pixels.
+#: What an answer is divided by before it is compared, and what it must exceed; darker than this is dark (fixed values).
+RIDGE_UNIT, RIDGE_LEAST, DARK = 8.875854409275627e-08, 5.0, 0.3
 
-    A window is a task's unit, so the slide itself never has to fit in memory.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-        a = np.ones((r.max() - r.min() + 1, c.max() - c.min() + 1))
-        a[r - r.min(), c - c.min()] = pdf["__g"]
-        found = kernels.ridges(a * 255)
-        top = found.max() or 1.0
-        marked = kernels.without_small((found / top > 0.5) & (a < 0.3), least, 8)
-        return pd.DataFrame({"slide_id": [pdf["slide_id"].iloc[0]], "share": [float(marked.mean())]})
+def ridge_share(df: DataFrame, window: int = 2048, least: int = 0, name: str = "roi", specks: int = 100) -> DataFrame:
+    """slide_id and the share of dark ridges among the pixels of all windows.
 
+    Windows start at the slide's corner; what of them lies beyond the slide is black. In each, ridges of ``specks``
+    pixels or more are marked; then those of ``least`` or more of the marks of all windows together. A window is
+    a task's unit, and marks that touch across windows meet by their seams, so the slide never has to fit in memory.
+    """
     from ..functions.colour import gray
+    from . import blocks
 
-    blocks = df.select("slide_id", "r", "c", gray().alias("__g"), F.expr(f"r div {window}").alias("__i"), F.expr(f"c div {window}").alias("__j"))
-    shares = blocks.groupBy("slide_id", "__i", "__j").applyInPandas(run, T.StructType([df.schema["slide_id"], T.StructField("share", T.DoubleType())]))
-    return shares.groupBy("slide_id").agg(F.avg("share").alias(name))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["__i"].iloc[0]) * window, int(pdf["__j"].iloc[0]) * window
+        a = np.zeros((window, window))
+        a[pdf["r"] - i, pdf["c"] - j] = pdf["__g"]
+        answer = kernels.ridges(a, (1, 3, 5), 0.5, 100.0) / RIDGE_UNIT
+        marked = kernels.without_small((a < DARK) & (answer > RIDGE_LEAST), specks, 4)
+        r, c = np.nonzero(marked)
+        return pd.DataFrame({"slide_id": pdf["slide_id"].iloc[0], "r": (r + i).astype(np.int32), "c": (c + j).astype(np.int32), "m": True})
+
+    key = df.schema["slide_id"]
+    places = df.select("slide_id", "r", "c", gray().alias("__g"), F.expr(f"r div {window}").alias("__i"), F.expr(f"c div {window}").alias("__j"))
+    marks = places.groupBy("slide_id", "__i", "__j").applyInPandas(run, T.StructType([key, T.StructField("r", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("m", T.BooleanType())]))
+    if least > 1:
+        marks = blocks.remove_small(marks, "m", least, "m", 4, window).where("m")
+    total = places.groupBy("slide_id").agg(((F.max("__i") + 1) * (F.max("__j") + 1) * window * window).alias("__n"))
+    found = total.join(marks.groupBy("slide_id").agg(F.count(F.lit(1)).alias("__m")), "slide_id", "left")
+    return found.select("slide_id", (F.coalesce("__m", F.lit(0)) / F.col("__n")).alias(name))
 
 
 def contours(df: DataFrame, mask: str, scale: float = 1.0) -> DataFrame:

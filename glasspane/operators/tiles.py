@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import kernels
 
 
 def tissue_boxes(df: DataFrame, mask: str, component: str | None = None) -> DataFrame:
@@ -70,3 +77,67 @@ def extract_tiles(df: DataFrame, mask: str, slide_width: int, mask_width: int, t
     kept = with_tissue(grid(tissue_boxes(df, mask, component), tile, stride, factor), df, mask, least)
     found = zoomed(kept, factor)
     return found if screen is None else found.where(screen)
+
+
+# --- tiles' pixels --------------------------------------------------------------------------------------------------
+
+#: Predicates on a tile's (height, width, 3) bytes by name; each takes a limit.
+SCREENS: dict[str, Callable[[float | None], Callable[[np.ndarray], bool]]] = {
+    "all": lambda limit: lambda a: True,
+    "saturation": lambda limit: lambda a: float((a.max(axis=2).astype(int) - a.min(axis=2)).mean()) >= (20 if limit is None else limit),
+    "not_white": lambda limit: lambda a: float(a.mean()) <= (230 if limit is None else limit),
+}
+
+
+def packed(df: DataFrame, block: int = 256) -> DataFrame:
+    """slide_id, i, j, data: a slide's pixels as squares of bytes, red, green and blue by turns; what is missing is black."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((block, block, 3), np.uint8)
+        a[pdf["r"] % block, pdf["c"] % block] = pdf[["red", "green", "blue"]].to_numpy()
+        first = pdf.iloc[0]
+        return pd.DataFrame({"slide_id": [first["slide_id"]], "i": [int(first["i"])], "j": [int(first["j"])], "data": [a.tobytes()]})
+
+    placed = df.select("slide_id", "r", "c", "red", "green", "blue", F.expr(f"cast(r div {block} as int)").alias("i"), F.expr(f"cast(c div {block} as int)").alias("j"))
+    fields = [df.schema["slide_id"], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("data", T.BinaryType())]
+    return placed.groupBy("slide_id", "i", "j").applyInPandas(run, T.StructType(fields))
+
+
+def with_pixels(tiles: DataFrame, pixels: DataFrame, function: Callable[[np.ndarray], object], name: str, kind: str, block: int = 256) -> DataFrame:
+    """Tiles (windows in whole slide pixels) with what the function makes of their pixels; beyond the slide is black.
+
+    A tile meets the squares of pixels that it overlaps, four or so, and is put together in a task of its own: no row
+    is made for a pixel of a tile.
+    """
+    keys, columns = ["slide_id", "region", "left", "top", "right", "bottom"], tiles.columns
+    # negative starts, and windows that end before they start, meet no square and stay black
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.greatest(F.col(low), F.lit(0)) / block).cast("int"), F.greatest(F.floor((F.col(high) - 1) / block), F.floor(F.greatest(F.col(low), F.lit(0)) / block)).cast("int")))
+    asked = tiles.withColumn("i", span("top", "bottom")).withColumn("j", span("left", "right"))
+    met = asked.join(packed(pixels, block), ["slide_id", "i", "j"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        left, top, right, bottom = (int(first[k]) for k in keys[2:])
+        a = np.zeros((max(0, bottom - top), max(0, right - left), 3), np.uint8)
+        for i, j, data in zip(pdf["i"], pdf["j"], pdf["data"]):
+            if data is None:
+                continue
+            own = np.frombuffer(data, np.uint8).reshape(block, block, 3)
+            r0, r1 = max(top, i * block), min(bottom, (i + 1) * block)
+            c0, c1 = max(left, j * block), min(right, (j + 1) * block)
+            if r0 < r1 and c0 < c1:
+                a[r0 - top : r1 - top, c0 - left : c1 - left] = own[r0 - i * block : r1 - i * block, c0 - j * block : c1 - j * block]
+        return first[columns].to_frame().T.assign(**{name: [function(a)]})
+
+    schema = T.StructType([*(tiles.schema[c] for c in tiles.columns), T.StructField(name, T._parse_datatype_string(kind))])
+    return met.groupBy(*keys).applyInPandas(run, schema)
+
+
+def screened(tiles: DataFrame, pixels: DataFrame, screen: Callable[[np.ndarray], bool], block: int = 256) -> DataFrame:
+    """The tiles whose pixels a predicate accepts."""
+    return with_pixels(tiles, pixels, lambda a: bool(screen(a)), "__kept", "boolean", block).where("__kept").drop("__kept")
+
+
+def pictures(tiles: DataFrame, pixels: DataFrame, block: int = 256) -> DataFrame:
+    """The tiles with png, their pictures."""
+    return with_pixels(tiles, pixels, kernels.png, "png", "binary", block)

@@ -9,14 +9,16 @@ from __future__ import annotations
 import configparser
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colour import gray, gray8
-from ..operators import annotations, learning, masks, neighbourhood, raster, stats, tiles
+from ..operators import annotations, blocks, learning, masks, neighbourhood, raster, stats, tiles
 from ..session import stored
+from ..sources import tables
 
 Params = dict[str, str]
 
@@ -38,6 +40,10 @@ class State:
     given: dict[str, DataFrame] = field(default_factory=dict)
     outputs: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = ()
     notes: tuple[str, ...] = ()
+    warned: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = ()
+    sizes: dict[str, DataFrame] = field(default_factory=dict)
+    scale: float = 1.0
+    block: int | None = None
 
     def narrowed(self, use: Column, metric: str | None, mode: str | None = None, warn: str | None = None, df: DataFrame | None = None) -> State:
         name = f"use_{int(self.use.split('_')[1]) + 1}"
@@ -53,6 +59,14 @@ class State:
     def noted(self, text: str) -> State:
         return replace(self, notes=(*self.notes, text))
 
+    def kernel(self, name: str) -> Callable[..., DataFrame]:
+        """A kernel over whole slides, or over blocks of them where a slide may be too large for a task."""
+        return getattr(raster, name) if self.block is None else partial(getattr(blocks, name), block=self.block)
+
+    def sized(self, size: str | None) -> DataFrame | None:
+        """The slides' pixels at another working size, if the caller has given them."""
+        return self.sizes.get(size) if size else None
+
     def own(self, name: str) -> str:
         """A column of the present step alone, so that a step can come twice."""
         return f"__{name}_{len(self.done)}"
@@ -105,14 +119,15 @@ def truth(p: Params, key: str, default: bool) -> bool:
 def mask_of(s: State, p: Params) -> tuple[str | None, bool]:
     limited = truth(p, "limit_to_mask", True)
     name = p.get("mask_name", "img_mask_use").removeprefix("img_mask_")
-    return (s.use if name == "use" else name) if limited else None, truth(p, "invert", False)
+    own = s.use if name == "use" else f"mask_{name}" if f"mask_{name}" in s.df.columns else name
+    return own if limited else None, truth(p, "invert", False)
 
 
 def prefixed(p: Params) -> str:
     return f"{p['prefix']}_" if p.get("prefix") else ""
 
 
-@operator("basic_stats", params="image_work_size")
+@operator("basic_stats")
 def basic_stats(s: State, p: Params) -> State:
     from ..sources.slides import basic
 
@@ -147,7 +162,11 @@ def minimum_neighbourhood(s: State, p: Params) -> State:
     from ..functions import kernels
 
     radius, limit, invert = int(number(p, "disk_size", 10000)), number(p, "upper_threshold", 200), truth(p, "invert", True)
-    df = raster.per_slide(s.df.withColumn("__g8", gray8()), lambda x: {"__min": kernels.lowest(x["__g8"], kernels.disk(min(radius, max(x["__g8"].shape))))}, ["__g8"], {"__min": "int"})
+    grey = s.df.withColumn("__g8", gray8())
+    if s.block is None:
+        df = raster.per_slide(grey, lambda x: {"__min": kernels.lowest(x["__g8"], kernels.disk(min(radius, max(x["__g8"].shape))))}, ["__g8"], {"__min": "int"})
+    else:
+        df = blocks.lowest(grey, "__g8", radius, "__min", s.block)
     m = F.col("__min") > limit
     return s.narrowed(F.col(s.use) & (~m if invert else m), "brightestPixels", p.get("mask_statistics"), "minimum_neighbourhood", df=df)
 
@@ -164,61 +183,68 @@ def brightest(s: State, p: Params) -> State:
 def smoothness(s: State, p: Params) -> State:
     least = int(number(p, "min_object_size", 100))
     df = neighbourhood.flat(s.df.withColumn("__g", gray()), "__g", int(number(p, "kernel_size", 10)), number(p, "threshold", 0.01), "__flat")
-    df = raster.fill_holes(raster.remove_small(df, "__flat", least), "__flat", least)
+    df = s.kernel("fill_holes")(s.kernel("remove_small")(df, "__flat", least), "__flat", least)
     return s.narrowed(F.col(s.use) & ~F.col("__flat"), "flat_areas", p.get("mask_statistics"), "smoothness", df=df)
 
 
-def _regions(mask: str, prefix: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: raster.region_statistics(df.select("slide_id", "r", "c", mask), mask, 8, prefix).drop(f"{prefix}min_area")
+def _regions(s: State, mask: str, prefix: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: s.kernel("region_statistics")(df.select("slide_id", "r", "c", mask), mask, 8, prefix).drop(f"{prefix}min_area")
 
 
 @operator("remove_small", params="min_size mask_statistics")
 def remove_small(s: State, p: Params) -> State:
     kept, gone = s.own("kept"), s.own("gone")
-    df = raster.remove_small(s.df, s.use, int(number(p, "min_size", 64)), kept).withColumn(gone, F.col(s.use) & ~F.col(kept))
-    return s.narrowed(F.col(kept), "small_tissue_removed_percent", p.get("mask_statistics"), "remove_small", df=df).with_frame(_regions(gone, "small_tissue_removed_"))
+    df = s.kernel("remove_small")(s.df, s.use, int(number(p, "min_size", 64)), kept).withColumn(gone, F.col(s.use) & ~F.col(kept))
+    return s.narrowed(F.col(kept), "small_tissue_removed_percent", p.get("mask_statistics"), "remove_small", df=df).with_frame(_regions(s, gone, "small_tissue_removed_"))
 
 
 @operator("remove_large", params="max_size mask_statistics")
 def remove_large(s: State, p: Params) -> State:
-    return s.narrowed(F.col("__kept"), "large_tissue_removed_percent", p.get("mask_statistics"), "remove_large", df=raster.remove_large(s.df, s.use, int(number(p, "max_size", 1 << 30)), "__kept"))
+    return s.narrowed(F.col("__kept"), "large_tissue_removed_percent", p.get("mask_statistics"), "remove_large", df=s.kernel("remove_large")(s.df, s.use, int(number(p, "max_size", 1 << 30)), "__kept"))
 
 
 @operator("fill_holes", params="min_size mask_statistics")
 def fill_holes(s: State, p: Params) -> State:
     filled, new = s.own("filled"), s.own("new")
-    df = raster.fill_holes(s.df, s.use, int(number(p, "min_size", 64)), filled).withColumn(new, F.col(filled) & ~F.col(s.use))
-    return s.narrowed(F.col(filled), "small_tissue_filled_percent", p.get("mask_statistics"), "fill_holes", df=df).with_frame(_regions(new, "small_tissue_filled_"))
+    df = s.kernel("fill_holes")(s.df, s.use, int(number(p, "min_size", 64)), filled).withColumn(new, F.col(filled) & ~F.col(s.use))
+    return s.narrowed(F.col(filled), "small_tissue_filled_percent", p.get("mask_statistics"), "fill_holes", df=df).with_frame(_regions(s, new, "small_tissue_filled_"))
 
 
 @operator("fat_like", params="fat_cell_size kernel_size max_keep_size mask_statistics")
 def fat_like(s: State, p: Params) -> State:
     fat = s.own("fat")
-    df = raster.fat_like(s.df, s.use, int(number(p, "fat_cell_size", 64)), int(number(p, "kernel_size", 3)), int(number(p, "max_keep_size", 1000)), fat)
-    return s.narrowed(F.col(s.use) & ~F.col(fat), "fatlike_tissue_removed_percent", p.get("mask_statistics"), "fat_like", df=df).with_frame(_regions(fat, "fatlike_tissue_removed_"))
+    df = s.kernel("fat_like")(s.df, s.use, int(number(p, "fat_cell_size", 64)), int(number(p, "kernel_size", 3)), int(number(p, "max_keep_size", 1000)), fat)
+    return s.narrowed(F.col(s.use) & ~F.col(fat), "fatlike_tissue_removed_percent", p.get("mask_statistics"), "fat_like", df=df).with_frame(_regions(s, fat, "fatlike_tissue_removed_"))
 
 
 @operator("blur", params="image_work_size blur_radius blur_threshold mask_statistics")
 def blur(s: State, p: Params) -> State:
-    df = neighbourhood.laplacian(s.df.withColumn("__g", gray()), "__g", "__lap").withColumn("__lap", F.abs("__lap"))
+    """What is blurred at a size of its own, brought back to the working size by scaled places; without such pixels, at the working size."""
+    size, other = p.get("image_work_size"), s.sized(p.get("image_work_size"))
+    if size and other is None:
+        s = s.noted(f"No pixels at {size}: blur is found at the working size")
+    radius, limit = number(p, "blur_radius", 7), number(p, "blur_threshold", 0.1)
+    start = s.df if other is None else neighbourhood.by_slide(other)
+    sharp = neighbourhood.laplacian(start.withColumn("__g", gray()), "__g", "__lap").withColumn("__lap", F.abs("__lap"))
+    soft = s.kernel("blurred")(sharp, "__lap", radius, "__soft").withColumn("__soft", F.col("__soft") <= limit)
     blurry = s.own("blurry")
-    df = raster.blurred(df, "__lap", number(p, "blur_radius", 7), "__soft").withColumn(blurry, (F.col("__soft") <= number(p, "blur_threshold", 0.1)) & F.col(s.use))
-    return s.narrowed(F.col(s.use) & ~F.col(blurry), "blurry_removed_percent", p.get("mask_statistics"), "blur", df=df).with_frame(_regions(blurry, "blurry_removed_"))
+    df = (soft if other is None else neighbourhood.resized_by_slide(soft, "__soft", s.df, "__soft")).withColumn(blurry, F.coalesce("__soft", F.lit(False)) & F.col(s.use))
+    return s.narrowed(F.col(s.use) & ~F.col(blurry), "blurry_removed_percent", p.get("mask_statistics"), "blur", df=df).with_frame(_regions(s, blurry, "blurry_removed_"))
 
 
 @operator("spur", params="disk_radius mask_statistics")
 def spur(s: State, p: Params) -> State:
-    return s.narrowed(F.col("__open"), "spur_pixels", p.get("mask_statistics"), "spur", df=raster.open_disk(s.df, s.use, int(number(p, "disk_radius", 25)), "__open"))
+    return s.narrowed(F.col("__open"), "spur_pixels", p.get("mask_statistics"), "spur", df=s.kernel("open_disk")(s.df, s.use, int(number(p, "disk_radius", 25)), "__open"))
 
 
 @operator("area", params="area_threshold mask_statistics")
 def area(s: State, p: Params) -> State:
-    return s.narrowed(F.col("__big"), "areaThresh", p.get("mask_statistics"), "area", df=raster.remove_small(s.df, s.use, int(number(p, "area_threshold", 1000)), "__big"))
+    return s.narrowed(F.col("__big"), "areaThresh", p.get("mask_statistics"), "area", df=s.kernel("remove_small")(s.df, s.use, int(number(p, "area_threshold", 1000)), "__big"))
 
 
 @operator("pieces")
 def pieces(s: State, p: Params) -> State:
-    return s.with_frame(lambda df: raster.region_statistics(df.select("slide_id", "r", "c", s.use), s.use).select("slide_id", F.col("num_regions").alias("#pieces_of_tissue")))
+    return s.with_frame(lambda df: s.kernel("region_statistics")(df.select("slide_id", "r", "c", s.use), s.use).select("slide_id", F.col("num_regions").alias("#pieces_of_tissue")))
 
 
 @operator("texture", params="prefix patch_size npatches nlevels feats invert mask_name")
@@ -228,7 +254,8 @@ def texture(s: State, p: Params) -> State:
     def found(df: DataFrame) -> DataFrame:
         own = df.withColumn("__m", ~F.col(mask) if invert else F.col(mask))
         made = stats.texture(own, stats.sampled_corners(own, "__m", int(number(p, "npatches", 100))), int(number(p, "patch_size", 32)), int(number(p, "nlevels", 8)))
-        return made.select("slide_id", *[F.col(c).alias(prefixed(p) + c) for c in made.columns[1:]])
+        wanted = [x for x in p.get("feats", "").split(":") if x]
+        return made.select("slide_id", *[F.col(c).alias(prefixed(p) + c) for c in made.columns[1:] if not wanted or c.removesuffix("_std") in wanted])
 
     return s.with_frame(found)
 
@@ -254,7 +281,7 @@ def histogram(s: State, p: Params) -> State:
     return s.with_frame(lambda df: stats.histogram(df, int(number(p, "bins", 20)), mask_of(s, p)[0]).groupBy("slide_id").agg(text.alias("histogram")))
 
 
-@operator("template_distance", params="templates bins limit_to_mask")
+@operator("template_distance", params="bins limit_to_mask")
 def template_distance(s: State, p: Params) -> State:
     if s.templates is None:
         return s
@@ -274,22 +301,23 @@ def final(s: State, p: Params) -> State:
     return replace(s, counted=(*s.counted, ("pixels_to_use", s.use, s.use, "absolute" if mode == "relative2mask" else mode)))
 
 
-@operator("keep", params="use_mask overlay")
+@operator("keep", params="use_mask")
 def keep(s: State, p: Params) -> State:
-    """The final mask as a column and as pictures: the mask, and the slide with what is left out tinted."""
+    """The final mask as a column and as a picture, and (use_mask) the slide's luminance as green with the mask as red and blue."""
     made = replace(s, df=s.df.withColumn("final", masks.forced_out(F.col(s.use), *[F.col(m) for m in s.forced])))
-    overlay = [F.when(F.col("final"), F.col(n)).otherwise(F.col(n) / 2 + add).cast("int").alias(n) for n, add in (("red", 0), ("green", 127), ("blue", 0))]
     made = made.with_output("mask_use", lambda df: raster.pictures(df, ["final"]))
-    return made.with_output("fuse", lambda df: raster.pictures(df.select("slide_id", "r", "c", *overlay), ["red", "green", "blue"]))
+    if not truth(p, "use_mask", True):
+        return made
+    return made.with_output("fuse", lambda df: raster.pictures(masks.overlaid(df, "final"), ["over_red", "over_green", "over_blue"]))
 
 
 @operator("keep_named", params="suffix")
 def keep_named(s: State, p: Params) -> State:
-    """The present mask under a name, as a column and as a picture."""
+    """The present mask under a name, as a column (``mask_`` and the name) and as a picture."""
     name = p.get("suffix")
     if not name:
         return s.noted("Please set the suffix for mask use.")
-    return replace(s, df=s.df.withColumn(name, F.col(s.use))).with_output(name, lambda df: raster.pictures(df, [name]))
+    return replace(s, df=s.df.withColumn(f"mask_{name}", F.col(s.use))).with_output(name, lambda df: raster.pictures(df, [f"mask_{name}"]))
 
 
 @operator("equalise")
@@ -300,7 +328,10 @@ def equalise(s: State, p: Params) -> State:
 @operator("classify_bayes", params="name threshold tsv_file mask_statistics")
 def classify_bayes(s: State, p: Params) -> State:
     """Takes off pixels that a Gaussian naive Bayes, fitted to the given training colours, puts in the second class."""
-    name, training = p.get("name", "classTask"), given(s, "training", p.get("name"))
+    name = p.get("name", "classTask")
+    if "tsv_file" in p and s.given.keys().isdisjoint({"training", f"training:{name}"}):
+        s = replace(s, given={**s.given, f"training:{name}": tables.training_colours(s.df.sparkSession, p["tsv_file"])})
+    training = given(s, "training", name)
     m = learning.gaussian_bayes(training, ["red", "green", "blue"]) > number(p, "threshold", 0.5)
     return s.narrowed(F.col(s.use) & ~m, name, p.get("mask_statistics"), "classify_bayes")
 
@@ -379,21 +410,44 @@ def annotation(s: State, p: Params) -> State:
     regions = annotations.valid(given(s, "regions", None))
     mask, there = s.own("annotated"), s.own("there")
     known = regions.select("slide_id", F.lit(True).alias(there)).distinct()
-    df = annotations.annotation_mask(s.df, regions, mask).join(known, "slide_id", "left")
+    df = annotations.annotation_mask(s.df, regions, mask, s.scale).join(known, "slide_id", "left")
     return s.narrowed(F.col(s.use) & (F.col(mask) | F.col(there).isNull()), "getAnnotationMask", p.get("mask_statistics"), "annotation", df=df)
 
 
-@operator("roi_scan", params="level win_size area_threshold")
+@operator("roi_scan", params="name level win_size area_threshold")
 def roi_scan(s: State, p: Params) -> State:
-    """The share of dark ridges, found window by window; it touches no mask."""
-    return s.with_frame(lambda df: raster.ridge_share(df, int(number(p, "win_size", 2048)), int(number(p, "area_threshold", 100))))
+    """The share of dark ridges of a level, found window by window; it touches no mask.
+
+    The level's pixels are those given for the size "level <number>"; without them the working size is scanned, with a warning.
+    """
+    level, name = p.get("level", "1"), p.get("name", "classTask")
+    other = s.sized(f"level {level}")
+    if other is None:
+        s = s.noted(f"No pixels of level {level}: ridges are found at the working size")
+    least = int(number(p, "area_threshold", 0))
+    return s.with_frame(lambda df: raster.ridge_share(df if other is None else other, int(number(p, "win_size", 2048)), least, name))
 
 
-@operator("tiles", params="tile_size tile_stride tissue_ratio scale save")
+@operator("tiles", params="tile_size tile_stride tissue_ratio scale screen screen_limit save")
 def extract(s: State, p: Params) -> State:
-    """The windows of accepted tiles as JSON; scale: slide pixels to a mask pixel."""
-    scale = number(p, "scale", 1.0)
-    return s.with_frame(lambda df: tiles.as_json(tiles.extract_tiles(df, s.use, int(scale * 1_000_000), 1_000_000, int(number(p, "tile_size", 256)), int(number(p, "tile_stride", 256)), number(p, "tissue_ratio", 0.5))))
+    """The windows of accepted tiles as JSON; scale: slide pixels to a mask pixel.
+
+    ``screen`` names a predicate on the tiles' pixels, and ``save`` asks for their pictures: both read the slide's own
+    pixels, those given for the size "slide".
+    """
+    scale, screen = number(p, "scale", s.scale), p.get("screen")
+    own = s.sized("slide")
+    if own is None and (screen or truth(p, "save", False)):
+        s = s.noted("No pixels of the whole slide: tiles are neither screened nor saved")
+    size = (int(number(p, "tile_size", 256)), int(number(p, "tile_stride", 256)))
+
+    def found(df: DataFrame) -> DataFrame:
+        windows = tiles.extract_tiles(df, s.use, int(scale * 1_000_000), 1_000_000, *size, number(p, "tissue_ratio", 0.5))
+        return windows if own is None or not screen else tiles.screened(windows, own, tiles.SCREENS[screen](number(p, "screen_limit", None)))
+
+    if own is not None and truth(p, "save", False):
+        s = s.with_output("tiles", lambda df: tiles.pictures(found(df), own))
+    return s.with_frame(lambda df: tiles.as_json(found(df)))
 
 
 @operator("macro", params="small_dim")
@@ -413,22 +467,25 @@ def within(df: DataFrame, longest: int) -> DataFrame:
 
 @operator("thumbnails", params="small_dim image_work_size")
 def thumbnails(s: State, p: Params) -> State:
-    """The slide at its working size, and small: no side longer than ``small_dim``."""
-    colours = ["red", "green", "blue"]
+    """The slide at a size (the working size, if no pixels are given for another), and small: no side longer than ``small_dim``."""
+    colours, other = ["red", "green", "blue"], s.sized(p.get("image_work_size"))
     small = int(number(p, "small_dim", 500))
-    return s.with_output("thumb", lambda df: raster.pictures(df, colours)).with_output("thumb_small", lambda df: raster.pictures(within(df, small), colours))
+    return s.with_output("thumb", lambda df: raster.pictures(df if other is None else other, colours)).with_output("thumb_small", lambda df: raster.pictures(within(df, small), colours))
 
 
 @operator("geojson", params="suffix mask_name")
 def geojson(s: State, p: Params) -> State:
-    """A mask's outlines, under the name of the suffix."""
+    """A mask's outlines in slide pixels, under the name of the suffix; a slide whose mask is empty gets a warning."""
     if not p.get("suffix"):
         return s.noted("Please set the suffix for mask use in geojson.")
     name = p.get("mask_name", "img_mask_use")
     mask = s.use if name == "img_mask_use" else name.removeprefix("img_mask_")
+    mask = f"mask_{mask}" if f"mask_{mask}" in s.df.columns else mask
     if mask not in s.df.columns:
         return s.noted(f"The `{name}` mask dosen't exist. Please use correct mask name.")
-    return s.with_output(p["suffix"], lambda df: raster.contours(df, mask))
+    empty = "No contour detected at use mask image. Geojson annotation won't be generated."
+    warned = replace(s, warned=(*s.warned, (empty, lambda df: df.groupBy("slide_id").agg((F.count_if(mask) == 0).alias("on")))))
+    return warned.with_output(p["suffix"], lambda df: raster.contours(df, mask, s.scale))
 
 
 #: Step names of configuration files and the operators that they mean (fixed values).
@@ -506,13 +563,15 @@ def needed(steps: list[Step], metrics: set[str] | None) -> list[Step]:
     return [s for s in steps if OPERATORS[s.name].name not in only or asked(s)]
 
 
-def folded(pixels: DataFrame, steps: list[Step], mode: str = "relative2mask", slides: DataFrame | None = None, templates: DataFrame | None = None, given: dict[str, DataFrame] | None = None) -> State:
+def folded(pixels: DataFrame, steps: list[Step], mode: str = "relative2mask", slides: DataFrame | None = None, templates: DataFrame | None = None, given: dict[str, DataFrame] | None = None, sizes: dict[str, DataFrame] | None = None, scale: float = 1.0, block: int | None = None) -> State:
     """The state after all steps; nothing has run yet but what templates or classifiers need.
 
     given: tables of steps that need them, "training", "examples" or "regions", or these with a colon and a step's name.
+    sizes: pixels at other working sizes by the text that steps ask for ("2.5x", "level 1", "slide"). scale: slide pixels to a
+    pixel. block: slides may be too large for a task, and steps that have kernels over blocks of so many pixels a side use them.
     """
     start = neighbourhood.by_slide(pixels).withColumns({"use_0": F.lit(True), "__failed": F.lit(None).cast("string")})
-    state = State(start, mode=mode, slides=slides, templates=templates, given=given or {})
+    state = State(start, mode=mode, slides=slides, templates=templates, given=given or {}, sizes=sizes or {}, scale=scale, block=block)
     for op, step in bound(steps)[0]:
         state = op.run(state, step.params)
         state = replace(state, done=(*state.done, step.name))
@@ -536,6 +595,9 @@ def metrics(state: State) -> DataFrame:
         more = frame(df)
         row = row.drop(*more.columns[1:]).join(more, "slide_id", "left")  # here, too, the last of a name that repeats
     kept = ("slide_id", "warnings", "completed", "status", "error")
+    for text, found in state.warned:
+        on = found(df).select("slide_id", F.col("on").alias("__on"))
+        row = row.join(on, "slide_id", "left").withColumn("warnings", F.when(F.col("__on"), F.concat("warnings", F.array(F.lit(text)))).otherwise(F.col("warnings"))).drop("__on")
     return row.select(*[F.col(f"`{c}`") if c in kept else F.when(F.col("error").isNull(), F.col(f"`{c}`")).alias(c) for c in row.columns])
 
 

@@ -293,6 +293,30 @@ def pyramid_thumbnail(spark, d):
     return pyramid.thumbnail(spark, _pyramid(spark, d), factor=8, levels=3)
 
 
+def _own_size() -> str:
+    from ..functions.kernels import gaussian_weights
+
+    w = ", ".join(f"({k - 4}, {x!r}::DOUBLE)" for k, x in enumerate(gaussian_weights(1.0).tolist()))
+    return f"""WITH {PX}, half AS ({_HALF} px GROUP BY ALL), {LAP.replace("FROM px", "FROM half")}, w(k, x) AS (VALUES {w}), a AS (SELECT *, abs(q) AS s FROM l), e AS (SELECT slide_id, max(r) AS h, max(c) AS w FROM half GROUP BY slide_id),
+one AS (SELECT a.slide_id, a.r, a.c, sum(x * b.s) AS s FROM a JOIN e USING (slide_id) CROSS JOIN w JOIN a b ON b.slide_id = a.slide_id AND b.c = a.c AND b.r = least(greatest(a.r + k, 0), h) GROUP BY ALL),
+two AS (SELECT a.slide_id, a.r, a.c, sum(x * b.s) AS s FROM one a JOIN e USING (slide_id) CROSS JOIN w JOIN one b ON b.slide_id = a.slide_id AND b.r = a.r AND b.c = least(greatest(a.c + k, 0), e.w) GROUP BY ALL),
+f AS (SELECT slide_id, max(r) + 1 AS h, max(c) + 1 AS w FROM px GROUP BY slide_id),
+m AS (SELECT px.slide_id, coalesce(two.s <= 0.05::DOUBLE, false) AS blurry FROM px JOIN f USING (slide_id) JOIN e ON e.slide_id = px.slide_id
+  LEFT JOIN two ON two.slide_id = px.slide_id AND two.r = floor((px.r + 0.5) * (e.h + 1) / f.h)::INT AND two.c = floor((px.c + 0.5) * (e.w + 1) / f.w)::INT)
+SELECT slide_id, {r6("1 - count(*) FILTER (NOT blurry) / count(*)")} AS blurry_removed_percent, (count(*) FILTER (NOT blurry))::DOUBLE AS pixels_to_use FROM m GROUP BY slide_id"""
+
+
+@query("blur_own_size", _own_size())
+def blur_own_size(spark, d):
+    """Blur found at half the working size, and taken off the mask at the working size."""
+    from ..plans.pipeline import Step, folded, metrics
+    from ..sources.pixels import decimated
+
+    px = pixels(spark, d)
+    steps = [Step("blur", None, {"image_work_size": "0.5", "blur_radius": "1", "blur_threshold": "0.05"}), Step("final")]
+    return rounded(metrics(folded(px, steps, sizes={"0.5": decimated(px, 2)})).select("slide_id", "blurry_removed_percent", "pixels_to_use"))
+
+
 @query("decimated_thumbnail", f"WITH {PX} SELECT slide_id, (r // 4)::INT AS r, (c // 4)::INT AS c, round_even(avg(red), 0)::INT AS red, round_even(avg(green), 0)::INT AS green, round_even(avg(blue), 0)::INT AS blue FROM px GROUP BY ALL")
 def decimated_thumbnail(spark, d):
     from ..sources.pixels import decimated
@@ -323,8 +347,7 @@ def alpha_flatten(spark, d):
 
 @query("mask_overlay", f"WITH {PX} SELECT slide_id, r, c, CASE WHEN red > 120 THEN 255 ELSE 0 END AS over_red, {G8} AS over_green, CASE WHEN red > 120 THEN 255 ELSE 0 END AS over_blue FROM px")
 def mask_overlay(spark, d):
-    m = F.when(F.col("red") > 120, 255).otherwise(0)
-    return pixels(spark, d).select("slide_id", "r", "c", m.alias("over_red"), gray8().alias("over_green"), m.alias("over_blue"))
+    return masks.overlaid(pixels(spark, d).withColumn("m", F.col("red") > 120), "m")
 
 
 @query(

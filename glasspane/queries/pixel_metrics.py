@@ -228,6 +228,20 @@ def tiles_json(spark, d):
     return tiles.as_json(tiles.extract_tiles(df, "m", 1024, 64, TILE, STRIDE, 0.06))
 
 
+_WINDOWS = f'z AS (SELECT slide_id, region, trunc("left")::INT AS "left", trunc(top)::INT AS top, trunc("right")::INT AS "right", trunc(bottom)::INT AS bottom FROM w)'
+
+
+@query(
+    "tile_screen",
+    f"""WITH {PX}, {_GRID}, {_WINDOWS}, q AS (SELECT z.*, ("right" - "left") * (bottom - top) AS n, coalesce(sum(greatest(red, green, blue) - least(red, green, blue)), 0) AS total FROM z LEFT JOIN px p ON p.slide_id = z.slide_id AND p.r >= top AND p.r < bottom AND p.c >= "left" AND p.c < "right" GROUP BY ALL)
+SELECT slide_id, region, "left", top, "right", bottom FROM q WHERE total >= 24.0::DOUBLE * n""",
+)
+def tile_screen(spark, d):
+    """Windows whose own pixels are colourful enough, decided on each tile's array."""
+    df, grid = _tissue(spark, d)
+    return tiles.screened(tiles.zoomed(grid, 1.0), df, tiles.SCREENS["saturation"](24.0), block=16).select("slide_id", "region", "left", "top", "right", "bottom")
+
+
 # --- annotations ------------------------------------------------------------------------------------------
 
 def _texts(spark, d):

@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glasspane.functions import colour
-from glasspane.operators import annotations, tiles
+from glasspane.functions import colour, kernels
+from glasspane.operators import annotations, raster, tiles
 from glasspane.plans import pipeline, presets
 from glasspane.session import ranked
 from glasspane.sources import slides, tables
@@ -257,7 +258,7 @@ def test_outputs_of_steps(spark, sf, tmp_path):
     assert back.drop("slide_id").exceptAll(px.select("r", "c", "red", "green", "blue")).count() == 0 and back.count() == px.count()
     assert from_images(spark, str(tmp_path / "thumb_small")).agg(F.max("r"), F.max("c")).first() == (15, 15)
     mask = from_images(spark, str(tmp_path / "mask_a")).select("r", "c", (F.col("red") > 0).alias("m"))
-    assert mask.exceptAll(state.df.select("r", "c", F.col("mask_a").alias("m"))).count() == 0
+    assert mask.exceptAll(state.df.select("r", "c", F.col("mask_mask_a").alias("m"))).count() == 0
     assert '"FeatureCollection"' in made["out"].first()["geojson"]
     head = pipeline.header(text, "now", "/out", arguments="-n 1")
     assert len(head) == 5 and head[0] == "#start_time:\tnow" and "LightDarkModule.getIntensityThresholdPercent:tissue" in head[1]
@@ -275,6 +276,78 @@ def test_local_threshold_and_feature_parameters(spark, sf):
         pipeline.features_of({"lbp_method": "magic"})
 
 
+def test_pipelines_over_blocks(spark, sf):
+    """The same metrics, whether kernels see whole slides or blocks of them."""
+    px = pixels(spark, sf).where("slide_id < 3")
+    step = pipeline.Step
+    steps = [step("intensity", None, {"name": "bright", "upper_threshold": ".52"}), step("minimum_neighbourhood", None, {"disk_size": "1", "upper_threshold": "150"}), step("smoothness", None, {"kernel_size": "3", "min_object_size": "8"}), step("fat_like", None, {"kernel_size": "3", "max_keep_size": "30", "fat_cell_size": "14"}), step("fill_holes", None, {"min_size": "6"}), step("remove_small", None, {"min_size": "4"}), step("blur", None, {"blur_radius": "1", "blur_threshold": ".05"}), step("spur", None, {"disk_radius": "1"}), step("area", None, {"area_threshold": "5"}), step("remove_large", None, {"max_size": "900"}), step("pieces"), step("final")]
+    whole, cut = (sorted(pipeline.metrics(pipeline.folded(px, steps, block=b)).drop("completed").collect()) for b in (None, 24))
+    assert len(whole) == 3 and whole == cut
+
+
+def test_ridges_like_a_plain_loop(spark):
+    """Windows of 16 over 24 x 40: what lies beyond is black; marks are joined across windows before small ones go."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(120, 255, (24, 40))
+    a[10:12, 2:38] = 20
+    a[3:6, 20] = 30
+    rows = [(1, r, c, *[int(a[r, c])] * 3) for r in range(24) for c in range(40)]
+    df = spark.createDataFrame(rows, "slide_id long, r int, c int, red int, green int, blue int")
+    grey = np.zeros((32, 48))
+    grey[:24, :40] = a * (0.2125 + 0.7154 + 0.0721) / 255
+    marks = np.zeros(grey.shape, bool)
+    for i in range(0, 32, 16):
+        for j in range(0, 48, 16):
+            w = grey[i : i + 16, j : j + 16]
+            marks[i : i + 16, j : j + 16] = kernels.without_small((kernels.ridges(w, (1, 3, 5), 0.5, 100.0) / 8.875854409275627e-08 > 5) & (w < 0.3), 3, 4)
+    for least in (0, 150):
+        want = kernels.without_small(marks, least, 4).mean()
+        got = pipeline.metrics(pipeline.folded(df.limit(1), [pipeline.Step("roi_scan", None, {"name": "ridges", "win_size": "16", "area_threshold": str(least)})], sizes={"level 1": df}))
+        assert raster.ridge_share(df, 16, least, "ridges", specks=3).first()["ridges"] == pytest.approx(want)
+        assert got.first()["warnings"] == [] and got.first()["ridges"] >= 0
+    assert 0 < want <= marks.mean()
+    assert "No pixels of level 1" in pipeline.metrics(pipeline.folded(df, [pipeline.Step("roi_scan", None, {"win_size": "16"})])).first()["warnings"][0]
+
+
+def test_tiles_are_screened_and_saved(spark):
+    """Slide pixels at twice the mask's size; tiles that reach over the slide's edge are black there."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (40, 40, 3))
+    a[:, 20:] = a[:, 20:, :1]  # grey
+    own = spark.createDataFrame([(7, r, c, *a[r, c].tolist()) for r in range(40) for c in range(40)], "slide_id long, r int, c int, red int, green int, blue int")
+    mask = spark.createDataFrame([(7, r, c, 9, 9, 9) for r in range(20) for c in range(20)], own.schema)
+    params = {"tile_size": "12", "tile_stride": "10", "scale": "2", "screen": "saturation", "screen_limit": "30", "save": "True"}
+    state = pipeline.folded(mask, [pipeline.Step("tiles", None, params)], sizes={"slide": own})
+    windows = [w for region in json.loads(pipeline.metrics(state).first()["tiles"]) for w in region]
+    every = [w for region in json.loads(pipeline.metrics(pipeline.folded(mask, [pipeline.Step("tiles", None, {k: v for k, v in params.items() if k[:2] != "sc" or k == "scale"})])).first()["tiles"]) for w in region]
+    assert windows == [w for w in every if (lambda t: (t.max(axis=2) - t.min(axis=2)).mean() >= 30)(a[w[1] : w[3], w[0] : w[2]])] and 0 < len(windows) < len(every)
+    for r in pipeline.outputs(state)["tiles"].collect():
+        assert (kernels.unpng(bytes(r["png"])) == a[r["top"] : r["bottom"], r["left"] : r["right"]]).all()
+    over = spark.createDataFrame([(7, 0, -3, 36, 9, 48)], "slide_id long, region long, left int, top int, right int, bottom int")
+    out = kernels.unpng(bytes(tiles.pictures(over, own, 16).first()["png"]))
+    assert out.shape == (12, 12, 3) and (out[:4, 3:] == a[36:, :9]).all() and not out[4:].any() and not out[:, :3].any()
+    assert "neither screened" in pipeline.metrics(pipeline.folded(mask, [pipeline.Step("tiles", None, params)])).first()["warnings"][0]
+
+
+def test_what_steps_save(spark, sf):
+    """The overlay is the mask, the luminance and the mask; outlines are in slide pixels; an empty mask is a warning."""
+    px = pixels(spark, sf).where("slide_id < 2")
+    step = pipeline.Step
+    state = pipeline.folded(px, [step("intensity", None, {"name": "x", "upper_threshold": ".5"}), step("geojson", None, {"suffix": "out"}), step("keep")], scale=4.0)
+    made = pipeline.outputs(state)
+    out = {r["slide_id"]: kernels.unpng(bytes(r["png"])) for r in made["fuse"].collect()}
+    for r in state.df.where("slide_id = 1 and r < 3").collect():
+        grey = round(0.2125 * r["red"] + 0.7154 * r["green"] + 0.0721 * r["blue"])
+        assert (out[1][r["r"], r["c"]] == [255 * r["final"], out[1][r["r"], r["c"], 1], 255 * r["final"]]).all() and abs(int(out[1][r["r"], r["c"], 1]) - grey) <= 1
+    corners = {x for f in json.loads(made["out"].first()["geojson"])["features"] for ring in f["geometry"]["coordinates"] for p in ring for x in p}
+    assert all(x % 4 == 0 for x in corners) and max(corners) > 64
+    assert set(pipeline.outputs(pipeline.folded(px, [step("keep", None, {"use_mask": "False"})]))) == {"mask_use"}
+    none = pipeline.metrics(pipeline.folded(px, [step("intensity", None, {"name": "x", "upper_threshold": "-1"}), step("geojson", None, {"suffix": "out"}), step("final")])).first()["warnings"]
+    assert any("No contour detected" in w for w in none)
+    row = pipeline.metrics(pipeline.folded(px, [step("texture", None, {"npatches": "2", "patch_size": "8", "feats": "contrast:energy"}), step("keep_named", None, {"suffix": "red"}), step("contrast", None, {"mask_name": "img_mask_red"})])).columns
+    assert {"contrast", "contrast_std", "energy"} <= set(row) and "homogeneity" not in row
+
+
 def test_annotations_by_slide(spark, sf, tmp_path):
     shape = '{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]]}, "properties": {}}'
     (tmp_path / "0_ann.geojson").write_text(shape)
