@@ -13,9 +13,11 @@ Two documents are linked if the Jaccard similarity of their sets is at least ``p
    sets are kept whole this is the exact value. Otherwise the exact Jaccard of the full sets decides.
 5. Classes of long lists are then joined by windows, which are two retained values that stand next to each other in
    a class's sketch: two sets that are similar enough have several windows in common, and two that share a common
-   passage only seldom do. Again rare ones come first and a class posts only so many that MET common ones are among
-   them (or all there are), and only pairs with so many are compared. Only classes of different components meet, so that no link that would join components is missed, and
-   members of one component are not compared again; a window of many classes is dealt in pairs of blocks.
+   passage only seldom do. Again rare ones come first, and a class posts only so many that MET common ones are among
+   them (or all there are). A pair is met once, at the first common window of this order, and goes on only if there are
+   windows enough behind it and MET common ones among the posted. Only classes of different components meet, so that no link
+   that would join components is missed, and members of one component are not compared again; a window of many
+   classes is dealt in pairs of blocks.
 
 Rows with a null doc_id link with nothing: component_id null, kept true. Null and empty texts: no
 shingles, kept. Repeated rows count as copies of each other, one result row each; of rows that repeat
@@ -230,23 +232,29 @@ class Linker:
         spread = shelf.put(posted.groupBy("window").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "spread")
         own = hot_join(posted, spread, "window", "spread", posted.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "window"))).alias("shared"))
         # of at least ``need`` common windows, ``met`` lie among all but the last need - met of either class
-        need = F.greatest(F.lit(1), common_windows(F.col("n"), self.percent, width))
+        need = F.greatest(F.lit(1), common_windows(F.col("n"), self.percent, width)).cast("int")
         met = F.least(need, F.lit(MET))
         length = F.greatest(F.lit(0), F.size("shared") - need + met).cast("int")
-        first = own.select("node", "n", met.alias("met"), F.explode(F.slice("shared", F.lit(1), length)).alias("x")).select("node", "n", "met", "x.window")
-        placed = shelf.put(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        own = shelf.put(own.select("node", "n", need.alias("need"), met.alias("met"), F.size("shared").alias("total"), F.transform(F.slice("shared", F.lit(1), length), lambda x: x["window"]).alias("first")), "first")
         shelf.drop(posted)
+        placed = own.select("node", "n", "need", "met", "total", F.posexplode("first").alias("place", "window")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = shelf.put(placed, "placed")
         # most classes of a window are often of one component: they meet the others only
         kinds = placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("window").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("main"))
         kinds = kinds.where("every > main.c").select("window", "every", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("every") / BLOCK).cast("int").alias("columns"))
-        side = shelf.put(hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count()), "sides")
+        side = hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count())
+        side = shelf.put(side.join(own.select("node", "first"), "node").withColumn("earlier", F.slice("first", F.lit(1), F.col("place"))), "sides")
         at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
         l = side.where("root <> main").withColumn("i", at("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("l")
         r = side.withColumn("j", at("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
         on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("window", "i", "j")]
         on += [F.col("l.root") != F.col("r.root"), (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")), sizes_fit(F.col("l.n"), F.col("r.n"), self.percent)]
-        pairs = l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), F.least("l.met", "r.met").alias("met"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("met").alias("met")).where("common >= met").select("a", "b")
+        # so many windows that both have can come yet, this one included
+        on.append(F.least(F.col("l.total") - F.col("l.place"), F.col("r.total") - F.col("r.place")) >= F.greatest("l.need", "r.need"))
+        # a pair is met at its first common window alone, and counted there
+        on.append(~F.arrays_overlap("l.earlier", "r.earlier"))
+        on.append(F.size(F.array_intersect("l.first", "r.first")) >= F.least("l.met", "r.met"))
+        pairs = l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         return self.estimated(pairs).select("a", "b", "na", "nb")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
