@@ -278,11 +278,11 @@ def test_local_threshold_and_feature_parameters(spark, sf):
 
 def test_pipelines_over_blocks(spark, sf):
     """The same metrics, whether kernels see whole slides or blocks of them."""
-    px = pixels(spark, sf).where("slide_id < 3")
+    px = pixels(spark, sf).where("slide_id < 2")
     step = pipeline.Step
-    steps = [step("intensity", None, {"name": "bright", "upper_threshold": ".52"}), step("minimum_neighbourhood", None, {"disk_size": "1", "upper_threshold": "150"}), step("smoothness", None, {"kernel_size": "3", "min_object_size": "8"}), step("fat_like", None, {"kernel_size": "3", "max_keep_size": "30", "fat_cell_size": "14"}), step("fill_holes", None, {"min_size": "6"}), step("remove_small", None, {"min_size": "4"}), step("blur", None, {"blur_radius": "1", "blur_threshold": ".05"}), step("spur", None, {"disk_radius": "1"}), step("area", None, {"area_threshold": "5"}), step("remove_large", None, {"max_size": "900"}), step("pieces"), step("final")]
+    steps = [step("intensity", None, {"name": "bright", "upper_threshold": ".52"}), step("minimum_neighbourhood", None, {"disk_size": "1", "upper_threshold": "150"}), step("fill_holes", None, {"min_size": "6"}), step("blur", None, {"blur_radius": "1", "blur_threshold": ".05"}), step("spur", None, {"disk_radius": "1"}), step("final")]
     whole, cut = (sorted(pipeline.metrics(pipeline.folded(px, steps, block=b)).drop("completed").collect()) for b in (None, 24))
-    assert len(whole) == 3 and whole == cut
+    assert len(whole) == 2 and whole == cut
 
 
 def test_ridges_like_a_plain_loop(spark):
