@@ -4,15 +4,18 @@ All rolling hashes of word k-grams of a text are joined (a broadcast join: the t
 and small, see TEMPLATES) to the places of the same k-grams in license templates. A hit at word p of a
 text and word q of a template votes for the diagonal p - q; Spark counts the votes of each text, template and
 diagonal. Diagonals that follow each other within ``reach``, as left by an inserted or missing word, are merged,
-and a candidate is verified on its words: those of the template that lie in hits, each counted once, must be
-``enough`` of its words, and that share is the span's similarity.
+and a candidate is verified on its words. Of a template of m words let c lie in hits, each counted once, and let
+the span be n words long: c / (m + n - c) is its similarity and must be ``enough``, so words that are missing and
+words that stand between count alike, and no span drifts far. Words that tell a template from one of another label
+which is nearly the same must be among the hits (``Templates.told``). Of verified spans that overlap, the one of the
+greatest similarity stays, then the longest; spans that tie all stay.
 
 Templates shorter than k are joined by grams of their own length. The base phrases are templates too, no longer
-than k, so that each hit is an occurrence. Words are compared by hashes of 64 bits.
+than k, so that each hit is an occurrence; they stay whatever overlaps them. Words are compared by hashes of 64 bits.
 
 Only hits and a row for each text are shuffled, never texts; nothing is held for a text but its own spans. Null text
 counts as empty (no words, no labels, score 0). Each row has a result of its own; rows with the same doc_id (a null
-one, too) and text have the same one. Ties between templates all count. An empty table gives no rows. Other columns
+one, too) and text have the same one. An empty table gives no rows. Other columns
 are ignored.
 """
 
@@ -64,6 +67,21 @@ TEMPLATES = {
     "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "distributed under the boost software license version 1 0": "boost",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "boost",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
+    "licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa",
+    "licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd",
+    "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache-2.0",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0": "epl-2.0",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted": "postgresql",
 }
 
 
@@ -77,10 +95,22 @@ class Templates:
         self.words = [Words([t.encode()], ALPHANUMERIC) for t in (*BASE, *table)]
         self.sizes = [len(w.hashes) for w in self.words]
         self.k = [min(GRAM, n) for n in self.sizes]
+        self.told = [self.apart(t) for t in range(len(self.words))]
+
+    def apart(self, t: int, alike: float = 0.8) -> list[int]:
+        """Places of words that a template of another label lacks of which it has nearly all else."""
+        own, places = self.words[t].hashes.tolist(), set()
+        for other in range(self.base, len(self.words)):
+            if self.labels[other] != self.labels[t]:
+                theirs = set(self.words[other].hashes.tolist())
+                missing = [q for q, h in enumerate(own) if h not in theirs]
+                if len(own) - len(missing) >= alike * len(own):
+                    places.update(missing)
+        return sorted(places)
 
     def rows(self) -> list[tuple]:
-        """gram, template, spot, k, size, label"""
-        return [(int(h), t, q, self.k[t], self.sizes[t], self.labels[t]) for t, w in enumerate(self.words) for q, h in enumerate(w.windows(self.k[t]).view(np.int64))]
+        """gram, template, spot, k, size, label, told"""
+        return [(int(h), t, q, self.k[t], self.sizes[t], self.labels[t], self.told[t]) for t, w in enumerate(self.words) for q, h in enumerate(w.windows(self.k[t]).view(np.int64))]
 
 
 #: The gram of a row that stands for a whole text (its place is the number of words); its template is -1.
@@ -116,21 +146,29 @@ def scan(docs: DataFrame, extra: dict[str, str] | None = None, enough: float = 0
     spans: label, first word, last word, similarity)."""
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession, "licenses")
     templates = Templates(extra)
-    table = spark.createDataFrame([(TEXT_ROW, -1, 0, 0, 0, ""), *templates.rows()], "gram long, template int, spot int, k int, size int, label string")
+    table = spark.createDataFrame([(TEXT_ROW, -1, 0, 0, 0, "", []), *templates.rows()], "gram long, template int, spot int, k int, size int, label string, told array<int>")
     joined = shelf.put(grams(docs, sorted(set(templates.k))).join(F.broadcast(table), "gram").drop("gram"), "hits")
     texts = joined.where("template < 0").select("doc_id", "which", F.col("place").cast("long").alias("n_words"))
     hits = joined.where("template >= 0").distinct()
     one = ["doc_id", "which", "template"]
-    votes = hits.withColumn("diagonal", F.col("place") - F.col("spot")).groupBy(*one, "k", "size", "label", "diagonal")
+    votes = hits.withColumn("diagonal", F.col("place") - F.col("spot")).groupBy(*one, "k", "size", "label", "told", "diagonal")
     votes = votes.agg(F.collect_set("spot").alias("spots"), F.min("place").alias("first"), F.max(F.col("place") + F.col("k") - 1).alias("last"))
     ordered = Window.partitionBy(*one).orderBy("diagonal")
     # occurrences of a base phrase are never merged
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(ordered) > reach) | (F.col("template") < templates.base), F.lit(False))
     chained = votes.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = chained.groupBy(*one, "k", "size", "label", "chain").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("q"), F.min("first").cast("long").alias("first"), F.max("last").cast("long").alias("last"))
+    merged = chained.groupBy(*one, "k", "size", "label", "told", "chain").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("q"), F.min("first").cast("long").alias("first"), F.max("last").cast("long").alias("last"))
     step = F.transform("q", lambda x, i: F.least(F.col("k"), F.coalesce(F.get("q", i + 1) - x, F.col("k"))))
-    share = F.aggregate(step, F.lit(0), lambda a, x: a + x) / F.col("size")
-    spans = merged.withColumn("similarity", share).where(F.col("similarity") >= enough)
+    merged = merged.withColumn("c", F.aggregate(step, F.lit(0), lambda a, x: a + x))
+    share = F.col("c") / (F.col("size") + F.greatest(F.lit(0), F.col("last") - F.col("first") + 1 - F.col("c")))
+    seen = F.forall("told", lambda t: F.exists("q", lambda x: (x <= t) & (t < x + F.col("k"))))
+    spans = merged.withColumn("similarity", share).where((F.col("similarity") >= enough) & seen)
+    # spans that can overlap begin within the length of the longest; there are a few for each template
+    longest = int(max(templates.sizes) / enough) + 1
+    near = Window.partitionBy("doc_id", "which").orderBy("first").rangeBetween(-longest, longest)
+    method = spans.where(F.col("template") >= templates.base).withColumn("rank", F.struct("similarity", (F.col("last") - F.col("first")).alias("length")))
+    beaten = F.exists(F.collect_list(F.struct("first", "last", "rank")).over(near), lambda x: (x["first"] <= F.col("last")) & (F.col("first") <= x["last"]) & (x["rank"] > F.col("rank")))
+    spans = spans.where(F.col("template") < templates.base).unionByName(method.withColumn("beaten", beaten).where("not beaten").drop("beaten", "rank"))
     own = F.when(F.col("template") < templates.base, F.struct("first", "label"))
     each = spans.groupBy("doc_id", "which").agg(F.array_sort(F.collect_list(own)).alias("base"), F.array_sort(F.collect_list(F.struct("first", "last", "label", "similarity"))).alias("found"))
     each = each.select(F.col("doc_id").alias("d"), F.col("which").alias("w"), "base", F.transform("found", lambda x: F.struct(*[x[c].alias(c) for c in ("label", "first", "last", "similarity")])).alias("spans"))
