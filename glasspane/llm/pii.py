@@ -40,16 +40,31 @@ DIGITS = r"(?<![0-9A-Za-z])[(]?[0-9][0-9 ().-]{6,}[0-9](?![0-9A-Za-z])"
 TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+"
 
 
+def swept(items: Column, zero: Column, kind: str, step) -> Column:
+    """struct(state, out): one pass over an array. step(state, item) is the next state and an array of ``kind`` to put out.
+
+    An array that grows is copied each time, so items go in chunks of about the root of their number: what is copied
+    grows as n to the power of 1.5 in single numbers, and seldom counts beside the rest.
+    """
+    none, many = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    state = lambda now, out: F.struct(now.alias("state"), out.alias("out"))
+
+    def one(a: Column, x: Column) -> Column:
+        now, out = step(a["state"], x)
+        return state(now, F.concat(a["out"], out))
+
+    each = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / each).cast("int")), lambda k: F.slice(items, k * each + 1, each))
+    whole = F.aggregate(chunks, state(zero, many), lambda a, c: let(F.aggregate(c, state(a["state"], none), one), lambda s: state(s["state"], F.concat(a["out"], F.array(s["out"])))))
+    return let(whole, lambda w: state(w["state"], F.flatten(w["out"])))
+
+
 def pattern_spans(text: Column, pattern: str, contexts: bool = False) -> Column:
     """array of struct(start, end, body[, before, after]) of the matches, leftmost and not overlapping."""
 
     def placed(found: Column, rest: Column) -> Column:
         lengths = F.transform(found, lambda x, i: F.struct(F.length(F.get(rest, i)).alias("gap"), F.length(x).alias("own")))
-        start = F.aggregate(
-            lengths,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-            lambda a, x: F.struct((a["at"] + x["gap"] + x["own"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")),
-        )["starts"]
+        start = swept(lengths, F.lit(0), "int", lambda at, x: (at + x["gap"] + x["own"], F.array(at + x["gap"])))["out"]
         more = (lambda i: [F.lower(F.right(F.get(rest, i), F.lit(24))).alias("before"), F.left(F.get(rest, i + 1), F.lit(2)).alias("after")]) if contexts else lambda i: []
         return let(start, lambda s: F.transform(found, lambda x, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("body"), *more(i))))
 
@@ -124,12 +139,12 @@ GENERATORS = ((AT, "email"), (DIGITS, "number"), (TOKEN, "secret"))
 
 
 def candidates(text: Column) -> Column:
-    """array of struct(start, end, gen, f): what the generators propose, with features."""
-    none = F.array().cast("array<struct<start:int,end:int,gen:int,f:array<double>>>")
+    """array of struct(start, end, gen, dot, f): what the generators propose, whether a point stands before it, and features."""
+    none = F.array().cast("array<struct<start:int,end:int,gen:int,dot:boolean,f:array<double>>>")
 
     def proposed(gen: int, pattern: str) -> Column:
         there = text.rlike(r"@|at[)\]]") if gen == 0 else text.rlike("[0-9]")
-        made = F.transform(pattern_spans(text, pattern, contexts=True), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(gen).alias("gen"), F.array(*features(gen, c)).alias("f")))
+        made = F.transform(pattern_spans(text, pattern, contexts=True), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(gen).alias("gen"), F.coalesce(c["before"].endswith("."), F.lit(False)).alias("dot"), F.array(*features(gen, c)).alias("f")))
         return F.coalesce(F.when(there, made), none)
 
     return F.concat(*[proposed(gen, pattern) for gen, (pattern, _) in enumerate(GENERATORS)])
@@ -246,39 +261,39 @@ def trained(spark: SparkSession, right: float = 0.97) -> tuple[list, float]:
 
 
 def undisputed(spans: Column) -> Column:
-    """Of spans (start, kind, end, z) in order those that no other one of a higher z overlaps (of equal z, no earlier one); infinite z stays.
+    """Of spans (start, kind, end, dot, z) in order those that no other one of a higher z overlaps (of equal z, no earlier one); infinite z stays.
 
     One sweep: spans of one pattern do not overlap each other, so never more are open than there are patterns.
     """
-    span = "start:int,kind:int,end:int,z:double,beaten:boolean"
-    none = F.array().cast(f"array<struct<{span}>>")
-    marked = lambda x, beaten: F.struct(*[x[k].alias(k) for k in ("start", "kind", "end", "z")], beaten.alias("beaten"))
+    span = "struct<start:int,kind:int,end:int,dot:boolean,z:double,beaten:boolean>"
+    names = ("start", "kind", "end", "dot")
+    marked = lambda x, beaten: F.struct(*[x[k].alias(k) for k in (*names, "z")], beaten.alias("beaten"))
 
-    def step(state: Column, y: Column) -> Column:
-        over = F.filter(state["open"], lambda o: o["end"] <= y["start"])
-        there = F.filter(state["open"], lambda o: o["end"] > y["start"])
+    def step(open_: Column, y: Column) -> tuple[Column, Column]:
+        over = F.filter(open_, lambda o: o["end"] <= y["start"])
+        there = F.filter(open_, lambda o: o["end"] > y["start"])
         now = F.transform(there, lambda o: marked(o, o["beaten"] | (o["z"] < y["z"])))
         own = marked(y, F.exists(there, lambda o: o["z"] >= y["z"]))
-        return F.struct(F.concat(now, F.array(own)).alias("open"), F.concat(state["done"], over).alias("done"))
+        return F.concat(now, F.array(own)), over
 
-    swept = F.aggregate(spans, F.struct(none.alias("open"), none.alias("done")), step, lambda a: F.concat(a["done"], a["open"]))
-    kept = F.filter(swept, lambda x: ~x["beaten"] | (x["z"] == float("inf")))
-    return F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    every = let(swept(spans, F.array().cast(f"array<{span}>"), span, step), lambda w: F.concat(w["out"], w["state"]))
+    kept = F.filter(every, lambda x: ~x["beaten"] | (x["z"] == float("inf")))
+    return F.array_sort(F.transform(kept, lambda x: F.struct(*[x[k].alias(k) for k in names])))
 
 
-def dotted(spans: Column, text: Column) -> Column:
-    """Secrets with nothing but a point between them, as signed tokens are written, are one span."""
-    secret = KINDS.index("secret")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+def dotted(spans: Column) -> Column:
+    """struct(start, kind, end); secrets with nothing but a point between them, as signed tokens are written, are one span."""
+    secret, span = KINDS.index("secret"), "struct<start:int,kind:int,end:int>"
+    plain = lambda x, start=None: F.struct((x["start"] if start is None else start).alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        tied = (F.size(a) > 0) & (x["kind"] == secret) & F.coalesce((last["kind"] == secret) & (last["end"] + 1 == x["start"]) & (F.substring(text, x["start"], F.lit(1)) == "."), F.lit(False))
-        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), x["end"].alias("end"))
-        return F.when(tied, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(x)))
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        tied = F.coalesce(x["dot"] & (x["kind"] == secret) & (last["kind"] == secret) & (last["end"] + 1 == x["start"]), F.lit(False))
+        nothing = F.array().cast(f"array<{span}>")
+        return F.when(tied, plain(x, last["start"])).otherwise(plain(x)), F.when(tied | last.isNull(), nothing).otherwise(F.array(last))
 
+    joined = let(swept(spans, F.lit(None).cast(span), span, step), lambda w: F.concat(w["out"], F.filter(F.array(w["state"]), lambda x: x.isNotNull())))
     twice = F.size(F.filter(spans, lambda x: x["kind"] == secret)) > 1
-    return F.when(twice, F.aggregate(spans, none, step)).otherwise(spans)
+    return F.when(twice, joined).otherwise(F.transform(spans, lambda x: plain(x)))
 
 
 def search(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFrame:
@@ -294,19 +309,19 @@ def search(docs: DataFrame, model: tuple[list, float] | None = None) -> DataFram
             kind = F.lit(place[0])
             for gen in range(1, len(GENERATORS)):
                 kind = F.when(c["gen"] == gen, place[gen]).otherwise(kind)
-            return F.struct(c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"), z.alias("z"))
+            return F.struct(c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"), c["dot"].alias("dot"), z.alias("z"))
 
         return F.filter(F.transform(candidates(text), weighed), lambda x: x["z"] >= limit)
 
-    def joined(base: Column, found: Column, text: Column) -> Column:
-        everything = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(float("inf")).alias("z"))), found))
-        return let(undisputed(everything), lambda s: dotted(s, text))
+    def joined(base: Column, found: Column) -> Column:
+        everything = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("dot"), F.lit(float("inf")).alias("z"))), found))
+        return let(undisputed(everything), dotted)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worth = F.col("__t").rlike(r"[0-9@]|at[)\]]")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__t"))
-    both = let(base_spans(F.col("__t")), lambda b: F.struct(b.alias("base"), let(accepted(F.col("__t")), lambda c: F.when(F.size(c) == 0, b).otherwise(joined(b, c, F.col("__t")))).alias("spans")))
+    both = let(base_spans(F.col("__t")), lambda b: F.struct(b.alias("base"), let(accepted(F.col("__t")), lambda c: F.when(F.size(c) == 0, b).otherwise(joined(b, c))).alias("spans")))
     found = F.coalesce(F.when(worth, both), F.struct(none.alias("base"), none.alias("spans")))
     return rows.select("doc_id", found.alias("x")).select("doc_id", "x.base", "x.spans")
 
@@ -326,7 +341,11 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text: each span of a text replaced by the name of its kind in brackets."""
     names = F.array(*map(F.lit, KINDS))
-    step = lambda t: lambda a, x: F.struct(F.concat(a["text"], F.substring(t, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit("["), F.get(names, x["kind"]), F.lit("]")).alias("text"), F.greatest(a["at"], x["end"]).alias("at"))
     joined = docs.select("doc_id", "text").join(found.select("doc_id", "spans"), "doc_id")
-    done = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step(F.col("text")), lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    # pieces are cut from the signs as an array: finding a place in a text takes as long as all before it
+    cut = lambda signs, at, end: F.array_join(F.slice(signs, at + 1, F.greatest(end - at, F.lit(0))), "")
+    step = lambda at, x: (F.greatest(at, x["end"]), F.array(F.struct(at.alias("at"), x["start"].alias("end"), F.get(names, x["kind"]).alias("kind"))))
+    swept_ = lambda: swept(F.col("spans"), F.lit(0), "struct<at:int,end:int,kind:string>", step)
+    whole = lambda signs, w: F.concat(F.array_join(F.transform(w["out"], lambda x: F.concat(cut(signs, x["at"], x["end"]), F.lit("["), x["kind"], F.lit("]"))), ""), cut(signs, w["state"], F.size(signs)))
+    done = let(F.split("text", ""), lambda signs: let(swept_(), lambda w: whole(signs, w)))
     return joined.select("doc_id", done.alias("text"))
