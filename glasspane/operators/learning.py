@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def gaussian_moments(training: DataFrame, features: list[str], label: str = "label") -> list:
     """Per class: its share, and mean and population variance of each feature (a row a class)."""
@@ -34,11 +36,6 @@ def gaussian_bayes(training: DataFrame, features: list[str], label: str = "label
     return 1.0 / (1.0 + F.exp(F.least(F.lit(700.0), scores[0] - scores[1])))
 
 
-def bayes_model(training: DataFrame, features: list[str], label: str = "label"):
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(training)
-    return NaiveBayes(modelType="gaussian", labelCol=label).fit(assembled)
-
-
 def sampled(examples: DataFrame, size: float, seed: int = 0) -> DataFrame:
     """Rows drawn with replacement: a share up to 1, a count above; a negative size takes all."""
     if size < 0:
@@ -60,14 +57,6 @@ def probability(model, df: DataFrame, features: list[str], name: str = "probabil
     return model.transform(assembled).withColumn("__p", second).select(*df.columns, F.col("__p").alias(name))
 
 
-def brightest(df: DataFrame, value: str, k: int = 3, seed: int = 123) -> float:
-    """Least value of the brightest of k clusters of one slide's values."""
-    assembled = VectorAssembler(inputCols=[value], outputCol="features").transform(df)
-    model = KMeans(k=k, seed=seed).fit(assembled)
-    top = max(range(k), key=lambda i: model.clusterCenters()[i][0])
-    return model.transform(assembled).where(F.col("prediction") == top).agg(F.min(value)).first()[0]
-
-
 def cohort_clusters(df: DataFrame, key: str, features: list[str], k: int, test_share: float = 0.2, seed: int = 0) -> DataFrame:
     """key, embed_x, embed_y, groupid, testind: scaled features, two principal axes, clusters, a test share per group."""
     assembled = VectorAssembler(inputCols=features, outputCol="__raw").transform(df)
@@ -75,11 +64,35 @@ def cohort_clusters(df: DataFrame, key: str, features: list[str], k: int, test_s
     placed = PCA(k=2, inputCol="__scaled", outputCol="__axes").fit(scaled).transform(scaled)
     grouped = KMeans(k=k, seed=seed, featuresCol="__scaled", predictionCol="groupid").fit(placed).transform(placed)
     axes = vector_to_array("__axes")
-    sizes = grouped.groupBy("groupid").agg(F.count(F.lit(1)).alias("__n"))
-    drawn = grouped.select(key, F.get(axes, F.lit(0)).alias("embed_x"), F.get(axes, F.lit(1)).alias("embed_y"), "groupid")
-    # by a hash of the key, so a group is never ordered in one task
-    test = F.pmod(F.xxhash64(key), F.lit(1_000_003)) < F.lit(int(test_share * 1_000_003))
-    return drawn.join(sizes, "groupid").select(key, "embed_x", "embed_y", "groupid", test.cast("int").alias("testind"))
+    placed = stored(grouped.select(key, F.get(axes, F.lit(0)).alias("embed_x"), F.get(axes, F.lit(1)).alias("embed_y"), "groupid"))
+    return drawn_share(placed, key, "groupid", test_share, seed, "testind")
+
+
+#: Rows of a group that one task may put in order at the end of a draw.
+FEW = 100_000
+
+
+def drawn_share(df: DataFrame, key: str, group: str, share: float, seed: int = 0, name: str = "drawn") -> DataFrame:
+    """df with 1 for round(share * n) rows of each group of n, drawn by hashes of the key, and 0 for the others.
+
+    The last row that is drawn is found by counts: of all first four digits of the hashes, then of the next four
+    among those that share the decisive ones, until few rows are left. No group is put in order whole.
+    """
+    digits, width = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 4
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), digits.alias("h"))
+    need = rows.groupBy("g").agg(F.floor(F.count(F.lit(1)) * F.lit(share) + 0.5).cast("long").alias("need")).where("need > 0")
+    left = rows.join(need, "g")
+    for turn in range(32 // width):
+        counts = left.groupBy("g", F.substring("h", turn * width + 1, width).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+        before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("g").orderBy("d")) - F.col("n"))  # 65,536 rows a group at most
+        decisive = stored(before.where("before < need and need <= before + n").select("g", "d", "n", (F.col("need") - F.col("before")).alias("need")))
+        left = left.drop("need").join(decisive.drop("n"), "g").where(F.substring("h", turn * width + 1, width) == F.col("d")).drop("d")
+        if not (decisive.agg(F.max("n")).first()[0] or 0) > FEW:
+            break
+    last = left.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h", "k"))).where("r = need")
+    limits = last.select(F.col("g").alias("__g"), F.struct("h", "k").alias("__limit"))
+    own = F.struct(digits.alias("h"), F.col(key).alias("k"))
+    return df.join(limits, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn(name, F.coalesce((own <= F.col("__limit")).cast("int"), F.lit(0))).drop("__g", "__limit")
 
 
 def cluster_scores(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ranked
+from .aggregators import aggregated
 from .annotations import crosses
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -128,12 +129,17 @@ def group_totals(df: DataFrame, by: list[str], columns: list[str], nested: bool
     return grouped.agg(F.grouping_id().cast("long").alias("level"), *aggregates) if nested else grouped.agg(*aggregates)
 
 
-def ordered_groups(df: DataFrame, by: str, aggregators: dict[str, Column], values: list | None = None, order: list[Column] | None = None) -> DataFrame:
+def ordered_groups(df: DataFrame, by: str, aggregators: dict[str, Column], values: list | None = None, order: list[Column] | None = None, stateful: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Groups of a column with any aggregates by name; values: groups that are shown even where they are empty, and no others.
 
+    stateful: name -> (registered aggregator, column), see ``aggregators``.
+
     order: what groups are compared by, aggregates included; place (from 1) is a group's place.
     """
     grouped = df.groupBy(by).agg(*[a.alias(n) for n, a in aggregators.items()])
+    if stateful:
+        more = aggregated(df, by, stateful)
+        grouped = grouped.join(more.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
     if values is not None:
         fixed = df.sparkSession.createDataFrame([(v,) for v in values], f"{by} {df.schema[by].dataType.simpleString()}")
         grouped = fixed.join(grouped, by, "left")

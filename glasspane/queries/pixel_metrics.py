@@ -354,6 +354,12 @@ def bright_kmeans(spark, d):
     return df.join(masks.bright_cluster_level(df), "slide_id").groupBy("slide_id").agg(F.count_if(F.col("v") > F.col("level")).alias("bright"))
 
 
+@query("test_rows", "SELECT vec_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('7:' || vec_id), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE + 0.5) THEN 1 ELSE 0 END AS testind FROM embeddings")
+def test_rows(spark, d):
+    """A fifth of each label's vectors, exact to a row."""
+    return learning.drawn_share(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 0.2, 7, "testind")
+
+
 @query("cohort_clusters")
 def cohort_clusters(spark, d):
     wide = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(64)])

@@ -195,6 +195,18 @@ def violin_hist(spark, d):
     return review.violin_histogram(table(spark, d, "lineitem"), "l_extendedprice", 500.0)
 
 
+@query(
+    "stateful_groups",
+    f"""WITH m AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL), o AS (SELECT l_returnflag, l_quantity FROM m QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_quantity) = 1),
+g AS (SELECT l_returnflag, count(*) AS n, {r6("var_samp(l_extendedprice)")} AS spread, {r6("exp(avg(ln(l_extendedprice)))")} AS middle, {r6("max(l_discount) - min(l_discount)")} AS span FROM lineitem GROUP BY l_returnflag)
+SELECT g.*, o.l_quantity AS usual, row_number() OVER (ORDER BY spread DESC, g.l_returnflag) AS place FROM g JOIN o USING (l_returnflag)""",
+)
+def stateful_groups(spark, d):
+    """Groups compared by an aggregate that merges states, beside others that do."""
+    wanted = {"spread": ("spread", "l_extendedprice"), "middle": ("geometric_mean", "l_extendedprice"), "span": ("range", "l_discount"), "usual": ("mode", "l_quantity")}
+    return rounded(review.ordered_groups(table(spark, d, "lineitem"), "l_returnflag", {"n": F.count(F.lit(1))}, None, [F.col("spread").desc_nulls_last()], wanted))
+
+
 TICKS = [k / 4 for k in range(201)]
 
 

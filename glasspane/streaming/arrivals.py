@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.batches import Ledger
+
 
 def arrivals(spark: SparkSession, folder: str, schema, per_trigger: int = 100) -> DataFrame:
     """A stream of the rows of new parquet files under a folder."""
@@ -33,3 +35,12 @@ def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: st
         work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def processed_slides(stream: DataFrame, work: Callable[[DataFrame], DataFrame], ledger: Ledger, checkpoint: str, force: bool = False) -> StreamingQuery:
+    """The same through a ledger of finished slides: those it has are passed over, or replaced with force."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        ledger.add(work, batch, force, key=f"stream-{number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
