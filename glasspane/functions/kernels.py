@@ -84,14 +84,22 @@ def shifted(a: np.ndarray, dr: int, dc: int, outside) -> np.ndarray:
     return out
 
 
+def _folded(a: np.ndarray, footprint: list[tuple[int, int]], how: np.ufunc, outside) -> np.ndarray:
+    """The fold of a raster's shifts over the footprint; one shift is held at a time."""
+    out = shifted(a, *footprint[0], outside)
+    for d in footprint[1:]:
+        how(out, shifted(a, *d, outside), out=out)
+    return out
+
+
 def eroded(mask: np.ndarray, footprint: list[tuple[int, int]]) -> np.ndarray:
     """What lies beyond the raster counts as true."""
-    return np.logical_and.reduce([shifted(mask, *d, True) for d in footprint])
+    return _folded(mask, footprint, np.logical_and, True)
 
 
 def dilated(mask: np.ndarray, footprint: list[tuple[int, int]]) -> np.ndarray:
     """What lies beyond the raster counts as false."""
-    return np.logical_or.reduce([shifted(mask, *d, False) for d in footprint])
+    return _folded(mask, footprint, np.logical_or, False)
 
 
 def opened(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -100,14 +108,18 @@ def opened(mask: np.ndarray, radius: int) -> np.ndarray:
 
 def lowest(a: np.ndarray, footprint: list[tuple[int, int]]) -> np.ndarray:
     """The least value under the footprint; what lies beyond the raster is ignored."""
-    high = a.max() if a.size else 0
-    return np.minimum.reduce([shifted(a, *d, high) for d in footprint])
+    return _folded(a, footprint, np.minimum, a.max() if a.size else 0)
 
 
-def median(a: np.ndarray, radius: int) -> np.ndarray:
-    """Median under a disk; beyond the raster, values are ignored."""
-    stack = np.stack([shifted(a.astype(float), *d, np.nan) for d in disk(radius)])
-    return np.nanmedian(stack, axis=0)
+def median(a: np.ndarray, radius: int, rows: int = 64) -> np.ndarray:
+    """Median under a disk; beyond the raster, values are ignored. Some rows at a time, each with all its shifts."""
+    padded = np.pad(a.astype(float), radius, constant_values=np.nan)
+    out = np.empty(a.shape)
+    for top in range(0, a.shape[0], rows):
+        h = min(rows, a.shape[0] - top)
+        shifts = [padded[top + radius + dr : top + radius + dr + h, radius + dc : radius + dc + a.shape[1]] for dr, dc in disk(radius)]
+        out[top : top + h] = np.nanmedian(np.stack(shifts), axis=0)
+    return out
 
 
 def gaussian_weights(sigma: float) -> np.ndarray:
@@ -177,20 +189,31 @@ def binary_pattern(a: np.ndarray, points: int = 24, radius: float = 3.0) -> np.n
 
 
 def local_otsu(a: np.ndarray, radius: int) -> np.ndarray:
-    """Otsu threshold of the bytes under a disk around each pixel."""
+    """Otsu threshold of the bytes under a disk around each pixel.
+
+    A row at a time: the histograms of all its disks are differences of running counts along the rows that they reach.
+    """
     h, w = a.shape
     out = np.zeros(a.shape, int)
-    offsets = disk(radius)
+    k, columns = np.arange(256), np.arange(w)
+    running: dict[int, np.ndarray] = {}
     for r in range(h):
-        for c in range(w):
-            own = [a[r + i, c + j] for i, j in offsets if 0 <= r + i < h and 0 <= c + j < w]
-            n = np.bincount(own, minlength=256).astype(float)
-            k = np.arange(256)
-            w1, s1 = np.cumsum(n), np.cumsum(n * k)
-            w2, s2 = w1[-1] - w1, s1[-1] - s1
-            with np.errstate(invalid="ignore", divide="ignore"):
-                between = np.where((w1 > 0) & (w2 > 0), w1 * w2 * (s1 / w1 - s2 / w2) ** 2, -1)
-            out[r, c] = int(np.argmax(between)) if between.max() > 0 else int(own[0])
+        running.pop(r - radius - 1, None)
+        counts = np.zeros((w, 256), np.int32)
+        for dr in range(max(-radius, -r), min(radius, h - 1 - r) + 1):
+            if r + dr not in running:
+                one = np.zeros((w + 1, 256), np.int32)
+                one[columns + 1, a[r + dr]] = 1
+                running[r + dr] = one.cumsum(axis=0, dtype=np.int32)
+            reach = int(np.sqrt(radius * radius - dr * dr))
+            counts += running[r + dr][np.minimum(columns + reach + 1, w)] - running[r + dr][np.maximum(columns - reach, 0)]
+        n = counts.astype(float)
+        w1, s1 = n.cumsum(axis=1), (n * k).cumsum(axis=1)
+        w2, s2 = w1[:, -1:] - w1, s1[:, -1:] - s1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            between = np.where((w1 > 0) & (w2 > 0), w1 * w2 * (s1 / w1 - s2 / w2) ** 2, -1)
+        # under a disk of one value, that value
+        out[r] = np.where(between.max(axis=1) > 0, between.argmax(axis=1), counts.argmax(axis=1))
     return out
 
 
@@ -269,15 +292,28 @@ def _predicted(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
     return out.astype(np.uint8)
 
 
+def boxes(labels: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first row, last row, first column, last column) of each label from 1 on."""
+    r, c = np.nonzero(labels)
+    n = int(labels.max()) if labels.size else 0
+    own = labels[r, c] - 1
+    low = [np.full(n, max(labels.shape)) for _ in range(2)]
+    high = [np.zeros(n, int) for _ in range(2)]
+    for k, x in enumerate((r, c)):
+        np.minimum.at(low[k], own, x)
+        np.maximum.at(high[k], own, x)
+    return list(zip(low[0].tolist(), high[0].tolist(), low[1].tolist(), high[1].tolist()))
+
+
 def outline(mask: np.ndarray) -> list[tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]]:
     """(outer ring, holes) of each component, as closed rings of pixel corners (x, y) along the pixels' edges."""
     found = []
     labels = label(mask, 4)
-    for k in range(1, int(labels.max()) + 1 if labels.size else 1):
-        own = np.pad(labels == k, 1)
+    for k, (top, bottom, left, right) in enumerate(boxes(labels), 1):
+        own = np.pad(labels[top : bottom + 1, left : right + 1] == k, 1)
         follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for r, c in zip(*np.nonzero(own)):
-            x, y = int(c) - 1, int(r) - 1
+            x, y = int(c) - 1 + left, int(r) - 1 + top
             for free, a, b in ((not own[r - 1, c], (x, y), (x + 1, y)), (not own[r, c + 1], (x + 1, y), (x + 1, y + 1)), (not own[r + 1, c], (x + 1, y + 1), (x, y + 1)), (not own[r, c - 1], (x, y + 1), (x, y))):
                 if free:
                     follow.setdefault(a, []).append(b)

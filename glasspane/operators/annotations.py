@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.rings import is_simple, simple_parts
 
 POINT = "array<struct<x:int,y:int>>"
 REGION = f"outer {POINT}, holes array<{POINT}>, label string, raw_label string, uri string"
@@ -71,6 +75,44 @@ def valid(regions: DataFrame) -> DataFrame:
     return regions.where(F.size("outer") >= 3).withColumn("holes", F.filter("holes", lambda h: F.size(h) >= 3))
 
 
+#: Parts of a region that a repair may give.
+PARTS = 1 << 12
+
+
+def repaired(regions: DataFrame) -> DataFrame:
+    """Regions with simple rings only, and ``repaired``: whether a region's rings crossed or touched themselves.
+
+    Such a region becomes the parts of its even-odd area, one or several, each with its holes; crossing points
+    are cut to whole pixels as all points are. A region without any area stays as it is. The order of painting is kept: the parts of part p
+    are numbered from p * PARTS on.
+    """
+    names = regions.columns
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                outer, holes = ([[(p["x"], p["y"]) for p in ring] for ring in rings] for rings in ([row["outer"]], row["holes"]))
+                row["part"], row["repaired"] = row["part"] * PARTS, False
+                if all(is_simple(_open(r)) for r in outer + holes):
+                    rows.append(row)
+                    continue
+                # the outer ring's own area, less what each hole encloses
+                parts = simple_parts([_open(outer[0])]) if not holes else simple_parts([_open(r) for r in outer + holes])
+                row["repaired"] = True
+                as_points = lambda ring: [{"x": int(x), "y": int(y)} for x, y in ring]
+                made = [{**row, "part": row["part"] + k, "outer": as_points(o), "holes": [as_points(h) for h in hs]} for k, (o, hs) in enumerate(parts)]
+                rows += made or [row]
+            yield pd.DataFrame(rows, columns=[*names, "repaired"])
+
+    return regions.mapInPandas(run, T.StructType([*regions.schema.fields, T.StructField("repaired", T.BooleanType())]))
+
+
+def _open(ring: list) -> list:
+    """A ring without its closing point."""
+    return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+
+
 def relabelled(regions: DataFrame, names: dict[str, str]) -> DataFrame:
     """Labels by a fixed map; a label that the map lacks is an error."""
     found = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("raw_label"))

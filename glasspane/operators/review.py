@@ -90,14 +90,21 @@ def ordered(df: DataFrame, column: str, key: str, ascending: bool = True, as_tex
     return df.orderBy(value.asc_nulls_first() if ascending else value.desc_nulls_last(), key)
 
 
+#: Rows up to which a page is the end of a top-k; later ones are found by numbering the rows.
+EARLY = 10_000
+
+
 def page(df: DataFrame, column: str, key: str, number: int, size: int = 25, ascending: bool = True) -> DataFrame:
     """One page of a sorted table; a page beyond the last shows the last.
 
-    Rows are numbered by ranges (``ranked``), so a late page costs what an early one does and no task holds those before it.
+    Up to row EARLY it is a top-k of each task's rows, and nothing is stored. Beyond, rows are numbered by ranges (``ranked``), so a
+    late page costs what any other late one does and no task holds those before it.
     """
     pages = max(1, -(-df.count() // size))
     at = min(max(0, number), pages - 1)
     value = F.col(column).asc_nulls_first() if ascending else F.col(column).desc_nulls_last()
+    if (at + 1) * size <= EARLY:
+        return df.orderBy(value, F.col(key)).offset(at * size).limit(size)
     shown = ranked(df, [value, F.col(key)], "__place").where(F.col("__place").between(at * size + 1, (at + 1) * size))
     return shown.orderBy("__place").select(*df.columns)
 

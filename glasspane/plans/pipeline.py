@@ -407,7 +407,9 @@ def annotation(s: State, p: Params) -> State:
         if found is None:
             return s.noted(f"unsupported file format '{p.get('format')}'. Skipping...")
         s = replace(s, given={**s.given, "regions": found.withColumn("slide_id", F.col("slide_id").cast(s.df.schema["slide_id"].dataType))})
-    regions = annotations.valid(given(s, "regions", None))
+    regions = annotations.repaired(annotations.valid(given(s, "regions", None)))
+    crossed = regions.groupBy("slide_id").agg(F.max("repaired").alias("on"))
+    s = replace(s, warned=(*s.warned, ("Annotation has regions that are no simple polygons; they were taken apart", lambda df: crossed)))
     mask, there = s.own("annotated"), s.own("there")
     known = regions.select("slide_id", F.lit(True).alias(there)).distinct()
     df = annotations.annotation_mask(s.df, regions, mask, s.scale).join(known, "slide_id", "left")

@@ -304,6 +304,21 @@ def annotation_mask(spark, d):
     return df.groupBy("slide_id").agg(F.count_if("annotated").alias("inside"), F.coalesce(F.sum(F.when(F.col("annotated"), F.col("r") * 64 + F.col("c"))), F.lit(0)).cast("long").alias("places"), F.count(F.lit(1)).alias("total"))
 
 
+@query("annotation_repair", "SELECT vec_id, 2::BIGINT AS parts, (2 * w * h)::DOUBLE AS area FROM (SELECT vec_id, floor((embedding[3]::DOUBLE + 1) * 127.5)::INT % 21 + 3 AS w, floor((embedding[4]::DOUBLE + 1) * 127.5)::INT % 21 + 3 AS h FROM embeddings)")
+def annotation_repair(spark, d):
+    """A bow tie for each vector, 2 w wide and 2 h high, becomes two triangles that meet at its middle."""
+    u = lambda k: u8(F.get("embedding", F.lit(k)))
+    v = table(spark, d, "embeddings").select("vec_id", u(0).alias("x"), u(1).alias("y"), (u(2) % 21 + 3).alias("w"), (u(3) % 21 + 3).alias("h"))
+    c = F.col
+    corners = [(c("x"), c("y")), (c("x") + 2 * c("w"), c("y") + 2 * c("h")), (c("x") + 2 * c("w"), c("y")), (c("x"), c("y") + 2 * c("h"))]
+    ring = F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x, y in corners])
+    regions = v.select("vec_id", F.lit(0).alias("part"), ring.alias("outer"), F.array().cast(f"array<{annotations.POINT}>").alias("holes"))
+    made = annotations.repaired(regions)
+    n = F.size("outer")
+    doubled = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.get("outer", i)["x"] * F.get("outer", (i + 1) % n)["y"] - F.get("outer", (i + 1) % n)["x"] * F.get("outer", i)["y"])
+    return made.groupBy("vec_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.abs(doubled) / 2).alias("area"))
+
+
 _NAMES = {str(k): ("tissue", "fold", "ink")[k % 3] for k in range(10)}
 
 

@@ -94,3 +94,24 @@ def test_local_otsu_splits_two_levels():
     a[:, 5:] = 200
     t = k.local_otsu(a, 3)
     assert 40 <= t[4, 4] < 200
+
+
+def test_local_otsu_like_a_plain_loop():
+    a = np.random.default_rng(3).integers(0, 40, (9, 13)) * 6
+    a[:4, :4] = 17
+    got = k.local_otsu(a, 2)
+    for r in range(9):
+        for c in range(13):
+            own = [a[r + i, c + j] for i, j in k.disk(2) if 0 <= r + i < 9 and 0 <= c + j < 13]
+            n = np.bincount(own, minlength=256).astype(float)
+            w1, s1 = n.cumsum(), (n * np.arange(256)).cumsum()
+            w2, s2 = w1[-1] - w1, s1[-1] - s1
+            with np.errstate(invalid="ignore", divide="ignore"):
+                between = np.where((w1 > 0) & (w2 > 0), w1 * w2 * (s1 / w1 - s2 / w2) ** 2, -1)
+            assert got[r, c] == (between.argmax() if between.max() > 0 else own[0])
+
+
+def test_median_in_parts():
+    a = np.random.default_rng(4).random((21, 8))
+    assert (k.median(a, 2, rows=5) == k.median(a, 2, rows=100)).all()
+    assert k.median(a, 1)[3, 0] == np.median([a[3, 0], a[2, 0], a[4, 0], a[3, 1]])
