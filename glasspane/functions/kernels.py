@@ -111,6 +111,31 @@ def lowest(a: np.ndarray, footprint: list[tuple[int, int]]) -> np.ndarray:
     return _folded(a, footprint, np.minimum, a.max() if a.size else 0)
 
 
+def lowest_disk(a: np.ndarray, radius: int) -> np.ndarray:
+    """The same under a disk of any radius: of each of its rows, the least of two runs of a power of two.
+
+    Runs come from one table of doublings, so a row of the disk costs two looks at a raster, however wide it is.
+    """
+    h, w = a.shape
+    radius = min(radius, h + w)
+    high = a.max() if a.size else 0
+    if radius * radius >= (h - 1) ** 2 + (w - 1) ** 2:  # every disk holds the raster
+        return np.full_like(a, a.min() if a.size else 0)
+    runs = [np.pad(a, ((0, 0), (radius, radius)), constant_values=high)]
+    while 2 << len(runs) - 1 <= 2 * radius + 1:
+        last, step = runs[-1], 1 << len(runs) - 1
+        runs.append(np.minimum(last[:, : last.shape[1] - step], last[:, step:]))
+    out = np.full_like(a, high)
+    for dr in range(-min(radius, h - 1), min(radius, h - 1) + 1):
+        reach = int(np.sqrt(radius * radius - dr * dr))
+        k = (2 * reach + 1).bit_length() - 1
+        first, last = radius - reach, radius + reach + 1 - (1 << k)
+        low = np.minimum(runs[k][:, first : first + w], runs[k][:, last : last + w])
+        own = slice(max(0, -dr), min(h, h - dr))
+        np.minimum(out[own], low[own.start + dr : own.stop + dr], out=out[own])
+    return out
+
+
 def median(a: np.ndarray, radius: int, rows: int = 64) -> np.ndarray:
     """Median under a disk; beyond the raster, values are ignored. Some rows at a time, each with all its shifts."""
     padded = np.pad(a.astype(float), radius, constant_values=np.nan)

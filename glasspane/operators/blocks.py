@@ -81,7 +81,7 @@ def blurred(df: DataFrame, value: str, sigma: float, name: str = "blurred", bloc
 
 
 def lowest(df: DataFrame, value: str, radius: int, name: str = "lowest", block: int = BLOCK) -> DataFrame:
-    return with_margins(df, lambda x: {name: kernels.lowest(x[value], kernels.disk(radius))}, [value], {name: "int"}, radius, block)
+    return with_margins(df, lambda x: {name: kernels.lowest_disk(x[value], radius)}, [value], {name: "int"}, radius, block)
 
 
 def median(df: DataFrame, value: str, radius: int, name: str = "median", block: int = BLOCK) -> DataFrame:

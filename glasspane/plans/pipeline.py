@@ -164,7 +164,7 @@ def minimum_neighbourhood(s: State, p: Params) -> State:
     radius, limit, invert = int(number(p, "disk_size", 10000)), number(p, "upper_threshold", 200), truth(p, "invert", True)
     grey = s.df.withColumn("__g8", gray8())
     if s.block is None:
-        df = raster.per_slide(grey, lambda x: {"__min": kernels.lowest(x["__g8"], kernels.disk(min(radius, max(x["__g8"].shape))))}, ["__g8"], {"__min": "int"})
+        df = raster.per_slide(grey, lambda x: {"__min": kernels.lowest_disk(x["__g8"], radius)}, ["__g8"], {"__min": "int"})
     else:
         df = blocks.lowest(grey, "__g8", radius, "__min", s.block)
     m = F.col("__min") > limit

@@ -453,6 +453,16 @@ def preset_pipeline(spark, d):
     return metrics(folded(pixels(spark, d), preset("v2.1", **changes)))
 
 
+@query("published_pipeline")
+def published_pipeline(spark, d):
+    """The fullest preset with its published parameters, on slides of 256 x 256: sixteen slides side by side make one."""
+    from ..plans.presets import preset
+
+    k = F.col("slide_id") % 16
+    wide = pixels(spark, d).select(F.expr("slide_id div 16").alias("slide_id"), (F.col("r") + 64 * F.floor(k / 4)).cast("int").alias("r"), (F.col("c") + 64 * (k % 4)).cast("int").alias("c"), "red", "green", "blue")
+    return metrics(folded(wide, preset("v2.1")))
+
+
 @query("classified_pipeline")
 def classified_pipeline(spark, d):
     """Annotation, both classifiers, tiles and ridges as steps of one pipeline."""

@@ -115,3 +115,9 @@ def test_median_in_parts():
     a = np.random.default_rng(4).random((21, 8))
     assert (k.median(a, 2, rows=5) == k.median(a, 2, rows=100)).all()
     assert k.median(a, 1)[3, 0] == np.median([a[3, 0], a[2, 0], a[4, 0], a[3, 1]])
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 9, 14, 40, 10_000])
+def test_lowest_under_large_disks(radius):
+    a = np.random.default_rng(radius).integers(0, 1000, (11, 17))
+    assert (k.lowest_disk(a, radius) == k.lowest(a, k.disk(min(radius, 40)))).all()
