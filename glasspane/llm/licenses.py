@@ -5,7 +5,7 @@ and small, see TEMPLATES) to the places of the same k-grams in license templates
 text and word q of a template votes for the diagonal p - q; Spark counts the votes of each text, template and
 diagonal. Diagonals that follow each other within ``reach``, as left by an inserted or missing word, are merged,
 and a candidate is verified on its words. Of a template of m words let c lie in hits, each counted once, and let
-the span be n words long: c / (m + n - c) is its similarity and must be ``enough``, so words that are missing and
+the span be n words long: 2 c / (m + n) is its similarity and must be ``enough``, so words that are missing and
 words that stand between count alike, and no span drifts far. Words that tell a template from one of another label
 which is nearly the same must be among the hits (``Templates.told``). Of verified spans that overlap, the one of the
 greatest similarity stays, then the longest; spans that tie all stay.
@@ -160,11 +160,11 @@ def scan(docs: DataFrame, extra: dict[str, str] | None = None, enough: float = 0
     merged = chained.groupBy(*one, "k", "size", "label", "told", "chain").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("q"), F.min("first").cast("long").alias("first"), F.max("last").cast("long").alias("last"))
     step = F.transform("q", lambda x, i: F.least(F.col("k"), F.coalesce(F.get("q", i + 1) - x, F.col("k"))))
     merged = merged.withColumn("c", F.aggregate(step, F.lit(0), lambda a, x: a + x))
-    share = F.col("c") / (F.col("size") + F.greatest(F.lit(0), F.col("last") - F.col("first") + 1 - F.col("c")))
+    share = 2 * F.col("c") / (F.col("size") + F.greatest("c", F.col("last") - F.col("first") + 1))
     seen = F.forall("told", lambda t: F.exists("q", lambda x: (x <= t) & (t < x + F.col("k"))))
     spans = merged.withColumn("similarity", share).where((F.col("similarity") >= enough) & seen)
     # spans that can overlap begin within the length of the longest; there are a few for each template
-    longest = int(max(templates.sizes) / enough) + 1
+    longest = int(max(templates.sizes) * (2 / enough - 1)) + 1
     near = Window.partitionBy("doc_id", "which").orderBy("first").rangeBetween(-longest, longest)
     method = spans.where(F.col("template") >= templates.base).withColumn("rank", F.struct("similarity", (F.col("last") - F.col("first")).alias("length")))
     beaten = F.exists(F.collect_list(F.struct("first", "last", "rank")).over(near), lambda x: (x["first"] <= F.col("last")) & (F.col("first") <= x["last"]) & (x["rank"] > F.col("rank")))

@@ -41,7 +41,7 @@ def plain(text: str) -> list[tuple[str, int, int, float]]:
         for g in groups:
             covered = {q + i for d in g for q in votes[d] for i in range(k)}
             first, last = min(d + min(votes[d]) for d in g), max(d + max(votes[d]) + k - 1 for d in g)
-            share = len(covered) / (len(own) + max(0, last - first + 1 - len(covered)))
+            share = 2 * len(covered) / (len(own) + max(len(covered), last - first + 1))
             if share >= 0.8 and (t in licenses.BASE or told(own, label) <= covered):
                 (base if t in licenses.BASE else out).append((label, first, last, share))
     rank = lambda x: (x[3], x[2] - x[1])
