@@ -27,16 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local masters without a shared one, by application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or on a local master without one a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, with its scheme: spark.checkpoint.dir, or on a local master without one a temporary folder."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if folder is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='glasspane-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        folder = _TEMPORARY.get(context.applicationId) or _TEMPORARY.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='glasspane-')}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
