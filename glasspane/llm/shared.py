@@ -14,15 +14,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local masters without a shared one, by application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor shares, as the cluster names it; a temporary one on a local master without a name."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that every executor shares, as the cluster names it, with its scheme; a temporary one on a local master without a name."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
-        folder = f"file://{tempfile.gettempdir()}/glasspane-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        folder = _TEMPORARY.get(context.applicationId) or _TEMPORARY.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='glasspane-')}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class Shelf:
