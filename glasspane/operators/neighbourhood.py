@@ -57,10 +57,13 @@ def sobel_squared(df: DataFrame, value: str, name: str = "sobel2") -> DataFrame:
 
 
 def laplacian(df: DataFrame, value: str, name: str = "laplacian") -> DataFrame:
-    """Sum of the four neighbours less four times the pixel, mirrored at the edge."""
+    """Sum of the four neighbours less four times the pixel, mirrored at the edge.
+
+    Neighbours are added in the order left, right, up, down: a threshold may fall on a sum's last bit.
+    """
     left, right = _sides(value, along_row())
     up, down = _sides(value, along_column())
-    return df.withColumn(name, up + down + left + right - 4 * F.col(value))
+    return df.withColumn(name, left + right + up + down - 4 * F.col(value))
 
 
 def flat(df: DataFrame, value: str, side: int = 10, threshold: float = 0.01, name: str = "flat") -> DataFrame:
