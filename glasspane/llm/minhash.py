@@ -8,16 +8,21 @@ Two documents are linked if the Jaccard similarity of their sets is at least ``p
 2. Documents of equal sets are one class; only classes go on, so exact copies never meet in pairs.
 3. Inverted lists hold the ``posted`` smallest values of each class. A list order common to all (rare
    values first) lets a class post only its first few: two sets that are similar enough share one of
-   those. Short lists give all their pairs. In a long list each class pairs with the list's hub.
+   those. Short lists give all their pairs. In a long list each class pairs with the list's hub, of the classes of
+   about its size the one that has least of its own.
 4. Union sketches estimate the similarity of each pair (five standard errors of slack); where both
    sets are kept whole this is the exact value. Otherwise the exact Jaccard of the full sets decides.
-5. Classes of long lists are then joined by windows, which are two retained values that stand next to each other in
-   a class's sketch: two sets that are similar enough have several windows in common, and two that share a common
-   passage only seldom do. Again rare ones come first, and a class posts only so many that MET common ones are among
-   them (or all there are). A pair is met once, at the first common window of this order, and goes on only if there are
-   windows enough behind it and MET common ones among the posted. Only classes of different components meet, so that no link
-   that would join components is missed, and members of one component are not compared again; a window of many
-   classes is dealt in pairs of blocks.
+5. Classes of long lists then meet across components only, so that no link that would join components is missed and
+   members of one component are not compared again. Two that are kept whole meet at their first common value in the
+   order of all values that such classes share, rare ones first: what they can have in common is what each shares from
+   there on, and must be enough for a pair of their sizes. This bound is exact. Of a large group of near copies, each
+   changed in its own places, only those meet whose changes are few enough.
+6. Where one of the two is not kept whole they meet by windows, which are two retained values that stand next to each
+   other in a class's sketch: two sets that are similar enough have several windows in common, and two that share a
+   common passage only seldom do. Again rare ones come first, and a class posts only so many that MET common ones are
+   among them (or all there are). A pair is met once, at the first common window of this order, and goes on only if
+   there are windows enough behind it and MET common ones among the posted. A window (or value) of many classes is
+   dealt in pairs of blocks.
 
 Rows with a null doc_id link with nothing: component_id null, kept true. Null and empty texts: no
 shingles, kept. Repeated rows count as copies of each other, one result row each; of rows that repeat
@@ -118,6 +123,11 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def can_share(shared: Column, n: Column, other: Column, percent: int) -> Column:
+    """Whether a set of n values, ``shared`` of which other sets have too, can be similar enough to a set of ``other`` values."""
+    return shared * (100 + percent) >= percent * (n + other)
+
+
 def estimate(a: Column, b: Column, na: Column, nb: Column) -> Column:
     """Similarity of two sets by their sketches; exact where both are whole."""
     common = F.size(F.array_intersect(a, b))
@@ -173,22 +183,24 @@ class Linker:
         self.shelf.drop(all_rows)
 
     def postings(self) -> None:
-        """node, n, value, spread: what each class posts of values that other classes have as well."""
+        """node, n, odd, value, spread: what each class posts of values that other classes have as well; odd: its share of others."""
         posted = self.nodes.select("node", "n", F.explode(F.slice("values", 1, POSTED)).alias("value"))
         spread = posted.groupBy("value").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
         own = posted.join(spread, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "value"))).alias("shared"))
         alone = F.least(F.col("n"), F.lit(POSTED)) - F.size("shared")
         length = F.greatest(F.lit(0), prefix_length(F.col("n"), self.percent) - alone).cast("int")
-        self.prefixes = self.shelf.put(own.select("node", "n", F.slice("shared", F.lit(1), length).alias("shared")).where("size(shared) > 0"), "prefixes")
-        self.posts = self.prefixes.select("node", "n", F.explode("shared").alias("x")).select("node", "n", "x.*")
+        odd = (alone / F.least(F.col("n"), F.lit(POSTED))).alias("odd")  # the share of values that no other class has
+        self.prefixes = self.shelf.put(own.select("node", "n", odd, F.slice("shared", F.lit(1), length).alias("shared")).where("size(shared) > 0"), "prefixes")
+        self.posts = self.prefixes.select("node", "n", "odd", F.explode("shared").alias("x")).select("node", "n", "odd", "x.*")
 
     def first_pairs(self) -> DataFrame:
         fit = sizes_fit(F.col("l.n"), F.col("r.n"), self.percent)
         short = self.posts.where(F.col("spread") <= LONG_LIST)
         pairs = short.alias("l").join(short.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & fit)
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).alias("band")
-        long_ = self.posts.where(F.col("spread") > LONG_LIST).select("node", "n", "value", band)
-        hubs = long_.groupBy("value", "band").agg(F.min(F.struct(F.xxhash64("node", "value"), "node", "n")).alias("hub")).select("value", "band", "hub.node", "hub.n")
+        long_ = self.posts.where(F.col("spread") > LONG_LIST).select("node", "n", "odd", "value", band)
+        # the hub is one that has least of its own: the nearer it is to all, the more of them link with it
+        hubs = long_.groupBy("value", "band").agg(F.min(F.struct("odd", F.xxhash64("node", "value"), "node", "n")).alias("hub")).select("value", "band", "hub.node", "hub.n")
         hubs = self.shelf.put(hubs, "hubs")  # else the join stays dealt by the hubs' groups, and a long list cannot be split
         star = hubs.alias("l").join(long_.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.node") != F.col("r.node")) & fit)
         named = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
@@ -223,12 +235,33 @@ class Linker:
         return pairs.join(l, "a", "left").join(r, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").drop("ra", "rb")
 
     def late_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of classes of long lists across components that share a window, with their estimates."""
+        """Pairs of classes of long lists across components that share a posted value or window, with their estimates."""
+        long_ = self.prefixes.where(F.exists("shared", lambda x: x["spread"] > LONG_LIST)).select("node", "n").join(self.nodes.select("node", "values"), "node")
+        long_ = self.shelf.put(long_, "long")
+        pairs = self.by_values(long_.where(F.col("n") <= FULL), roots).unionByName(self.by_windows(long_.where(F.col("n") * 100 >= self.percent * (FULL + 1)), roots))
+        return self.estimated(pairs).select("a", "b", "na", "nb")
+
+    def by_values(self, whole: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs a, b of classes kept whole: what two have in common is bounded by what each shares, from their first common value on."""
+        shelf, percent, n = self.shelf, self.percent, F.col("n")
+        values = shelf.put(whole.select("node", "n", F.explode("values").alias("value")), "values")
+        spread = shelf.put(values.groupBy("value").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "common")
+        own = hot_join(values, spread, "value", "spread", values.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "value"))).alias("shared"))
+        length = F.greatest(F.lit(0), F.size("shared") - F.ceil(n * percent / 100) + 1).cast("int")  # one of so many is common
+        own = own.select("node", "n", F.size("shared").alias("total"), F.transform(F.slice("shared", F.lit(1), length), lambda x: x["value"]).alias("first"))
+        own = shelf.put(own.where(F.size("first") > 0), "heads")
+        shelf.drop(values)
+        left = lambda side: F.col(f"{side}total") - F.col(f"{side}place")
+        in_list = can_share(left(""), n, F.greatest(F.col("low"), F.ceil(n * percent / 100)), percent)
+        in_pair = can_share(F.least(left("l."), left("r.")), F.col("l.n"), F.col("r.n"), percent)
+        return self.across(own, roots, in_list, [in_pair])
+
+    def by_windows(self, long_: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs a, b of classes of which one at least is not kept whole."""
         shelf, width = self.shelf, 2 if self.percent >= 75 else 1
-        long_ = self.prefixes.where(F.exists("shared", lambda x: x["spread"] > LONG_LIST)).select("node", "n")
         drawn = F.slice("values", 1, RETAINED)
         windows = F.transform(F.slice(drawn, F.lit(1), F.greatest(F.lit(0), F.size(drawn) - (width - 1))), lambda x, i: F.xxhash64(x, *[F.get(drawn, i + k) for k in range(1, width)]))
-        posted = shelf.put(long_.join(self.nodes.select("node", "values"), "node").select("node", "n", F.explode(windows).alias("window")), "windows")
+        posted = shelf.put(long_.select("node", "n", F.explode(windows).alias("window")), "windows")
         spread = shelf.put(posted.groupBy("window").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "spread")
         own = hot_join(posted, spread, "window", "spread", posted.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "window"))).alias("shared"))
         # of at least ``need`` common windows, ``met`` lie among all but the last need - met of either class
@@ -237,25 +270,33 @@ class Linker:
         length = F.greatest(F.lit(0), F.size("shared") - need + met).cast("int")
         own = shelf.put(own.select("node", "n", need.alias("need"), met.alias("met"), F.size("shared").alias("total"), F.transform(F.slice("shared", F.lit(1), length), lambda x: x["window"]).alias("first")), "first")
         shelf.drop(posted)
-        placed = own.select("node", "n", "need", "met", "total", F.posexplode("first").alias("place", "window")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # so many windows that both have can come yet, this one included
+        behind = F.least(F.col("l.total") - F.col("l.place"), F.col("r.total") - F.col("r.place")) >= F.greatest("l.need", "r.need")
+        together = F.size(F.array_intersect("l.first", "r.first")) >= F.least("l.met", "r.met")
+        return self.across(own, roots, F.lit(True), [F.greatest("l.n", "r.n") > FULL, behind, together])
+
+    def across(self, own: DataFrame, roots: DataFrame, in_list: Column, in_pair: list[Column]) -> DataFrame:
+        """Pairs a, b of different components that have one of their ``first`` keys in common, each at its first such key.
+
+        in_list: what lets a class (with the smallest size, low, of the key's classes) stay in a key's list; in_pair: what a pair must fulfil.
+        """
+        shelf = self.shelf
+        placed = own.select(*[c for c in own.columns if c != "first"], F.posexplode("first").alias("place", "window")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = shelf.put(placed, "placed")
         # most classes of a window are often of one component: they meet the others only
-        kinds = placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("window").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("main"))
-        kinds = kinds.where("every > main.c").select("window", "every", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("every") / BLOCK).cast("int").alias("columns"))
-        side = hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count())
+        kinds = placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low")).groupBy("window").agg(F.sum("c").alias("every"), F.min("low").alias("low"), F.max(F.struct("c", "root")).alias("main"))
+        kinds = kinds.where("every > main.c").select("window", "every", "low", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("every") / BLOCK).cast("int").alias("columns"))
+        side = hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count()).where(in_list)
         side = shelf.put(side.join(own.select("node", "first"), "node").withColumn("earlier", F.slice("first", F.lit(1), F.col("place"))), "sides")
         at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
         l = side.where("root <> main").withColumn("i", at("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("l")
         r = side.withColumn("j", at("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")
         on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("window", "i", "j")]
         on += [F.col("l.root") != F.col("r.root"), (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")), sizes_fit(F.col("l.n"), F.col("r.n"), self.percent)]
-        # so many windows that both have can come yet, this one included
-        on.append(F.least(F.col("l.total") - F.col("l.place"), F.col("r.total") - F.col("r.place")) >= F.greatest("l.need", "r.need"))
+        on += in_pair
         # a pair is met at its first common window alone, and counted there
         on.append(~F.arrays_overlap("l.earlier", "r.earlier"))
-        on.append(F.size(F.array_intersect("l.first", "r.first")) >= F.least("l.met", "r.met"))
-        pairs = l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        return self.estimated(pairs).select("a", "b", "na", "nb")
+        return l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """For each class its most similar partner, and of those that seem similar enough the one that others choose too."""
