@@ -166,7 +166,9 @@ def recurring(docs: DataFrame, shelf: Shelf) -> DataFrame:
     general = templates(shelf.put(own, "reaching"), nodes, shelf).withColumn("docs", F.lit(1).cast("long"))
     keepers = shelf.put(exact.unionByName(general).groupBy("key").agg(F.min("keeper").alias("keeper"), F.max("docs").alias("docs")), "keepers")
     gone = hot_join(table.select("doc_id", "which", "line", "key"), keepers, "key", "docs", table.count()).where("doc_id <> keeper")
-    return shelf.put(gone.groupBy("doc_id", "which").agg(F.collect_list("line").alias("drop")), "drops")
+    drops = shelf.put(gone.groupBy("doc_id", "which").agg(F.collect_list("line").alias("drop")), "drops")
+    shelf.drop_others(drops)
+    return drops
 
 
 def _set(keys: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
@@ -307,7 +309,9 @@ def repeated(marked: DataFrame, shelf: Shelf) -> DataFrame:
         again = shelf.put(around(marked, bits, known, hot, True), "passages")
         shared = shelf.put(again.groupBy("key").agg(*ends).where("keeper < last").drop("last"), "shared")
         gone = gone.unionByName(hot_join(again, shared, "key", "n", again.count()).where("doc_id <> keeper").select("doc_id", "key"))
-    return shelf.put(gone.groupBy("doc_id").agg(F.collect_set("key").alias("cut")), "cuts")
+    cuts = shelf.put(gone.groupBy("doc_id").agg(F.collect_set("key").alias("cut")), "cuts")
+    shelf.drop_others(cuts, marked)
+    return cuts
 
 
 def without_lines(text: str, drop: list, least_left: float) -> str | None:

@@ -40,12 +40,15 @@ class Shelf:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{owner}-{uuid.uuid4().hex}"
         self.count = 0
+        self.names: dict[int, str] = {}
 
     def put(self, frame: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
         frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        table = self.spark.read.schema(frame.schema).parquet(path)
+        self.names[id(table)] = f"{self.count}-{name}"
+        return table
 
     def drop(self, frame_or_none: DataFrame | None = None) -> None:
         path = self.root if frame_or_none is None else frame_or_none.inputFiles()[0].rsplit("/", 1)[0] if frame_or_none.inputFiles() else None
@@ -53,6 +56,15 @@ class Shelf:
             hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Deletes all tables of this shelf but these, which must be tables as put() gave them."""
+        names = {self.names[id(frame)] for frame in kept}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(root):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)
+
 
 #: A key with over one in HOT_KEYS of the rows is hot; there are at most so many.
 HOT_KEYS = 2000
