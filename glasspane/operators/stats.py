@@ -88,23 +88,51 @@ def sampled_corners(df: DataFrame, mask: str | None, patches: int, seed: int = 0
     return at.join(ranked, ["slide_id", "r", "k"]).select("slide_id", "patch", F.col("r").alias("r0"), F.col("c").alias("c0"))
 
 
+#: Rows of a slide that a task of the texture holds at once.
+BAND = 64
+
+
 def texture(df: DataFrame, corners: DataFrame, side: int = 32, levels: int = 8, distance: int = 5) -> DataFrame:
     """slide_id and mean and deviation over patches of the co-occurrence properties, pairs ``distance`` to the right.
 
-    Patches are rolled out into their places, which meet the pixels one to one.
+    Pairs lie within a row, so patches are counted band by band of BAND rows, and the counts are added; a patch's pixels
+    are no rows of their own. Pixels without a shade count as missing.
     """
-    level = F.ceil(F.round(gray() * (levels - 1), 9)).cast("int")
-    shades = df.select("slide_id", "r", "c", level.alias("i"))
-    beyond = shades.select("slide_id", "r", (F.col("c") - distance).alias("c"), F.col("i").alias("j"))
-    pairs = shades.join(beyond, ["slide_id", "r", "c"])
+    import numpy as np
+    import pandas as pd
+
     if side <= distance:
         raise ValueError("a patch must be wider than the distance of its pairs")
-    k = corners.select("slide_id", "patch", "c0", F.explode(F.sequence(F.col("r0"), F.col("r0") + side - 1)).alias("r"))
-    k = k.select("slide_id", "patch", "r", F.explode(F.sequence(F.col("c0"), F.col("c0") + side - 1 - distance)).alias("c"))
-    # a pair counts both ways
-    both = pairs.join(k, ["slide_id", "r", "c"]).select("slide_id", "patch", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"))
-    cells = both.groupBy("slide_id", "patch", "p.i", "p.j").agg(F.count(F.lit(1)).alias("n"))
-    return texture_properties(cells)
+    level = F.ceil(F.round(gray() * (levels - 1), 9)).cast("int")
+    band = lambda r: F.floor(r / BAND).cast("long")
+    shades = df.select("slide_id", "r", "c", level.alias("i"), band(F.col("r")).alias("band")).where("i is not null")
+    ends = F.sequence(band(F.col("r0")), band(F.col("r0") + side - 1))
+    places = corners.select(F.col("slide_id").alias("of"), "patch", "r0", "c0", F.explode(ends).alias("at"))
+
+    def run(pixels: pd.DataFrame, patches: pd.DataFrame) -> pd.DataFrame:
+        found: list[list] = [[], [], [], []]
+        if len(pixels) and len(patches):
+            r, c, i = (pixels[k].to_numpy() for k in ("r", "c", "i"))
+            top, left, kinds = r.min(), c.min(), int(i.max()) + 1
+            shade = np.full((r.max() - top + 1, c.max() - left + 1), -1, np.int64)
+            shade[r - top, c - left] = i
+            one, two = shade[:, :-distance], shade[:, distance:]
+            pair = np.where((one >= 0) & (two >= 0), one * kinds + two, kinds * kinds)
+            for patch, r0, c0 in zip(*(patches[k].tolist() for k in ("patch", "r0", "c0"))):
+                a, b = r0 - top, c0 - left
+                own = pair[max(a, 0) : max(a + side, 0), max(b, 0) : max(b + side - distance, 0)]
+                n = np.bincount(own.ravel(), minlength=kinds * kinds)[: kinds * kinds].reshape(kinds, kinds)
+                n = n + n.T  # a pair counts both ways
+                x, y = np.nonzero(n)
+                for k, v in enumerate((np.full(len(x), patch), x, y, n[x, y])):
+                    found[k].append(v)
+        columns = [np.concatenate(v) if v else np.empty(0, np.int64) for v in found]
+        key = pixels["slide_id"].iloc[0] if len(pixels) else patches["of"].iloc[0]
+        return pd.DataFrame({"slide_id": [key] * len(columns[0]), **dict(zip(("patch", "i", "j", "n"), columns))})
+
+    schema = f"slide_id {df.schema['slide_id'].dataType.simpleString()}, patch long, i long, j long, n long"
+    cells = shades.groupBy("slide_id", "band").cogroup(places.groupBy("of", "at")).applyInPandas(run, schema)
+    return texture_properties(cells.groupBy("slide_id", "patch", "i", "j").agg(F.sum("n").alias("n")))
 
 
 def texture_properties(cells: DataFrame) -> DataFrame:
