@@ -16,7 +16,9 @@ Two documents are linked if the Jaccard similarity of their sets is at least ``p
    members of one component are not compared again. Two that are kept whole meet at their first common value in the
    order of all values that such classes share, rare ones first: what they can have in common is what each shares from
    there on, and must be enough for a pair of their sizes. This bound is exact. Of a large group of near copies, each
-   changed in its own places, only those meet whose changes are few enough.
+   changed in its own places, only those meet whose changes are few enough. How many classes share a value is counted
+   by what sets each class apart from a hub of its lists, not by all it holds; two classes of one hub are as far apart
+   as these differences are, so that only similar ones of them leave the join.
 6. Where one of the two is not kept whole they meet by windows, which are two retained values that stand next to each
    other in a class's sketch: two sets that are similar enough have several windows in common, and two that share a
    common passage only seldom do. Again rare ones come first, and a class posts only so many that MET common ones are
@@ -198,10 +200,10 @@ class Linker:
         short = self.posts.where(F.col("spread") <= LONG_LIST)
         pairs = short.alias("l").join(short.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.node") < F.col("r.node")) & fit)
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).alias("band")
-        long_ = self.posts.where(F.col("spread") > LONG_LIST).select("node", "n", "odd", "value", band)
+        self.long_posts = long_ = self.posts.where(F.col("spread") > LONG_LIST).select("node", "n", "odd", "value", band)
         # the hub is one that has least of its own: the nearer it is to all, the more of them link with it
-        hubs = long_.groupBy("value", "band").agg(F.min(F.struct("odd", F.xxhash64("node", "value"), "node", "n")).alias("hub")).select("value", "band", "hub.node", "hub.n")
-        hubs = self.shelf.put(hubs, "hubs")  # else the join stays dealt by the hubs' groups, and a long list cannot be split
+        hubs = long_.groupBy("value", "band").agg(F.min(F.struct("odd", F.xxhash64("node", "value"), "node", "n")).alias("hub")).select("value", "band", "hub.odd", "hub.node", "hub.n")
+        self.hubs = hubs = self.shelf.put(hubs, "hubs")  # else the join stays dealt by the hubs' groups, and a long list cannot be split
         star = hubs.alias("l").join(long_.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.node") != F.col("r.node")) & fit)
         named = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
         return pairs.select(*named).unionByName(star.select(*named)).distinct()
@@ -241,20 +243,57 @@ class Linker:
         pairs = self.by_values(long_.where(F.col("n") <= FULL), roots).unionByName(self.by_windows(long_.where(F.col("n") * 100 >= self.percent * (FULL + 1)), roots))
         return self.estimated(pairs).select("a", "b", "na", "nb")
 
+    def differences(self, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """node, n, hub, plus, minus: what each class has besides the values of its hub, and what it lacks of them; and hub, base: those values.
+
+        Its hub is that of the least odd hub of its lists, so that few hubs serve. Where that takes more than what the class holds, hub is null and all is plus.
+        """
+        shelf = self.shelf
+        kin = self.long_posts.select("node", "value", "band").join(self.hubs.select("value", "band", "odd", F.col("node").alias("hub")), ["value", "band"])
+        first = shelf.put(kin.groupBy("node").agg(F.min(F.struct("odd", "hub")).alias("x")).select("node", "x.hub"), "kin")
+        led = first.join(self.hubs.select("node").distinct(), "node").select(F.col("node").alias("hub"), F.col("hub").alias("own"))  # hubs, few as they are
+        near = shelf.put(whole.join(first.join(led, "hub", "left").select("node", F.coalesce("own", "hub").alias("hub")), "node"), "near")
+        uses = near.groupBy("hub").agg(F.count(F.lit(1)).alias("uses"))
+        bases = shelf.put(uses.join(self.nodes.select(F.col("node").alias("hub"), F.col("values").alias("base")), "hub"), "bases")
+        told = hot_join(near, bases, "hub", "uses", near.count()).withColumn("plus", F.array_except("values", "base")).withColumn("minus", F.array_except("base", "values"))
+        fits = F.size("plus") + F.size("minus") <= F.size("values")
+        told = told.select("node", "n", F.when(fits, F.col("hub")).alias("hub"), F.when(fits, F.col("plus")).otherwise(F.col("values")).alias("plus"), F.when(fits, F.col("minus")).otherwise(F.array().cast("array<long>")).alias("minus"))
+        told = shelf.put(told, "told")
+        shelf.drop(near)
+        return told, bases.select("hub", "base")
+
+    def shared_values(self, told: DataFrame, bases: DataFrame) -> DataFrame:
+        """node, n, hub, delta (all that sets it apart from its hub), shared: its values that other classes have too, with their spread; rare ones first."""
+        shelf = self.shelf
+        each = F.concat(F.transform("plus", lambda x: F.struct(x.alias("value"), F.lit(1).alias("k"))), F.transform("minus", lambda x: F.struct(x.alias("value"), F.lit(-1).alias("k"))))
+        apart = told.select(F.col("node").alias("owner"), F.lit(False).alias("base"), F.explode(each).alias("x")).select("owner", "base", "x.value", F.col("x.k").cast("long").alias("k"))
+        followed = told.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("k")).join(bases, "hub")
+        values = shelf.put(apart.unionByName(followed.select(F.col("hub").alias("owner"), F.lit(True).alias("base"), F.explode("base").alias("value"), "k")), "values")
+        # a hub's value counts for all of its classes, less those that lack it
+        spread = shelf.put(values.groupBy("value").agg(F.sum("k").alias("spread"), F.count_if(F.col("k") > 0).alias("held")).where("spread > 1"), "common")
+        held = values.where("k > 0")
+        own = hot_join(held, spread, "value", "held", held.count()).groupBy("owner", "base").agg(F.collect_list(F.struct("spread", "value")).alias("shared"))
+        own = shelf.put(own, "held")
+        shelf.drop(values)
+        own, of_hub = own.where("not base").select(F.col("owner").alias("node"), F.col("shared").alias("added")), own.where("base").select(F.col("owner").alias("hub"), F.col("shared").alias("kept"))
+        some = lambda name: F.coalesce(name, F.array().cast("array<struct<spread:long,value:long>>"))
+        shared = F.array_sort(F.concat(some("added"), F.filter(some("kept"), lambda x: ~F.array_contains("minus", x["value"]))))
+        return told.join(own, "node", "left").join(of_hub, "hub", "left").select("node", "n", "hub", F.concat("plus", "minus").alias("delta"), shared.alias("shared"))
+
     def by_values(self, whole: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs a, b of classes kept whole: what two have in common is bounded by what each shares, from their first common value on."""
         shelf, percent, n = self.shelf, self.percent, F.col("n")
-        values = shelf.put(whole.select("node", "n", F.explode("values").alias("value")), "values")
-        spread = shelf.put(values.groupBy("value").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "common")
-        own = hot_join(values, spread, "value", "spread", values.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "value"))).alias("shared"))
+        own = self.shared_values(*self.differences(whole))
         length = F.greatest(F.lit(0), F.size("shared") - F.ceil(n * percent / 100) + 1).cast("int")  # one of so many is common
-        own = own.select("node", "n", F.size("shared").alias("total"), F.transform(F.slice("shared", F.lit(1), length), lambda x: x["value"]).alias("first"))
-        own = shelf.put(own.where(F.size("first") > 0), "heads")
-        shelf.drop(values)
+        own = own.select("node", "n", "hub", "delta", F.size("shared").alias("total"), F.transform(F.slice("shared", F.lit(1), length), lambda x: x["value"]).alias("first"))
+        own = shelf.put(own, "heads")  # a filter here would have the arrays made twice
         left = lambda side: F.col(f"{side}total") - F.col(f"{side}place")
         in_list = can_share(left(""), n, F.greatest(F.col("low"), F.ceil(n * percent / 100)), percent)
         in_pair = can_share(F.least(left("l."), left("r.")), F.col("l.n"), F.col("r.n"), percent)
-        return self.across(own, roots, in_list, [in_pair])
+        # two classes of one hub differ in what their differences from it do not have in common
+        both, apart = F.col("l.n") + F.col("r.n"), F.size("l.delta") + F.size("r.delta") - 2 * F.size(F.array_intersect("l.delta", "r.delta"))
+        similar = F.coalesce(F.col("l.hub") != F.col("r.hub"), F.lit(True)) | (100 * (both - apart) >= percent * (both + apart))
+        return self.across(own, roots, in_list, [in_pair, similar], ["delta"])
 
     def by_windows(self, long_: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs a, b of classes of which one at least is not kept whole."""
@@ -275,19 +314,20 @@ class Linker:
         together = F.size(F.array_intersect("l.first", "r.first")) >= F.least("l.met", "r.met")
         return self.across(own, roots, F.lit(True), [F.greatest("l.n", "r.n") > FULL, behind, together])
 
-    def across(self, own: DataFrame, roots: DataFrame, in_list: Column, in_pair: list[Column]) -> DataFrame:
+    def across(self, own: DataFrame, roots: DataFrame, in_list: Column, in_pair: list[Column], wide: list[str] | None = None) -> DataFrame:
         """Pairs a, b of different components that have one of their ``first`` keys in common, each at its first such key.
 
-        in_list: what lets a class (with the smallest size, low, of the key's classes) stay in a key's list; in_pair: what a pair must fulfil.
+        in_list: what lets a class (with the smallest size, low, of the key's classes) stay in a key's list; in_pair: what a pair must fulfil;
+        wide: columns that in_pair alone reads.
         """
-        shelf = self.shelf
-        placed = own.select(*[c for c in own.columns if c != "first"], F.posexplode("first").alias("place", "window")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shelf, wide = self.shelf, ["first", *(wide or [])]
+        placed = own.select(*[c for c in own.columns if c not in wide], F.posexplode("first").alias("place", "window")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = shelf.put(placed, "placed")
         # most classes of a window are often of one component: they meet the others only
         kinds = placed.groupBy("window", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low")).groupBy("window").agg(F.sum("c").alias("every"), F.min("low").alias("low"), F.max(F.struct("c", "root")).alias("main"))
         kinds = kinds.where("every > main.c").select("window", "every", "low", F.col("main.root").alias("main"), F.ceil((F.col("every") - F.col("main.c")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("every") / BLOCK).cast("int").alias("columns"))
         side = hot_join(placed, shelf.put(kinds, "kinds"), "window", "every", placed.count()).where(in_list)
-        side = shelf.put(side.join(own.select("node", "first"), "node").withColumn("earlier", F.slice("first", F.lit(1), F.col("place"))), "sides")
+        side = shelf.put(side.join(own.select("node", *wide), "node").withColumn("earlier", F.slice("first", F.lit(1), F.col("place"))), "sides")
         at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
         l = side.where("root <> main").withColumn("i", at("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).alias("l")
         r = side.withColumn("j", at("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).alias("r")

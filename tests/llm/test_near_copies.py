@@ -40,3 +40,28 @@ def test_copies_changed_in_their_own_places(spark, monkeypatch, changes):
     got = {r["doc_id"]: r["component_id"] for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
     assert got == brute(rows, 4, 80)
     assert max(compared) < 30 * len(rows), compared
+
+
+def test_shared_values_are_counted_by_differences(spark, monkeypatch):
+    """Classes of a large group are told by what sets them apart from a hub, and only similar ones are compared late."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(320):
+        words = [f"w{k}" for k in range(150)]
+        for place in rng.sample(range(150), rng.randint(1, 10)):
+            words[place] = f"own{k}x{place}"
+        rows.append((k, " ".join(words)))
+    counted, compared, put, real = [], [], minhash.Shelf.put, minhash.Linker.estimated
+
+    def noted(self, frame, name):
+        table = put(self, frame, name)
+        if name == "values":
+            counted.append(table.count())
+        return table
+
+    monkeypatch.setattr(minhash.Shelf, "put", noted)
+    monkeypatch.setattr(minhash.Linker, "estimated", lambda self, pairs: compared.append(pairs.count()) or real(self, pairs))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == brute(rows, 4, 80)
+    assert counted and max(counted) < 147 * len(rows) / 2, counted
+    assert compared[-1] < len(rows), compared
